@@ -89,7 +89,7 @@ ORACLE: dict[str, str] = {
     "parsed_scores": with_parts(
         """SELECT scene_id, ad_id, round(score, 6) AS score FROM (SELECT scene_id, ad_id, TRY_CAST(trim(raw, ' ' || chr(10)) AS DOUBLE) AS score FROM (
         SELECT scene_id, ad_id, CASE ad_id % 7 WHEN 0 THEN concat(' ', CAST(score_pct / 100.0::DOUBLE AS VARCHAR), chr(10))
-            WHEN 1 THEN 'n/a' WHEN 2 THEN '' WHEN 3 THEN concat('-0.', score_pct) WHEN 4 THEN concat(score_pct, '.5')
+            WHEN 1 THEN 'n/a' WHEN 2 THEN '' WHEN 3 THEN concat('-0.', score_pct + 1) WHEN 4 THEN concat(score_pct, '.5')
             WHEN 5 THEN concat(score_pct, 'e-2') ELSE concat('0.', score_pct) END AS raw FROM ce_labels))
         WHERE score BETWEEN 0 AND 1"""),
     "label_bands": with_parts(

@@ -138,7 +138,7 @@ def q_tags(spark, d):
 def _raw_scores(spark, d):
     return fx.ce_labels(spark, d).selectExpr(
         "scene_id", "ad_id", "CASE ad_id % 7 WHEN 0 THEN concat(' ', CAST(score_pct / 100D AS STRING), '\\n') "
-        "WHEN 1 THEN 'n/a' WHEN 2 THEN '' WHEN 3 THEN concat('-0.', score_pct) WHEN 4 THEN concat(score_pct, '.5') "
+        "WHEN 1 THEN 'n/a' WHEN 2 THEN '' WHEN 3 THEN concat('-0.', score_pct + 1) WHEN 4 THEN concat(score_pct, '.5') "
         "WHEN 5 THEN concat(score_pct, 'e-2') ELSE concat('0.', score_pct) END AS raw")
 
 
