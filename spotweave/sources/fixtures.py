@@ -31,7 +31,11 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcript(spark: SparkSession, d: str) -> DataFrame:
-    return (table(spark, d, "events").filter("user_id % 10 <> 9")
+    return transcript_of(table(spark, d, "events"))
+
+
+def transcript_of(events: DataFrame) -> DataFrame:
+    return (events.filter("user_id % 10 <> 9")
             .selectExpr("user_id AS job_id", "event_id AS seg_id",
                         f"({_EVENT_MS}) * {_stretch('user_id')} AS start_ms", "event_type AS text")
             .selectExpr("job_id", "seg_id", "start_ms",
@@ -116,7 +120,11 @@ def feedback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def playback(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").selectExpr(
+    return playback_of(table(spark, d, "events"))
+
+
+def playback_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id", "CAST(ts AS TIMESTAMP_NTZ) AS ts", "user_id AS viewer_id",
         "event_id % 100 AS job_id", "(event_id * 7919) % 720000 AS pos_ms")
 
