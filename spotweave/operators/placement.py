@@ -1,13 +1,16 @@
 """Sliding placement windows and candidate scores.
 
 Window features depend on (scene, window length, ad size) only, so they are computed once per
-such *request* and shared by all ads. Frames, quiet gaps and silences are each turned into the
-range of window numbers they touch; one aggregation then collects everything per window.
+such *request* and shared by all ads. A frame, a speech gap or a silence touches a range of
+consecutive windows; only the two ends of each range become rows. Running sums over these ends
+give *pieces*: runs of windows with equal features. Single windows are never enumerated, and a
+request is cut into chunks of windows, each with its own opening balance, so that an endless
+scene is many independent groups.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.operators.intervals import overlapping, points_in
@@ -86,25 +89,31 @@ def _window_no(position: Column, rounding, cfg: PlacementSettings) -> Column:
     return rounding((position - F.col("start_ms")) / F.lit(cfg.step_ms)).cast("long")
 
 
-def _spread(touching: DataFrame, first_ms: Column, last_ms: Column, cfg: PlacementSettings) -> DataFrame:
-    """Explode to the windows starting in [first_ms, last_ms]."""
-    low = F.greatest(F.lit(0).cast("long"), _window_no(first_ms, F.ceil, cfg))
-    high = F.least(F.col("last_window"), _window_no(last_ms, F.floor, cfg))
-    return (touching.withColumn("_low", low).withColumn("_high", high).filter(F.col("_low") <= F.col("_high"))
-            .withColumn("k", F.explode(F.sequence("_low", "_high"))))
-
-
 _EMPTY = {"frames": 0, "density_sum": 0, "safe_frames": 0, "bl_sum": 0, "br_sum": 0, "quiet": 0}
 
 
-def _contribution(df: DataFrame, **values: Column) -> DataFrame:
-    filled = {name: values.get(name, F.lit(zero)) for name, zero in _EMPTY.items()}
-    return df.select(*REQUEST, "k", *[v.cast("long").alias(n) for n, v in filled.items()])
+def _range_ends(touching: DataFrame, first_ms: Column, last_ms: Column, cfg: PlacementSettings,
+                **values: Column) -> DataFrame:
+    """Changes of the sums where windows starting in [first_ms, last_ms] begin and end.
+
+    A range crossing into a further chunk is opened again there.
+    """
+    low = F.greatest(F.lit(0).cast("long"), _window_no(first_ms, F.ceil, cfg))
+    high = F.least(F.col("last_window"), _window_no(last_ms, F.floor, cfg))
+    filled = {name: values.get(name, F.lit(zero)).cast("long") for name, zero in _EMPTY.items()}
+    ranges = touching.select(*REQUEST, "last_window", low.alias("_low"), high.alias("_high"),
+                             *[v.alias(n) for n, v in filled.items()]).filter("_low <= _high")
+    size = cfg.chunk_windows
+    ends = (ranges.withColumn("chunk", F.expr(f"explode(sequence(_low DIV {size}, _high DIV {size}))"))
+            .withColumn("_sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+            .withColumn("k", F.expr(f"CASE WHEN _sign = 1 THEN greatest(_low, chunk * {size}) ELSE _high + 1 END"))
+            .filter(f"_sign = 1 OR (k < (chunk + 1) * {size} AND k <= last_window)"))
+    return ends.select(*REQUEST, "last_window", "chunk", "k", *[(F.col(n) * F.col("_sign")).alias(n) for n in _EMPTY])
 
 
 def frame_windows(requests: DataFrame, frames: DataFrame, info: DataFrame,
                   cfg: PlacementSettings = PLACEMENT) -> DataFrame:
-    """Every (window, frame in it) with density and the overlap of the safe area per corner."""
+    """What each frame adds to the windows it lies in: density and safe-area overlap per corner."""
     touching = points_in(frames.select("job_id", "ts_ms", "safe_x", "safe_y", "safe_w", "safe_h", "density_e4"),
                          requests, ["job_id"], "ts_ms", "start_ms", "end_ms", bucket_ms=cfg.bucket_ms)
     touching = join_dim(touching, info.select("job_id", F.col("width").alias("_vw"), F.col("height").alias("_vh")),
@@ -120,14 +129,14 @@ def frame_windows(requests: DataFrame, frames: DataFrame, info: DataFrame,
                           .otherwise(F.lit(0)))
               .withColumn("usable", usable)
               .select(*REQUEST, "last_window", "ts_ms", "density_e4", "bl", "br", "usable"))
-    spread = _spread(scored, F.col("ts_ms") - F.col("window_ms"), F.col("ts_ms"), cfg)
-    return _contribution(spread, frames=F.lit(1), density_sum=F.coalesce("density_e4", F.lit(0)),
-                         safe_frames=F.col("usable"), bl_sum=F.col("bl"), br_sum=F.col("br"))
+    return _range_ends(scored, F.col("ts_ms") - F.col("window_ms"), F.col("ts_ms"), cfg, frames=F.lit(1),
+                       density_sum=F.coalesce("density_e4", F.lit(0)), safe_frames=F.col("usable").cast("int"),
+                       bl_sum=F.col("bl"), br_sum=F.col("br"))
 
 
 def quiet_windows(requests: DataFrame, segments: DataFrame, silence: DataFrame, info: DataFrame,
                   cfg: PlacementSettings = PLACEMENT) -> DataFrame:
-    """Windows that pass the silence test, possibly repeated.
+    """Ranges of windows that pass the silence test (they may overlap).
 
     Jobs with a transcript need a speech gap of ``quiet_gap_ms`` inside the window, or no speech
     in it at all; a gap that runs past the scene counts as lasting to the window's end. Jobs
@@ -139,24 +148,33 @@ def quiet_windows(requests: DataFrame, segments: DataFrame, silence: DataFrame,
     need = F.least(F.lit(cfg.quiet_gap_ms).cast("long"), F.col("window_ms"))
     runs_on = F.col("gap_end") >= F.col("end_ms")
     gaps = gaps.filter(runs_on | (F.col("gap_end") - F.col("gap_start") >= need))
-    from_gaps = _spread(gaps, F.col("gap_start") + need - F.col("window_ms"),
-                        F.when(runs_on, F.col("end_ms") + cfg.overrun_ms).otherwise(F.col("gap_end") - need), cfg)
+    from_gaps = _range_ends(gaps, F.col("gap_start") + need - F.col("window_ms"),
+                            F.when(runs_on, F.col("end_ms") + cfg.overrun_ms).otherwise(F.col("gap_end") - need),
+                            cfg, quiet=F.lit(1))
     unspoken = silence.join(segments.select("job_id").distinct(), "job_id", "left_anti").select(
         "job_id", F.col("start_ms").alias("sil_start"), F.col("end_ms").alias("sil_end"))
     hits = overlapping(unspoken, spans, ["job_id"], ("sil_start", "sil_end"), ("start_ms", "end_ms"), cfg.bucket_ms)
-    from_silence = _spread(hits, F.col("sil_start") - F.col("window_ms") + 1, F.col("sil_end") - 1, cfg)
-    return (_contribution(from_gaps, quiet=F.lit(1))
-            .unionByName(_contribution(from_silence, quiet=F.lit(1))))
+    from_silence = _range_ends(hits, F.col("sil_start") - F.col("window_ms") + 1, F.col("sil_end") - 1, cfg,
+                               quiet=F.lit(1))
+    return from_gaps.unionByName(from_silence)
 
 
 def window_features(requests: DataFrame, frames: DataFrame, segments: DataFrame, silence: DataFrame,
                     info: DataFrame, cfg: PlacementSettings = PLACEMENT) -> DataFrame:
-    """Per window with frames: frame count, density sum, corner overlap sums, quiet flag."""
-    parts = (frame_windows(requests, frames, info, cfg)
-             .unionByName(quiet_windows(requests, segments, silence, info, cfg)))
-    return parts.groupBy(*REQUEST, "k").agg(
-        *[F.sum(c).alias(c) for c in _EMPTY if c != "quiet"], F.max("quiet").alias("quiet")
-    ).filter(F.col("frames") > 0)
+    """Pieces of equal windows that have frames: windows ``k`` to ``k + n_windows - 1`` share frame
+    count, density sum, corner overlap sums and quiet flag."""
+    ends = (frame_windows(requests, frames, info, cfg)
+            .unionByName(quiet_windows(requests, segments, silence, info, cfg)))
+    group = [*REQUEST, "chunk", "last_window"]
+    steps = (ends.repartition(*group).groupBy(*group, "k")
+             .agg(*[F.sum(c).alias(c) for c in _EMPTY]))
+    ordered = Window.partitionBy(*group).orderBy("k")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until = F.least(F.coalesce(F.lead("k").over(ordered), F.col("last_window") + 1),
+                    (F.col("chunk") + 1) * cfg.chunk_windows)
+    pieces = steps.select(*REQUEST, "k", (until - F.col("k")).alias("n_windows"),
+                          *[F.sum(c).over(so_far).alias(c) for c in _EMPTY])
+    return pieces.filter("frames > 0").withColumn("quiet", (F.col("quiet") > 0).cast("int"))
 
 
 def corner_choice(features: DataFrame, cfg: PlacementSettings = PLACEMENT) -> DataFrame:

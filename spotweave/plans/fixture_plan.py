@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from spotweave.plans.placement_plan import Inputs, PlacementPlan, PlanSettings
 from spotweave.settings import MatchSettings, SegmentationSettings
@@ -15,8 +15,15 @@ SETTINGS = PlanSettings(
     unsafe_words=fx.FIXTURE_SAFETY_WORDS, gate_tag=fx.FIXTURE_GATE_TAG, gate_words=fx.FIXTURE_GATE_WORDS)
 
 
-def fixture_plan(spark: SparkSession, d: str, settings: PlanSettings = SETTINGS) -> PlacementPlan:
-    return PlacementPlan(Inputs(
+class FixturePlan(PlacementPlan):
+    """Frames are themselves derived here, so they are staged before their two uses."""
+
+    def frames(self) -> DataFrame:
+        return self._once("frames", lambda: self.inputs.frames)
+
+
+def fixture_plan(spark: SparkSession, d: str, settings: PlanSettings = SETTINGS) -> FixturePlan:
+    return FixturePlan(Inputs(
         info=fx.jobs(spark, d), segments=fx.transcript(spark, d), frames=fx.frames(spark, d),
         silence=fx.silence(spark, d), ads=fx.ads(spark, d), vectors=fx.vectors(spark, d),
         category_vectors=fx.category_vectors(spark, d), narratives=fx.narratives(spark, d),

@@ -63,6 +63,9 @@ class PlacementPlan:
             self._staged[name] = stage(build(), name)
         return self._staged[name]
 
+    def frames(self) -> DataFrame:
+        return self.inputs.frames
+
     def scenes(self) -> DataFrame:
         """Stored scenes with their context and desire vector ids (-1: none)."""
         i = self.inputs
@@ -78,7 +81,7 @@ class PlacementPlan:
     def scene_context(self) -> DataFrame:
         """Scenes with objects, threshold, unsafe_word and gate_open."""
         i, m = self.inputs, self.settings.matching
-        scenes = cand.scene_objects(self.scenes(), i.frames)
+        scenes = cand.scene_objects(self.scenes(), self.frames())
         length = F.col("end_ms") - F.col("start_ms")
         scenes = scenes.withColumn("threshold", cand.sim_threshold(length, F.col("objects"), m))
         flags = self.text_flags()
@@ -149,7 +152,7 @@ class PlacementPlan:
 
     def features(self) -> DataFrame:
         i = self.inputs
-        return place.window_features(self.requests(), i.frames, i.segments, i.silence, i.info,
+        return place.window_features(self.requests(), self.frames(), i.segments, i.silence, i.info,
                                      self.settings.placement)
 
     def scored(self) -> DataFrame:

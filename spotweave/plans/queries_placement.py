@@ -131,32 +131,40 @@ def q_windows(spark, d):
         F.max("window_start_ms").alias("last_start_ms"))
 
 
+def _windows(condition: Column) -> Column:
+    """Number of single windows in the pieces that meet the condition."""
+    return F.sum(F.when(condition, F.col("n_windows")).otherwise(F.lit(0)))
+
+
+_PER_REQUEST = ("job_id", "start_ms", "window_ms", "ad_w")
+
+
 @query("window_density")
 def q_density(spark, d):
     """Density classes of the windows of each request."""
     f, p = fixture_plan(spark, d).features(), SETTINGS.placement
     danger = F.col("density_sum") >= p.danger_density_e4 * F.col("frames")
     golden = F.col("density_sum") <= p.golden_density_e4 * F.col("frames")
-    return f.groupBy("job_id", "start_ms", "window_ms", "ad_w").agg(
-        F.count("*").alias("n_windows"), F.count(F.when(danger, 1)).alias("n_danger"),
-        F.count(F.when(golden, 1)).alias("n_golden"), F.sum("density_sum").alias("density_sum"),
-        F.sum("frames").alias("n_frames"))
+    return f.groupBy(*_PER_REQUEST).agg(
+        F.sum("n_windows").alias("windows"), _windows(danger).alias("n_danger"), _windows(golden).alias("n_golden"),
+        F.sum(F.col("density_sum") * F.col("n_windows")).alias("density_sum"),
+        F.sum(F.col("frames") * F.col("n_windows")).alias("n_frames")).withColumnRenamed("windows", "n_windows")
 
 
 @query("best_corner")
 def q_corner(spark, d):
     f = place.corner_choice(fixture_plan(spark, d).features())
-    return f.groupBy("job_id", "start_ms", "window_ms", "ad_w").agg(
-        F.count(F.when(F.col("corner") == "BL", 1)).alias("n_bl"),
-        F.count(F.when(F.col("corner") == "BR", 1)).alias("n_br"),
-        F.count(F.when(F.col("corner").isNull(), 1)).alias("n_none"), F.sum("overlap_sum").alias("overlap_sum"))
+    return f.groupBy(*_PER_REQUEST).agg(
+        _windows(F.col("corner") == "BL").alias("n_bl"), _windows(F.col("corner") == "BR").alias("n_br"),
+        _windows(F.col("corner").isNull()).alias("n_none"),
+        F.sum(F.col("overlap_sum") * F.col("n_windows")).alias("overlap_sum"))
 
 
 @query("window_silence")
 def q_window_silence(spark, d):
     f = fixture_plan(spark, d).features()
-    return f.groupBy("job_id", "start_ms", "window_ms", "ad_w").agg(
-        F.count("*").alias("n_windows"), F.sum("quiet").alias("n_quiet"))
+    return f.groupBy(*_PER_REQUEST).agg(F.sum("n_windows").alias("windows"), _windows(F.col("quiet") == 1).alias("n_quiet")
+                                        ).withColumnRenamed("windows", "n_windows")
 
 
 @query("scored_candidates")

@@ -88,6 +88,7 @@ class PlacementSettings:
     # (minimum scene length, delay) pairs, longest first
     start_delays: tuple[tuple[int, int], ...] = ((30_000, 2_500), (10_000, 1_500), (0, 500))
     bucket_ms: int = 30_000
+    chunk_windows: int = 4096
 
 
 @dataclass(frozen=True)
