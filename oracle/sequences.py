@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from oracle.parts import with_parts
 
-_STRIDE = 80
+_STRIDE = 95
 _CUT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1] * 255.0::DOUBLE - z[2] * 255.0::DOUBLE))) / 64"
 
 ORACLE: dict[str, str] = {
@@ -49,15 +49,15 @@ ORACLE: dict[str, str] = {
             FROM detections WHERE confidence_pct >= 35
             UNION ALL SELECT job_id, frame_index, greatest(0, x1 - pad), greatest(0, y1 - pad), least(1280, x2 + pad), least(720, y1 + (y2 - y1) // 2 + pad)
             FROM (SELECT *, greatest(2, greatest(x2 - x1, y2 - y1) * 3 // 100) AS pad FROM detections WHERE class_id = 0 AND confidence_pct >= 35)""",
-        taken=f"""SELECT DISTINCT job_id, frame_index, r, c FROM rects, generate_series(0, 8) a(r), generate_series(0, 15) b(c)
+        taken=f"""SELECT DISTINCT job_id, frame_index, r, c FROM rects, generate_series(0, 7) a(r), generate_series(0, 13) b(c)
             WHERE r * {_STRIDE} >= y1 AND r * {_STRIDE} < y2 AND c * {_STRIDE} >= x1 AND c * {_STRIDE} < x2""",
         grid=f"""SELECT f.job_id, f.frame_index, r, c, NOT (r * {_STRIDE} < 86 OR r * {_STRIDE} >= 662 OR t.r IS NOT NULL) AS free
-            FROM (SELECT DISTINCT job_id, frame_index FROM detections) f CROSS JOIN generate_series(0, 8) a(r) CROSS JOIN generate_series(0, 15) b(c)
+            FROM (SELECT DISTINCT job_id, frame_index FROM detections) f CROSS JOIN generate_series(0, 7) a(r) CROSS JOIN generate_series(0, 13) b(c)
             LEFT JOIN taken t USING (job_id, frame_index, r, c)""",
         heights="""SELECT job_id, frame_index, r, c, r - max(CASE WHEN NOT free THEN r ELSE -1 END) OVER (
             PARTITION BY job_id, frame_index, c ORDER BY r) AS h FROM grid""",
         spans="""SELECT a.job_id, a.frame_index, a.r, a.c AS c1, b.c AS c2, min(m.h) AS h FROM heights a
-            JOIN generate_series(0, 15) b(c) ON b.c >= a.c
+            JOIN generate_series(0, 13) b(c) ON b.c >= a.c
             JOIN heights m ON m.job_id = a.job_id AND m.frame_index = a.frame_index AND m.r = a.r AND m.c BETWEEN a.c AND b.c
             WHERE a.h > 0 GROUP BY ALL"""),
     "cut_flags": f"""SELECT b.vec_id // 50 AS job_id, b.vec_id AS frame_index, coalesce({_CUT} > 36.0, false) AS is_cut

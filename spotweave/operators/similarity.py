@@ -55,17 +55,17 @@ def _block_product(min_sim: float, context_weight: float, desire_weight: float):
     return product
 
 
-def matched_targets(contexts: DataFrame, targets: DataFrame, min_sim: float,
-                    cfg: MatchSettings = MATCHING) -> DataFrame:
+def matched_targets(contexts: DataFrame, targets: DataFrame, min_sim: float, cfg: MatchSettings = MATCHING,
+                    n_contexts: int | None = None, n_targets: int | None = None) -> DataFrame:
     """Sorted ad matches per distinct context.
 
     ``contexts``: ctx_vec, desire_vec (-1 when absent), ctx_emb, desire_emb (NULL when absent).
     ``targets``: ad_id, tgt_emb, needs_ms (scene length a clip needs, else 0), gated.
     Result: ctx_vec, desire_vec, tgt_block, matches ARRAY<STRUCT<ad_id, sim, needs_ms, gated>>
-    ordered by similarity, then ad.
+    ordered by similarity, then ad. The row numbers size the blocks; they are counted if not given.
     """
-    n_ctx = max(1, math.ceil(contexts.count() / CONTEXT_BLOCK))
-    n_tgt = max(1, math.ceil(targets.count() / TARGET_BLOCK))
+    n_ctx = max(1, math.ceil((contexts.count() if n_contexts is None else n_contexts) / CONTEXT_BLOCK))
+    n_tgt = max(1, math.ceil((targets.count() if n_targets is None else n_targets) / TARGET_BLOCK))
     left = (contexts.withColumn("ctx_block", F.pmod(F.xxhash64("ctx_vec", "desire_vec"), F.lit(n_ctx)).cast("int"))
             .withColumn("tgt_block", F.explode(F.sequence(F.lit(0), F.lit(n_tgt - 1)))))
     right = (targets.withColumn("tgt_block", F.pmod(F.xxhash64("ad_id"), F.lit(n_tgt)).cast("int"))
@@ -80,7 +80,8 @@ def matched_targets(contexts: DataFrame, targets: DataFrame, min_sim: float,
     return found.select("ctx_vec", "desire_vec", "tgt_block", zipped.alias("matches"))
 
 
-def pair_similarity(contexts: DataFrame, targets: DataFrame, min_sim: float) -> DataFrame:
+def pair_similarity(contexts: DataFrame, targets: DataFrame, min_sim: float,
+                    n_contexts: int | None = None, n_targets: int | None = None) -> DataFrame:
     """Cosine in [0, 1] of distinct contexts (vec_id, embedding) and targets (ad_id, embedding),
     for the pairs reaching ``min_sim``."""
     left = contexts.select(F.col("vec_id").alias("ctx_vec"), F.lit(-1).cast("long").alias("desire_vec"),
@@ -88,13 +89,13 @@ def pair_similarity(contexts: DataFrame, targets: DataFrame, min_sim: float) ->
                            F.lit(None).cast("array<float>").alias("desire_emb"))
     right = targets.select("ad_id", F.col("embedding").alias("tgt_emb"),
                            F.lit(0).cast("long").alias("needs_ms"), F.lit(False).alias("gated"))
-    return matched_targets(left, right, min_sim).select(
+    return matched_targets(left, right, min_sim, MATCHING, n_contexts, n_targets).select(
         "ctx_vec", F.explode("matches").alias("m")).select("ctx_vec", "m.ad_id", "m.sim")
 
 
-def category_bonus(contexts: DataFrame, categories: DataFrame, points: int,
-                   cfg: MatchSettings = MATCHING) -> DataFrame:
+def category_bonus(contexts: DataFrame, categories: DataFrame, points: int, cfg: MatchSettings = MATCHING,
+                   n_contexts: int | None = None) -> DataFrame:
     """(ctx_vec, ad_category, bonus) for contexts close enough to an ad category."""
     targets = categories.select(F.col("ad_category").alias("ad_id"), "embedding")
-    near = pair_similarity(contexts, targets, cfg.category_similarity)
+    near = pair_similarity(contexts, targets, cfg.category_similarity, n_contexts)
     return near.select("ctx_vec", F.col("ad_id").alias("ad_category"), F.lit(points).alias("bonus"))

@@ -93,11 +93,17 @@ class PlacementPlan:
         return own.withColumn("gate_open", F.coalesce("gate_open", F.lit(False))
                               | F.coalesce("wish_open", F.lit(False))).drop("narrative_id", "wish_id", "wish_open")
 
+    def context_ids(self) -> DataFrame:
+        """Distinct (context, desire) vector ids of all scenes."""
+        return self._once("contexts", lambda: self.scenes().filter(F.col("ctx_vec").isNotNull())
+                          .select("ctx_vec", "desire_vec").distinct())
+
+    def n_contexts(self) -> int:
+        return self.context_ids().count()
+
     def contexts(self) -> DataFrame:
-        """Distinct (context, desire) vector pairs of all scenes."""
-        i = self.inputs
-        distinct = (self.scenes().filter(F.col("ctx_vec").isNotNull())
-                    .select("ctx_vec", "desire_vec").distinct())
+        """Distinct contexts with their vectors."""
+        i, distinct = self.inputs, self.context_ids()
         ctx = i.vectors.select(F.col("vec_id").alias("ctx_vec"), F.col("embedding").alias("ctx_emb"))
         desire = i.vectors.select(F.col("vec_id").alias("desire_vec"), F.col("embedding").alias("desire_emb"))
         return join_dim(join_dim(distinct, ctx, ["ctx_vec"], ["desire_vec"]),
@@ -114,7 +120,7 @@ class PlacementPlan:
 
     def matches(self) -> DataFrame:
         m = self.settings.matching
-        return matched_targets(self.contexts(), self.targets(), m.lowest, m)
+        return matched_targets(self.contexts(), self.targets(), m.lowest, m, self.n_contexts(), self.inputs.ads.count())
 
     def filtered(self) -> DataFrame:
         return cand.prefilter(self.scene_context(), self.matches())
@@ -129,10 +135,10 @@ class PlacementPlan:
 
     def bonuses(self) -> DataFrame:
         i = self.inputs
-        used = self.scenes().select(F.col("ctx_vec").alias("vec_id")).filter("vec_id IS NOT NULL").distinct()
+        used = self.context_ids().select(F.col("ctx_vec").alias("vec_id")).distinct()
         cats = i.category_vectors.withColumnRenamed("cat_vec", "vec_id").join(i.vectors, "vec_id")
         return category_bonus(used.join(i.vectors, "vec_id"), cats.select("ad_category", "embedding"),
-                              self.settings.placement.category_points, self.settings.matching)
+                              self.settings.placement.category_points, self.settings.matching, self.n_contexts())
 
     def planned(self) -> DataFrame:
         """Re-ranked candidates with window plan, reference ad size and category bonus."""

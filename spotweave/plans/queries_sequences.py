@@ -80,7 +80,7 @@ def q_frame_density(spark, d):
 @query("safe_area")
 def q_safe_area(spark, d):
     boxes = fx.detections(spark, d).filter("confidence_pct >= 35")
-    return fr.safe_area(fx.detections(spark, d), boxes, 1280, 720, stride=80)
+    return fr.safe_area(fx.detections(spark, d), boxes, 1280, 720, stride=95)
 
 
 @query("cut_flags")
