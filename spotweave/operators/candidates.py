@@ -93,16 +93,17 @@ def _survives(m: Column, length: Column, threshold: Column, gate_open: Column) -
 def prefilter(scenes: DataFrame, matches: DataFrame) -> DataFrame:
     """Scenes joined to their context's match list, reduced to the ads each scene admits.
 
-    ``scenes``: job_id, start_ms, end_ms, ctx_vec, desire_vec, threshold, gate_open. Popular
-    contexts are salted; the list stays one array value, already in rank order.
+    ``scenes``: job_id, start_ms, end_ms, ctx_vec, desire_vec, threshold, gate_open, unsafe_word.
+    Popular contexts are salted; the list stays one array value, already in rank order.
     """
-    known = scenes.filter(F.col("ctx_vec").isNotNull())
+    known = scenes.filter(F.col("ctx_vec").isNotNull()).select(
+        *SCENE, "end_ms", "ctx_vec", "desire_vec", "threshold", "gate_open", "unsafe_word")
     blocks = matches.groupBy("ctx_vec", "desire_vec").agg(F.collect_list("matches").alias("blocks"))
     joined = join_dim(known, blocks, ["ctx_vec", "desire_vec"], SCENE)
     length = F.col("end_ms") - F.col("start_ms")
     kept = F.transform(F.col("blocks"), lambda block: F.filter(
         block, lambda m: _survives(m, length, F.col("threshold"), F.col("gate_open"))))
-    return joined.withColumn("kept", kept).drop("blocks")
+    return joined.withColumn("kept", kept).drop("blocks", "gate_open", "desire_vec")
 
 
 def top_similar(filtered: DataFrame, k: int) -> DataFrame:
