@@ -75,8 +75,8 @@ def candidate_volume(scenes: DataFrame, ads: DataFrame) -> DataFrame:
         F.lit(0).cast("long"),
         lambda acc, s: acc + F.when(s["duration_ms"] > F.col("scene_ms"), s["n"]).otherwise(F.lit(0)))
     per_scene = scenes.select("job_id", (F.col("end_ms") - F.col("start_ms")).alias("scene_ms"))
-    per_scene = per_scene.withColumn("steps", steps.scalar())
-    per_length = per_scene.groupBy("job_id", "scene_ms", "steps").agg(F.count("*").alias("n_scenes"))
+    per_length = per_scene.groupBy("job_id", "scene_ms").agg(
+        F.count("*").alias("n_scenes")).withColumn("steps", steps.scalar())
     n_ads = by_type.select("n_ads").scalar()
     n_clips = by_type.select("n_clips").scalar()
     return per_length.groupBy("job_id").agg(

@@ -43,13 +43,14 @@ def scene_numbers(segments: DataFrame, vectors: DataFrame,
 
 
 def scene_segments(segments: DataFrame, vectors: DataFrame, info: DataFrame,
-                   cfg: SegmentationSettings = SEGMENTATION) -> DataFrame:
+                   cfg: SegmentationSettings = SEGMENTATION, numbered: DataFrame | None = None) -> DataFrame:
     """Contiguous scenes per job: (job_id, scene_no, start_ms, end_ms, n_segments, ctx_vec).
 
     A scene ends where the next begins (or later, if its last segment runs on); the last one
     ends with the video; the first begins at 0. A job without segments is one scene.
+    ``numbered`` is the result of scene_numbers, when it is at hand.
     """
-    numbered = scene_numbers(segments, vectors, cfg)
+    numbered = scene_numbers(segments, vectors, cfg) if numbered is None else numbered
     here = F.struct(F.col("scene_no"), F.col("start_ms"), F.col("seg_id"), F.col("end_ms"), F.col("vec_id"),
                     F.lit(None).cast("long").alias("next_ms"))
     before = F.struct((F.col("scene_no") - 1).alias("scene_no"), F.lit(None).cast("long").alias("start_ms"),
@@ -81,11 +82,10 @@ def scene_segments(segments: DataFrame, vectors: DataFrame, info: DataFrame,
     return built.unionByName(silent)
 
 
-def scene_texts(segments: DataFrame, vectors: DataFrame, cfg: SegmentationSettings = SEGMENTATION) -> DataFrame:
-    """Whole spoken text of each scene, assembled from per-chunk pieces."""
-    numbered = scene_numbers(segments, vectors, cfg).withColumn(
-        "_chunk", span_chunk("start_ms", cfg.chunk_ms))
-    return ordered_text(numbered, ["job_id", "scene_no"], "_chunk", ["start_ms", "seg_id"], "text")
+def scene_texts(numbered: DataFrame, cfg: SegmentationSettings = SEGMENTATION) -> DataFrame:
+    """Whole spoken text of each scene of scene_numbers, assembled from per-chunk pieces."""
+    pieces = numbered.withColumn("_chunk", span_chunk("start_ms", cfg.chunk_ms))
+    return ordered_text(pieces, ["job_id", "scene_no"], "_chunk", ["start_ms", "seg_id"], "text")
 
 
 def ordered_text(rows: DataFrame, keys: list[str], chunk: str, order: list[str], text: str,

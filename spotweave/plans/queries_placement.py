@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spotweave.operators import candidates as cand
 from spotweave.operators import placement as place
 from spotweave.operators import scheduling as sched
-from spotweave.operators.segments import scene_segments, scene_texts
+from spotweave.operators.segments import scene_numbers, scene_segments, scene_texts
 from spotweave.operators.similarity import category_bonus, pair_similarity
 from spotweave.plans.fixture_plan import SETTINGS, fixture_plan
 from spotweave.plans.registry import query
@@ -23,8 +23,9 @@ def _r6(col: str) -> Column:
 def q_scene_segments(spark: SparkSession, d: str) -> DataFrame:
     """Scenes with their whole spoken text."""
     segments, vectors = fx.transcript(spark, d), fx.vectors(spark, d)
-    scenes = scene_segments(segments, vectors, fx.jobs(spark, d), SETTINGS.segmentation)
-    texts = scene_texts(segments, vectors, SETTINGS.segmentation)
+    numbered = scene_numbers(segments, vectors, SETTINGS.segmentation)
+    scenes = scene_segments(segments, vectors, fx.jobs(spark, d), SETTINGS.segmentation, numbered)
+    texts = scene_texts(numbered, SETTINGS.segmentation)
     return scenes.join(texts, ["job_id", "scene_no"], "left").withColumn(
         "transcript", F.coalesce("transcript", F.lit("")))
 
