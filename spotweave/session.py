@@ -46,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), "spotweave", f"{name}-{uuid.uuid4().hex}")
+    """New path in the shared folder; everything of one application lies below one directory."""
+    app = spark.sparkContext.applicationId
+    return os.path.join(shared_dir(spark), "spotweave", app, f"{name}-{uuid.uuid4().hex}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
