@@ -42,8 +42,9 @@ def take_smallest(df: DataFrame, size: Column, major: str, minor: str) -> DataFr
         F.sum("_n").over(Window.orderBy(major)).alias("_upto"))
     edge = (running.filter(F.col("_upto") >= size)
             .agg(F.min(F.struct("_cut", (F.col("_upto") - F.col("_n")).alias("_before"))).alias("_edge")))
-    cut = F.coalesce(edge.select("_edge._cut").scalar(), F.lit(2**62))
-    before = F.coalesce(edge.select("_edge._before").scalar(), F.lit(0))
+    found = edge.select("_edge").scalar()
+    cut = F.coalesce(found["_cut"], F.lit(2**62))
+    before = F.coalesce(found["_before"], F.lit(0))
     below = df.filter(F.col(major) < cut)
     at_cut = (df.filter(F.col(major) == cut)
               .withColumn("_rank", F.row_number().over(Window.partitionBy(major).orderBy(minor)))

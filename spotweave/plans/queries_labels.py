@@ -8,6 +8,7 @@ from spotweave.functions.text import label_band
 from spotweave.operators import labels as lb
 from spotweave.plans.fixture_plan import fixture_plan
 from spotweave.plans.registry import query
+from spotweave.session import stage
 from spotweave.sources import fixtures as fx
 
 
@@ -82,7 +83,7 @@ def q_metrics(spark, d):
                               ((F.col("score_pct") * 5 + F.col("model_score_i")) / 1514).alias("s")))
     scored = held.select("scene_id", "ad_id", "positive", F.col("score").alias("relevance"), F.explode(models).alias("m"))
     scored = scored.select("scene_id", "ad_id", "positive", "relevance", "m.model", F.col("m.s").alias("score"))
-    return lb.metric_deltas(lb.rank_metrics(scored))
+    return lb.metric_deltas(lb.rank_metrics(stage(scored, "model-scores")))
 
 
 @query("score_histogram")
