@@ -14,6 +14,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def named(column: str) -> Column:
+    """A column by its literal name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def keep_columns(df: DataFrame, *replaced: str) -> Column:
+    """All columns but those replaced as one struct, so they cannot clash with working columns."""
+    return F.struct(*[named(c) for c in df.columns if c not in replaced])
+
+
 def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """About ``rows`` rows, all of them where there are fewer, chosen by a hash of their key.
 
