@@ -5,10 +5,11 @@ Each query applies its operator, with production parameters, to its whole table.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import language_id, quality, url_filter
+from spotweave.llm import language_id, packing, quality, simhash, url_filter
 from spotweave.llm.common import held_out
 
 QUERIES: dict = {}
@@ -61,6 +62,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+@_register
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 1024 ids; byte_bpe_50k in its rank form, the same ids as the json."""
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+@_register
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash and near-duplicate class of every document."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("fp")
+
+
 @_register
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
