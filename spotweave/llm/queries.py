@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import language_id, packing, quality, simhash, url_filter
+from spotweave.llm import language_id, mixing, packing, quality, simhash, url_filter
 from spotweave.llm.common import held_out
+from spotweave.session import stage
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +30,14 @@ def _register(fn):
     return fn
 
 
+@_register
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a mix of 1.5 times the corpus takes, sources weighing 5, 2, 1 in turn."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    sized = stage(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("digest")), "op1")
+    return mixing.mix(sized, text="digest", words="words").select("doc_id", "size", "source_size", "target", "taken")
+
+
 @_register
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every url of ``pages``."""
