@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import language_id, mixing, packing, quality, simhash, url_filter
+from spotweave.llm import embedding_join, language_id, mixing, packing, quality, simhash, url_filter
 from spotweave.llm.common import held_out
 from spotweave.session import stage
 
@@ -78,6 +78,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+@_register
+def op5_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.98 within their label."""
+    return embedding_join.near_duplicates(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+ORACLE["op5_embedding_join"] = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= {embedding_join.COSINE}),
+reach(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.v FROM reach r JOIN links l ON r.seen = l.u)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE u = e.vec_id) AS n_links, m.low AS component_id, e.vec_id = m.low AS kept
+FROM embeddings e JOIN (SELECT node, min(seen) AS low FROM reach GROUP BY node) m ON m.node = e.vec_id"""
+
+
 @_register
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash and near-duplicate class of every document."""
