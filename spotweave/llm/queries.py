@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import embedding_join, language_id, mixing, packing, quality, simhash, url_filter
+from spotweave.llm import embedding_join, language_id, license_scan, mixing, packing, quality, simhash, url_filter
 from spotweave.llm.common import held_out
 from spotweave.session import stage
 
@@ -110,3 +110,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.filter(~held_out()))
     return (language_id.identify(docs.select("doc_id", "text"), model)
             .select("doc_id", held_out().alias("held_out"), "lang_pred", "score"))
+
+
+@_register
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License rules recognised in every document."""
+    return license_scan.scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLE["op10_license_scan"] = license_scan.oracle()
