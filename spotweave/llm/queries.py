@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import embedding_join, language_id, license_scan, mixing, packing, quality, simhash, url_filter
+from spotweave.llm import embedding_join, language_id, license_scan, mixing, packing, quality, secret_scan, simhash, url_filter
 from spotweave.llm.common import held_out
 from spotweave.session import stage
 
@@ -97,6 +97,14 @@ SELECT e.vec_id, (SELECT count(*) FROM links WHERE u = e.vec_id) AS n_links, m.l
 FROM embeddings e JOIN (SELECT node, min(seen) AS low FROM reach GROUP BY node) m ON m.node = e.vec_id"""
 
 
+@_register
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for secrets in every document with the forest's verdict; values are given as digests."""
+    model = secret_scan.fit(secret_scan.labelled_findings(spark))
+    return (secret_scan.scan(_table(spark, sf_dir, "documents", "doc_id", "text", "source"), model)
+            .select("doc_id", "place", "kind", F.sha2("value", 256).alias("value_sha256"), "score", "secret"))
+
+
 @_register
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash and near-duplicate class of every document."""
