@@ -192,9 +192,26 @@ def occurrences(mixed: DataFrame, key: str = "doc_id", seed: int = 11) -> DataFr
     """One row per occurrence in the mix: the document's columns with ``pass``, ``shard``, ``words`` and ``place``.
 
     ``place`` is a hash: sorting a shard by it is the local shuffle, e.g. ``repartition("shard").sortWithinPartitions("shard",
-    "place")`` before writing. ``words`` below the size means that the occurrence ends after so many words.
+    "place")`` before writing. ``words`` below the size means that the occurrence ends after so many words. Columns of the
+    new names are replaced.
     """
-    return (mixed.withColumn("_draw", F.explode("draws"))
-            .select("*", "_draw.pass", "_draw.shard", "_draw.words",
-                    F.xxhash64(named(key), "_draw.pass", "_draw.shard", F.lit(seed)).alias("place"))
-            .drop("_draw", "draws"))
+    kept = [c for c in mixed.columns if c not in ("draws", "pass", "shard", "words", "place")]
+    return (mixed.select(*map(named, kept), F.explode("draws").alias("_draw"))
+            .select(*map(named, kept), "_draw.pass", "_draw.shard", "_draw.words",
+                    F.xxhash64(named(key), "_draw.pass", "_draw.shard", F.lit(seed)).alias("place")))
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source",
+                    length: str | None = None, **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, one row per occurrence, shards together and shuffled inside.
+
+    An occurrence that the target cuts keeps its first words, single-spaced; ``length`` names a column that is to
+    hold the number of characters of the text then. Options are those of :func:`mix`.
+    """
+    packed = docs.select(keep_columns(docs).alias("_doc"), named(text).alias("_text"), named(key).alias("_key"), named(source).alias("_source"))
+    drawn = occurrences(mix(packed, text="_text", key="_key", source="_source", **options), "_key")
+    first = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
+    placed = (drawn.select("_doc", "shard", "place", F.when(F.col("words") < F.col("size"), first).otherwise(F.col("_text")).alias("_text"))
+              .repartition("shard").sortWithinPartitions("shard", "place"))
+    new = {text: F.col("_text")} | ({length: F.length("_text").cast(docs.schema[length].dataType)} if length else {})
+    return placed.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])

@@ -185,6 +185,16 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     return dealt.mapInArrow(work, "u long, v long")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, low): the smallest id in the component of every fingerprint of ``prints`` (doc_id, fp)."""
+    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    found = components(near_links(nodes.select("fp"), radius), "simhash-links")
+    rooted = (nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+              .select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` (signed), ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -193,28 +203,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     becomes a component's id unless the component has no other; repeated rows share theirs.
     Documents with equal fingerprints are one node, so copies cost nothing in the search.
     """
-    prints = stage(with_fingerprint(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    nodes = stage(nodes, "simhash-nodes")
-    found = components(near_links(nodes.select("fp"), radius), "simhash-links")
-    rooted = (nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-              .select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select(
+    prints = stage(with_fingerprint(docs.select(named(key).alias("doc_id"), named(text).alias("text"))), "simhash")
+    return prints.join(_classes(prints, radius), "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate class, the one with the smallest id.
 
-    Among repeated rows of that id the one with the smallest digest of all its columns stays. A class whose ids
-    are all null keeps one row.
+    Null ids come last; among rows of one id the one with the smallest digest of all its columns stays, and of
+    wholly repeated rows one. An empty table stays empty.
     """
-    row = keep_columns(docs)
-    classes = near_duplicates(docs, key, text).select("doc_id", "component_id").distinct()
-    keyed = docs.select(row.alias("_row"), named(key).alias("_key"))
-    winners = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = keyed.join(winners, keyed["_key"].eqNullSafe(winners["doc_id"]), "left_semi")
-    single = kept.groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
-    return single.select("_row.*")
+    digest = F.xxhash64(F.struct(*map(named, docs.columns)))
+    prints = stage(with_fingerprint(docs.select(named(key).alias("doc_id"), digest.alias("digest"), named(text).alias("text"))), "simhash")
+    by_class = prints.join(_classes(prints, radius).select("fp", "root"), "fp")
+    first = by_class.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"))
+    row = docs.select(digest.alias("_digest"), keep_columns(docs).alias("_row"))
+    return (row.join(first.select(F.col("first.digest").alias("_digest")), "_digest", "left_semi")
+            .dropDuplicates(["_digest"]).select("_row.*"))
