@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import embedding_join, language_id, license_scan, mixing, packing, quality, secret_scan, simhash, url_filter
+from spotweave.llm import embedding_join, language_id, license_scan, mixing, packing, quality, secret_scan, simhash, url_filter, version_sketch
 from spotweave.llm.common import held_out
 from spotweave.session import stage
 
@@ -112,6 +112,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("fp")
 
 
+@_register
+def op8_version_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch fingerprints of every document and of its edited version, and how alike they are."""
+    return version_sketch.compare_edits(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @_register
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
