@@ -11,6 +11,8 @@ fourfold on failure; after ``ATTEMPTS`` the digests themselves are compared.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,11 +79,13 @@ def estimated_difference(a: Column, b: Column) -> Column:
 def _peel(items: DataFrame, keys: list[str], attempt: int) -> DataFrame:
     """keys, ``apart`` (differing digests recovered), ``left`` (cells that still hold something); no row where nothing differs.
 
-    ``items`` has the keys, ``per_row`` (cells in a row), ``digest`` and ``side`` (1 or -1). Everything is grouped by the keys first,
-    so rows that are dealt out by one of the keys already are not shuffled again.
+    ``items`` has the keys, ``per_row`` (cells in a row), ``digest`` and ``side`` (1 or -1; a row of side 0 takes no part and comes out
+    with its keys). Everything is grouped by the keys first, so rows that are dealt out by one of the keys already are
+    not shuffled again.
     """
+    placed = F.array(*[_cell(F.col("digest"), r, F.col("per_row"), attempt) for r in range(ROWS)])
     cells = (items.select(*keys, "per_row", "side", "digest", _check(F.col("digest")).alias("chk"),
-                          F.explode(F.array(*[_cell(F.col("digest"), r, F.col("per_row"), attempt) for r in range(ROWS)])).alias("cell"))
+                          F.explode(F.when(F.col("side") == 0, F.array(F.lit(-2).cast("long"))).otherwise(placed)).alias("cell"))
              .groupBy(*keys, "per_row", "cell").agg(F.sum("side").alias("n"), F.bit_xor("digest").alias("d"), F.bit_xor("chk").alias("chk"),
                                                      F.lit(0).cast("long").alias("got")))
     for step in range(STEPS):
@@ -102,12 +106,18 @@ def _peel(items: DataFrame, keys: list[str], attempt: int) -> DataFrame:
     return cells.groupBy(*keys).agg(F.sum("got").alias("apart"), F.sum(held.cast("long")).alias("left"))
 
 
+def _cells_per_row(a: Column, b: Column, growth: int) -> Column:
+    return F.ceil((estimated_difference(a, b) * 2 + 18) * growth / ROWS).cast("long")
+
+
+def _sided(digests: Column, side: int) -> Column:
+    return F.transform(digests, lambda d: F.struct(d.alias("digest"), F.lit(side).alias("side")))
+
+
 def _items(pairs: DataFrame, keys: list[str], growth: int) -> DataFrame:
     """The digests of both versions with their side, and the cells in a row of the pair's sketch."""
-    cells = (estimated_difference(F.col("a"), F.col("b")) * 2 + 18) * growth
-    sided = lambda c, side: F.transform(c, lambda d: F.struct(d.alias("digest"), F.lit(side).alias("side")))
-    return (pairs.withColumn("per_row", F.ceil(cells / ROWS).cast("long"))
-            .select(*keys, "per_row", F.explode(F.concat(sided("a", 1), sided("b", -1))).alias("x"))
+    return (pairs.withColumn("per_row", _cells_per_row(F.col("a"), F.col("b"), growth))
+            .select(*keys, "per_row", F.explode(F.concat(_sided(F.col("a"), 1), _sided(F.col("b"), -1))).alias("x"))
             .select(*keys, "per_row", "x.digest", "x.side"))
 
 
@@ -188,22 +198,36 @@ def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", rows
     told = (windowed.withColumn("edited", F.concat(F.expr(f"substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)))
             .withColumn("da", paragraph_digests(F.col("text"))).withColumn("de", paragraph_digests(F.col("edited")))
             .withColumn("dn", paragraph_digests(F.col("next_text"))))
+    told = (told.withColumn("pa", placed_digests(F.col("da"))).withColumn("pe", placed_digests(F.col("de")))
+            .withColumn("doc", F.struct(
+                "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                fingerprint(F.col("pa")).alias("fingerprint"), fingerprint(F.col("pe")).alias("edited_fingerprint"), "da", "de", "dn")))
+    # The finished columns travel with the digests as a record of their own, a key that only one row has: everything stays in
+    # the task that the chunk was dealt to, without a join.
+    nothing = F.lit(None).cast(told.schema["doc"].dataType)
+    record = lambda pair, per_row, digest, side, doc: F.struct(F.lit(pair).alias("pair"), per_row.alias("per_row"), digest.alias("digest"),
+                                                               F.lit(side).alias("side"), doc.alias("doc"))
+
+    def item(pair: int, side: int, digest: Column) -> Column:
+        return record(pair, F.col(f"cells{pair}"), digest, side, nothing)
+
+    zero = F.lit(0).cast("long")
+    parts = [F.array(record(-1, zero, zero, 0, F.col("doc")))]
+    for pair, other in enumerate(("de", "dn")):
+        for digests, side in (("da", 1), (other, -1)):
+            parts.append(F.transform(digests, partial(item, pair, side)))
+    items = (told.withColumn("cells0", _cells_per_row(F.col("da"), F.col("de"), 1)).withColumn("cells1", _cells_per_row(F.col("da"), F.col("dn"), 1))
+             .select("chunk", "rid", F.explode(F.concat(*parts)).alias("x")).select("chunk", "rid", "x.*"))
     keys = ["chunk", "rid", "pair"]
-    pairs = told.select("chunk", "rid", F.explode(F.array(
-        F.struct(F.lit(0).alias("pair"), F.col("da").alias("a"), F.col("de").alias("b")),
-        F.struct(F.lit(1).alias("pair"), F.col("da").alias("a"), F.col("dn").alias("b")))).alias("p")).select("chunk", "rid", "p.*")
-    peeled = _peel(_items(pairs, keys, 1), keys, 0)
-    both = peeled.groupBy("chunk", "rid").agg(*[F.max(F.when(F.col("pair") == p, F.col(c))).alias(f"{c}{p}") for p in (0, 1) for c in ("apart", "left")])
-    shown = (told.withColumn("pa", placed_digests(F.col("da"))).withColumn("pe", placed_digests(F.col("de")))
-             .select("chunk", "rid", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                     fingerprint(F.col("pa")).alias("fingerprint"), fingerprint(F.col("pe")).alias("edited_fingerprint"), "da", "de", "dn"))
-    # Both sides are dealt by chunk already. Only pairs whose first sketch failed keep their digests.
+    both = _peel(items, [*keys, "doc"], 0).groupBy("chunk", "rid").agg(
+        F.max("doc").alias("doc"), *[F.max(F.when(F.col("pair") == p, F.col(c))).alias(f"{c}{p}") for p in (0, 1) for c in ("apart", "left")])
+    # Only pairs whose first sketch failed keep their digests.
     failed = [F.coalesce(F.col(f"left{p}"), F.lit(0)) > 0 for p in (0, 1)]
-    first = stage(shown.join(both, ["chunk", "rid"], "left").select(
-        "chunk", "rid", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        *[F.size(c).cast("long").alias(f"n_{c}") for c in ("da", "de", "dn")], *[F.coalesce(f"apart{p}", F.lit(0)).cast("long").alias(f"apart{p}") for p in (0, 1)],
+    first = stage(both.select(
+        "chunk", "rid", *[f"doc.{c}" for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")],
+        *[F.size(f"doc.{c}").cast("long").alias(f"n_{c}") for c in ("da", "de", "dn")], *[F.coalesce(f"apart{p}", F.lit(0)).cast("long").alias(f"apart{p}") for p in (0, 1)],
         *[failed[p].alias(f"failed{p}") for p in (0, 1)],
-        F.when(failed[0] | failed[1], F.struct("da", "de", "dn")).alias("d")), "sketches")
+        F.when(failed[0] | failed[1], F.struct("doc.da", "doc.de", "doc.dn")).alias("d")), "sketches")
     retried = first.filter("failed0 or failed1").select("chunk", "rid", F.explode(F.filter(F.array(
         F.when(F.col("failed0"), F.struct(F.lit(0).alias("pair"), F.col("d.da").alias("a"), F.col("d.de").alias("b"))),
         F.when(F.col("failed1"), F.struct(F.lit(1).alias("pair"), F.col("d.da").alias("a"), F.col("d.dn").alias("b")))), lambda x: x.isNotNull())).alias("p")).select("chunk", "rid", "p.*")
