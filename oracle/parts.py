@@ -16,9 +16,9 @@ PARTS: dict[str, str] = {
     "jobs": f"""SELECT job_id, 720000 * {_s('job_id')} AS duration_ms, 1280 AS width, 720 AS height, 1 AS fps
         FROM (SELECT DISTINCT user_id AS job_id FROM events)""",
     "transcript": f"""SELECT job_id, seg_id, start_ms, start_ms + 1000 + (seg_id * 37) % 7000 AS end_ms,
-        seg_id % 500 AS vec_id, text FROM (SELECT user_id AS job_id, event_id AS seg_id,
+        seg_id % (SELECT count(*) FROM embeddings) AS vec_id, text FROM (SELECT user_id AS job_id, event_id AS seg_id,
         ({_EVENT_MS}) * {_s('user_id')} AS start_ms, event_type AS text FROM events WHERE user_id % 10 <> 9)""",
-    "vectors": "SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings WHERE vec_id < 500",
+    "vectors": "SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings",
     "frames_raw": f"""SELECT l_suppkey AS job_id, (l_partkey % 720) * {_s('l_suppkey')} AS frame_index,
         (l_partkey % 720) * {_s('l_suppkey')} * 1000 AS ts_ms, l_orderkey, l_linenumber, l_partkey, l_extendedprice,
         (l_orderkey % 2) * 640 AS safe_x, 86 + (CAST(l_quantity AS INT) % 5) * 80 AS safe_y,
@@ -30,19 +30,19 @@ PARTS: dict[str, str] = {
     "silence": f"""SELECT job_id, start_ms, start_ms + 500 + o_orderkey % 5000 AS end_ms FROM (
         SELECT o_custkey AS job_id, o_orderkey, ((o_orderkey * 7919) % 720000) * {_s('o_custkey')} AS start_ms
         FROM orders)""",
-    "ads": """SELECT concat('ad_', lpad(CAST(p_partkey AS VARCHAR), 5, '0')) AS ad_id, p_name AS ad_name,
+    "ads": """SELECT concat('ad_', CAST(p_partkey AS VARCHAR)) AS ad_id, p_name AS ad_name,
         CASE WHEN p_partkey % 3 = 0 THEN 'video_clip' ELSE 'banner' END AS ad_type,
         CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 5000 + p_size * 500 ELSE 10000 END AS duration_ms,
         p_type AS ad_category, string_split(p_name, ' ') AS ad_category_path,
         CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 290 WHEN 2 THEN 340 ELSE 500 END AS width, 250 AS height,
-        p_partkey AS tgt_vec, concat('C:\\ads\\', p_name, ' ', CAST(p_partkey AS VARCHAR),
+        p_partkey % (SELECT count(*) FROM embeddings) AS tgt_vec, concat('C:\\ads\\', p_name, ' ', CAST(p_partkey AS VARCHAR),
             CASE WHEN p_partkey % 3 = 0 THEN '.mp4' ELSE '.jpg' END) AS resource_path
-        FROM part WHERE p_partkey < 500""",
+        FROM part""",
     "cats": "SELECT ad_category, min(tgt_vec) AS cat_vec FROM ads GROUP BY ad_category",
     "ce_labels": """SELECT o_custkey AS scene_id, o_orderkey AS ad_id, (o_orderkey * 7919) % 101 AS score_pct,
         (o_orderkey * 104729) % 1009 AS model_score_i FROM orders""",
     "decisions": f"""SELECT o_orderkey AS decision_id, o_custkey AS job_id,
-        concat('ad_', lpad(CAST(o_orderkey % 200 AS VARCHAR), 5, '0')) AS ad_id,
+        concat('ad_', CAST(o_orderkey % (SELECT count(*) FROM part) AS VARCHAR)) AS ad_id,
         ((o_orderkey * 7919) % 720000) * {_s('o_custkey')} AS start_ms, 5000 + (o_orderkey % 11) * 1000 AS duration_ms,
         20 + o_orderkey % 80 AS score,
         CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey * 31) % 1000 END AS similarity_e3,
@@ -55,7 +55,7 @@ PARTS: dict[str, str] = {
         CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 THEN 1 ELSE 0 END AS label FROM labels""",
     "playback": """SELECT event_id, ts, user_id AS viewer_id, event_id % 100 AS job_id,
         (event_id * 7919) % 720000 AS pos_ms FROM events""",
-    "narratives": "SELECT doc_id AS narrative_id, text FROM documents WHERE doc_id < 200",
+    "narratives": "SELECT doc_id AS narrative_id, text FROM documents",
     "detections": f"""SELECT l_suppkey AS job_id, (l_partkey % 720) * {_s('l_suppkey')} AS frame_index,
         ([39, 41, 62, 0, 16, 2])[CAST(l_partkey % 6 AS INT) + 1] AS class_id,
         (['bottle', 'cup', 'tv', 'person', 'dog', 'car'])[CAST(l_partkey % 6 AS INT) + 1] AS class_name,
@@ -67,7 +67,7 @@ PARTS: dict[str, str] = {
         CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'failed' ELSE 'analysing' END AS status,
         concat(CASE o_orderkey % 2 WHEN 0 THEN 'D:\\vod\\' ELSE '/srv/vod/' END,
         CASE o_orderkey % 5 WHEN 0 THEN 'SampleVideo_' ELSE 'show ' END, CAST(o_custkey AS VARCHAR), '.E',
-        lpad(CAST(o_orderkey AS VARCHAR), 6, '0'), '.mp4') AS video_path, o_orderdate AS updated_at FROM orders""",
+        CAST(o_orderkey AS VARCHAR), '.mp4') AS video_path, o_orderdate AS updated_at FROM orders""",
     # --- scenes
     "seg_prev": """SELECT *, lag(end_ms) OVER w AS prev_end, lag(vec_id) OVER w AS prev_vec FROM transcript
         WINDOW w AS (PARTITION BY job_id ORDER BY start_ms, seg_id)""",
@@ -84,7 +84,7 @@ PARTS: dict[str, str] = {
             n_segments, ctx_vec, transcript FROM scene_groups LEFT JOIN jobs USING (job_id)
         UNION ALL SELECT job_id, 1, 0, duration_ms, 0, NULL, '' FROM jobs
             WHERE job_id NOT IN (SELECT job_id FROM transcript)""",
-    "scenes": """SELECT * EXCLUDE rn, CASE WHEN ctx_vec % 4 <> 0 THEN (ctx_vec * 7 + 3) % 500 ELSE -1 END AS desire_vec FROM (
+    "scenes": """SELECT * EXCLUDE rn, CASE WHEN ctx_vec % 4 <> 0 THEN (ctx_vec * 7 + 3) % (SELECT count(*) FROM embeddings) ELSE -1 END AS desire_vec FROM (
         SELECT *, row_number() OVER (PARTITION BY job_id, start_ms ORDER BY scene_no DESC) AS rn FROM scenes_raw) WHERE rn = 1""",
     "scene_objects": """SELECT s.*, coalesce((SELECT string_agg(DISTINCT f.objects, ', ' ORDER BY f.objects) FROM frames f
         WHERE f.job_id = s.job_id AND f.ts_ms BETWEEN s.start_ms AND s.end_ms AND f.objects <> ''), '') AS objects FROM scenes s""",
@@ -93,8 +93,8 @@ PARTS: dict[str, str] = {
              WHEN objects <> '' AND lower(objects) <> 'none' THEN 0.13 ELSE 0.10 END::DOUBLE AS threshold,
         coalesce(contains(n.text, 'anon'), false) OR coalesce(contains(w.text, 'anon'), false) AS gate_open,
         CASE WHEN contains(n.text, 'reing') THEN 'reing' WHEN contains(n.text, 'attion') THEN 'attion' END AS unsafe_word
-        FROM scene_objects s LEFT JOIN narratives n ON n.narrative_id = ctx_vec % 200
-        LEFT JOIN narratives w ON desire_vec >= 0 AND w.narrative_id = desire_vec % 200""",
+        FROM scene_objects s LEFT JOIN narratives n ON n.narrative_id = ctx_vec % (SELECT count(*) FROM documents)
+        LEFT JOIN narratives w ON desire_vec >= 0 AND w.narrative_id = desire_vec % (SELECT count(*) FROM documents)""",
     "cosines": """SELECT v.vec_id, a.ad_id, a.tgt_vec,
         greatest(0.0, least(1.0, list_dot_product(v.embedding, t.embedding))) AS sim
         FROM vectors v CROSS JOIN ads a JOIN vectors t ON t.vec_id = a.tgt_vec""",
@@ -111,7 +111,9 @@ PARTS: dict[str, str] = {
         FROM prefiltered) WHERE rank <= 30""",
     "reranked": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, start_ms
             ORDER BY pair_score DESC, sim DESC, ad_id) AS rerank FROM (
-            SELECT *, ((ctx_vec * 31 + tgt_vec * 17) % 1009) / 1009.0::DOUBLE AS pair_score FROM topk)) WHERE rerank <= 3""",
+            SELECT t.*, coalesce(p.pair_score, t.sim) AS pair_score FROM topk t LEFT JOIN pair_scores p USING (ctx_vec, ad_id))) WHERE rerank <= 3""",
+    "pair_scores": """SELECT l_orderkey % (SELECT count(*) FROM embeddings) AS ctx_vec, 'ad_' || l_partkey AS ad_id,
+        max((l_orderkey * 31 + l_linenumber * 17) % 1009) / 1009.0::DOUBLE AS pair_score FROM lineitem GROUP BY ALL""",
     "bonuses": """SELECT v.vec_id AS ctx_vec, c.ad_category, 10 AS bonus FROM vectors v CROSS JOIN cats c
         JOIN vectors t ON t.vec_id = c.cat_vec
         WHERE greatest(0.0, least(1.0, list_dot_product(v.embedding, t.embedding))) >= 0.12""",

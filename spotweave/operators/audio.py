@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.operators.ordered import running_total, span_chunk, with_previous
-from spotweave.operators.skew import join_dim
 
 
 def rms_levels(samples: DataFrame, sample_rate: int, window_ms: int = 25, hop_ms: int = 10) -> DataFrame:
@@ -14,7 +13,7 @@ def rms_levels(samples: DataFrame, sample_rate: int, window_ms: int = 25, hop_ms
     length, hop = sample_rate * window_ms // 1000, sample_rate * hop_ms // 1000
     half = length // 2
     sizes = samples.groupBy("job_id").agg((F.max("i") + 1).alias("_n"))
-    rows = join_dim(samples, sizes, ["job_id"], ["i"])
+    rows = samples.join(sizes, "job_id")
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("i") + half - length + 1) / hop).cast("long"))
     last = F.least(F.floor(F.col("_n") / hop).cast("long"), F.floor((F.col("i") + half) / hop).cast("long"))
     ticks = rows.select("job_id", "x", first.alias("_first"), last.alias("_last")).filter("_first <= _last")
@@ -30,7 +29,7 @@ def silence_intervals(levels: DataFrame, tracks: DataFrame, hop_ms: int = 10, th
     open at the last hop lasts to the end of the track.
     """
     stats = levels.groupBy("job_id").agg(F.max("rms").alias("_loudest"), F.max("tick").alias("_last_tick"))
-    rows = join_dim(levels, stats, ["job_id"], ["tick"])
+    rows = levels.join(stats, "job_id")
     limit = F.greatest(F.col("_loudest"), F.lit(floor)) * (10.0 ** (threshold_db / 20.0))
     silent = rows.filter(F.greatest(F.col("rms"), F.lit(floor)) < limit).select("job_id", "tick", "_last_tick")
     chunk = span_chunk("tick", chunk_ticks)
@@ -39,7 +38,7 @@ def silence_intervals(levels: DataFrame, tracks: DataFrame, hop_ms: int = 10, th
     islands = running_total(marked, ["job_id"], chunk, ["tick"], opens, "island")
     runs = islands.groupBy("job_id", "island").agg(
         F.min("tick").alias("_from"), F.max("tick").alias("_to"), F.max("_last_tick").alias("_last_tick"))
-    runs = join_dim(runs, tracks, ["job_id"], ["island"], "left")
+    runs = runs.join(tracks, "job_id", "left")
     end = F.when(F.col("_to") == F.col("_last_tick"), F.col("track_ms")).otherwise((F.col("_to") + 1) * hop_ms)
     return (runs.select("job_id", (F.col("_from") * hop_ms).alias("start_ms"), end.cast("long").alias("end_ms"))
             .filter(F.col("end_ms") - F.col("start_ms") >= min_ms))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.operators.intervals import points_in
-from spotweave.operators.skew import join_dim
+from spotweave.operators.ordered import running_max_before, running_total, span_chunk
 from spotweave.settings import (MATCHING, RESTRICTED_CONTEXT_WORDS, UNSAFE_KEYWORDS, MatchSettings)
 
 SCENE = ["job_id", "start_ms"]
@@ -59,69 +59,79 @@ def fits_scene(scene_ms: Column, ad_type: Column, ad_ms: Column) -> Column:
     return ~F.coalesce((ad_type == "video_clip") & (scene_ms < ad_ms), F.lit(False))
 
 
+def with_fit(scenes: DataFrame, ads: DataFrame, length: str) -> DataFrame:
+    """Add ``fit_ms``: the longest clip length that the scene length holds, 0 when there is none.
+
+    Only the distinct lengths of scenes and clips are put in order.
+    """
+    clips = (ads.filter((F.col("ad_type") == "video_clip") & (F.col("duration_ms") > 0))
+             .select(F.col("duration_ms").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("duration_ms").cast("long").alias("_clip")))
+    spans = scenes.select(F.col(length).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_clip"))
+    points = clips.distinct().unionByName(spans.distinct()).withColumn("_all", F.lit(0))
+    held = running_max_before(points, ["_all"], span_chunk("_at", 60_000), ["_at", "_kind"], "_clip", "fit_ms")
+    found = held.filter("_kind = 1").select(F.col("_at").alias(length), F.coalesce("fit_ms", F.lit(0).cast("long")).alias("fit_ms"))
+    return scenes.join(found, length)
+
+
 def candidate_volume(scenes: DataFrame, ads: DataFrame) -> DataFrame:
     """Scene x ad pairs per job, by counting: the pairs themselves are never built.
 
-    A clip fits every scene at least as long as itself, so per job the pairs that fit are
-    summed over the few distinct clip lengths, not over ads.
+    A clip fits every scene at least as long as itself, so the clips that fit a scene length are a running
+    number over the distinct clip and scene lengths.
     """
     by_type = ads.agg(F.count("*").alias("n_ads"),
                       F.count(F.when(F.col("ad_type") == "video_clip", 1)).alias("n_clips"))
-    lengths = ads.filter((F.col("ad_type") == "video_clip") & F.col("duration_ms").isNotNull())
-    steps = lengths.groupBy("duration_ms").agg(F.count("*").alias("n")).agg(
-        F.array_sort(F.collect_list(F.struct("duration_ms", "n"))).alias("steps"))
-    too_long = F.aggregate(
-        F.col("steps"),
-        F.lit(0).cast("long"),
-        lambda acc, s: acc + F.when(s["duration_ms"] > F.col("scene_ms"), s["n"]).otherwise(F.lit(0)))
-    per_scene = scenes.select("job_id", (F.col("end_ms") - F.col("start_ms")).alias("scene_ms"))
-    per_length = per_scene.groupBy("job_id", "scene_ms").agg(
-        F.count("*").alias("n_scenes")).withColumn("steps", steps.scalar())
+    per_length = scenes.groupBy("job_id", (F.col("end_ms") - F.col("start_ms")).alias("scene_ms")).agg(F.count("*").alias("n_scenes"))
+    clips = (ads.filter((F.col("ad_type") == "video_clip") & F.col("duration_ms").isNotNull())
+             .groupBy(F.col("duration_ms").cast("long").alias("_at")).agg(F.count("*").alias("_n")).withColumn("_kind", F.lit(0)))
+    spans = per_length.select(F.col("scene_ms").alias("_at"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_kind")).distinct()
+    points = clips.unionByName(spans).withColumn("_all", F.lit(0))
+    held = running_total(points, ["_all"], span_chunk("_at", 60_000), ["_at", "_kind"], F.col("_n"), "n_short")
+    fits = held.filter("_kind = 1").select(F.col("_at").alias("scene_ms"), "n_short")
     n_ads = by_type.select("n_ads").scalar()
     n_clips = by_type.select("n_clips").scalar()
-    return per_length.groupBy("job_id").agg(
+    # A clip of unknown length fits everywhere.
+    n_timed = ads.agg(F.count(F.when((F.col("ad_type") == "video_clip") & F.col("duration_ms").isNotNull(), 1)).alias("n")).select("n").scalar()
+    return per_length.join(fits, "scene_ms").groupBy("job_id").agg(
         F.sum("n_scenes").alias("n_scenes"),
         F.sum(F.col("n_scenes") * n_ads).alias("n_candidates"),
         F.sum(F.col("n_scenes") * n_clips).alias("n_clip_candidates"),
-        F.sum(F.col("n_scenes") * (n_ads - F.coalesce(too_long, F.lit(0)))).alias("n_fitting"))
+        F.sum(F.col("n_scenes") * (n_ads - n_timed + F.col("n_short"))).alias("n_fitting"))
 
 
-def _survives(m: Column, length: Column, threshold: Column, gate_open: Column) -> Column:
-    return (m["sim"] >= threshold) & (m["needs_ms"] <= length) & (gate_open | ~m["gated"])
+CLASS = ["ctx_vec", "desire_vec", "threshold", "gate_open", "fit_ms"]
 
 
-def prefilter(scenes: DataFrame, matches: DataFrame) -> DataFrame:
-    """Scenes joined to their context's match list, reduced to the ads each scene admits.
+def scene_classes(scenes: DataFrame) -> DataFrame:
+    """Distinct combinations of all that decides which ads a scene admits, numbered by a digest of their columns.
 
-    ``scenes``: job_id, start_ms, end_ms, ctx_vec, desire_vec, threshold, gate_open, unsafe_word.
-    Popular contexts are salted; the list stays one array value, already in rank order.
+    ``scenes``: ctx_vec, desire_vec, threshold, gate_open, fit_ms. Scenes without a vector belong to none.
     """
-    known = scenes.filter(F.col("ctx_vec").isNotNull()).select(
-        *SCENE, "end_ms", "ctx_vec", "desire_vec", "threshold", "gate_open", "unsafe_word")
-    blocks = matches.groupBy("ctx_vec", "desire_vec").agg(F.collect_list("matches").alias("blocks"))
-    joined = join_dim(known, blocks, ["ctx_vec", "desire_vec"], SCENE)
-    length = F.col("end_ms") - F.col("start_ms")
-    kept = F.transform(F.col("blocks"), lambda block: F.filter(
-        block, lambda m: _survives(m, length, F.col("threshold"), F.col("gate_open"))))
-    return joined.withColumn("kept", kept).drop("blocks", "gate_open", "desire_vec")
-
-
-def top_similar(filtered: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most similar admitted ads per scene: first k per ad block, then merged."""
-    heads = F.flatten(F.transform("kept", lambda block: F.slice(block, 1, k)))
-    ranked = F.slice(F.array_sort(F.transform(
-        heads, lambda m: F.struct((-m["sim"]).alias("by"), m["ad_id"].alias("ad_id"), m["sim"].alias("sim")))), 1, k)
-    scene_cols = [c for c in filtered.columns if c != "kept"]
-    return (filtered.select(*scene_cols, F.posexplode(ranked).alias("pos", "m"))
-            .select(*scene_cols, (F.col("pos") + 1).alias("rank"), "m.ad_id", "m.sim"))
-
-
-def rerank(candidates: DataFrame, k: int, pair_score: Column) -> DataFrame:
-    """Keep ``k`` per scene by an external score in [0, 1], falling back to the similarity.
-
-    The score only selects; ``sim`` stays what is scored later.
+    return scenes.filter(F.col("ctx_vec").isNotNull()).select(*CLASS).distinct().withColumn("class_id", F.xxhash64(*CLASS))
+
+
+def class_totals(found: DataFrame) -> DataFrame:
+    """Number, sum and best of the admitted similarities of each class, over all ad blocks."""
+    return found.groupBy("class_id").agg(F.sum("n_kept").alias("n_kept"), F.sum("sim_sum").alias("sim_sum"), F.max("best_sim").alias("best_sim"))
+
+
+def class_top(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most similar ads of each class: (class_id, rank, ad_id, sim), merged from at most k of each ad block."""
+    rows = (found.select("class_id", F.explode(F.arrays_zip("ids", "sims")).alias("m"))
+            .select("class_id", F.col("m.ids").alias("ad_id"), F.col("m.sims").alias("sim")))
+    order = Window.partitionBy("class_id").orderBy(F.desc("sim"), "ad_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def class_rerank(top: DataFrame, k: int, pair_scores: DataFrame) -> DataFrame:
+    """Keep ``k`` ads per class by an external score in [0, 1], falling back to the similarity.
+
+    ``top``: class_id, ctx_vec, ad_id, sim; ``pair_scores``: ctx_vec, ad_id, pair_score, one row per pair, pairs may be
+    missing. The score only selects; ``sim`` stays what is scored later.
     """
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), pair_score))
-    order = Window.partitionBy(*SCENE).orderBy(F.desc("pair_score"), F.desc("sim"), "ad_id")
-    return (candidates.withColumn("pair_score", F.coalesce(score, F.col("sim")))
+    scored = top.join(pair_scores.select("ctx_vec", "ad_id", "pair_score"), ["ctx_vec", "ad_id"], "left")
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("pair_score")))
+    order = Window.partitionBy("class_id").orderBy(F.desc("pair_score"), F.desc("sim"), "ad_id")
+    # greatest and least skip NULL, so a missing score is told apart first.
+    return (scored.withColumn("pair_score", F.when(F.col("pair_score").isNotNull(), score).otherwise(F.col("sim")))
             .withColumn("rerank", F.row_number().over(order)).filter(F.col("rerank") <= k))

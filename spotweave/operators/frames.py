@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.operators.ordered import running_total, span_chunk, with_previous
-from spotweave.operators.skew import join_dim
 from spotweave.settings import DETECTED_CLASS_IDS, PERSON_CLASS_ID
 
 _WORD_BITS = 62
@@ -19,7 +18,7 @@ _WORD_BITS = 62
 def sampled_frames(scenes: DataFrame, info: DataFrame, k: int = 5) -> DataFrame:
     """Up to ``k`` evenly spaced frame positions per scene (job_id, start_ms, frame_pos)."""
     known = info.selectExpr("job_id", "fps", "duration_ms * fps DIV 1000 AS total")
-    rows = join_dim(scenes.select("job_id", "start_ms", "end_ms"), known, ["job_id"], ["start_ms"])
+    rows = scenes.select("job_id", "start_ms", "end_ms").join(known, "job_id")
     rows = rows.selectExpr("job_id", "start_ms", "total", "greatest(0L, start_ms * fps DIV 1000) AS lo",
                            "least(total - 1, end_ms * fps DIV 1000) AS hi").filter("total > 0 AND lo <= hi")
     spaced = (f"array_distinct(transform(sequence(0L, least({k}L, hi - lo + 1) - 1), k -> least(total - 1, "
@@ -33,7 +32,7 @@ def stride_samples(frames: DataFrame, base: int = 60, cap: int = 60, fixed: int
     ordered = running_total(frames.select("job_id", "frame_index"), ["job_id"],
                             span_chunk("frame_index", chunk_frames), ["frame_index"], F.lit(1), "_nth")
     counts = frames.groupBy("job_id").agg(F.count("*").alias("_n"))
-    rows = join_dim(ordered, counts, ["job_id"], ["frame_index"]).withColumn("position", F.col("_nth") - 1)
+    rows = ordered.join(counts, "job_id").withColumn("position", F.col("_nth") - 1)
     up = F.when(F.ceil(F.col("_n") / base) <= cap, F.lit(base)).otherwise(F.ceil(F.col("_n") / cap))
     down = F.greatest(F.lit(1), F.floor(F.col("_n") / cap))
     picked = rows.select("job_id", "frame_index", "position",

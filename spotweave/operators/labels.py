@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.operators.ordered import running_total
-from spotweave.operators.skew import join_dim, shuffle_hash, take_smallest
+from spotweave.operators.skew import shuffle_hash, take_smallest
 
 
 def training_features(feedback: DataFrame, decisions: DataFrame, ads: DataFrame) -> DataFrame:
     """One training row per feedback on a decision with a known similarity, oldest first."""
     known = decisions.filter("similarity_e3 IS NOT NULL")
     rows = feedback.join(known, "decision_id")
-    rows = join_dim(rows, ads.select("ad_id", "ad_type", F.col("duration_ms").alias("_ad_ms")), ["ad_id"], ["decision_id"])
+    rows = rows.join(ads.select("ad_id", "ad_type", F.col("duration_ms").alias("_ad_ms")), "ad_id")
     return rows.orderBy("created_at", "decision_id").selectExpr(
         "similarity_e3 / 1000D AS similarity_score", "score AS final_score", "scene_ms / 1000D AS scene_duration_sec",
         "_ad_ms / 1000D AS ad_duration_sec", "density_e4 / 10000D AS avg_density", "ad_type", "label")
@@ -53,7 +53,7 @@ def sampled_pairs(scenes: DataFrame, ads: DataFrame, labels: DataFrame, per_scen
     places = (starts.filter("_span > 0")
               .withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_span") - 1)))
               .select("scene_id", "_step", F.pmod(F.col("_from") + F.col("_step"), F.col("_size")).alias("_place")))
-    fresh = join_dim(places, ring, ["_place"], ["scene_id"]).join(done, ["scene_id", "ad_id"], "left_anti")
+    fresh = places.join(ring, "_place").join(done, ["scene_id", "ad_id"], "left_anti")
     order = Window.partitionBy("scene_id").orderBy("_step")
     return (fresh.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= per_scene)
             .select("scene_id", "ad_id", "pick"))
@@ -74,7 +74,7 @@ def assign_split(labels: DataFrame, ratio: float = 0.2, seed: int = 42) -> DataF
     """Fill missing ``split`` per scene; rows that have one keep it."""
     waiting = labels.filter("split IS NULL").select("scene_id").distinct()
     test = holdout(waiting, ratio, seed).withColumn("_test", F.lit(True))
-    rows = join_dim(labels, test, ["scene_id"], ["ad_id"], "left")
+    rows = labels.join(test, "scene_id", "left")
     return rows.withColumn("split", F.coalesce("split", F.when(F.col("_test"), F.lit("test"))
                                                .otherwise(F.lit("train")))).drop("_test")
 
@@ -105,7 +105,7 @@ def eval_groups(labels: DataFrame) -> DataFrame:
 
     ``labels``: scene_id, ad_id, positive.
     """
-    return join_dim(labels, _both_sides(labels), ["scene_id"], ["ad_id"])
+    return labels.join(_both_sides(labels), "scene_id")
 
 
 def valid_scenes(labels: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def rank_metrics(scored: DataFrame, k: int = 10) -> DataFrame:
     keys = ["model", "scene_id"]
     by_score = F.struct((-F.col("score")).alias("s"), F.col("ad_id").alias("a"))
     firsts = scored.filter("positive").groupBy(*keys).agg(F.min(by_score).alias("_first"))
-    ahead = join_dim(scored, firsts, keys, ["ad_id"]).filter(by_score < F.col("_first"))
+    ahead = scored.join(firsts, keys).filter(by_score < F.col("_first"))
     ahead = ahead.groupBy(*keys).agg(F.count("*").alias("_ahead"))
 
     def top(order: list[Column], *values: Column) -> DataFrame:

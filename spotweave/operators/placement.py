@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from spotweave.operators.intervals import overlapping, points_in
 from spotweave.operators.ordered import running_max_before, span_chunk
-from spotweave.operators.skew import join_dim
 from spotweave.settings import MATCHING, PLACEMENT, MatchSettings, PlacementSettings
 
 REQUEST = ["job_id", "start_ms", "window_ms", "ad_w", "ad_h"]
@@ -116,8 +115,7 @@ def frame_windows(requests: DataFrame, frames: DataFrame, info: DataFrame,
     """What each frame adds to the windows it lies in: density and safe-area overlap per corner."""
     touching = points_in(frames.select("job_id", "ts_ms", "safe_x", "safe_y", "safe_w", "safe_h", "density_e4"),
                          requests, ["job_id"], "ts_ms", "start_ms", "end_ms", bucket_ms=cfg.bucket_ms)
-    touching = join_dim(touching, info.select("job_id", F.col("width").alias("_vw"), F.col("height").alias("_vh")),
-                        ["job_id"], ["start_ms", "ts_ms"], "left")
+    touching = touching.join(info.select("job_id", F.col("width").alias("_vw"), F.col("height").alias("_vh")), "job_id", "left")
     sized = (F.col("_vw") > 0) & (F.col("_vh") > 0)
     wide = F.when(sized, F.col("_vw")).otherwise(F.lit(cfg.default_frame[0]))
     high = F.when(sized, F.col("_vh")).otherwise(F.lit(cfg.default_frame[1]))
@@ -219,8 +217,7 @@ def score_candidates(planned: DataFrame, best: DataFrame, info: DataFrame,
     scored = joined.withColumn(
         "score", (semantic + F.col("category_bonus") + F.col("points")).cast("long")).filter(F.col("score") > 0)
     scene_ms = F.col("end_ms") - F.col("start_ms")
-    scored = join_dim(scored, info.select("job_id", F.col("width").alias("_vw"), F.col("height").alias("_vh")),
-                      ["job_id"], ["start_ms", "ad_id"], "left")
+    scored = scored.join(info.select("job_id", F.col("width").alias("_vw"), F.col("height").alias("_vh")), "job_id", "left")
     sized = (F.col("_vw") > 0) & (F.col("_vh") > 0)
     wide = F.when(sized, F.col("_vw")).otherwise(F.lit(cfg.default_frame[0]))
     high = F.when(sized, F.col("_vh")).otherwise(F.lit(cfg.default_frame[1]))

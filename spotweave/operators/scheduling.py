@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotweave.operators.skew import join_dim, pick_by
+from spotweave.operators.skew import pick_by
 from spotweave.session import stage
 from spotweave.settings import SCHEDULE, ScheduleSettings
 
@@ -172,7 +172,7 @@ def drop_overlaps(overlays: DataFrame, cfg: ScheduleSettings = SCHEDULE) -> Data
 
 def _with_duration(overlays: DataFrame, info: DataFrame) -> DataFrame:
     known = info.select("job_id", F.col("duration_ms").alias("_duration"))
-    return join_dim(overlays, known, ["job_id"], ["item_id"], "left")
+    return overlays.join(known, "job_id", "left")
 
 
 def cold_zones(overlays: DataFrame, info: DataFrame, cfg: ScheduleSettings = SCHEDULE) -> DataFrame:

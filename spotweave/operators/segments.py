@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.operators.ordered import running_total, span_chunk, with_previous
-from spotweave.operators.skew import join_dim, pick_by
+from spotweave.operators.skew import pick_by
 from spotweave.session import stage
 from spotweave.settings import SEGMENTATION, SegmentationSettings
 
@@ -17,28 +17,26 @@ def dot(a: Column | str, b: Column | str) -> Column:
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
-def with_adjacent_cosine(rows: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Add the cosine of each row's ``prev_vec_id`` and ``vec_id`` (NULL without a predecessor)."""
-    first = vectors.select(F.col("vec_id").alias("prev_vec_id"), F.col("embedding").alias("_a"))
-    second = vectors.select("vec_id", F.col("embedding").alias("_b"))
-    joined = join_dim(rows, first, ["prev_vec_id"], ["seg_id"], "left")
-    joined = join_dim(joined, second, ["vec_id"], ["seg_id"], "left")
-    norm = F.sqrt(dot("_a", "_a")) * F.sqrt(dot("_b", "_b"))
-    return joined.withColumn("cosine", F.when(F.col("_a").isNull() | F.col("_b").isNull(), None)
-                             .when(norm > 0, dot("_a", "_b") / norm).otherwise(F.lit(0.0))).drop("_a", "_b")
+def cosine_of(a: Column | str, b: Column | str) -> Column:
+    """Cosine of two vectors: NULL when one is missing, 0 when one has no length."""
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(F.isnull(a) | F.isnull(b), None).when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
 def scene_numbers(segments: DataFrame, vectors: DataFrame,
                   cfg: SegmentationSettings = SEGMENTATION) -> DataFrame:
-    """Segments with ``opens`` (starts a scene) and ``scene_no`` (1-based within the job)."""
+    """Segments with ``opens`` (starts a scene) and ``scene_no`` (1-based within the job).
+
+    Each segment gets its vector once; the neighbour's comes along with the row before.
+    """
     chunk = span_chunk("start_ms", cfg.chunk_ms)
     order = ["start_ms", "seg_id"]
-    rows = with_previous(segments, ["job_id"], chunk, order, ["end_ms", "vec_id"])
+    placed = segments.join(vectors.select("vec_id", F.col("embedding").alias("_vec")), "vec_id", "left")
+    rows = with_previous(placed, ["job_id"], chunk, order, ["end_ms", "_vec"])
     # A gap decides by itself; only the other neighbours are compared.
     near = F.col("start_ms") - F.col("prev_end_ms") <= cfg.gap_ms
-    rows = with_adjacent_cosine(rows.withColumn("prev_vec_id", F.when(near, F.col("prev_vec_id"))), vectors)
-    opens = ~F.coalesce(near & (F.col("cosine") >= cfg.min_similarity), F.lit(False))
-    rows = stage(rows.withColumn("opens", opens).select(*segments.columns, "opens"), "segments")
+    alike = F.when(near, cosine_of(F.col("prev__vec"), F.col("_vec")) >= cfg.min_similarity)
+    rows = stage(rows.withColumn("opens", ~F.coalesce(alike, F.lit(False))).select(*segments.columns, "opens"), "segments")
     return running_total(rows, ["job_id"], chunk, order, F.col("opens").cast("long"), "scene_no")
 
 
@@ -68,7 +66,7 @@ def scene_segments(segments: DataFrame, vectors: DataFrame, info: DataFrame,
         F.count("seg_id").alias("n_segments"),
         F.min_by("vec_id", F.when(own, at)).alias("ctx_vec"))
     known = info.select("job_id", "duration_ms")
-    scenes = join_dim(scenes, known, ["job_id"], ["scene_no"], "left")
+    scenes = scenes.join(known, "job_id", "left")
     built = scenes.select(
         "job_id", "scene_no",
         F.when(F.col("scene_no") == 1, F.lit(0)).otherwise(F.col("start_ms")).cast("long").alias("start_ms"),

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.text import ad_url, basename, format_time
 from spotweave.operators.intervals import points_in
-from spotweave.operators.skew import join_dim
 from spotweave.settings import DISPLAY, DisplaySettings
 
 
 def overlay_rows(decisions: DataFrame, ads: DataFrame) -> DataFrame:
     """Decisions with their ad's type and path, in playing order."""
     known = ads.select("ad_id", "ad_type", "resource_path")
-    return (join_dim(decisions, known, ["ad_id"], ["decision_id"])
+    return (decisions.join(known, "ad_id")
             .orderBy("job_id", "overlay_start_ms", F.desc("score"), "decision_id"))
 
 
@@ -81,7 +80,7 @@ def score_band(score: Column, cfg: DisplaySettings = DISPLAY) -> Column:
 def overlay_timeline(overlays: DataFrame, info: DataFrame, cfg: DisplaySettings = DISPLAY) -> DataFrame:
     """Position and width in percent of the video, time label and score band."""
     known = info.select("job_id", "duration_ms")
-    rows = join_dim(overlays, known, ["job_id"], ["decision_id"], "left")
+    rows = overlays.join(known, "job_id", "left")
     total = F.when(F.col("duration_ms") > 0, F.col("duration_ms") / 1000).otherwise(F.lit(1.0))
     start, length = F.col("overlay_start_ms") / 1000, F.col("overlay_ms") / 1000
     return rows.select(
@@ -150,8 +149,7 @@ def watch_progress(playback: DataFrame, durations: DataFrame, done_pct: float =
     """Latest position per (viewer, job), percent watched and whether it can be resumed."""
     latest = playback.groupBy("viewer_id", "job_id").agg(
         F.max(F.struct("ts", "event_id", "pos_ms")).alias("p"))
-    rows = join_dim(latest.select("viewer_id", "job_id", "p.pos_ms", F.col("p.ts").alias("updated_at")),
-                    durations.select("job_id", "duration_ms"), ["job_id"], ["viewer_id"])
+    rows = latest.select("viewer_id", "job_id", "p.pos_ms", F.col("p.ts").alias("updated_at")).join(durations.select("job_id", "duration_ms"), "job_id")
     percent = F.col("pos_ms") / F.col("duration_ms") * 100
     return rows.filter("duration_ms > 0").select(
         "viewer_id", "job_id", "pos_ms", percent.alias("percent"), "updated_at",

@@ -1,13 +1,14 @@
 """Context-to-ad similarity as a blocked matrix product.
 
-Distinct contexts and ads are hashed into blocks; every (context block, ad block) pair is one
-co-group whose product is a dense numpy call. Only matches above a floor leave the task, as one
-sorted list per context and ad block, so the scene x ad product never exists as rows.
+Contexts and ads are hashed into blocks; every (context block, ad block) pair is one co-group whose product
+is a dense numpy call. Scenes that differ in nothing that admits ads are one class, and only a class's
+first few ads of a block leave the task, so the scene x ad product never exists, neither as rows nor as lists.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,65 +20,89 @@ from spotweave.settings import MATCHING, MatchSettings
 CONTEXT_BLOCK = 8192
 TARGET_BLOCK = 1024
 
-_MATCH_SCHEMA = ("ctx_vec BIGINT, desire_vec BIGINT, tgt_block INT, ids ARRAY<STRING>, "
-                 "sims ARRAY<DOUBLE>, needs ARRAY<BIGINT>, gates ARRAY<BOOLEAN>")
+_CLASS_SCHEMA = ("class_id BIGINT, ids ARRAY<STRING>, sims ARRAY<DOUBLE>, n_kept BIGINT, sim_sum DOUBLE, best_sim DOUBLE")
+_PAIR_SCHEMA = "ctx_vec BIGINT, desire_vec BIGINT, ad_id STRING, sim DOUBLE"
 
 
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _block_product(min_sim: float, context_weight: float, desire_weight: float):
+def _blend(left: pd.DataFrame, targets: np.ndarray, cfg: MatchSettings) -> np.ndarray:
+    """Similarities of contexts to the columns of ``targets``, blended where a desire is known."""
+    sims = np.clip(_stack(left["ctx_emb"]) @ targets, 0.0, 1.0)
+    wanted = left["desire_emb"].notna().to_numpy()
+    if wanted.any():
+        desire = np.clip(_stack(left.loc[wanted, "desire_emb"]) @ targets, 0.0, 1.0)
+        sims[wanted] = cfg.context_weight * sims[wanted] + cfg.desire_weight * desire
+    return sims
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, key: Sequence[str], n_left: int, n_right: int) -> tuple:
+    """Both sides hashed into blocks of bounded size, each block sent to every block of the other side."""
+    a = max(1, math.ceil(n_left / CONTEXT_BLOCK))
+    b = max(1, math.ceil(n_right / TARGET_BLOCK))
+    left = (left.withColumn("ctx_block", F.pmod(F.xxhash64(*key), F.lit(a)).cast("int"))
+            .withColumn("tgt_block", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))))
+    right = (right.withColumn("tgt_block", F.pmod(F.xxhash64("ad_id"), F.lit(b)).cast("int"))
+             .withColumn("ctx_block", F.explode(F.sequence(F.lit(0), F.lit(a - 1)))))
+    return left.groupBy("ctx_block", "tgt_block"), right.groupBy("ctx_block", "tgt_block")
+
+
+def matched_pairs(contexts: DataFrame, targets: DataFrame, min_sim: float, cfg: MatchSettings = MATCHING,
+                  n_contexts: int | None = None, n_targets: int | None = None) -> DataFrame:
+    """Pairs of contexts and ads with at least ``min_sim``: (ctx_vec, desire_vec, ad_id, sim).
+
+    ``contexts``: ctx_vec, desire_vec (-1 when absent), ctx_emb, desire_emb (NULL when absent);
+    ``targets``: ad_id, tgt_emb. The result grows with the pairs above the floor, which the caller chooses; the
+    row numbers size the blocks and are counted if not given.
+    """
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame(columns=["ctx_vec", "desire_vec", "tgt_block", "ids", "sims", "needs", "gates"])
-        right = right.sort_values("ad_id", kind="stable")
-        targets = _stack(right["tgt_emb"]).T
-        sims = np.clip(_stack(left["ctx_emb"]) @ targets, 0.0, 1.0)
-        wanted = left["desire_emb"].notna().to_numpy()
-        if wanted.any():
-            desire = np.clip(_stack(left.loc[wanted, "desire_emb"]) @ targets, 0.0, 1.0)
-            sims[wanted] = context_weight * sims[wanted] + desire_weight * desire
-        ids = right["ad_id"].to_numpy()
-        needs = right["needs_ms"].to_numpy()
-        gates = right["gated"].to_numpy()
-        picks = []
-        for row in sims:
-            hit = np.flatnonzero(row >= min_sim)
-            picks.append(hit[np.argsort(-row[hit], kind="stable")])
-        return pd.DataFrame({
-            "ctx_vec": left["ctx_vec"].to_numpy(), "desire_vec": left["desire_vec"].to_numpy(),
-            "tgt_block": int(right["tgt_block"].iloc[0]),
-            "ids": [ids[p] for p in picks],
-            "sims": [row[p] for row, p in zip(sims, picks)],
-            "needs": [needs[p] for p in picks],
-            "gates": [gates[p] for p in picks]})
-    return product
-
-
-def matched_targets(contexts: DataFrame, targets: DataFrame, min_sim: float, cfg: MatchSettings = MATCHING,
-                    n_contexts: int | None = None, n_targets: int | None = None) -> DataFrame:
-    """Sorted ad matches per distinct context.
+            return pd.DataFrame(columns=["ctx_vec", "desire_vec", "ad_id", "sim"])
+        sims = _blend(left, _stack(right["tgt_emb"]).T, cfg)
+        i, j = np.nonzero(sims >= min_sim)
+        return pd.DataFrame({"ctx_vec": left["ctx_vec"].to_numpy()[i], "desire_vec": left["desire_vec"].to_numpy()[i],
+                             "ad_id": right["ad_id"].to_numpy()[j], "sim": sims[i, j]})
+
+    left, right = _in_blocks(contexts, targets.select("ad_id", "tgt_emb"), ["ctx_vec", "desire_vec"],
+                             contexts.count() if n_contexts is None else n_contexts,
+                             targets.count() if n_targets is None else n_targets)
+    return left.cogroup(right).applyInPandas(product, _PAIR_SCHEMA)
+
+
+def class_matches(classes: DataFrame, targets: DataFrame, k: int, cfg: MatchSettings = MATCHING,
+                  n_classes: int | None = None, n_targets: int | None = None) -> DataFrame:
+    """The first ``k`` ads of every scene class within each ad block, and counts over all it admits.
 
-    ``contexts``: ctx_vec, desire_vec (-1 when absent), ctx_emb, desire_emb (NULL when absent).
-    ``targets``: ad_id, tgt_emb, needs_ms (scene length a clip needs, else 0), gated.
-    Result: ctx_vec, desire_vec, tgt_block, matches ARRAY<STRUCT<ad_id, sim, needs_ms, gated>>
-    ordered by similarity, then ad. The row numbers size the blocks; they are counted if not given.
+    ``classes``: class_id, threshold, gate_open, fit_ms and the context columns; ``targets``: ad_id, tgt_emb, needs_ms
+    (scene length a clip needs, else 0), gated. One row per class and ad block leaves a task: at most k
+    ads by similarity, then id, with the number, sum and maximum of all admitted similarities.
     """
-    n_ctx = max(1, math.ceil((contexts.count() if n_contexts is None else n_contexts) / CONTEXT_BLOCK))
-    n_tgt = max(1, math.ceil((targets.count() if n_targets is None else n_targets) / TARGET_BLOCK))
-    left = (contexts.withColumn("ctx_block", F.pmod(F.xxhash64("ctx_vec", "desire_vec"), F.lit(n_ctx)).cast("int"))
-            .withColumn("tgt_block", F.explode(F.sequence(F.lit(0), F.lit(n_tgt - 1)))))
-    right = (targets.withColumn("tgt_block", F.pmod(F.xxhash64("ad_id"), F.lit(n_tgt)).cast("int"))
-             .withColumn("ctx_block", F.explode(F.sequence(F.lit(0), F.lit(n_ctx - 1)))))
-    keys = ["ctx_block", "tgt_block"]
-    product = _block_product(min_sim, cfg.context_weight, cfg.desire_weight)
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, _MATCH_SCHEMA)
-    zipped = F.transform(
-        F.arrays_zip("ids", "sims", "needs", "gates"),
-        lambda m: F.struct(m["ids"].alias("ad_id"), m["sims"].alias("sim"),
-                           m["needs"].alias("needs_ms"), m["gates"].alias("gated")))
-    return found.select("ctx_vec", "desire_vec", "tgt_block", zipped.alias("matches"))
+    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["class_id", "ids", "sims", "n_kept", "sim_sum", "best_sim"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
+        right = right.sort_values("ad_id", kind="stable")
+        ids, needs, gated = right["ad_id"].to_numpy(), right["needs_ms"].to_numpy(), right["gated"].to_numpy(bool)
+        # Classes of one context share its similarities.
+        left = left.sort_values(["ctx_vec", "desire_vec"], kind="stable").reset_index(drop=True)
+        first = ~left.duplicated(["ctx_vec", "desire_vec"])
+        sims = _blend(left[first].reset_index(drop=True), _stack(right["tgt_emb"]).T, cfg)
+        rows = []
+        for class_id, at, threshold, gate, fit in zip(left["class_id"], np.cumsum(first) - 1, left["threshold"], left["gate_open"], left["fit_ms"]):
+            row = sims[at]
+            hit = np.flatnonzero((row >= threshold) & (needs <= fit) & (~gated | bool(gate)))
+            if len(hit):
+                found = row[hit]
+                head = hit[np.argsort(-found, kind="stable")[:k]]
+                rows.append((class_id, ids[head], row[head], len(hit), found.sum(), found.max()))
+        return pd.DataFrame(rows, columns=names)
+
+    left, right = _in_blocks(classes, targets, ["ctx_vec", "desire_vec"],
+                             classes.count() if n_classes is None else n_classes,
+                             targets.count() if n_targets is None else n_targets)
+    return left.cogroup(right).applyInPandas(product, _CLASS_SCHEMA)
 
 
 def pair_similarity(contexts: DataFrame, targets: DataFrame, min_sim: float,
@@ -87,10 +112,8 @@ def pair_similarity(contexts: DataFrame, targets: DataFrame, min_sim: float,
     left = contexts.select(F.col("vec_id").alias("ctx_vec"), F.lit(-1).cast("long").alias("desire_vec"),
                            F.col("embedding").alias("ctx_emb"),
                            F.lit(None).cast("array<float>").alias("desire_emb"))
-    right = targets.select("ad_id", F.col("embedding").alias("tgt_emb"),
-                           F.lit(0).cast("long").alias("needs_ms"), F.lit(False).alias("gated"))
-    return matched_targets(left, right, min_sim, MATCHING, n_contexts, n_targets).select(
-        "ctx_vec", F.explode("matches").alias("m")).select("ctx_vec", "m.ad_id", "m.sim")
+    right = targets.select("ad_id", F.col("embedding").alias("tgt_emb"))
+    return matched_pairs(left, right, min_sim, MATCHING, n_contexts, n_targets).select("ctx_vec", "ad_id", "sim")
 
 
 def category_bonus(contexts: DataFrame, categories: DataFrame, points: int, cfg: MatchSettings = MATCHING,

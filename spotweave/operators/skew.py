@@ -1,4 +1,8 @@
-"""Building blocks that keep work spread when one key holds a large share of the rows."""
+"""Building blocks that keep work spread when one key holds a large share of the rows.
+
+Lookups (many rows to a table with one row per key) are plain joins: small tables are broadcast by their
+measured size, and adaptive execution splits the partition of a hot key and copies its one matching row.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
-
-
-def join_dim(big: DataFrame, dim: DataFrame, on: Sequence[str], spread: Sequence[str],
-             how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join many rows to a table with one row per key, however the keys are distributed.
-
-    The rows of a hot key are spread over ``salts`` partitions by a hash of the ``spread``
-    columns; the one matching row is copied to each of them.
-    """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
 def pick_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:
     """Keep the first (or last) whole row per key; combines on the map side."""
     rest = [c for c in df.columns if c not in keys]

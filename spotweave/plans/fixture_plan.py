@@ -27,6 +27,4 @@ def fixture_plan(spark: SparkSession, d: str, settings: PlanSettings = SETTINGS)
         info=fx.jobs(spark, d), segments=fx.transcript(spark, d), frames=fx.frames(spark, d),
         silence=fx.silence(spark, d), ads=fx.ads(spark, d), vectors=fx.vectors(spark, d),
         category_vectors=fx.category_vectors(spark, d), narratives=fx.narratives(spark, d),
-        desire_of="CASE WHEN ctx_vec % 4 <> 0 THEN (ctx_vec * 7 + 3) % 500 END",
-        narrative_of="ctx_vec % 200",
-        pair_score="((ctx_vec * 31 + tgt_vec * 17) % 1009) / 1009.0D"), settings)
+        desires=fx.desires(spark, d), narrative_ids=fx.narrative_ids(spark, d), pair_scores=fx.pair_scores(spark, d)), settings)

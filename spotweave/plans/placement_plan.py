@@ -11,8 +11,7 @@ from spotweave.operators import candidates as cand
 from spotweave.operators import placement as place
 from spotweave.operators.scheduling import schedule
 from spotweave.operators.segments import scene_segments, stored_scenes
-from spotweave.operators.similarity import category_bonus, matched_targets
-from spotweave.operators.skew import join_dim
+from spotweave.operators.similarity import category_bonus, class_matches, matched_pairs
 from spotweave.session import stage
 from spotweave.settings import (MATCHING, PLACEMENT, RESTRICTED_CATEGORY, RESTRICTED_CONTEXT_WORDS, SCHEDULE,
                                 SEGMENTATION, UNSAFE_KEYWORDS, MatchSettings, PlacementSettings,
@@ -23,8 +22,8 @@ from spotweave.settings import (MATCHING, PLACEMENT, RESTRICTED_CATEGORY, RESTRI
 class Inputs:
     """Tables of the analysis store.
 
-    ``desire_of``/``narrative_of``/``pair_score`` are column expressions over ctx_vec (and tgt_vec)
-    naming the desire vector, the narrative text and the external re-rank score.
+    ``desires`` (ctx_vec, desire_vec), ``narrative_ids`` (vec_id, narrative_id) and ``pair_scores`` (ctx_vec, ad_id,
+    pair_score) have at most one row per key and may lack keys.
     """
     info: DataFrame
     segments: DataFrame
@@ -34,9 +33,9 @@ class Inputs:
     vectors: DataFrame
     category_vectors: DataFrame
     narratives: DataFrame
-    desire_of: str
-    narrative_of: str
-    pair_score: str
+    desires: DataFrame
+    narrative_ids: DataFrame
+    pair_scores: DataFrame
 
 
 @dataclass(frozen=True)
@@ -70,8 +69,8 @@ class PlacementPlan:
         """Stored scenes with their context and desire vector ids (-1: none)."""
         i = self.inputs
         return self._once("scenes", lambda: stored_scenes(scene_segments(
-            i.segments, i.vectors, i.info, self.settings.segmentation)).withColumn(
-            "desire_vec", F.coalesce(F.expr(i.desire_of), F.lit(-1)).cast("long")))
+            i.segments, i.vectors, i.info, self.settings.segmentation)).join(i.desires, "ctx_vec", "left").withColumn(
+            "desire_vec", F.coalesce("desire_vec", F.lit(-1)).cast("long")))
 
     def text_flags(self) -> DataFrame:
         """Unsafe word and gate per narrative text, evaluated once per distinct text."""
@@ -84,14 +83,19 @@ class PlacementPlan:
         scenes = cand.scene_objects(self.scenes(), self.frames())
         length = F.col("end_ms") - F.col("start_ms")
         scenes = scenes.withColumn("threshold", cand.sim_threshold(length, F.col("objects"), m))
-        flags = self.text_flags()
-        own = scenes.withColumn("narrative_id", F.expr(i.narrative_of))
-        own = join_dim(own, flags, ["narrative_id"], cand.SCENE, "left")
-        wish = flags.select(F.col("narrative_id").alias("wish_id"), F.col("gate_open").alias("wish_open"))
-        wanted = F.when(F.col("desire_vec") >= 0, F.expr(i.narrative_of.replace("ctx_vec", "desire_vec")))
-        own = join_dim(own.withColumn("wish_id", wanted), wish, ["wish_id"], cand.SCENE, "left")
-        return own.withColumn("gate_open", F.coalesce("gate_open", F.lit(False))
-                              | F.coalesce("wish_open", F.lit(False))).drop("narrative_id", "wish_id", "wish_open")
+        # Flags per vector, by way of its narrative.
+        flags = i.narrative_ids.join(self.text_flags(), "narrative_id").drop("narrative_id")
+        own = scenes.join(flags.withColumnRenamed("vec_id", "ctx_vec"), "ctx_vec", "left")
+        wish = flags.select(F.col("vec_id").alias("desire_vec"), F.col("gate_open").alias("wish_open"))
+        own = own.join(wish, "desire_vec", "left").withColumn("gate_open", F.coalesce("gate_open", F.lit(False))
+                                                               | F.coalesce("wish_open", F.lit(False))).drop("wish_open")
+        return cand.with_fit(own.withColumn("scene_ms", length), i.ads, "scene_ms").drop("scene_ms").select(
+            *cand.SCENE, "end_ms", "unsafe_word", *cand.CLASS)
+
+    def placed_scenes(self) -> DataFrame:
+        """Scenes that can take ads, with their class."""
+        return self._once("placed", lambda: self.scene_context().filter(F.col("ctx_vec").isNotNull())
+                          .withColumn("class_id", F.xxhash64(*cand.CLASS)))
 
     def context_ids(self) -> DataFrame:
         """Distinct (context, desire) vector ids of all scenes."""
@@ -106,8 +110,7 @@ class PlacementPlan:
         i, distinct = self.inputs, self.context_ids()
         ctx = i.vectors.select(F.col("vec_id").alias("ctx_vec"), F.col("embedding").alias("ctx_emb"))
         desire = i.vectors.select(F.col("vec_id").alias("desire_vec"), F.col("embedding").alias("desire_emb"))
-        return join_dim(join_dim(distinct, ctx, ["ctx_vec"], ["desire_vec"]),
-                        desire, ["desire_vec"], ["ctx_vec"], "left")
+        return distinct.join(ctx, "ctx_vec").join(desire, "desire_vec", "left")
 
     def targets(self) -> DataFrame:
         i = self.inputs
@@ -118,20 +121,33 @@ class PlacementPlan:
             "ad_id", "tgt_emb", needs.alias("needs_ms"),
             cand.restricted(F.col("ad_category_path"), self.settings.gate_tag).alias("gated"))
 
-    def matches(self) -> DataFrame:
+    def matched_pairs(self) -> DataFrame:
+        """Pairs of distinct contexts and ads above the lowest threshold."""
         m = self.settings.matching
-        return matched_targets(self.contexts(), self.targets(), m.lowest, m, self.n_contexts(), self.inputs.ads.count())
+        return matched_pairs(self.contexts(), self.targets(), m.lowest, m, self.n_contexts())
 
-    def filtered(self) -> DataFrame:
-        return cand.prefilter(self.scene_context(), self.matches())
+    def class_matches(self) -> DataFrame:
+        """First ads and totals of every scene class, per ad block."""
+        def build() -> DataFrame:
+            m, classes = self.settings.matching, cand.scene_classes(self.placed_scenes())
+            return class_matches(classes.join(self.contexts(), ["ctx_vec", "desire_vec"]), self.targets(), m.top_similar, m,
+                                 classes.count())
+        return self._once("matches", build)
+
+    def admitted(self) -> DataFrame:
+        """Scenes with the number, sum and best of their admitted similarities."""
+        return self.placed_scenes().join(cand.class_totals(self.class_matches()), "class_id")
+
+    def class_top(self) -> DataFrame:
+        top = cand.class_top(self.class_matches(), self.settings.matching.top_similar)
+        return top.join(cand.scene_classes(self.placed_scenes()).select("class_id", "ctx_vec"), "class_id")
 
     def top_similar(self) -> DataFrame:
-        return cand.top_similar(self.filtered(), self.settings.matching.top_similar)
+        return self.placed_scenes().join(self.class_top().drop("ctx_vec"), "class_id")
 
     def reranked(self) -> DataFrame:
-        tgt = self.inputs.ads.select("ad_id", "tgt_vec")
-        top = join_dim(self.top_similar(), tgt, ["ad_id"], cand.SCENE)
-        return cand.rerank(top, self.settings.matching.top_reranked, F.expr(self.inputs.pair_score))
+        kept = cand.class_rerank(self.class_top(), self.settings.matching.top_reranked, self.inputs.pair_scores)
+        return self.placed_scenes().join(kept.drop("ctx_vec"), "class_id").drop("class_id", "desire_vec", "gate_open", "fit_ms")
 
     def bonuses(self) -> DataFrame:
         i = self.inputs
@@ -145,8 +161,8 @@ class PlacementPlan:
         def build() -> DataFrame:
             p = self.settings.placement
             ads = self.inputs.ads.select("ad_id", "ad_type", "ad_category", F.col("duration_ms").alias("ad_ms"))
-            rows = join_dim(self.reranked(), ads, ["ad_id"], cand.SCENE)
-            rows = join_dim(rows, self.bonuses(), ["ctx_vec", "ad_category"], cand.SCENE, "left")
+            rows = self.reranked().join(ads, "ad_id")
+            rows = rows.join(self.bonuses(), ["ctx_vec", "ad_category"], "left")
             w, h = place.reference_size(F.col("ad_type"), p)
             return place.with_window_plan(
                 rows.withColumn("category_bonus", F.coalesce("bonus", F.lit(0)))

@@ -123,8 +123,7 @@ def q_quality(spark, d):
 def q_sweep(spark, d):
     plan = fixture_plan(spark, d)
     scenes = plan.scenes().groupBy("ctx_vec", "desire_vec").agg(F.count("*").alias("weight"))
-    pairs = plan.matches().select("ctx_vec", "desire_vec", F.explode("matches").alias("m")).select(
-        "ctx_vec", "desire_vec", "m.sim").join(scenes, ["ctx_vec", "desire_vec"])
+    pairs = plan.matched_pairs().join(scenes, ["ctx_vec", "desire_vec"])
     rows = lb.threshold_sweep(pairs, (0.10, 0.12, 0.15, 0.20), 0.12)
     return rows.select("threshold", "kept", F.round("avg_sim", 6).alias("avg_sim"), F.round("drop_rate", 6).alias("drop_rate"))
 

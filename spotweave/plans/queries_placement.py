@@ -86,9 +86,7 @@ def q_pair_similarity(spark, d):
 @query("blended_similarity")
 def q_blended_similarity(spark, d):
     """Blended similarity of every distinct scene context and ad above the lowest threshold."""
-    matches = fixture_plan(spark, d).matches()
-    return matches.select("ctx_vec", "desire_vec", F.explode("matches").alias("m")).select(
-        "ctx_vec", "desire_vec", "m.ad_id", F.round("m.sim", 6).alias("sim"))
+    return fixture_plan(spark, d).matched_pairs().select("ctx_vec", "desire_vec", "ad_id", _r6("sim"))
 
 
 @query("category_bonus")
@@ -102,13 +100,8 @@ def q_category_bonus(spark, d):
 @query("prefilter")
 def q_prefilter(spark, d):
     """Ads each scene admits: how many, the best and the mean similarity."""
-    filtered = fixture_plan(spark, d).filtered()
-    kept = F.flatten("kept")
-    sims = F.transform("flat", lambda m: m["sim"])
-    return (filtered.withColumn("flat", kept).filter(F.size("flat") > 0)
-            .select("job_id", "start_ms", F.size("flat").cast("long").alias("n_kept"),
-                    F.round(F.array_max(sims), 6).alias("best_sim"),
-                    F.round(F.aggregate(sims, F.lit(0.0), lambda a, x: a + x) / F.size("flat"), 6).alias("mean_sim")))
+    return fixture_plan(spark, d).admitted().select(
+        "job_id", "start_ms", "n_kept", _r6("best_sim"), F.round(F.col("sim_sum") / F.col("n_kept"), 6).alias("mean_sim"))
 
 
 @query("topk_per_scene")

@@ -6,7 +6,7 @@ deployment would read from its own Parquet tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotweave.operators.skew import pick_by
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def size_of(spark: SparkSession, d: str, name: str) -> Column:
+    """Number of rows of a table, as a scalar of the plan."""
+    return table(spark, d, name).agg(F.count("*").alias("n")).select("n").scalar()
+
+
 def _stretch(job: str) -> str:
     return f"CASE {job} % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 6 END"
 
@@ -31,20 +36,21 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcript(spark: SparkSession, d: str) -> DataFrame:
-    return transcript_of(table(spark, d, "events"))
+    vec = (F.col("seg_id") % size_of(spark, d, "embeddings")).alias("vec_id")
+    return transcript_of(table(spark, d, "events")).select("job_id", "seg_id", "start_ms", "end_ms", vec, "text")
 
 
 def transcript_of(events: DataFrame) -> DataFrame:
+    """Transcript segments without their vectors, from the events table or a stream of it."""
     return (events.filter("user_id % 10 <> 9")
             .selectExpr("user_id AS job_id", "event_id AS seg_id",
                         f"({_EVENT_MS}) * {_stretch('user_id')} AS start_ms", "event_type AS text")
             .selectExpr("job_id", "seg_id", "start_ms",
-                        "start_ms + 1000 + (seg_id * 37) % 7000 AS end_ms",
-                        "seg_id % 500 AS vec_id", "text"))
+                        "start_ms + 1000 + (seg_id * 37) % 7000 AS end_ms", "text"))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").filter("vec_id < 500").select("vec_id", "embedding")
+    return table(spark, d, "embeddings").select("vec_id", "embedding")
 
 
 def frames_raw(spark: SparkSession, d: str) -> DataFrame:
@@ -64,9 +70,7 @@ FRAME_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
-    # The table is one small file read by one task: spread it before sorting.
-    rows = frames_raw(spark, d).repartition("job_id", "frame_index")
-    return pick_by(rows, ["job_id", "frame_index"], [F.col(c) for c in FRAME_ORDER]).drop(*FRAME_ORDER)
+    return pick_by(frames_raw(spark, d), ["job_id", "frame_index"], [F.col(c) for c in FRAME_ORDER]).drop(*FRAME_ORDER)
 
 
 def silence(spark: SparkSession, d: str) -> DataFrame:
@@ -77,14 +81,14 @@ def silence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ads(spark: SparkSession, d: str) -> DataFrame:
-    return (table(spark, d, "part").filter("p_partkey < 500").selectExpr(
-        "concat('ad_', lpad(CAST(p_partkey AS STRING), 5, '0')) AS ad_id", "p_name AS ad_name",
+    return (table(spark, d, "part").withColumn("vec", F.col("p_partkey") % size_of(spark, d, "embeddings")).selectExpr(
+        "concat('ad_', CAST(p_partkey AS STRING)) AS ad_id", "p_name AS ad_name",
         "CASE WHEN p_partkey % 3 = 0 THEN 'video_clip' ELSE 'banner' END AS ad_type",
         "CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 5000 + p_size * 500 "
         "ELSE 10000 END AS duration_ms",
         "p_type AS ad_category", "split(p_name, ' ') AS ad_category_path",
         "CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 290 WHEN 2 THEN 340 ELSE 500 END AS width",
-        "250 AS height", "p_partkey AS tgt_vec",
+        "250 AS height", "vec AS tgt_vec",
         "concat('C:\\\\ads\\\\', p_name, ' ', CAST(p_partkey AS STRING), "
         "CASE WHEN p_partkey % 3 = 0 THEN '.mp4' ELSE '.jpg' END) AS resource_path"))
 
@@ -101,9 +105,8 @@ def ce_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").selectExpr(
-        "o_orderkey AS decision_id", "o_custkey AS job_id",
-        "concat('ad_', lpad(CAST(o_orderkey % 200 AS STRING), 5, '0')) AS ad_id",
+    return table(spark, d, "orders").withColumn("ad", F.col("o_orderkey") % size_of(spark, d, "part")).selectExpr(
+        "o_orderkey AS decision_id", "o_custkey AS job_id", "concat('ad_', CAST(ad AS STRING)) AS ad_id",
         f"((o_orderkey * 7919) % 720000) * {_stretch('o_custkey')} AS start_ms",
         "5000 + (o_orderkey % 11) * 1000 AS duration_ms", "20 + o_orderkey % 80 AS score",
         "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey * 31) % 1000 END AS similarity_e3",
@@ -132,8 +135,29 @@ def playback_of(events: DataFrame) -> DataFrame:
 
 def narratives(spark: SparkSession, d: str) -> DataFrame:
     """Context texts by narrative id (whole texts)."""
-    return (table(spark, d, "documents").filter("doc_id < 200")
-            .selectExpr("doc_id AS narrative_id", "text"))
+    return table(spark, d, "documents").selectExpr("doc_id AS narrative_id", "text")
+
+
+def desires(spark: SparkSession, d: str) -> DataFrame:
+    """Desire vector of three quarters of the context vectors."""
+    wish = (F.col("ctx_vec") * 7 + 3) % size_of(spark, d, "embeddings")
+    return (table(spark, d, "embeddings").select(F.col("vec_id").alias("ctx_vec")).filter("ctx_vec % 4 <> 0")
+            .select("ctx_vec", wish.alias("desire_vec")))
+
+
+def narrative_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Narrative text of every context or desire vector."""
+    text = F.col("vec_id") % size_of(spark, d, "documents")
+    return table(spark, d, "embeddings").select("vec_id", text.alias("narrative_id"))
+
+
+def pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Model scores of some (context, ad) pairs; most pairs have none."""
+    vec = F.col("l_orderkey") % size_of(spark, d, "embeddings")
+    return (table(spark, d, "lineitem").select(
+        vec.alias("ctx_vec"), F.concat(F.lit("ad_"), F.col("l_partkey").cast("string")).alias("ad_id"),
+        ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % 1009).alias("points"))
+        .groupBy("ctx_vec", "ad_id").agg((F.max("points") / 1009).alias("pair_score")))
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +181,7 @@ def job_files(spark: SparkSession, d: str) -> DataFrame:
         "CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'failed' ELSE 'analysing' END AS status",
         "concat(CASE o_orderkey % 2 WHEN 0 THEN 'D:\\\\vod\\\\' ELSE '/srv/vod/' END, "
         "CASE o_orderkey % 5 WHEN 0 THEN 'SampleVideo_' ELSE 'show ' END, "
-        "CAST(o_custkey AS STRING), '.E', lpad(CAST(o_orderkey AS STRING), 6, '0'), '.mp4') AS video_path",
+        "CAST(o_custkey AS STRING), '.E', CAST(o_orderkey AS STRING), '.mp4') AS video_path",
         "CAST(o_orderdate AS TIMESTAMP_NTZ) AS updated_at")
 
 
