@@ -13,7 +13,7 @@ _PARTS = {
     "split_rows": """SELECT l.*, CASE WHEN scene_id % 7 = 0 THEN 'train' WHEN rn <= greatest(1, ceil(n * 0.2::DOUBLE)) THEN 'test' ELSE 'train' END AS split
         FROM labelled l LEFT JOIN waiting USING (scene_id)""",
     "train_rows": f"""SELECT scene_id, ad_id, label, score FROM split_rows WHERE split = 'train' AND label = 'positive'
-        UNION ALL SELECT scene_id, ad_id, label, score FROM (SELECT *, row_number() OVER (ORDER BY {_H.format('ad_id')}, ad_id) AS rn FROM split_rows
+        UNION ALL SELECT scene_id, ad_id, label, score FROM (SELECT *, row_number() OVER (ORDER BY {_H.format('(scene_id * 8191 + ad_id)')}, scene_id, ad_id) AS rn FROM split_rows
             WHERE split = 'train' AND label <> 'positive' AND score <= 0.5)
         WHERE rn <= 3 * (SELECT count(*) FROM split_rows WHERE split = 'train' AND label = 'positive')""",
     "scenes_in": "SELECT c_custkey AS scene_id FROM customer WHERE c_mktsegment <> '' AND c_custkey % 4 <> 0",
@@ -50,8 +50,10 @@ ORACLE: dict[str, str] = {
         ANTI JOIN ce_labels USING (scene_id, ad_id)) WHERE pick <= 3"""),
     "scene_split": _sql("SELECT scene_id, ad_id, label, split FROM split_rows"),
     "training_set": _sql("SELECT scene_id, ad_id, label, round(score, 6) AS score FROM train_rows"),
-    "eval_groups": _sql("""SELECT scene_id, ad_id, label = 'positive' AS positive, n_positive, n_negative
-        FROM labelled JOIN both_sides USING (scene_id) WHERE label <> 'ambiguous'"""),
+    "eval_groups": _sql("""SELECT scene_id, ad_id, label = 'positive' AS positive,
+            count(*) FILTER (label = 'positive') OVER w AS n_positive, count(*) FILTER (label = 'negative') OVER w AS n_negative
+        FROM split_rows WHERE split = 'test' AND label <> 'ambiguous' WINDOW w AS (PARTITION BY scene_id)
+        QUALIFY n_positive > 0 AND n_negative > 0"""),
     "eval_holdout": _sql("SELECT scene_id FROM held"),
     "rank_metrics": _sql("""SELECT metric, b AS base, t AS tuned, round(t - b, 4) AS improvement FROM (
         SELECT 'mrr' AS metric, max(mrr) FILTER (model = 'base') AS b, max(mrr) FILTER (model = 'tuned') AS t FROM per_model

@@ -39,8 +39,9 @@ PARTS: dict[str, str] = {
             CASE WHEN p_partkey % 3 = 0 THEN '.mp4' ELSE '.jpg' END) AS resource_path
         FROM part""",
     "cats": "SELECT ad_category, min(tgt_vec) AS cat_vec FROM ads GROUP BY ad_category",
-    "ce_labels": """SELECT o_custkey AS scene_id, o_orderkey AS ad_id, (o_orderkey * 7919) % 101 AS score_pct,
-        (o_orderkey * 104729) % 1009 AS model_score_i FROM orders""",
+    "ce_labels": """SELECT o_custkey AS scene_id, o_orderkey % (SELECT count(*) FROM part) AS ad_id, (o_orderkey * 7919) % 101 AS score_pct,
+        (o_orderkey * 104729) % 1009 AS model_score_i FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % (SELECT count(*) FROM part) ORDER BY o_orderkey) = 1""",
     "decisions": f"""SELECT o_orderkey AS decision_id, o_custkey AS job_id,
         concat('ad_', CAST(o_orderkey % (SELECT count(*) FROM part) AS VARCHAR)) AS ad_id,
         ((o_orderkey * 7919) % 720000) * {_s('o_custkey')} AS start_ms, 5000 + (o_orderkey % 11) * 1000 AS duration_ms,

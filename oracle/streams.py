@@ -17,7 +17,7 @@ ORACLE: dict[str, str] = {
         ON o.job_id = p.job_id AND pos_ms >= overlay_start_ms AND pos_ms < overlay_start_ms + overlay_ms
         QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY score DESC, overlay_start_ms DESC, decision_id DESC) = 1) GROUP BY ad_id"""),
     "stream_gap_scenes": with_parts("""SELECT job_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_segments FROM (
-            SELECT *, sum(CASE WHEN start_ms <= reach + 4000 THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY start_ms, seg_id) AS g FROM (
-            SELECT *, max(end_ms) OVER (PARTITION BY job_id ORDER BY start_ms, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM transcript))
-        GROUP BY job_id, g HAVING max(end_ms) + 4001 <= (SELECT max(start_ms) FROM transcript) - 60000"""),
+            SELECT *, sum(CASE WHEN start_ms - before <= 4000 THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY start_ms, seg_id) AS g FROM (
+            SELECT *, lag(end_ms) OVER (PARTITION BY job_id ORDER BY start_ms, seg_id) AS before FROM transcript))
+        WHERE job_id IN (SELECT job_id FROM transcript WHERE text = 'purchase') GROUP BY job_id, g"""),
 }

@@ -23,11 +23,11 @@ _ANSWERS = """SELECT doc_id, concat('  상황:', source, ' ', lang, chr(10), tex
 
 
 def _clean(x: str) -> str:
-    for pattern, new in ((r"\*{1,3}([^*\n]+)\*{1,3}", r"\1"), (rf"(?m)^{_WS}*#{{1,6}}{_WS}+", ""),
-                         (rf"(?m)^{_WS}*[-•]{_WS}+", ""), (rf"(?m)^{_WS}*\p{{Nd}}+\.{_WS}+", ""),
-                         (r"\n+", " "), (rf"{_WS}{{2,}}", " ")):
-        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
-    return _strip(x)
+    """Line by line: marks off the front, lines put side by side, wide gaps closed."""
+    front = rf"^{_WS}*(#{{1,6}}{_WS}+)?{_WS}*([-•]{_WS}+)?{_WS}*(\p{{Nd}}+\.{_WS}+)?"
+    bare = f"regexp_replace({x}, '\\*+([^*\n]+)\\*+', '\\1', 'g')"
+    lines = f"list_transform(string_split({bare}, chr(10)), lambda l: regexp_replace(l, '{front}', ''))"
+    return _strip(f"regexp_replace(array_to_string({lines}, ' '), '{_WS}{{2,}}', ' ', 'g')")
 
 
 _BASE = "string_split(replace(resource_path, '\\', '/'), '/')[-1]"

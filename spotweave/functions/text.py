@@ -28,16 +28,15 @@ def scene_sections(text: Column, labels: dict[str, str] = SECTION_LABELS) -> lis
 
 
 def clean_narrative(text: Column) -> Column:
-    """One plain line from a description with emphasis marks, headings, bullets or numbering."""
-    rules = ((r"(?U)\*{1,3}([^*\n]+)\*{1,3}", "$1"),
-             (rf"(?dmU)^{_WS}*#{{1,6}}{_WS}+", ""),
-             (rf"(?dmU)^{_WS}*[-•]{_WS}+", ""),
-             (rf"(?dmU)^{_WS}*\d+\.{_WS}+", ""),
-             (r"\n+", " "),
-             (rf"(?U){_WS}{{2,}}", " "))
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
-    return F.coalesce(strip(text), F.lit(""))
+    """One plain line from a description with emphasis marks, headings, bullets or numbering.
+
+    A line may open with a heading mark, then a bullet, then a number; white space that breaks a line or
+    is longer than one character becomes a single space.
+    """
+    opening = "".join(f"(?:{_WS}*{mark}{_WS}+)?" for mark in ("#{1,6}", "[-•]", r"\d+\."))
+    plain = F.regexp_replace(text, r"(?U)\*{1,3}([^*\n]+)\*{1,3}", "$1")
+    unmarked = F.regexp_replace(plain, f"(?dmU)^{opening}", "")
+    return F.coalesce(strip(F.regexp_replace(unmarked, rf"(?U){_WS}{{2,}}|\n", " ")), F.lit(""))
 
 
 def keyword_tags(text: Column, limit: int = 12, max_chars: int = 40, max_words: int = 3) -> Column:

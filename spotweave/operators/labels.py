@@ -82,15 +82,15 @@ def assign_split(labels: DataFrame, ratio: float = 0.2, seed: int = 42) -> DataF
 def training_set(labels: DataFrame, neg_ratio: int = 3, hard: bool = True, seed: int = 42) -> DataFrame:
     """All positives and at most ``neg_ratio`` times as many negatives of the train split.
 
-    ``labels``: scene_id, ad_id, score, label, split. With ``hard`` ambiguous rows up to 0.5
-    count as negatives.
+    ``labels``: scene_id, ad_id, score, label, split, one row per (scene, ad). With ``hard`` ambiguous rows
+    up to 0.5 count as negatives. Rows are drawn, not ads: an ad may be drawn for one scene and not for another.
     """
     train = labels.filter("split = 'train'")
     positive = train.filter("label = 'positive'")
     wanted = "label IN ('negative', 'ambiguous') AND score <= 0.5D" if hard else "label = 'negative'"
-    negative = train.filter(wanted).withColumn("_h", shuffle_hash(F.col("ad_id"), seed))
+    negative = train.filter(wanted).withColumn("_h", shuffle_hash(F.col("scene_id") * 8191 + F.col("ad_id"), seed))
     quota = positive.agg((F.count("*") * neg_ratio).alias("n")).select("n").scalar()
-    return positive.unionByName(take_smallest(negative, quota, "_h", "ad_id").drop("_h"))
+    return positive.unionByName(take_smallest(negative, quota, "_h", "scene_id", "ad_id").drop("_h"))
 
 
 def _both_sides(labels: DataFrame) -> DataFrame:

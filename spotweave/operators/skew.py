@@ -19,7 +19,7 @@ def pick_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: b
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
-def take_smallest(df: DataFrame, size: Column, major: str, minor: str) -> DataFrame:
+def take_smallest(df: DataFrame, size: Column, major: str, *minor: str) -> DataFrame:
     """The ``size`` smallest rows by (major, minor) without sorting everything in one place.
 
     ``major`` is a bounded integer hash. A histogram over it finds the value at which the
@@ -36,7 +36,7 @@ def take_smallest(df: DataFrame, size: Column, major: str, minor: str) -> DataFr
     before = F.coalesce(found["_before"], F.lit(0))
     below = df.filter(F.col(major) < cut)
     at_cut = (df.filter(F.col(major) == cut)
-              .withColumn("_rank", F.row_number().over(Window.partitionBy(major).orderBy(minor)))
+              .withColumn("_rank", F.row_number().over(Window.partitionBy(major).orderBy(*minor)))
               .filter(F.col("_rank") <= size - before).drop("_rank"))
     return below.unionByName(at_cut)
 

@@ -31,11 +31,15 @@ def q_features(spark, d):
 
 def _label_scenes(spark, d):
     """Scenes whose narrative and desire are filled."""
-    return fx.table(spark, d, "customer").filter("c_mktsegment <> '' AND c_custkey % 4 <> 0").selectExpr("c_custkey AS scene_id")
+    rows = fx.table(spark, d, "customer").selectExpr(
+        "c_custkey AS scene_id", "CASE c_custkey % 8 WHEN 0 THEN NULL WHEN 4 THEN '' ELSE c_mktsegment END AS narrative")
+    return rows.filter("narrative <> ''").select("scene_id")
 
 
 def _label_ads(spark, d):
-    return fx.table(spark, d, "part").filter("p_name <> '' AND p_partkey % 5 <> 0").selectExpr("p_partkey AS ad_id")
+    rows = fx.table(spark, d, "part").selectExpr(
+        "p_partkey AS ad_id", "CASE p_partkey % 10 WHEN 0 THEN NULL WHEN 5 THEN '' ELSE p_name END AS narrative")
+    return rows.filter("narrative <> ''").select("ad_id")
 
 
 @query("unlabelled_pairs")
@@ -65,7 +69,9 @@ def _eval_labels(spark, d):
 
 @query("eval_groups")
 def q_eval_groups(spark, d):
-    return lb.eval_groups(_eval_labels(spark, d).select("scene_id", "ad_id", "positive"))
+    """Evaluation groups of the test split."""
+    test = _split_labels(spark, d).filter("split = 'test' AND label IN ('positive', 'negative')")
+    return lb.eval_groups(test.select("scene_id", "ad_id", (F.col("label") == "positive").alias("positive")))
 
 
 @query("eval_holdout")

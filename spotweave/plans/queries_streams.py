@@ -17,14 +17,14 @@ def _events(spark, d):
 
 
 def _segments(spark, d):
-    return fx.transcript_of(_events(spark, d)).withColumn("start_ts", F.timestamp_millis("start_ms"))
+    return fx.transcript_of(_events(spark, d))
 
 
 @query("stream_ingest_dedup")
 def q_ingest(spark, d):
     """Every segment is delivered twice and stored once."""
     twice = _segments(spark, d).union(_segments(spark, d))
-    stored = st.drain(st.ingest(twice, ["job_id", "start_ms", "end_ms", "text"], "start_ts"), "segments")
+    stored = st.drain(st.ingest(twice, ["job_id", "start_ms", "end_ms", "text"]), "segments")
     return stored.select("job_id", "start_ms", "end_ms", "text")
 
 
@@ -52,4 +52,7 @@ def q_impressions(spark, d):
 
 @query("stream_gap_scenes")
 def q_gap_scenes(spark, d):
-    return st.gap_scenes(_segments(spark, d))
+    """Gap scenes of the jobs that a purchase has closed."""
+    rows = _segments(spark, d).withColumn("ended", F.explode(F.when(
+        F.col("text") == "purchase", F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    return st.stream_gap_scenes(rows)

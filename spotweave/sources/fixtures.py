@@ -99,9 +99,12 @@ def category_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ce_labels(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").selectExpr(
-        "o_custkey AS scene_id", "o_orderkey AS ad_id", "(o_orderkey * 7919) % 101 AS score_pct",
-        "(o_orderkey * 104729) % 1009 AS model_score_i")
+    """Scored (scene, ad) pairs; ads repeat over scenes and scenes over ads."""
+    ad = F.col("o_orderkey") % size_of(spark, d, "part")
+    rows = table(spark, d, "orders").withColumn("ad_id", ad).selectExpr(
+        "o_custkey AS scene_id", "ad_id", "(o_orderkey * 7919) % 101 AS score_pct",
+        "(o_orderkey * 104729) % 1009 AS model_score_i", "o_orderkey")
+    return pick_by(rows, ["scene_id", "ad_id"], [F.col("o_orderkey")]).drop("o_orderkey")
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:

@@ -12,15 +12,19 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spotweave.operators.segments import gap_scenes
 from spotweave.operators.serving import active_overlays, watch_progress
 from spotweave.operators.skew import pick_by
 from spotweave.session import fresh_path
-from spotweave.settings import SEGMENTATION
+from spotweave.settings import SEGMENTATION, SegmentationSettings
 
 
-def table_stream(spark: SparkSession, folder: str, file_glob: str, schema: str) -> DataFrame:
-    """Stream over the Parquet files of a folder that match the glob."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+def table_stream(spark: SparkSession, folder: str, file_glob: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream over the Parquet files of a folder that match the glob, all at once or so many per micro-batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
@@ -48,9 +52,13 @@ def drain_log(stream: DataFrame, name: str, per_batch: Callable[[DataFrame], Dat
     return spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log")
 
 
-def ingest(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str = "1 hour") -> DataFrame:
-    """Rows once per natural key, whatever is redelivered within the delay."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+def ingest(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows once per natural key, however late they are delivered again.
+
+    Natural keys do not expire, so their state is kept for good, spread over the tasks by key; on large
+    streams use the RocksDB state store, which keeps it on disk.
+    """
+    return stream.dropDuplicates(list(keys))
 
 
 def latest_feedback(stream: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -100,16 +108,26 @@ def stream_watch_progress(stream: DataFrame, durations: DataFrame) -> DataFrame:
     return watch_progress(drain_log(stream, "progress", per_batch).drop("batch"), durations)
 
 
-def gap_scenes(stream: DataFrame, gap_ms: int = SEGMENTATION.gap_ms, delay: str = "1 minute") -> DataFrame:
-    """Scenes split on speech gaps, as sessions of event time; those the watermark has not passed
-    yet are held back.
+def stream_gap_scenes(stream: DataFrame, cfg: SegmentationSettings = SEGMENTATION) -> DataFrame:
+    """Scenes split on speech gaps, for the jobs whose end has been seen: those of the batch rule.
 
-    ``stream``: job_id, start_ts (timestamp), start_ms, end_ms. A session lasts from a segment's
-    start to its end plus the gap; one more millisecond because a gap of exactly ``gap_ms`` does
-    not split.
+    ``stream``: job_id, seg_id, start_ms, end_ms, ended. A row with ``ended`` says that its job is over and holds no segment.
+    Segments are logged as they come, in any order and with repeats; once a job has ended, a micro-batch with
+    rows of it works out that job's scenes anew from the log, and its latest version counts.
     """
-    held = f"make_interval(0, 0, 0, 0, 0, 0, CAST((end_ms - start_ms + {gap_ms} + 1) / 1000 AS DECIMAL(18, 6)))"
-    session = F.session_window("start_ts", F.expr(held)).alias("session")
-    scenes = stream.withWatermark("start_ts", delay).groupBy(session, "job_id").agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_segments"))
-    return drain(scenes.select("job_id", "start_ms", "end_ms", "n_segments"), "gap-scenes")
+    spark = stream.sparkSession
+    path = fresh_path(spark, "gap-scenes")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select("job_id", "seg_id", "start_ms", "end_ms", "ended").write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+        log = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log").drop("batch")
+        touched = spark.read.parquet(f"{path}/log/batch={batch_id}").select("job_id").distinct()
+        over = log.filter("ended").select("job_id").distinct().join(touched, "job_id", "left_semi")
+        segments = log.filter("NOT ended").join(over, "job_id", "left_semi").dropDuplicates(["job_id", "seg_id"])
+        gap_scenes(segments, cfg).write.mode("overwrite").parquet(f"{path}/scenes/batch={batch_id}")
+
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    scenes = spark.read.option("basePath", f"{path}/scenes").parquet(f"{path}/scenes")
+    newest = scenes.groupBy("job_id").agg(F.max("batch").alias("batch"))
+    return scenes.join(newest, ["job_id", "batch"], "left_semi").select("job_id", "start_ms", "end_ms", "n_segments")
