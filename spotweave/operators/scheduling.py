@@ -1,140 +1,108 @@
-"""Ordered greedy scheduling as folds over time blocks.
+"""Ordered greedy scheduling as folds over islands of overlays.
 
-The greedy rules look at the last kept overlay only, so a job is cut into blocks (an hour, or the
-longest overlay if that is more). Each block is folded for every overlay that could be carried
-into it; a chain of one small row per block settles which one really is, and a second pass folds
-each block once with the known carry. No task ever sees a whole job.
+The greedy rules look at the last kept overlay only. A job is cut wherever an overlay starts beyond the reach of everything
+before it; what follows does not depend on what came before, so the islands between the cuts are
+dealt out on their own. A task reads its islands in order and holds one overlay, however long an island is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.operators.ordered import running_max_before, running_total, span_chunk
 from spotweave.operators.skew import pick_by
 from spotweave.session import stage
 from spotweave.settings import SCHEDULE, ScheduleSettings
 
-_ITEM = "struct<start_ms:bigint,item_id:string,end_ms:bigint,score:bigint,interval_ms:bigint>"
-_STATE = f"struct<kept:array<{_ITEM}>,last:{_ITEM},in_hour:int>"
 
-Step = Callable[[Column, Column], Column]
+class Item(NamedTuple):
+    start_ms: int
+    item_id: str
+    end_ms: int
+    score: int
+    interval_ms: int | None
 
 
-def _state(kept: Column, last: Column, in_hour: Column) -> Column:
-    return F.struct(kept.alias("kept"), last.alias("last"), in_hour.cast("int").alias("in_hour"))
+FOLLOW, REPLACE, SKIP = range(3)
+#: (last kept, kept in its hour, next) -> what becomes of the next, and the new number in the hour.
+Rule = Callable[[Item, int, Item], tuple[int, int]]
 
 
-def _close(acc: Column) -> Column:
-    """Overlays settled once the current last one is followed by another."""
-    return F.when(acc["last"].isNull(), acc["kept"]).otherwise(F.array_append(acc["kept"], acc["last"]))
+def prefer_better(last: Item, in_hour: int, item: Item) -> tuple[int, int]:
+    """Overlapping neighbours: the better one stays."""
+    if item.start_ms >= last.end_ms:
+        return FOLLOW, 0
+    return (REPLACE if item.score > last.score else SKIP), 0
 
 
-def keep_better(acc: Column, item: Column) -> Column:
-    """Follow when clear of the last kept overlay; replace it when overlapping and better."""
-    clear = acc["last"].isNull() | (item["start_ms"] >= acc["last"]["end_ms"])
-    return (F.when(clear, _state(_close(acc), item, F.lit(0)))
-            .when(item["score"] > acc["last"]["score"], _state(acc["kept"], item, F.lit(0)))
-            .otherwise(acc))
+def prefer_earlier(last: Item, in_hour: int, item: Item) -> tuple[int, int]:
+    """Overlapping neighbours: the earlier one stays."""
+    return (FOLLOW if item.start_ms >= last.end_ms else SKIP), 0
 
 
-def keep_earlier(acc: Column, item: Column) -> Column:
-    """Follow when clear of the last kept overlay, else skip."""
-    clear = acc["last"].isNull() | (item["start_ms"] >= acc["last"]["end_ms"])
-    return F.when(clear, _state(_close(acc), item, F.lit(0))).otherwise(acc)
+def keep_apart(cfg: ScheduleSettings = SCHEDULE) -> Rule:
+    """Neighbours closer than the interval: the better one stays, a replacement not counting anew within its hour; and
+    at most ``max_per_hour`` per clock hour of the video."""
+    def rule(last: Item, in_hour: int, item: Item) -> tuple[int, int]:
+        together = item.start_ms // cfg.hour_ms == last.start_ms // cfg.hour_ms
+        if item.start_ms - last.start_ms < item.interval_ms:
+            return (REPLACE, in_hour if together else 1) if item.score > last.score else (SKIP, in_hour)
+        full = together and in_hour >= cfg.max_per_hour
+        return (SKIP, in_hour) if full else (FOLLOW, in_hour + 1 if together else 1)
+    return rule
 
 
-def keep_spaced(cfg: ScheduleSettings = SCHEDULE) -> Step:
-    """Keep the minimum interval (a closer, better overlay replaces the last one, outside the
-    hourly count) and at most ``max_per_hour`` per clock hour of the video."""
-    def hour(item: Column) -> Column:
-        return F.floor(item["start_ms"] / F.lit(cfg.hour_ms))
+def _islands(items: DataFrame, reach: Column, cfg: ScheduleSettings) -> DataFrame:
+    """Number the islands of each job: one begins where an item starts at or after the reach of all before it."""
+    chunk, order = span_chunk("start_ms", cfg.hour_ms), ["start_ms", "item_id"]
+    rows = running_max_before(items.withColumn("_reach", reach), ["job_id"], chunk, order, "_reach", "_before")
+    opens = F.coalesce(F.col("start_ms") >= F.col("_before"), F.lit(True)).cast("long")
+    rows = stage(rows.withColumn("_opens", opens).drop("_reach", "_before"), "islands")
+    return running_total(rows, ["job_id"], chunk, order, F.col("_opens"), "island").drop("_opens")
 
-    def step(acc: Column, item: Column) -> Column:
-        last = acc["last"]
-        same_hour = hour(item) == hour(last)
-        near = F.coalesce(item["start_ms"] - last["start_ms"] < item["interval_ms"], F.lit(False))
-        count = F.when(F.coalesce(same_hour, F.lit(False)), acc["in_hour"]).otherwise(F.lit(0))
-        replaced = F.when(same_hour, acc["in_hour"]).otherwise(F.lit(1))
-        return (F.when(near & (item["score"] > last["score"]), _state(acc["kept"], item, replaced))
-                .when(near | (count >= cfg.max_per_hour), acc)
-                .otherwise(_state(_close(acc), item, count + 1)))
-    return step
 
+def fold_islands(items: DataFrame, rule: Rule, reach: Column, cfg: ScheduleSettings = SCHEDULE) -> DataFrame:
+    """Run a rule over each job's items in (start_ms, item_id) order; returns job_id, start_ms, item_id of the kept ones.
 
-def _fold(items: Column, carry: Column, step: Step) -> Column:
-    start = F.struct(F.array().cast(f"array<{_ITEM}>").alias("kept"), carry.alias("last"),
-                     F.lit(0).alias("in_hour")).cast(_STATE)
-    return F.aggregate(items, start, lambda acc, item: step(acc, item).cast(_STATE))
-
-
-def blocked_fold(items: DataFrame, step: Step, block_ms: Column,
-                 reaches: Callable[[Column, Column], Column]) -> DataFrame:
-    """Run ``step`` over each job's items in (start_ms, item_id) order; returns the kept items.
-
-    ``items``: job_id, start_ms, item_id, end_ms, score, interval_ms.
-    ``reaches(item, boundary)`` tells whether an item can influence anything starting at or after
-    the boundary; it must be false one whole block later.
+    ``items``: job_id, start_ms, item_id, end_ms, score, interval_ms. An item must not influence anything that starts at or
+    after its ``reach``.
     """
-    item = F.struct("start_ms", "item_id", "end_ms", "score", "interval_ms").cast(_ITEM)
-    blocks = (items.withColumn("width", block_ms.cast("long"))
-              .withColumn("block", F.floor(F.col("start_ms") / F.col("width")).cast("long"))
-              .groupBy("job_id", "block")
-              .agg(F.first("width").alias("width"), F.array_sort(F.collect_list(item)).alias("items")))
-    blocks = stage(blocks, "blocks")
-
-    boundary = (F.col("block") + 1) * F.col("width")
-    # Two projections: inside a lambda an alias of the same select would shadow the input column.
-    tails = (blocks.withColumn("options", F.filter("items", lambda i: reaches(i, boundary)))
-             .filter(F.size("options") > 0)
-             .select("job_id", (F.col("block") + 1).alias("block"), "options"))
-
-    def carried_out(carry: Column) -> Column:
-        last = _fold(F.col("items"), carry, step)["last"]
-        return F.when(reaches(last, boundary), last)
-
-    nothing = F.lit(None).cast(_ITEM)
-    trial = (blocks.join(tails, ["job_id", "block"], "left")
-             .withColumn("fresh", carried_out(nothing))
-             .withColumn("outs", F.transform("options", carried_out)))
-    # A block whose outcome does not depend on what comes in cuts the chain behind it.
-    settled = F.col("options").isNull() | F.forall("outs", lambda o: o.eqNullSafe(F.col("fresh")))
-    links = trial.select("job_id", "block", "options", "outs", "fresh", settled.alias("settled"))
-    order = Window.partitionBy("job_id").orderBy("block")
-    links = (links
-             .withColumn("follower", F.lead("block").over(order) == F.col("block") + 1)
-             .withColumn("before", F.lag(F.struct("settled", "fresh")).over(order))
-             .withColumn("known", F.col("options").isNull() | F.col("before.settled"))
-             .withColumn("known_in", F.when(F.col("options").isNotNull() & F.col("before.settled"),
-                                            F.col("before.fresh")))
-             .withColumn("run", F.sum(F.col("known").cast("long")).over(
-                 order.rowsBetween(Window.unboundedPreceding, 0))))
-    pick = f"struct<carry:{_ITEM},chain:array<struct<block:bigint,carry:{_ITEM},follower:boolean>>>"
-
-    def follow(acc: Column, link: Column) -> Column:
-        carry = F.when(link["known"], link["known_in"]).otherwise(acc["carry"])
-        slot = F.array_position(F.coalesce(link["options"], F.array().cast(f"array<{_ITEM}>")), carry)
-        out = F.when(carry.isNull() | (slot == 0), link["fresh"]).otherwise(
-            F.get(link["outs"], (slot - 1).cast("int")))
-        entry = F.struct(link["block"].alias("block"), carry.alias("carry"), link["follower"].alias("follower"))
-        return F.struct(out.alias("carry"), F.array_append(acc["chain"], entry).alias("chain")).cast(pick)
-
-    link = F.struct("block", "known", "known_in", "options", "outs", "fresh", "follower")
-    first = F.struct(nothing.alias("carry"),
-                     F.array().cast(f"array<struct<block:bigint,carry:{_ITEM},follower:boolean>>").alias("chain"))
-    runs = links.groupBy("job_id", "run").agg(F.collect_list(link).alias("links"))
-    by_block = F.array_sort("links", lambda a, b: (a["block"] - b["block"]).cast("int"))
-    carries = (runs.select("job_id", F.explode(F.aggregate(by_block, first.cast(pick), follow)["chain"]).alias("c"))
-               .select("job_id", "c.*"))
-
-    done = _fold(F.col("items"), F.col("carry"), step)
-    handed_on = F.coalesce(F.col("follower") & reaches(F.col("done.last"), boundary), F.lit(False))
-    kept = (blocks.join(carries, ["job_id", "block"]).withColumn("done", done)
-            .select("job_id", F.explode(F.when(handed_on | F.col("done.last").isNull(), F.col("done.kept"))
-                                        .otherwise(F.array_append("done.kept", F.col("done.last")))).alias("i")))
-    return kept.select("job_id", "i.*")
+    dealt = (_islands(items, reach, cfg).select("job_id", "island", *Item._fields)
+             .repartition("job_id", "island").sortWithinPartitions("job_id", "island", "start_ms", "item_id"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last, in_hour, kinds = None, None, 0, None
+
+        def packed(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
+                                              names=["job_id", "start_ms", "item_id"])
+
+        for batch in batches:
+            kinds = [batch.schema.field("job_id").type, pa.int64(), pa.string()]
+            settled = []
+            for job, island, *values in zip(*(column.to_pylist() for column in batch.columns)):
+                item = Item(*values)
+                if (job, island) != current:
+                    fate, count = FOLLOW, 1
+                else:
+                    fate, count = rule(last, in_hour, item)
+                if fate == FOLLOW and last is not None:
+                    settled.append((current[0], last.start_ms, last.item_id))
+                if fate != SKIP:
+                    last, in_hour = item, count
+                current = job, island
+            if settled:
+                yield packed(settled)
+        if last is not None:
+            yield packed([(current[0], last.start_ms, last.item_id)])
+
+    job_type = items.schema["job_id"].dataType.simpleString()
+    return dealt.mapInArrow(work, f"job_id {job_type}, start_ms long, item_id string")
 
 
 def _as_items(overlays: DataFrame, interval: Column | None = None) -> DataFrame:
@@ -149,13 +117,6 @@ def _keep(overlays: DataFrame, kept: DataFrame) -> DataFrame:
     return overlays.join(chosen, ["job_id", "overlay_start_ms", "item_id"], "left_semi")
 
 
-def _overlap_fold(overlays: DataFrame, step: Step, cfg: ScheduleSettings) -> DataFrame:
-    longest = overlays.agg(F.max("overlay_ms")).scalar()
-    width = F.greatest(F.lit(cfg.hour_ms), F.coalesce(longest, F.lit(0)))
-    kept = blocked_fold(_as_items(overlays), step, width, lambda i, edge: i["end_ms"] > edge)
-    return _keep(overlays, kept)
-
-
 def best_per_scene(scored: DataFrame, cfg: ScheduleSettings = SCHEDULE) -> DataFrame:
     """Best ad of each (job, scene), if it reaches the minimum score; ties go to the lower ad id."""
     best = pick_by(scored, ["job_id", "start_ms"], [-F.col("score"), F.col("ad_id")])
@@ -167,7 +128,12 @@ def drop_overlaps(overlays: DataFrame, cfg: ScheduleSettings = SCHEDULE) -> Data
 
     ``overlays``: job_id, item_id (unique per job, breaks ties), overlay_start_ms, overlay_ms, score, ...
     """
-    return _overlap_fold(overlays, keep_better, cfg)
+    return _keep(overlays, fold_islands(_as_items(overlays), prefer_better, F.col("end_ms"), cfg))
+
+
+def drop_earlier(overlays: DataFrame, cfg: ScheduleSettings = SCHEDULE) -> DataFrame:
+    """Skip what starts before the last kept overlay ends."""
+    return _keep(overlays, fold_islands(_as_items(overlays), prefer_earlier, F.col("end_ms"), cfg))
 
 
 def _with_duration(overlays: DataFrame, info: DataFrame) -> DataFrame:
@@ -197,9 +163,14 @@ def min_interval(duration_ms: Column, cfg: ScheduleSettings = SCHEDULE) -> Colum
 def space_out(overlays: DataFrame, info: DataFrame, cfg: ScheduleSettings = SCHEDULE) -> DataFrame:
     """Apply the minimum interval and the hourly cap."""
     rows = _with_duration(overlays, info).withColumn("_interval", min_interval(F.col("_duration"), cfg))
-    kept = blocked_fold(_as_items(rows, F.col("_interval")), keep_spaced(cfg), F.lit(cfg.hour_ms),
-                        lambda i, edge: i["start_ms"] + i["interval_ms"] > edge)
-    return _keep(overlays, kept)
+    return spaced(rows.drop("_duration"), cfg).drop("_interval")
+
+
+def spaced(overlays: DataFrame, cfg: ScheduleSettings = SCHEDULE) -> DataFrame:
+    """Spacing by the ``_interval`` column. The count of an hour carries on to its end, so that is how far an item reaches."""
+    hour_end = (F.floor(F.col("start_ms") / cfg.hour_ms) + 1) * cfg.hour_ms
+    reach = F.greatest(F.col("start_ms") + F.col("interval_ms"), hour_end)
+    return _keep(overlays, fold_islands(_as_items(overlays, F.col("_interval")), keep_apart(cfg), reach, cfg))
 
 
 def unique_ads(overlays: DataFrame) -> DataFrame:
@@ -217,4 +188,4 @@ def schedule(scored: DataFrame, info: DataFrame, cfg: ScheduleSettings = SCHEDUL
 def serve_overlays(rows: DataFrame, cfg: ScheduleSettings = SCHEDULE) -> DataFrame:
     """Serving rule: best score per exact start, then skip what starts before the last one ends."""
     best = pick_by(rows, ["job_id", "overlay_start_ms"], [-F.col("score"), F.col("decision_id")])
-    return _overlap_fold(best.withColumn("item_id", F.col("decision_id").cast("string")), keep_earlier, cfg).drop("item_id")
+    return drop_earlier(best.withColumn("item_id", F.col("decision_id").cast("string")), cfg).drop("item_id")

@@ -1,63 +1,31 @@
-"""Folds against plain loops, with blocks small enough that carries and chains occur."""
+"""Folds against a recursive query, with items dense enough that carries and chains occur."""
 
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from oracle.parts import fold_parts, with_parts
 from spotweave.operators import scheduling as sched
-from spotweave.settings import ScheduleSettings
 
-SMALL = ScheduleSettings(hour_ms=1000, max_per_hour=3)
+MINUTE = 60_000
 
 
-def make_items(seed, jobs=6, per_job=60, span=6000, longest=400):
+def make_items(seed, jobs=6, per_job=60, hours=6, longest=24 * MINUTE):
+    """Overlays on whole seconds over a few hours."""
     rng = random.Random(seed)
-    rows = []
-    for job in range(jobs):
-        starts = sorted(rng.sample(range(span), per_job))
-        for n, start in enumerate(starts):
-            rows.append((job, f"{n:04d}", start, rng.randint(1, longest), rng.randint(1, 9), f"ad{rng.randint(1, 20)}"))
-    return rows
+    return [(job, f"{n:04d}", 1000 * second, rng.randint(1, longest), rng.randint(1, 9), f"ad{rng.randint(1, 20)}")
+            for job in range(jobs) for n, second in enumerate(sorted(rng.sample(range(3600 * hours), per_job)))]
 
 
-def loop_better(rows):
-    kept = []
-    for r in rows:
-        if not kept or r[2] >= kept[-1][2] + kept[-1][3]:
-            kept.append(r)
-        elif r[4] > kept[-1][4]:
-            kept[-1] = r
-    return kept
-
-
-def loop_earlier(rows):
-    kept, last_end = [], -1
-    for r in rows:
-        if r[2] >= last_end:
-            kept.append(r)
-            last_end = r[2] + r[3]
-    return kept
-
-
-def loop_spaced(rows, interval, cap, hour):
-    kept = []
-    for r in rows:
-        if kept and r[2] - kept[-1][2] < interval:
-            if r[4] > kept[-1][4]:
-                kept[-1] = r
-            continue
-        if sum(1 for k in kept if k[2] // hour == r[2] // hour) >= cap:
-            continue
-        kept.append(r)
-    return kept
-
-
-def by_job(rows, loop):
-    out = set()
-    for job in {r[0] for r in rows}:
-        out |= {(job, r[1]) for r in loop(sorted(r for r in rows if r[0] == job))}
-    return out
+def replayed(rows, rule, gap=0):
+    """Kept (job, item) of a rule, item by item in DuckDB."""
+    con = duckdb.connect()
+    con.register("overlays", pd.DataFrame(rows, columns=["job_id", "id", "s", "dur", "score", "ad_id"]))
+    parts = fold_parts("x", f"SELECT job_id, id, s, dur, score, {gap} AS gap FROM overlays", rule)
+    return set(con.sql(with_parts("SELECT job_id, id FROM x_kept", **parts)).fetchall())
 
 
 def frame(spark, rows):
@@ -69,22 +37,33 @@ def ids(df):
     return {(r.job_id, r.item_id) for r in df.select("job_id", "item_id").collect()}
 
 
-@pytest.mark.parametrize("seed,longest", [(1, 400), (2, 2500)])
-def test_overlap_rules_match_loops(spark, seed, longest):
+@pytest.mark.parametrize("seed,longest", [(1, 24 * MINUTE), (2, 150 * MINUTE)])
+def test_overlap_rules_replay(spark, seed, longest):
     rows = make_items(seed, longest=longest)
     df = frame(spark, rows)
-    assert ids(sched.drop_overlaps(df, SMALL)) == by_job(rows, loop_better)
-    earlier = sched._overlap_fold(df, sched.keep_earlier, SMALL)
-    assert ids(earlier) == by_job(rows, loop_earlier)
+    assert ids(sched.drop_overlaps(df)) == replayed(rows, "overlap")
+    kept = ids(sched.drop_earlier(df))
+    assert kept == replayed(rows, "earlier")
+    # By definition: kept overlays are clear of each other, and each dropped one begins inside a kept one before it.
+    span = {(r[0], r[1]): (r[2], r[2] + r[3]) for r in rows}
+    for job, item in span:
+        start, end = span[job, item]
+        inside = [k for k in kept if k[0] == job and k[1] != item and span[k][0] <= start < span[k][1]]
+        assert bool(inside) != ((job, item) in kept)
+
+
+@pytest.mark.parametrize("seed,interval", [(3, 5 * MINUTE), (4, 42 * MINUTE)])
+def test_spacing_replay(spark, seed, interval):
+    rows = make_items(seed)
+    kept = ids(sched.spaced(frame(spark, rows).withColumn("_interval", F.lit(interval))))
+    assert kept == replayed(rows, "spacing", interval)
+    starts = sorted((r[0], r[2]) for r in rows if (r[0], r[1]) in kept)
+    assert all(a[0] != b[0] or b[1] - a[1] >= interval for a, b in zip(starts, starts[1:]))
 
 
-@pytest.mark.parametrize("seed,interval", [(3, 90), (4, 700)])
-def test_spacing_matches_loop(spark, seed, interval):
-    rows = make_items(seed)
-    items = sched._as_items(frame(spark, rows), F.lit(interval))
-    kept = sched.blocked_fold(items, sched.keep_spaced(SMALL), F.lit(SMALL.hour_ms),
-                              lambda i, edge: i["start_ms"] + i["interval_ms"] > edge)
-    assert ids(kept) == by_job(rows, lambda r: loop_spaced(r, interval, SMALL.max_per_hour, SMALL.hour_ms))
+def test_wide_overlay_in_one_job_leaves_the_others_alone(spark):
+    rows = make_items(5) + [(9, "0000", 0, 600 * MINUTE, 5, "ad1"), (9, "0001", 30 * MINUTE, MINUTE, 4, "ad2"), (9, "0002", 601 * MINUTE, MINUTE, 1, "ad3")]
+    assert ids(sched.drop_overlaps(frame(spark, rows))) == replayed(rows, "overlap")
 
 
 def test_interval_and_cold_tiers(spark):

@@ -1,7 +1,8 @@
-"""Order-dependent operators against loops, with chunks far smaller than the groups."""
+"""Order-dependent operators against their definitions, with chunks far smaller than the groups."""
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spotweave.operators import frames as fr
@@ -10,7 +11,7 @@ from spotweave.operators.audio import silence_intervals
 from spotweave.operators.intervals import overlapping, points_in
 from spotweave.operators.ordered import running_max_before, running_total, span_chunk, with_previous
 from spotweave.operators.segments import gap_scenes, scene_numbers, scene_segments, scene_texts
-from spotweave.operators.skew import join_dim, pick_by, take_smallest
+from spotweave.operators.skew import pick_by, take_smallest
 from spotweave.settings import PlacementSettings, SegmentationSettings
 
 
@@ -43,24 +44,19 @@ def test_range_joins_report_each_pair_once(spark):
     assert inside == sorted((x[1], y[1]) for x in a for y in b if y[2] <= x[2] <= y[3])
 
 
-def loop_scenes(segments, vectors, duration, gap, floor):
+def scenes_by_definition(segments, vectors, duration, gap, floor):
+    """Scene spans: a segment opens one where it is far from, or unlike, the segment before it."""
     if not segments:
         return [(0, duration)]
-    groups = [[segments[0]]]
-    for prev, cur in zip(segments, segments[1:]):
-        cos = sum(x * y for x, y in zip(vectors[prev[3]], vectors[cur[3]]))
-        if cur[1] - prev[2] > gap or cos < floor:
-            groups.append([cur])
-        else:
-            groups[-1].append(cur)
-    out = []
-    for i, g in enumerate(groups):
-        end = max(g[-1][2], groups[i + 1][0][1] if i + 1 < len(groups) else duration)
-        out.append((g[0][1] if i else 0, end))
-    return out
-
-
-def test_scene_segments_match_loop(spark):
+    starts, ends = np.array([s[1] for s in segments]), np.array([s[2] for s in segments])
+    body = np.array([vectors[s[3]] for s in segments])
+    opens = np.flatnonzero((starts[1:] - ends[:-1] > gap) | ((body[1:] * body[:-1]).sum(axis=1) < floor)) + 1
+    next_starts = np.append(starts[opens], duration)
+    last = np.append(opens, len(segments)) - 1
+    return list(zip([0, *starts[opens].tolist()], np.maximum(ends[last], next_starts).tolist()))
+
+
+def test_scene_segments_match_definition(spark):
     rng = random.Random(7)
     vectors = {0: [1.0, 0.0], 1: [0.0, 1.0], 2: [0.8, 0.6]}
     segs = {job: [(n, s, s + rng.randint(500, 5000), rng.randint(0, 2)) for n, s in enumerate(sorted(rng.sample(range(90_000), 25)))]
@@ -72,7 +68,7 @@ def test_scene_segments_match_loop(spark):
     cfg = SegmentationSettings(chunk_ms=7_000)
     got = scene_segments(df, vec, info, cfg).orderBy("job_id", "scene_no").collect()
     for job in (1, 2, 3):
-        expected = loop_scenes(segs.get(job, []), vectors, 50_000 if job == 3 else 100_000, 4000, 0.3)
+        expected = scenes_by_definition(segs.get(job, []), vectors, 50_000 if job == 3 else 100_000, 4000, 0.3)
         assert [(r.start_ms, r.end_ms) for r in got if r.job_id == job] == expected
     texts = scene_texts(scene_numbers(df, vec, cfg), cfg).filter("job_id = 1").orderBy("scene_no").collect()
     assert " ".join(t.transcript for t in texts) == " ".join(f"w{n}" for n in range(25))
@@ -84,34 +80,29 @@ def test_gap_is_strict(spark):
     assert [r.n_segments for r in gap_scenes(df).orderBy("scene_no").collect()] == [2, 1]
 
 
-def loop_windows(req, frames, segs, silence, cfg):
-    """Features of every window that has frames, straight from the definition."""
-    start, end, length, w, h = req
-    spoken = [s for s in segs if s[1] > start and s[0] < end]
-    out, t, k = {}, start, 0
-    while t + length <= end + cfg.overrun_ms:
-        te = t + length
-        inside = [f for f in frames if start <= f[0] <= end and t <= f[0] <= te]
-        if inside:
-            over = [s for s in spoken if s[1] > t and s[0] < te]
-            if over:
-                prev, quiet = t, False
-                for s in sorted(over):
-                    quiet |= s[0] - prev >= cfg.quiet_gap_ms
-                    prev = max(prev, s[1])
-                quiet |= te - prev >= cfg.quiet_gap_ms
-            else:
-                quiet = bool(segs) or any(q[0] < te and q[1] > t and q[0] < end and q[1] > start for q in silence)
-            usable = [f for f in inside if f[3] > 0 and f[4] > 0]
-
-            def overlap(cx):
-                cy = 720 - h - 20
-                return sum(max(0, min(cx + w, f[1] + f[3]) - max(cx, f[1])) * max(0, min(cy + h, f[2] + f[4]) - max(cy, f[2]))
-                           for f in usable)
-
-            out[k] = (len(inside), sum(f[5] or 0 for f in inside), len(usable), overlap(20), overlap(1280 - w - 20), int(quiet))
-        t, k = t + cfg.step_ms, k + 1
-    return out
+def window_by_definition(begin, size, scene, frames, speech, silence, ad, cfg):
+    """Features of one window that has frames; times are whole tenths of a second."""
+    here = [f for f in frames if max(scene[0], begin) <= f[0] <= min(scene[1], begin + size)]
+    if not here:
+        return None
+    own = [s for s in speech if s[1] > scene[0] and s[0] < scene[1] and s[1] > begin and s[0] < begin + size]
+    if own:
+        # Quiet: some stretch of the window, long enough, that no speech covers.
+        ticks = np.arange(begin, begin + size, 100)
+        silent = ~np.any([(s[0] <= ticks) & (ticks < s[1]) for s in own], axis=0)
+        runs = "".join("q" if q else " " for q in silent).split()
+        quiet = max(map(len, runs), default=0) * 100 >= cfg.quiet_gap_ms
+    else:
+        quiet = bool(speech) or any(q[0] < end and q[1] > at for q in silence for at, end in [(max(begin, scene[0]), min(begin + size, scene[1]))])
+    usable = np.array([f[1:5] for f in here if f[3] > 0 and f[4] > 0]).reshape(-1, 4)
+
+    def visible(left):
+        top = 720 - ad[1] - 20
+        across = np.minimum(left + ad[0], usable[:, 0] + usable[:, 2]) - np.maximum(left, usable[:, 0])
+        down = np.minimum(top + ad[1], usable[:, 1] + usable[:, 3]) - np.maximum(top, usable[:, 1])
+        return int((across.clip(0) * down.clip(0)).sum())
+
+    return len(here), sum(f[5] or 0 for f in here), len(usable), visible(20), visible(1280 - ad[0] - 20), int(quiet)
 
 
 def test_window_pieces_match_single_windows(spark):
@@ -119,7 +110,7 @@ def test_window_pieces_match_single_windows(spark):
     cfg = PlacementSettings(chunk_windows=4, bucket_ms=5000)
     frames = [(job, ts, rng.choice([0, 640]), 300, rng.choice([0, 500]), 400, rng.choice([None, 800, 6400]))
               for job in (1, 2) for ts in sorted(rng.sample(range(0, 60_000, 500), 60))]
-    segs = [(1, n, s, s + rng.randint(200, 4000)) for n, s in enumerate(sorted(rng.sample(range(60_000), 14)))]
+    segs = [(1, n, s, s + 100 * rng.randint(2, 40)) for n, s in enumerate(sorted(rng.sample(range(0, 60_000, 100), 14)))]
     silence = [(2, s, s + 900) for s in (3_000, 20_500, 41_000)]
     requests = [(job, s, e, length, 300, 250) for job in (1, 2)
                 for s, e, length in ((0, 9_700, 4_000), (9_700, 41_300, 10_000), (41_300, 42_400, 1_100), (42_400, 60_000, 5_500))]
@@ -137,9 +128,11 @@ def test_window_pieces_match_single_windows(spark):
             got[p.job_id, p.start_ms, k] = (p.frames, p.density_sum, p.safe_frames, p.bl_sum, p.br_sum, p.quiet)
     expected = {}
     for job, s, e, length, w, h in requests:
-        windows = loop_windows((s, e, length, w, h), [f[1:] for f in frames if f[0] == job],
-                               [(x[2], x[3]) for x in segs if x[0] == job], [q[1:] for q in silence if q[0] == job], cfg)
-        expected.update({(job, s, k): v for k, v in windows.items()})
+        for k, begin in enumerate(range(s, e + cfg.overrun_ms - length + 1, cfg.step_ms)):
+            value = window_by_definition(begin, length, (s, e), [f[1:] for f in frames if f[0] == job], [(x[2], x[3]) for x in segs if x[0] == job],
+                                         [q[1:] for q in silence if q[0] == job], (w, h), cfg)
+            if value:
+                expected[job, s, k] = value
     assert got == expected
 
 
@@ -184,6 +177,4 @@ def test_skew_helpers(spark):
     for n in (0, 1, 500, 1999, 5000):
         got = {r.id for r in take_smallest(df, F.lit(n), "h", "id").collect()}
         assert got == {i for _, i in sorted((i % 7, i) for i in range(2000))[:n]}
-    dim = df.groupBy("k").agg(F.count("*").alias("n"))
-    assert join_dim(df, dim, ["k"], ["id"]).filter("k = 0 AND n = 1500").count() == 1500
     assert pick_by(df, ["h"], [F.col("id")], last=True).count() == 7
