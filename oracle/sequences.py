@@ -3,10 +3,38 @@
 from __future__ import annotations
 
 from oracle.parts import with_parts
+from spotweave.settings import DETECTED_CLASS_IDS
 
-_STRIDE = 95
+_STRIDE = 6
+_COLS, _TOP, _BOTTOM = 214, 15, 111  # grid columns, first and one past the last free row
+_CLASSES = ", ".join(map(str, DETECTED_CLASS_IDS))
 _CUT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1] * 255.0::DOUBLE - z[2] * 255.0::DOUBLE))) / 64"
 
+_FRAMES = {"every_frame": "SELECT DISTINCT job_id, frame_index FROM detections"}
+_DENSITY = {**_FRAMES, "densities": f"""SELECT job_id, frame_index, coalesce(least(10000, (area * 20000 + 921600) // 1843200), 0)::BIGINT AS density_e4, coalesce(objects, '') AS objects
+    FROM every_frame LEFT JOIN (
+        SELECT job_id, frame_index, sum(greatest(0, least(1280, x2) - greatest(0, x1))::BIGINT * greatest(0, least(720, y2) - greatest(0, y1))) AS area,
+            string_agg(DISTINCT class_name, ', ' ORDER BY class_name) AS objects FROM detections
+        WHERE confidence_pct >= 35 AND class_id IN ({_CLASSES}) GROUP BY ALL) USING (job_id, frame_index)"""}
+# The edges of a largest free rectangle touch obstacles or borders: try all such edges in grid cells.
+_AREA = {**_FRAMES,
+    "obstacles": f"""SELECT job_id, frame_index, ceil(x1 / {_STRIDE})::INT AS c1, ceil(x2 / {_STRIDE})::INT AS c2, ceil(y1 / {_STRIDE})::INT AS r1, ceil(y2 / {_STRIDE})::INT AS r2 FROM (
+            SELECT job_id, frame_index, greatest(0, x1) AS x1, greatest(0, y1) AS y1, least(1280, x2) AS x2, least(720, y2) AS y2 FROM detections WHERE confidence_pct >= 35
+            UNION ALL SELECT job_id, frame_index, greatest(0, x1 - pad), greatest(0, y1 - pad), least(1280, x2 + pad), least(720, y1 + (y2 - y1) // 2 + pad)
+            FROM (SELECT *, greatest(2, greatest(x2 - x1, y2 - y1) * 3 // 100) AS pad FROM detections WHERE class_id = 0 AND confidence_pct >= 35))
+        WHERE c1 < c2 AND r1 < r2""",
+    "lefts": f"SELECT job_id, frame_index, 0 AS c1 FROM every_frame UNION SELECT job_id, frame_index, c2 FROM obstacles WHERE c2 < {_COLS}",
+    "rights": f"SELECT job_id, frame_index, {_COLS} AS c2 FROM every_frame UNION SELECT job_id, frame_index, c1 FROM obstacles WHERE c1 > 0",
+    "tops": f"SELECT job_id, frame_index, {_TOP} AS r1 FROM every_frame UNION SELECT job_id, frame_index, r2 FROM obstacles WHERE r2 > {_TOP} AND r2 < {_BOTTOM}",
+    "bottoms": f"SELECT job_id, frame_index, {_BOTTOM} AS r2 FROM every_frame UNION SELECT job_id, frame_index, r1 FROM obstacles WHERE r1 > {_TOP} AND r1 < {_BOTTOM}",
+    "spans": """SELECT l.job_id, l.frame_index, l.c1, g.c2, t.r1, b.r2 FROM lefts l JOIN rights g ON g.job_id = l.job_id AND g.frame_index = l.frame_index AND l.c1 < g.c2
+        JOIN tops t ON t.job_id = l.job_id AND t.frame_index = l.frame_index JOIN bottoms b ON b.job_id = l.job_id AND b.frame_index = l.frame_index AND t.r1 < b.r2
+        ANTI JOIN obstacles o ON o.job_id = l.job_id AND o.frame_index = l.frame_index AND o.c1 < g.c2 AND o.c2 > l.c1 AND o.r1 < b.r2 AND o.r2 > t.r1""",
+    "areas": f"""SELECT job_id, frame_index, (coalesce(c1, 0) * {_STRIDE})::INT AS safe_x, (coalesce(r1, 0) * {_STRIDE})::INT AS safe_y,
+            least(coalesce(c2 - c1, 1) * {_STRIDE}, 1280 - coalesce(c1, 0) * {_STRIDE})::INT AS safe_w, least(coalesce(r2 - r1, 1) * {_STRIDE}, 720 - coalesce(r1, 0) * {_STRIDE})::INT AS safe_h
+        FROM every_frame LEFT JOIN spans USING (job_id, frame_index)
+        QUALIFY row_number() OVER (PARTITION BY job_id, frame_index ORDER BY (c2 - c1) * (r2 - r1) DESC NULLS LAST, r2, c2, c1 DESC) = 1"""}
+
 ORACLE: dict[str, str] = {
     "frames_in_scene": with_parts("""SELECT s.job_id, frame_index, ts_ms, s.start_ms AS scene_start, s.end_ms AS scene_end
         FROM scenes s JOIN frames f ON f.job_id = s.job_id AND f.ts_ms BETWEEN s.start_ms AND s.end_ms"""),
@@ -37,29 +65,15 @@ ORACLE: dict[str, str] = {
         g AS (SELECT *, tick - row_number() OVER (PARTITION BY job_id ORDER BY tick) AS island FROM q WHERE quiet)
         SELECT job_id, min(tick) * 250 AS start_ms, CASE WHEN max(tick) = any_value(last_tick) THEN any_value(track_ms) ELSE (max(tick) + 1) * 250 END AS end_ms
         FROM g GROUP BY job_id, island HAVING end_ms - start_ms >= 1000""",
-    "frame_density": with_parts("""SELECT job_id, frame_index, least(10000, (area * 20000 + 921600) // 1843200)::BIGINT AS density_e4, objects FROM (
-        SELECT job_id, frame_index, sum(greatest(0, least(1280, x2) - greatest(0, x1))::BIGINT * greatest(0, least(720, y2) - greatest(0, y1))) AS area,
-            string_agg(DISTINCT class_name, ', ' ORDER BY class_name) AS objects FROM detections
-        WHERE confidence_pct >= 35 AND class_id IN (16, 26, 39, 41, 45, 53, 56, 57, 59, 60, 62, 63, 65, 67, 72) GROUP BY ALL)"""),
-    # Free height above every grid cell by brute force, then every column range per bottom row.
-    "safe_area": with_parts(f"""SELECT job_id, frame_index, (c1 * {_STRIDE})::INT AS safe_x, ((r - h + 1) * {_STRIDE})::INT AS safe_y,
-            least((c2 - c1 + 1) * {_STRIDE}, 1280 - c1 * {_STRIDE})::INT AS safe_w, least(h * {_STRIDE}, 720 - (r - h + 1) * {_STRIDE})::INT AS safe_h
-        FROM spans QUALIFY row_number() OVER (PARTITION BY job_id, frame_index ORDER BY h * (c2 - c1 + 1) DESC, r, c2, c1 DESC) = 1""",
-        rects=f"""SELECT job_id, frame_index, greatest(0, x1) AS x1, greatest(0, y1) AS y1, least(1280, x2) AS x2, least(720, y2) AS y2
-            FROM detections WHERE confidence_pct >= 35
-            UNION ALL SELECT job_id, frame_index, greatest(0, x1 - pad), greatest(0, y1 - pad), least(1280, x2 + pad), least(720, y1 + (y2 - y1) // 2 + pad)
-            FROM (SELECT *, greatest(2, greatest(x2 - x1, y2 - y1) * 3 // 100) AS pad FROM detections WHERE class_id = 0 AND confidence_pct >= 35)""",
-        taken=f"""SELECT DISTINCT job_id, frame_index, r, c FROM rects, generate_series(0, 7) a(r), generate_series(0, 13) b(c)
-            WHERE r * {_STRIDE} >= y1 AND r * {_STRIDE} < y2 AND c * {_STRIDE} >= x1 AND c * {_STRIDE} < x2""",
-        grid=f"""SELECT f.job_id, f.frame_index, r, c, NOT (r * {_STRIDE} < 86 OR r * {_STRIDE} >= 662 OR t.r IS NOT NULL) AS free
-            FROM (SELECT DISTINCT job_id, frame_index FROM detections) f CROSS JOIN generate_series(0, 7) a(r) CROSS JOIN generate_series(0, 13) b(c)
-            LEFT JOIN taken t USING (job_id, frame_index, r, c)""",
-        heights="""SELECT job_id, frame_index, r, c, r - max(CASE WHEN NOT free THEN r ELSE -1 END) OVER (
-            PARTITION BY job_id, frame_index, c ORDER BY r) AS h FROM grid""",
-        spans="""SELECT a.job_id, a.frame_index, a.r, a.c AS c1, b.c AS c2, min(m.h) AS h FROM heights a
-            JOIN generate_series(0, 13) b(c) ON b.c >= a.c
-            JOIN heights m ON m.job_id = a.job_id AND m.frame_index = a.frame_index AND m.r = a.r AND m.c BETWEEN a.c AND b.c
-            WHERE a.h > 0 GROUP BY ALL"""),
-    "cut_flags": f"""SELECT b.vec_id // 50 AS job_id, b.vec_id AS frame_index, coalesce({_CUT} > 36.0, false) AS is_cut
+    "frame_density": with_parts("SELECT job_id, frame_index, density_e4, objects FROM densities", **_DENSITY),
+    "safe_area": with_parts("SELECT job_id, frame_index, safe_x, safe_y, safe_w, safe_h FROM areas", **_AREA),
+    "frame_features": with_parts("""SELECT d.job_id, d.frame_index, d.frame_index * 1000 AS ts_ms, density_e4, objects, safe_x, safe_y, safe_w, safe_h, is_cut,
+            n % (CASE WHEN ceil(total / 60) <= 60 THEN 60 ELSE ceil(total / 60) END)::BIGINT = 0 AS in_up,
+            n % greatest(1, total // 60) = 0 AS in_down, n % 5 = 0 AS in_fixed
+        FROM densities d JOIN areas USING (job_id, frame_index) JOIN turns USING (job_id, frame_index)""", **{**_DENSITY, **_AREA},
+        turns="""SELECT job_id, frame_index, n, total, coalesce(list_sum(list_transform(list_zip(signal, before), lambda z: abs(z[1] * 255.0::DOUBLE - z[2] * 255.0::DOUBLE))) / 64 > 30.0, false) AS is_cut
+            FROM (SELECT job_id, frame_index, embedding AS signal, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY job_id) AS total, lag(embedding) OVER w AS before
+                FROM every_frame JOIN embeddings ON vec_id = (frame_index * 13 + job_id) % (SELECT count(*) FROM embeddings) WINDOW w AS (PARTITION BY job_id ORDER BY frame_index))"""),
+    "cut_flags": f"""SELECT b.vec_id // 50 AS job_id, b.vec_id AS frame_index, coalesce({_CUT} > 30.0, false) AS is_cut
         FROM embeddings b LEFT JOIN embeddings a ON a.vec_id = b.vec_id - 1 AND a.vec_id // 50 = b.vec_id // 50""",
 }

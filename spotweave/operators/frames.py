@@ -45,8 +45,11 @@ def kept_detections(boxes: DataFrame, classes: Sequence[int] = DETECTED_CLASS_ID
     return boxes.filter((F.col("confidence_pct") >= min_pct) & F.col("class_id").isin(list(classes)))
 
 
-def frame_density(boxes: DataFrame, width: int, height: int) -> DataFrame:
-    """Share of the frame under boxes (at most 1, four decimals as an integer) and class names."""
+def frame_density(frames: DataFrame, boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """Share of each frame under boxes (at most 1, four decimals as an integer) and class names; 0 and '' without boxes.
+
+    ``frames``: job_id, frame_index, every frame looked at.
+    """
     def inside(low: str, high: str, size: int) -> Column:
         return F.greatest(F.lit(0), F.least(F.lit(size), F.col(high)) - F.greatest(F.lit(0), F.col(low))).cast("long")
 
@@ -54,8 +57,9 @@ def frame_density(boxes: DataFrame, width: int, height: int) -> DataFrame:
     grouped = boxes.groupBy("job_id", "frame_index").agg(
         F.sum(area).alias("_area"), F.array_join(F.array_sort(F.collect_set("class_name")), ", ").alias("objects"))
     rounded = F.floor((F.col("_area") * 20_000 + width * height) / (2 * width * height))
-    return grouped.select("job_id", "frame_index",
-                          F.least(F.lit(10_000).cast("long"), rounded.cast("long")).alias("density_e4"), "objects")
+    every = frames.select("job_id", "frame_index").distinct().join(grouped, ["job_id", "frame_index"], "left")
+    return every.select("job_id", "frame_index", F.coalesce(F.least(F.lit(10_000).cast("long"), rounded.cast("long")), F.lit(0)).alias("density_e4"),
+                        F.coalesce("objects", F.lit("")).alias("objects"))
 
 
 def cut_flags(signals: DataFrame, threshold: float = 30.0, chunk_frames: int = 50_000) -> DataFrame:
@@ -90,37 +94,32 @@ def _occupied(boxes: DataFrame, width: int, height: int) -> DataFrame:
 def _largest_rectangles(free: np.ndarray) -> np.ndarray:
     """Largest all-free rectangle per (frame, row, column) mask: x, y, w, h in cells.
 
-    Ties go to the higher bottom edge, then the smaller right edge, then the narrower one.
+    Ties go to the higher bottom edge, then the smaller right edge, then the narrower one. Row by row every cell knows how
+    far it is free upwards and how wide that height stays free to both sides; one pass over the cells, all
+    frames at once.
     """
     n, rows, cols = free.shape
+    place = np.arange(cols, dtype=np.int32)
+    height = np.zeros((n, cols), np.int32)
+    left, right = np.zeros((n, cols), np.int32), np.full((n, cols), cols, np.int32)
     best = np.tile(np.array([0, 0, 1, 1]), (n, 1))
-    area = np.zeros(n, dtype=np.int64)
-    heights = np.zeros((n, cols), dtype=np.int64)
+    area, each = np.zeros(n, np.int64), np.arange(n)
     for row in range(rows):
-        heights = np.where(free[:, row], heights + 1, 0)
-        # A rectangle ending here can only be maximal if the next row differs.
-        live = np.arange(n) if row == rows - 1 else np.flatnonzero((free[:, row] & ~free[:, row + 1]).any(axis=1))
-        if live.size == 0:
-            continue
-        low = heights[live].copy()
-        top = np.zeros(live.size, dtype=np.int64)
-        right = np.zeros(live.size, dtype=np.int64)
-        wide = np.zeros(live.size, dtype=np.int64)
-        tall = np.zeros(live.size, dtype=np.int64)
-        for w in range(1, cols + 1):
-            if w > 1:
-                low = np.minimum(low[:, :-1], heights[live][:, w - 1:])
-            col = low.argmax(axis=1)
-            tallest = low[np.arange(live.size), col]
-            found = tallest * w
-            edge = col + w
-            better = (found > top) | ((found == top) & (found > 0) & (edge < right))
-            top, right = np.where(better, found, top), np.where(better, edge, right)
-            wide, tall = np.where(better, w, wide), np.where(better, tallest, tall)
-        grown = top > area[live]
-        at = live[grown]
-        area[at] = top[grown]
-        best[at] = np.stack([right - wide, row - tall + 1, wide, tall], axis=1)[grown]
+        open_ = free[:, row]
+        height = np.where(open_, height + 1, 0)
+        # Nearest blocked cell on either side in this row; narrower than before or as before.
+        wall = np.maximum.accumulate(np.where(open_, -1, place), axis=1)
+        left = np.where(open_, np.maximum(left, wall + 1), 0)
+        wall = np.minimum.accumulate(np.where(open_, cols, place)[:, ::-1], axis=1)[:, ::-1]
+        right = np.where(open_, np.minimum(right, wall), cols)
+        found = height.astype(np.int64) * (right - left)
+        order = (found * (cols + 1) + (cols - right)) * (cols + 1) + left
+        pick = order.argmax(axis=1)
+        grown = np.flatnonzero(found[each, pick] > area)
+        at = pick[grown]
+        area[grown] = found[grown, at]
+        low, high, tall = left[grown, at], right[grown, at], height[grown, at]
+        best[grown] = np.stack([low, row - tall + 1, high - low, tall], axis=1)
     return best
 
 
@@ -163,8 +162,8 @@ def safe_area(frames: DataFrame, boxes: DataFrame, width: int, height: int, stri
     @F.pandas_udf("x int, y int, w int, h int")
     def rectangle(column: pd.Series) -> pd.DataFrame:
         parts = []
-        for start in range(0, len(column), 2048):
-            batch = column.iloc[start:start + 2048]
+        for start in range(0, len(column), 256):
+            batch = column.iloc[start:start + 256]
             free = np.ones((len(batch), rows, cols), dtype=bool)
             free[:, :title] = False
             free[:, caption:] = False
@@ -183,3 +182,21 @@ def safe_area(frames: DataFrame, boxes: DataFrame, width: int, height: int, stri
     return cells.select("job_id", "frame_index", x.alias("safe_x"), y.alias("safe_y"),
                         F.least(F.col("c.w") * stride, F.lit(width) - x).alias("safe_w"),
                         F.least(F.col("c.h") * stride, F.lit(height) - y).alias("safe_h"))
+
+
+def frame_features(frames: DataFrame, boxes: DataFrame, signals: DataFrame, info: DataFrame, width: int, height: int,
+                   min_pct: int = 35, stride: int | None = None) -> DataFrame:
+    """One row per frame: time, density, objects, safe area, cut flag and whether the sampling strides pick it.
+
+    ``frames``: job_id, frame_index; ``boxes``: detections of any confidence; ``signals``: job_id, frame_index, signal;
+    ``info``: job_id, fps. Frames without boxes have density 0 and all the free area; without a signal they are no cut.
+    """
+    every = frames.select("job_id", "frame_index").distinct()
+    key = ["job_id", "frame_index"]
+    density = frame_density(every, kept_detections(boxes, min_pct=min_pct), width, height)
+    area = safe_area(every, boxes.filter(F.col("confidence_pct") >= min_pct), width, height, stride)
+    picked = stride_samples(every).select(*key, "in_up", "in_down", "in_fixed")
+    rows = (density.join(area, key).join(cut_flags(signals), key, "left").join(picked, key, "left").join(info.select("job_id", "fps"), "job_id", "left"))
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return rows.select(*key, F.expr("CAST(frame_index * 1000 DIV coalesce(fps, 1) AS BIGINT)").alias("ts_ms"), "density_e4", "objects",
+                       "safe_x", "safe_y", "safe_w", "safe_h", no("is_cut"), no("in_up"), no("in_down"), no("in_fixed"))

@@ -74,17 +74,25 @@ def q_silence(spark, d):
 
 @query("frame_density")
 def q_frame_density(spark, d):
-    return fr.frame_density(fr.kept_detections(fx.detections(spark, d)), 1280, 720)
+    boxes = fx.detections(spark, d)
+    return fr.frame_density(boxes, fr.kept_detections(boxes), 1280, 720)
 
 
 @query("safe_area")
 def q_safe_area(spark, d):
-    boxes = fx.detections(spark, d).filter("confidence_pct >= 35")
-    return fr.safe_area(fx.detections(spark, d), boxes, 1280, 720, stride=95)
+    boxes = fx.detections(spark, d)
+    return fr.safe_area(boxes, boxes.filter("confidence_pct >= 35"), 1280, 720)
 
 
 @query("cut_flags")
 def q_cuts(spark, d):
     signals = fx.table(spark, d, "embeddings").selectExpr(
         "vec_id DIV 50 AS job_id", "vec_id AS frame_index", "transform(embedding, x -> x * 255D) AS signal")
-    return fr.cut_flags(signals, threshold=36.0)
+    return fr.cut_flags(signals)
+
+
+@query("frame_features")
+def q_frame_features(spark, d):
+    """Everything known of every frame, from its detections and its signal."""
+    boxes = fx.detections(spark, d)
+    return fr.frame_features(boxes, boxes, fx.frame_signals(spark, d), fx.jobs(spark, d), 1280, 720)

@@ -177,6 +177,14 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
         "CAST((l_orderkey * 53) % 720 + 30 + CAST(l_quantity AS INT) * 7 AS INT) - 40 AS y2")
 
 
+def frame_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Signal of every frame that has detections: one of the vectors in turn."""
+    frames = detections(spark, d).select("job_id", "frame_index").distinct()
+    vec = (F.col("frame_index") * 13 + F.col("job_id")) % size_of(spark, d, "embeddings")
+    signal = vectors(spark, d).selectExpr("vec_id", "transform(embedding, x -> x * 255D) AS signal")
+    return frames.withColumn("vec_id", vec).join(signal, "vec_id").drop("vec_id")
+
+
 def job_files(spark: SparkSession, d: str) -> DataFrame:
     """Job history: one row per order, status from the order status."""
     return table(spark, d, "orders").selectExpr(
