@@ -11,6 +11,8 @@ _DONE = f"""SELECT *, row_number() OVER (ORDER BY updated_at DESC, job_id) AS p,
 
 _SERVED = fold_parts("sv", "SELECT job_id, decision_id AS id, overlay_start_ms AS s, overlay_ms AS dur, score, 0 AS gap FROM slots", "earlier")
 
+_SLOTS = "SELECT * FROM decided QUALIFY row_number() OVER (PARTITION BY job_id, overlay_start_ms ORDER BY score DESC, decision_id) = 1"
+
 _LAYOUT = """SELECT decision_id, display, round(least(rx, dw - box_w), 3) AS box_x, round(least(ry, dh - box_h), 3) AS box_y,
     round(box_w, 3) AS box_w, round(box_h, 3) AS box_h,
     round(CASE WHEN portrait THEN CASE WHEN rx < dw / 2 THEN 30 ELSE dw - fit_w - 30 END ELSE least(rx, dw - fit_w) END, 3) AS fit_x,
@@ -45,8 +47,16 @@ ORACLE: dict[str, str] = {
         FROM decided d LEFT JOIN jobs USING (job_id))"""),
     "served_overlays": with_parts(
         "SELECT job_id, decision_id, ad_id, overlay_start_ms, overlay_ms, score FROM slots JOIN sv_kept k USING (job_id) WHERE k.id = decision_id",
-        slots="""SELECT * FROM decided QUALIFY row_number() OVER (PARTITION BY job_id, overlay_start_ms ORDER BY score DESC, decision_id) = 1""",
-        **_SERVED),
+        slots=_SLOTS, **_SERVED),
+    "overlay_payload": with_parts(f"""SELECT o.job_id, concat('http://api/media/source/', url_encode({_BASE.format('f.video_path')})) AS video_url,
+            j.duration_ms / 1000 AS duration_sec, decision_id, o.ad_id, a.ad_type,
+            concat('http://api/media/ads/', CASE a.ad_type WHEN 'video_clip' THEN 'videos' ELSE 'images' END, '/', {_BASE.format('a.resource_path')}) AS ad_resource_url,
+            overlay_start_ms / 1000 AS overlay_start_sec, overlay_ms / 1000 AS overlay_sec, d.x, d.y, d.w, d.h, o.score
+        FROM sv_kept k JOIN decided o ON o.job_id = k.job_id AND o.decision_id = k.id JOIN decisions d USING (decision_id) JOIN ads a ON a.ad_id = o.ad_id
+        JOIN job_files f ON f.job_id = o.job_id JOIN jobs j ON j.job_id = o.job_id""", slots=_SLOTS, **_SERVED),
+    "decision_rows": with_parts("SELECT job_id, decision_id, ad_id, overlay_start_ms, overlay_ms, score FROM decided WHERE job_id % 3 <> 0 OR score >= 95"),
+    "job_status": with_parts("""SELECT w.job_id, status, video_path, updated_at, f.job_id IS NOT NULL AS found
+        FROM (SELECT DISTINCT user_id * 3 AS job_id FROM events) w LEFT JOIN job_files f USING (job_id)"""),
     "completed_jobs": with_parts(f"SELECT job_id, filename, updated_at FROM ({_DONE})"),
     "placement_kpis": with_parts("""SELECT 'job' AS level, CAST(job_id AS VARCHAR) AS key, count(*) AS n_overlays, round(sum(score) / count(score), 6) AS mean_score,
         round(sum(similarity_e3) / count(similarity_e3) / 1000, 6) AS mean_similarity FROM decisions GROUP BY job_id

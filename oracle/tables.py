@@ -74,7 +74,8 @@ ORACLE: dict[str, str] = {
     "pending_scenes": """SELECT o_orderkey AS scene_id, o_custkey AS job_id FROM orders
         WHERE o_orderkey NOT IN (SELECT doc_id FROM labels) ORDER BY 1""",
     "pending_ads": with_parts(
-        "SELECT ad_id, ad_name, ad_id >= 'ad_00100' AS in_resume FROM ads WHERE tgt_vec % 3 IN (0, 1) ORDER BY 1"),
+        """SELECT ad_id, ad_name, 'missing' AS run FROM ads WHERE tgt_vec % 3 IN (0, 1)
+        UNION ALL SELECT ad_id, ad_name, 'forced' FROM ads WHERE ad_id >= 'ad_150'"""),
     "scene_sections": f"""SELECT doc_id, {_section('상황:')} AS situation, {_section('감정:')} AS emotion,
         {_section('욕구:')} AS desire FROM ({_ANSWERS})""",
     "clean_narrative": f"""SELECT doc_id, {_clean('t')} AS narrative FROM (SELECT doc_id, concat('## ', source, chr(10),
@@ -101,7 +102,7 @@ ORACLE: dict[str, str] = {
         concat(CASE ad_type WHEN 'video_clip' THEN '/mnt/videos/' ELSE '/mnt/images/' END, {_BASE}) AS mounted FROM ads"""),
     "title_match": f"""WITH f AS (SELECT p_partkey AS file_id, {_TITLE.format("concat(replace(p_name, ' ', '_'), CASE p_partkey % 3 WHEN 0 THEN concat('-', p_brand) ELSE '' END, '.E')")} AS t FROM part),
         i AS (SELECT p_partkey AS list_pos, concat(CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' poster')
-            WHEN 2 THEN upper(p_name) ELSE concat(p_brand, ' ', p_type) END, '.jpg') AS image FROM part WHERE p_partkey >= 7),
+            WHEN 2 THEN upper(p_name) ELSE concat(p_brand, ' ', p_type) END, '.jpg') AS image FROM part),
         k AS (SELECT list_pos, {_TITLE.format('image')} AS s FROM i),
         m AS (SELECT t, min(list_pos) AS list_pos FROM (SELECT DISTINCT t FROM f) JOIN (SELECT s, min(list_pos) AS list_pos FROM k GROUP BY s)
             ON contains(t, s) OR contains(s, t) GROUP BY t)

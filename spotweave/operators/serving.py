@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.functions.text import ad_url, basename, format_time
+from spotweave.functions.text import ad_url, basename, format_time, source_url
 from spotweave.operators.intervals import points_in
 from spotweave.settings import DISPLAY, DisplaySettings
 
@@ -97,8 +97,25 @@ def completed_jobs(jobs: DataFrame, hidden: str = "samplevideo") -> DataFrame:
             .orderBy(F.desc("updated_at"), "job_id"))
 
 
-def job_status(jobs: DataFrame, job_ids: Sequence[int]) -> DataFrame:
-    return jobs.filter(F.col("job_id").isin(list(job_ids)))
+def job_status(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """State of each asked-for job (job_id); ``found`` is false where there is no such job."""
+    known = jobs.select("job_id", "status", "video_path", "updated_at", F.lit(True).alias("found"))
+    return wanted.select("job_id").distinct().join(known, "job_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def overlay_payload(served: DataFrame, decisions: DataFrame, ads: DataFrame, jobs: DataFrame, info: DataFrame, base: str) -> DataFrame:
+    """What a player needs, one row per served overlay: ad type and URL, rectangle, times, and the job's video URL and duration.
+
+    ``served``: decision_id, job_id, ad_id, overlay_start_ms, overlay_ms, score; ``decisions``: decision_id, x, y, w, h; ``jobs``: job_id,
+    video_path; ``info``: job_id, duration_ms. Jobs without a video or a duration are not served.
+    """
+    rows = (served.join(decisions.select("decision_id", "x", "y", "w", "h"), "decision_id")
+            .join(ads.select("ad_id", "ad_type", "resource_path"), "ad_id")
+            .join(jobs.select("job_id", "video_path"), "job_id").join(info.select("job_id", "duration_ms"), "job_id"))
+    seconds = lambda ms: (F.col(ms) / 1000).alias(ms.replace("_ms", "_sec"))
+    return with_urls(rows, base).select(
+        "job_id", source_url(base, F.col("video_path")).alias("video_url"), seconds("duration_ms"), "decision_id", "ad_id", "ad_type",
+        "ad_resource_url", seconds("overlay_start_ms"), seconds("overlay_ms"), "x", "y", "w", "h", "score")
 
 
 def placement_kpis(decisions: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -8,7 +8,9 @@ from spotweave.operators import serving as sv
 from spotweave.operators.scheduling import serve_overlays
 from spotweave.plans.queries_placement import decided_overlays
 from spotweave.plans.registry import query
+from spotweave.session import fresh_path
 from spotweave.sources import fixtures as fx
+from spotweave.sources import sinks
 
 DISPLAYS = (("tv", 1920, 1080), ("tablet", 1024, 768), ("phone", 640, 360), ("portrait", 360, 640))
 
@@ -48,6 +50,31 @@ def q_served(spark, d):
         "job_id", "decision_id", "ad_id", "overlay_start_ms", "overlay_ms", "score")
 
 
+@query("overlay_payload")
+def q_payload(spark, d):
+    """Served overlays as the player gets them."""
+    served = serve_overlays(decided_overlays(spark, d))
+    return sv.overlay_payload(served, fx.decisions(spark, d), fx.ads(spark, d), fx.job_files(spark, d), fx.jobs(spark, d), "http://api")
+
+
+@query("decision_rows")
+def q_decision_rows(spark, d):
+    """Decision table after a run over all jobs and a rerun of a third of them that keeps less, for some jobs nothing."""
+    path = fresh_path(spark, "decisions")
+    rows = decided_overlays(spark, d).drop("item_id")
+    sinks.write_run(rows, rows, path, 1)
+    again = rows.filter("job_id % 3 = 0")
+    sinks.write_run(again.filter("score >= 95"), again, path, 2)
+    return sinks.read_runs(spark, path)
+
+
+@query("job_status")
+def q_job_status(spark, d):
+    """State of the jobs named in the events."""
+    wanted = fx.table(spark, d, "events").selectExpr("user_id * 3 AS job_id")
+    return sv.job_status(fx.job_files(spark, d), wanted)
+
+
 @query("completed_jobs")
 def q_completed(spark, d):
     return sv.completed_jobs(fx.job_files(spark, d))

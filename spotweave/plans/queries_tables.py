@@ -103,11 +103,13 @@ def q_pending_scenes(spark, d):
 
 @query("pending_ads")
 def q_pending_ads(spark, d):
-    """Ads without target narrative, and the ones a forced rerun would resume from an id."""
+    """Ads without target narrative, and those a forced rerun resumed at an id takes."""
     ads = fx.ads(spark, d).withColumn("target_narrative", F.expr(
         "CASE tgt_vec % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE ad_name END"))
-    return (ads.filter("target_narrative IS NULL OR target_narrative = ''")
-            .select("ad_id", "ad_name", F.expr("ad_id >= 'ad_00100'").alias("in_resume")).orderBy("ad_id"))
+    missing = tb.pending_rows(ads, "ad_id", "target_narrative")
+    forced = tb.pending_rows(ads, "ad_id", "target_narrative", force=True, start="ad_150")
+    return missing.select("ad_id", "ad_name", F.lit("missing").alias("run")).unionByName(
+        forced.select("ad_id", "ad_name", F.lit("forced").alias("run")))
 
 
 def _answers(spark, d):
@@ -170,4 +172,4 @@ def q_titles(spark, d):
                              "THEN concat('-', p_brand) ELSE '' END, '.E', CAST(p_partkey AS STRING), '.mp4') AS filename")
     images = parts.selectExpr("p_partkey AS list_pos", "concat(CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN "
                               "concat(p_name, ' poster') WHEN 2 THEN upper(p_name) ELSE concat(p_brand, ' ', p_type) END, '.jpg') AS image")
-    return catalog.match_titles(files, images.filter("list_pos >= 7")).select("file_id", "list_pos", "image")
+    return catalog.match_titles(files, images).select("file_id", "list_pos", "image")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotweave.functions.text import basename, title_key
@@ -59,27 +59,34 @@ def lineup(documents: DataFrame, completed: DataFrame, schema: str) -> DataFrame
     return listed.unionByName(fallback)
 
 
-def _pieces(title: str) -> str:
-    """Distinct substrings of a title, the empty one included."""
-    return (f"array_distinct(concat(array(''), flatten(transform(sequence(1, greatest(length({title}), 1)), "
-            f"s -> transform(sequence(s, greatest(length({title}), 1)), e -> substring({title}, s, e - s + 1))))))")
+def _pieces(title: str, lengths: Column) -> Column:
+    """Distinct substrings of a title that have one of the lengths."""
+    own = F.length(title)
+    fitting = F.filter(lengths, lambda n: n <= own)
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(own - n, F.lit(0)) + 1), lambda at: F.substring(title, at, n)))))
 
 
 def match_titles(files: DataFrame, images: DataFrame) -> DataFrame:
     """First image (by list_pos) whose title contains, or is contained in, each file's title.
 
-    Containment is turned into equality on substrings of these short names, so both directions
-    are hash joins on at most one row per distinct title; files and images are never paired up.
+    Containment is turned into equality on substrings of these short names, of the lengths that occur on the other
+    side only, so both directions are hash joins on at most one row per distinct title.
     """
     wanted = files.withColumn("_title", title_key(F.col("filename")))
     titles = wanted.select("_title").distinct()
     known = (images.withColumn("_image", title_key(F.col("image")))
              .groupBy("_image").agg(F.min("list_pos").alias("_pos")))
-    inside = (titles.withColumn("_image", F.explode(F.expr(_pieces("_title"))))
+
+    def lengths(df: DataFrame, column: str) -> Column:
+        return df.agg(F.collect_set(F.length(column)).alias("n")).select("n").scalar()
+
+    inside = (titles.withColumn("_lengths", lengths(known, "_image")).withColumn("_image", F.explode(_pieces("_title", F.col("_lengths"))))
               .join(known, "_image").select("_title", "_pos"))
-    around = (known.select(F.explode(F.expr(_pieces("_image"))).alias("_title"), "_pos")
-              .groupBy("_title").agg(F.min("_pos").alias("_pos")))
-    found = (inside.unionByName(titles.join(around, "_title"))
+    around = (known.withColumn("_lengths", lengths(titles, "_title"))
+              .select(F.explode(_pieces("_image", F.col("_lengths"))).alias("_title"), "_pos")
+              .join(titles, "_title", "left_semi").groupBy("_title").agg(F.min("_pos").alias("_pos")))
+    found = (inside.unionByName(around)
              .groupBy("_title").agg(F.min("_pos").alias("list_pos")))
     return (wanted.join(found, "_title", "left").drop("_title")
             .join(images.select("list_pos", "image"), "list_pos", "left"))

@@ -1,8 +1,8 @@
-"""Writers: training export, evaluation report, per-job overwrite."""
+"""Writers: training export, evaluation report, runs that replace their jobs' rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotweave.settings import TRAINING_COLUMNS
@@ -26,7 +26,18 @@ def write_report(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
 
-def overwrite_jobs(df: DataFrame, path: str) -> None:
-    """Replace exactly the jobs present in ``df``; other job partitions stay as they are."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("job_id").parquet(path))
+def write_run(rows: DataFrame, jobs: DataFrame, path: str, run: int) -> None:
+    """Record the rows of a run and the jobs it was for, also those that got no row; writing a run again replaces it.
+
+    ``run`` numbers grow. Readers see a run once its list of jobs is there, which is written last.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/rows/run={run}")
+    jobs.select("job_id").distinct().write.mode("overwrite").parquet(f"{path}/jobs/run={run}")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of each job's latest run: nothing where that run gave the job nothing."""
+    latest = (spark.read.option("basePath", f"{path}/jobs").parquet(f"{path}/jobs")
+              .groupBy("job_id").agg(F.max("run").alias("run")))
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return rows.join(latest, ["job_id", "run"], "left_semi").drop("run")

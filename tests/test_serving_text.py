@@ -100,9 +100,11 @@ def test_sinks(spark, tmp_path):
     assert json.loads(line)["ad_type"] == "banner"
     table = str(tmp_path / "decisions")
     jobs = spark.createDataFrame([(1, 10), (2, 20)], "job_id long, v long")
-    sinks.overwrite_jobs(jobs, table)
-    sinks.overwrite_jobs(spark.createDataFrame([(2, 21)], "job_id long, v long"), table)
-    assert sorted((r.job_id, r.v) for r in spark.read.parquet(table).collect()) == [(1, 10), (2, 21)]
+    sinks.write_run(jobs, jobs.unionByName(spark.createDataFrame([(3, 0)], "job_id long, v long")), table, 1)
+    # Job 2 is run again and gets nothing, job 3 gets a row, job 1 stays; the same run twice is one run.
+    for _ in range(2):
+        sinks.write_run(spark.createDataFrame([(3, 31)], "job_id long, v long"), spark.createDataFrame([(2,), (3,)], "job_id long"), table, 2)
+    assert sorted((r.job_id, r.v) for r in sinks.read_runs(spark, table).collect()) == [(1, 10), (3, 31)]
 
 
 def test_asset_listing_reads_metadata_only(spark, tmp_path):
