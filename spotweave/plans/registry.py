@@ -1,4 +1,7 @@
-"""Named queries: each takes ``(spark, sf_dir)`` and returns a lazy table."""
+"""Named queries: each takes ``(spark, sf_dir)`` and returns a table.
+
+A query is lazy but for the intermediate tables that several of its steps share: those are written when it is built.
+"""
 
 from __future__ import annotations
 
