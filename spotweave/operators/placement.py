@@ -59,9 +59,9 @@ def window_requests(planned: DataFrame) -> DataFrame:
 
 
 def placement_windows(planned: DataFrame, cfg: PlacementSettings = PLACEMENT) -> DataFrame:
-    """One row per window start of every candidate."""
-    return (planned.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_window"))))
-            .withColumn("window_start_ms", F.col("start_ms") + F.col("k") * cfg.step_ms))
+    """Add n_windows, first_start_ms and last_start_ms of every candidate: windows start every ``step_ms``."""
+    return (planned.withColumn("n_windows", F.col("last_window") + 1).withColumn("first_start_ms", F.col("start_ms"))
+            .withColumn("last_start_ms", F.col("start_ms") + F.col("last_window") * cfg.step_ms))
 
 
 def speech_gaps(segments: DataFrame, info: DataFrame, chunk_ms: int = 600_000) -> DataFrame:
@@ -164,8 +164,8 @@ def window_features(requests: DataFrame, frames: DataFrame, segments: DataFrame,
     ends = (frame_windows(requests, frames, info, cfg)
             .unionByName(quiet_windows(requests, segments, silence, info, cfg)))
     group = [*REQUEST, "chunk", "last_window"]
-    steps = (ends.repartition(*group).groupBy(*group, "k")
-             .agg(*[F.sum(c).alias(c) for c in _EMPTY]))
+    # Combines before the shuffle: many frames begin or end the same window.
+    steps = ends.groupBy(*group, "k").agg(*[F.sum(c).alias(c) for c in _EMPTY])
     ordered = Window.partitionBy(*group).orderBy("k")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     until = F.least(F.coalesce(F.lead("k").over(ordered), F.col("last_window") + 1),

@@ -120,9 +120,7 @@ def q_rerank(spark, d):
 def q_windows(spark, d):
     """Windows of each candidate: number, first and last start."""
     rows = place.placement_windows(fixture_plan(spark, d).planned())
-    return rows.groupBy("job_id", "start_ms", "ad_id").agg(
-        F.count("*").alias("n_windows"), F.min("window_start_ms").alias("first_start_ms"),
-        F.max("window_start_ms").alias("last_start_ms"))
+    return rows.select("job_id", "start_ms", "ad_id", "n_windows", "first_start_ms", "last_start_ms")
 
 
 def _windows(condition: Column) -> Column:
