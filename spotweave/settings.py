@@ -39,6 +39,8 @@ TRAINING_COLUMNS = (
     "ad_duration_sec", "avg_density", "ad_type", "label",
 )
 
+# The defaults below (thresholds, weights, limits and lengths), but for the sizes of chunks and buckets.
+
 
 @dataclass(frozen=True)
 class SegmentationSettings:
