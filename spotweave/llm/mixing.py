@@ -28,7 +28,8 @@ from spotweave.session import stage
 BLOCK_WORDS = 50_000
 BLOCK_ROWS = 2_000
 SHARD_BLOCKS = 8
-MAX_SOURCES = 100_000
+MAX_SOURCES = 1_000_000  # one row each on the driver
+BROADCAST_SOURCES = 100_000  # rows of about 100 bytes; more are joined by shuffling
 SUPER = 4096  # blocks whose running sum one task takes
 
 
@@ -118,8 +119,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         "number int, source string, source_size long, target double, blocks long")
 
     def placed(df: DataFrame) -> DataFrame:
-        # At most MAX_SOURCES rows on the right; Spark broadcasts or shuffles them by their size.
+        # The number of sources is known here: a checked few are broadcast, so that texts are not dealt out by source.
         right = sources.withColumnRenamed("source", "_source")
+        right = F.broadcast(right) if len(table) <= BROADCAST_SOURCES else right
         return (df.join(right, df["source"].eqNullSafe(right["_source"])).drop("_source")
                 .withColumn("block", F.pmod("hash", "blocks")))
 
@@ -172,10 +174,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     inner = Window.partitionBy("number", "block").orderBy("order", "hash").rowsBetween(Window.unboundedPreceding, -1)
     order = F.xxhash64("hash", F.lit(seed)).alias("order")
     cut_blocks = planned.filter((F.col("last") > 0) & (F.col("last") < F.col("words"))).select("number", "block", "last")
-    cut = (placed(light).join(cut_blocks, ["number", "block"]).select("number", "block", "last", "size", "hash", order)
+    # Written, so that its size is known: one block per source, nearly always small enough to be broadcast.
+    cut = stage(placed(light).join(cut_blocks, ["number", "block"]).select("number", "block", "last", "size", "hash", order)
            .withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
            .groupBy("number", "block", "hash").agg(F.floor(F.avg(
-               F.greatest(F.lit(0), F.least(F.col("size"), F.col("last") - F.col("before"))))).alias("part")))
+               F.greatest(F.lit(0), F.least(F.col("size"), F.col("last") - F.col("before"))))).alias("part")), "mix-cut")
 
     full = placed(sized).join(planned, ["number", "block"]).join(cut, ["number", "block", "hash"], "left")
     draws = F.filter(F.transform("turns", lambda t: F.struct(
