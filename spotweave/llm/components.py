@@ -31,7 +31,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if before[0] == 0:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        # Written, so that the join below has a plain shuffle on either side and the links of a node with very many can be split.
+        lowest = stage(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), name)
         large = (both.join(lowest, "a").filter(F.col("b") > F.col("a"))
                  .select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
         lower = large.groupBy("a").agg(F.min("b").alias("low"))
