@@ -195,7 +195,7 @@ def compare_edits(docs: DataFrame, text: str = "text", key: str = "doc_id", rows
     """
     half = F.expr("cast(floor(length(text) / 2) as int)")
     windowed = with_next(docs, text, key, rows)
-    told = (windowed.withColumn("edited", F.concat(F.expr(f"substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)))
+    told = (windowed.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)))
             .withColumn("da", paragraph_digests(F.col("text"))).withColumn("de", paragraph_digests(F.col("edited")))
             .withColumn("dn", paragraph_digests(F.col("next_text"))))
     told = (told.withColumn("pa", placed_digests(F.col("da"))).withColumn("pe", placed_digests(F.col("de")))
