@@ -10,8 +10,9 @@ cut at the capacity, the last stretch at powers of two (which need no padding).
 from __future__ import annotations
 
 import base64
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -27,11 +28,21 @@ FLUSH = 20_000  # output rows held at once
 
 
 @lru_cache(maxsize=2)
-def _encoding(ranks_path: str, pattern: str):
+def _encoding(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
     import tiktoken
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
+
+
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Added tokens of a ``tokenizers`` file and their ids, as :func:`pack` takes them."""
+    with open(json_path, encoding="utf-8") as file:
+        tokens = json.load(file).get("added_tokens") or []
+    for token in tokens:
+        if token.get("single_word") or token.get("lstrip") or token.get("rstrip") or token.get("normalized"):
+            raise ValueError(f"added token {token['content']!r} is not matched to the letter")
+    return {token["content"]: token["id"] for token in tokens}
 
 
 def remainder_pieces(length: int, capacity: int = CAPACITY, cuts: int = CUTS) -> list[tuple[int, int]]:
@@ -102,23 +113,24 @@ class _Bins:
 
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id",
-         capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+         capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, added: Mapping[str, int] | None = None) -> DataFrame:
     """One row per piece: key, start, length, ids (or none), ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its text's ids followed by ``end_id``; null text counts as empty, so it is the end id
     alone. Every id lies in exactly one piece and every sequence has at most ``capacity`` ids, its
     pieces laid gaplessly from offset 0. ``ranks_path`` names a file of byte-pair ranks (base64 token and rank per
-    line) that every executor can read, ``pattern`` its splitting pattern; special tokens in a text are
-    ordinary text. Repeated rows and null keys are packed like any others. Other columns are ignored.
+    line) that every executor can read, ``pattern`` its splitting pattern. A text is
+    cut at the ``added`` tokens first and these get their own ids; without any they are ordinary text. Repeated rows and null keys are packed like any others. Other columns are ignored.
 
     No shuffle: a lost task is redone from its own split. ``sequence_id`` is the partition's number
     and a running number within it; write the documents first where their order could change between runs.
     A worker holds one document and one bin per class (at most 2 * sqrt(capacity) of them).
     """
+    given = tuple(sorted((added or {}).items()))
     chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(ranks_path, pattern)
+        encoding = _encoding(ranks_path, pattern, given)
         bins = _Bins(capacity, TaskContext.get().partitionId() << 32)
 
         def taken() -> pa.RecordBatch:
@@ -136,7 +148,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key
         for batch in batches:
             key_type = batch.schema.field(0).type
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoding.encode_ordinary(body.as_py() or "")
+                ids = encoding.encode(body.as_py() or "", allowed_special="all", disallowed_special=())
                 ids.append(end_id)
                 bins.add(doc, np.array(ids, "<u4"))
                 if len(bins.rows) >= FLUSH:

@@ -76,7 +76,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 1024 ids; byte_bpe_50k in its rank form, the same ids as the json."""
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"),
-                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False,
+                        added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 @_register

@@ -154,6 +154,20 @@ def test_packing(spark, sf_dir, odd):
     assert packing.pack(odd.limit(0), RANKS, PATTERN).count() == 0
 
 
+def test_packing_gives_added_tokens_their_ids(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["log <|endoftext|> end", "<|endoftext|><|endoftext|>", "a<|endoftext|>", "x <|endoftext |> <|endof", " \n<|endoftext|> \n b", "<|<|endoftext|>|>", "none", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(docs, RANKS, PATTERN, added=packing.added_tokens(path)).toPandas()
+    for doc_id, own in rows.sort_values("start").groupby("doc_id"):
+        assert np.concatenate(own["ids"].tolist()).tolist() == tokenizer.encode(texts[doc_id], add_special_tokens=False).ids + [0]
+    assert set(rows["doc_id"]) == set(range(len(texts)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    whole = QUERIES["op4_packing"](spark, str(tmp_path)).filter("doc_id = 0").select("doc_tokens").distinct().collect()
+    assert [r["doc_tokens"] for r in whole] == [5]
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secret_scan.fit(secret_scan.labelled_findings(spark))
