@@ -208,6 +208,19 @@ def test_secrets_in_long_words(spark, forest):
     assert masked[2] == texts[2].replace(hexed, "[secret]") and masked[5] == texts[5].replace(hexed, "[secret]")
 
 
+def test_secrets_without_digits(spark, forest):
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIEowIBAAKCAQEAwx\nqUnTabcdeFGHIJKLMNOP+/==\n-----END RSA PRIVATE KEY-----"
+    texts = {1: 'password: "correcthorsebattery"', 2: 'then password = "SwordfishLagoon" here', 3: "le token:mvkqzrhtlpwsaidu la", 4: f"key\n{pem}\nand {pem} end",
+             5: "the token invalidated yesterday, your password remembers nothing", 6: 'password: "changeme" or token = "your-token-here"', 7: "-----BEGIN EC PRIVATE KEY-----"}
+    wanted = {(1, "correcthorsebattery"), (2, "SwordfishLagoon"), (3, "mvkqzrhtlpwsaidu"), (4, pem), (7, texts[7])}
+    docs = spark.createDataFrame([(i, t, "src1") for i, t in texts.items()], "doc_id long, text string, source string")
+    rows = secret_scan.scan(docs, forest).collect()
+    assert {(r["doc_id"], r["value"]) for r in rows if r["secret"]} >= wanted and {5, 6} <= {r["doc_id"] for r in rows}
+    assert [(r["place"], r["kind"]) for r in sorted(rows, key=lambda r: r["place"]) if r["value"] == pem] == [(1, "private_key"), (12, "private_key")]
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, forest).collect()}
+    assert all(v not in masked[i] for i, v in wanted) and masked[5] == texts[5] and masked[6] == texts[6] and masked[4] == "key\n[secret]\nand [secret] end"
+
+
 def test_secrets_on_held_out_findings(spark, forest):
     rows = secret_scan.with_features(secret_scan.with_value(
         secret_scan.stage(secret_scan.labelled_findings(spark, 220).withColumn("id", F.monotonically_increasing_id()), "t").filter("id >= 3680")))
