@@ -59,7 +59,7 @@ RULES = (
     ("cc0", "CC0-1.0", ("cc0",)), ("bsd_grant", "BSD", ("bsd_grant",)), ("reserved", "proprietary", ("reserved",)),
 )
 
-BOUNDARY = r"([.!?:])[\x20\x09-\x0D]+"  # a mark and white space end a sentence, as does a line break
+BOUNDARY = r"([.!?:])[\x20\x09-\x0D]+"  # a mark and white space end a piece, as does a line break
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -69,7 +69,7 @@ def normalise(sentence: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Normalised non-empty sentences of the whole text in order; a hard line wrap ends a sentence too."""
+    """Normalised non-empty pieces of the whole text in order: its sentences, cut at every line break too."""
     parts = F.split(F.regexp_replace(text, BOUNDARY, "$1\n"), "\n")
     return F.filter(F.transform(parts, normalise), lambda s: s != "")
 
@@ -82,35 +82,53 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", known: Mappin
          rules: Sequence[tuple[str, str, tuple[str, ...]]] = RULES) -> DataFrame:
     """One row per recognised rule: ``doc_id``, ``rule``, ``license``, ``first_sentence``, ``n_sentences``.
 
-    ``first_sentence`` counts the document's non-empty sentences from 0. Rules are tried in their order at every known
-    sentence; a sentence that a rule has used starts no other. Known sentences are matched whole: one that
-    a line wrap divides is not recognised. Null, empty and license-free texts give no row; repeated rows give
-    theirs each; other columns are ignored. No shuffle: every document is scanned in its own row.
+    A known sentence is one piece of the text or a run of pieces, so it may be wrapped over any number of lines, with comment leaders
+    or without, and hold marks itself; where several begin at a piece the longest counts, and none begins inside another.
+    ``first_sentence`` counts the document's non-empty pieces from 0, ``n_sentences`` the rule's known sentences. Rules are tried in their order
+    at every known sentence; a sentence that a rule has used starts no other. Null, empty and license-free texts give no row; repeated
+    rows give theirs each; other columns are ignored. No shuffle: every document is scanned in its own row.
     """
-    by_text = {_plain(sentence): name for name, sentence in known.items()}
-    names = F.create_map(*[F.lit(x) for pair in by_text.items() for x in pair])
-    listed = list(by_text)
-    found = (docs.select(named(key).alias("doc_id"), sentences(named(text)).alias("s"))
-             # Few documents hold a known sentence; the others end here.
-             .filter(F.exists("s", lambda x: x.isin(listed)))
-             .select("doc_id", F.transform("s", lambda x: F.when(x.isin(listed), names[x])).alias("ids")))
-    starts = F.filter(F.transform("ids", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    by_text = dict(sorted(((_plain(sentence), name) for name, sentence in known.items()), key=lambda pair: -len(pair[0])))
+    # Few documents hold a known sentence; the others end here.
+    joined = F.concat(F.lit(" "), F.concat_ws(" ", "s"), F.lit(" "))
+    holds = F.lit(False)
+    for sentence in by_text:
+        holds = holds | F.col("joined").contains(f" {sentence} ")
+    found = (docs.select(named(key).alias("doc_id"), sentences(named(text)).alias("s")).withColumn("joined", joined).filter(holds).select("doc_id", "s"))
+
+    def known_at(x: Column, i: Column) -> Column:
+        """The longest known sentence that pieces from the one at ``i`` make up, with the number of pieces."""
+        hit = F.lit(None).cast("struct<at:int,pieces:int,id:string>")
+        for sentence, name in reversed(by_text.items()):
+            # A piece has a word at least, so that many pieces hold the sentence.
+            run = F.concat(F.array_join(F.slice("s", i + 1, len(sentence.split())), "\n"), F.lit("\n"))
+            begun = F.substring(run, 1, len(sentence) + 1)
+            fits = F.lit(f"{sentence} ").startswith(F.concat(x, F.lit(" "))) & begun.endswith("\n") & (F.translate(begun, "\n", " ") == f"{sentence} ")
+            hit = F.when(fits, F.struct(i.alias("at"), (F.size(F.split(begun, "\n")) - 1).alias("pieces"), F.lit(name).alias("id"))).otherwise(hit)
+        return hit
+
+    starts = F.filter(F.transform("s", known_at), lambda x: x.isNotNull())
+    kept = "cast(named_struct('upto', 0, 'kept', array()) as struct<upto:int,kept:array<struct<at:int,pieces:int,id:string>>>)"
+    apart = F.aggregate(starts, F.expr(kept), lambda acc, x: F.when(x["at"] < acc["upto"], acc).otherwise(
+        F.struct((x["at"] + x["pieces"]).alias("upto"), F.concat(acc["kept"], F.array(x)).alias("kept"))))["kept"]
+    found = found.select("doc_id", apart.alias("ids"))
 
     def rule_at(i: Column) -> Column:
         tried = F.lit(None).cast("struct<rule:string,license:string,n:int>")
         for rule, license_, ids in reversed(rules):
-            fits = [F.coalesce(F.get("ids", i + k) == name, F.lit(False)) for k, name in enumerate(ids)]
-            every = fits[0]
-            for fit in fits[1:]:
-                every = every & fit
+            every = F.lit(True)
+            for k, name in enumerate(ids):
+                this, last = F.get("ids", i + k), F.get("ids", i + k - 1)
+                follows = this["at"] == last["at"] + last["pieces"] if k else F.lit(True)
+                every = every & F.coalesce((this["id"] == name) & follows, F.lit(False))
             tried = F.when(every, F.struct(F.lit(rule).alias("rule"), F.lit(license_).alias("license"), F.lit(len(ids)).alias("n"))).otherwise(tried)
         return tried
 
-    located = F.filter(F.transform(starts, lambda i: F.struct(i.alias("at"), rule_at(i).alias("hit"))), lambda x: x["hit"].isNotNull())
+    located = F.filter(F.transform("ids", lambda x, i: F.struct(x["at"].alias("at"), i.alias("place"), rule_at(i).alias("hit"))), lambda x: x["hit"].isNotNull())
     # From left to right, leaving out what begins inside the hit before.
-    empty = "cast(named_struct('upto', 0, 'hits', array()) as struct<upto:int,hits:array<struct<at:int,hit:struct<rule:string,license:string,n:int>>>>)"
-    chosen = F.aggregate(located, F.expr(empty), lambda acc, x: F.when(x["at"] < acc["upto"], acc).otherwise(
-        F.struct((x["at"] + x["hit"]["n"]).alias("upto"), F.concat(acc["hits"], F.array(x)).alias("hits"))))
+    empty = "cast(named_struct('upto', 0, 'hits', array()) as struct<upto:int,hits:array<struct<at:int,place:int,hit:struct<rule:string,license:string,n:int>>>>)"
+    chosen = F.aggregate(located, F.expr(empty), lambda acc, x: F.when(x["place"] < acc["upto"], acc).otherwise(
+        F.struct((x["place"] + x["hit"]["n"]).alias("upto"), F.concat(acc["hits"], F.array(x)).alias("hits"))))
     return (found.select("doc_id", F.explode(chosen["hits"]).alias("x"))
             .select("doc_id", "x.hit.rule", "x.hit.license", F.col("x.at").alias("first_sentence"), F.col("x.hit.n").alias("n_sentences")))
 

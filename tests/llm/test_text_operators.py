@@ -1,6 +1,7 @@
 """URL filter, quality, packing, secrets, language ID and license scan against plain checks."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -241,6 +242,29 @@ def test_licenses(spark, odd):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(odd.limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    wrap = lambda names, lead="", width=72: "\n".join(lead + line for name in names for line in textwrap.wrap(license_scan.SENTENCES[name], width))
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + "\n\n".join(wrap([n]) for n in ("mit_grant", "mit_notice", "as_is"))
+    apache = """/*
+ * Licensed under the Apache License, Version 2.0
+ * (the "License"); you may not use this file except in compliance with the
+ * License. You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+    texts = {1: mit, 2: apache, 3: wrap(("gpl3_or_later", "gpl_hope", "gpl_see"), "# ", 60), 4: "// SPDX-License-Identifier: MIT\r\nint x;",
+             5: wrap(["mit_grant"]).replace("free of charge", "free of any charge"), 6: wrap(["mit_grant"]) + "\nBut not so.\n" + wrap(["mit_notice"])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["rule"], r["first_sentence"], r["n_sentences"]) for r in license_scan.scan(docs).collect())
+    assert rows == [(1, "mit_full", 2, 3), (2, "apache_header", 0, 5), (3, "gpl3_header", 0, 3), (4, "mit_spdx", 0, 1), (6, "mit_grant", 0, 1)]
+
+
 def test_samples_and_held_out(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
     some = {r["doc_id"] for r in hash_sample(ids, 2000, "doc_id").collect()}
