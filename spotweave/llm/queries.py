@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import embedding_join, language_id, license_scan, mixing, packing, quality, secret_scan, simhash, url_filter, version_sketch
+from spotweave.llm import (embedding_join, language_id, lexical_search, license_scan, line_dedup, mixing, packing, quality, secret_scan, simhash, spelling,
+                           url_filter, version_sketch)
 from spotweave.llm.common import held_out
 from spotweave.session import stage
 
@@ -136,6 +137,58 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op10_license_scan"] = license_scan.oracle()
 
+
+@_register
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that documents share, dropped everywhere but in the first document; texts are given as digests."""
+    return (line_dedup.drop_shared_lines(_table(spark, sf_dir, "documents", "doc_id", "text"))
+            .select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")))
+
+
+ORACLE["op11_line_dedup"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT row_id, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM docs),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM lines),
+shared AS (
+  SELECT key, min(doc_id) AS keeper FROM (SELECT DISTINCT key, doc_id FROM keyed WHERE length(key) >= {line_dedup.MIN_CHARS})
+  GROUP BY key HAVING count(*) >= {line_dedup.MIN_DOCS}),
+judged AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.keeper AS lost FROM keyed k LEFT JOIN shared s USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '')) AS kept_sha256
+FROM judged GROUP BY row_id"""
+
+
+@_register
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every item of ``benchmark``."""
+    index = lexical_search.build_index(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return lexical_search.search(index, _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+_RUN = f"regexp_extract_all(translate(text, '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '{lexical_search.TERM}')"
+ORACLE["op12_lexical_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, {_RUN} AS terms FROM documents WHERE text IS NOT NULL),
+counts AS (SELECT row_id, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0),
+total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM counts),
+sized AS (SELECT row_id, doc_id, 25 + (75 * n * big_n) // big_l AS m FROM counts, total),
+items AS (SELECT row_number() OVER () AS ask, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS (SELECT ask, item_id, term, count(*) AS times FROM (SELECT ask, item_id, unnest({_RUN}) AS term FROM items WHERE text IS NOT NULL) GROUP BY ALL),
+postings AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, total GROUP BY term),
+scores AS (
+  SELECT ask, item_id, s.row_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings p USING (term) JOIN sized s ON s.row_id = p.row_id GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY score DESC, doc_id, row_id) AS place FROM scores WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= {lexical_search.TOP}"""
+
+
+@_register
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent spelling each is a variant of."""
+    words = spelling.damaged_runs(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return spelling.group_variants(spelling.vocabulary(words))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
