@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.llm.common import keep_columns, named
+from spotweave.session import stage
 
 MIN_DOCS = 2
 MIN_CHARS = 10
@@ -41,8 +42,9 @@ def lost_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_doc
              # Chained hashes collide together, so the second one starts from another seed.
              .select("doc", "digest", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2")))
     held = lines.select("h1", "h2", "doc").distinct()
-    shared = (held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("doc").alias("keeper"))
-              .filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"))
+    # Written, so that the join has a plain shuffle on either side and the rows of a line in very many documents can be split.
+    shared = stage(held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("doc").alias("keeper"))
+                   .filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "shared-lines")
     return (lines.join(shared, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
             .groupBy("doc", "digest").agg(F.collect_set("place").alias("lost")))
 
