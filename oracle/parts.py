@@ -14,10 +14,10 @@ def _s(job: str) -> str:
 
 PARTS: dict[str, str] = {
     "jobs": f"""SELECT job_id, 720000 * {_s('job_id')} AS duration_ms, 1280 AS width, 720 AS height, 1 AS fps
-        FROM (SELECT DISTINCT user_id AS job_id FROM events)""",
+        FROM (SELECT user_id AS job_id FROM events UNION SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
     "transcript": f"""SELECT job_id, seg_id, start_ms, start_ms + 1000 + (seg_id * 37) % 7000 AS end_ms,
         seg_id % (SELECT count(*) FROM embeddings) AS vec_id, text FROM (SELECT user_id AS job_id, event_id AS seg_id,
-        ({_EVENT_MS}) * {_s('user_id')} AS start_ms, event_type AS text FROM events WHERE user_id % 10 <> 9)""",
+        ({_EVENT_MS}) * {_s('user_id')} AS start_ms, event_type AS text FROM events)""",
     "vectors": "SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings",
     "frames_raw": f"""SELECT l_suppkey AS job_id, (l_partkey % 720) * {_s('l_suppkey')} AS frame_index,
         (l_partkey % 720) * {_s('l_suppkey')} * 1000 AS ts_ms, l_orderkey, l_linenumber, l_partkey, l_extendedprice,
@@ -39,7 +39,7 @@ PARTS: dict[str, str] = {
             CASE WHEN p_partkey % 3 = 0 THEN '.mp4' ELSE '.jpg' END) AS resource_path
         FROM part""",
     "cats": "SELECT ad_category, min(tgt_vec) AS cat_vec FROM ads GROUP BY ad_category",
-    "ce_labels": """SELECT o_custkey AS scene_id, o_orderkey % (SELECT count(*) FROM part) AS ad_id, (o_orderkey * 7919) % 101 AS score_pct,
+    "ce_labels": """SELECT o_custkey AS scene_id, 'ad_' || (o_orderkey % (SELECT count(*) FROM part)) AS ad_id, o_orderkey % (SELECT count(*) FROM part) AS ad_no, (o_orderkey * 7919) % 101 AS score_pct,
         (o_orderkey * 104729) % 1009 AS model_score_i FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % (SELECT count(*) FROM part) ORDER BY o_orderkey) = 1""",
     "decisions": f"""SELECT o_orderkey AS decision_id, o_custkey AS job_id,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle.parts import fold_parts, with_parts
+from oracle.sequences import AREA, DENSITY
 
 _REQ = "job_id, start_ms, window_ms, ad_w"
 _DEC = "job_id, decision_id, ad_id, overlay_start_ms, overlay_ms, score"
@@ -26,6 +27,20 @@ _PLAN_SPACED = fold_parts(
     "ps", f"SELECT job_id, start_ms AS id, overlay_start_ms AS s, overlay_ms AS dur, score, {_GAP} AS gap "
           "FROM warm LEFT JOIN jobs USING (job_id)", "spacing")
 
+_DETECTED = {**DENSITY, **AREA, "frames": """SELECT job_id, frame_index, frame_index * 1000 AS ts_ms, density_e4, objects, safe_x, safe_y, safe_w, safe_h
+    FROM densities JOIN areas USING (job_id, frame_index)"""}
+
+_DENSITY_ROWS = f"""SELECT {_REQ}, count(*) AS n_windows,
+        count(*) FILTER (density_sum >= 6000 * frames) AS n_danger, count(*) FILTER (density_sum <= 3000 * frames) AS n_golden,
+        sum(density_sum)::BIGINT AS density_sum, sum(frames)::BIGINT AS n_frames FROM win_frames GROUP BY {_REQ}"""
+_CORNER_ROWS = f"""SELECT {_REQ}, count(*) FILTER (corner = 'BL') AS n_bl, count(*) FILTER (corner = 'BR') AS n_br,
+        count(*) FILTER (corner IS NULL) AS n_none, sum(greatest(bl_sum, br_sum))::BIGINT AS overlap_sum FROM features GROUP BY {_REQ}"""
+_SCHEDULE_ROWS = f"""SELECT {_OVL}, round(sim, 6) AS sim, round(avg_density, 6) AS avg_density, x, y, w, h, corner, quiet
+        FROM warm JOIN ps_kept k USING (job_id) WHERE k.id = start_ms
+        QUALIFY row_number() OVER (PARTITION BY job_id, ad_id ORDER BY overlay_start_ms) = 1"""
+_SCHEDULE_PARTS = {**_PLAN_OVERLAPS, "clear": "SELECT b.* FROM best20 b JOIN po_kept k ON k.job_id = b.job_id AND k.id = b.start_ms",
+                   "warm": _cold("clear"), **_PLAN_SPACED}
+
 ORACLE: dict[str, str] = {
     "scene_segments": with_parts(
         "SELECT job_id, scene_no, start_ms, end_ms, n_segments, ctx_vec, transcript FROM scenes_raw"),
@@ -61,11 +76,10 @@ ORACLE: dict[str, str] = {
     "placement_windows": with_parts("""SELECT job_id, start_ms, ad_id, count(*) AS n_windows,
         min(start_ms + 1000 * k) AS first_start_ms, max(start_ms + 1000 * k) AS last_start_ms
         FROM planned, generate_series(0, (end_ms + 500 - start_ms - window_ms) // 1000) g(k) GROUP BY job_id, start_ms, ad_id"""),
-    "window_density": with_parts(f"""SELECT {_REQ}, count(*) AS n_windows,
-        count(*) FILTER (density_sum >= 6000 * frames) AS n_danger, count(*) FILTER (density_sum <= 3000 * frames) AS n_golden,
-        sum(density_sum)::BIGINT AS density_sum, sum(frames)::BIGINT AS n_frames FROM win_frames GROUP BY {_REQ}"""),
-    "best_corner": with_parts(f"""SELECT {_REQ}, count(*) FILTER (corner = 'BL') AS n_bl, count(*) FILTER (corner = 'BR') AS n_br,
-        count(*) FILTER (corner IS NULL) AS n_none, sum(greatest(bl_sum, br_sum))::BIGINT AS overlap_sum FROM features GROUP BY {_REQ}"""),
+    "window_density": with_parts(_DENSITY_ROWS),
+    "best_corner": with_parts(_CORNER_ROWS),
+    "detected_density": with_parts(_DENSITY_ROWS, **_DETECTED),
+    "detected_corner": with_parts(_CORNER_ROWS, **_DETECTED),
     "window_silence": with_parts(f"""SELECT {_REQ}, count(*) AS n_windows, count(*) FILTER (quiet) AS n_quiet
         FROM features GROUP BY {_REQ}"""),
     "scored_candidates": with_parts("""SELECT job_id, start_ms, ad_id, score, round(sim, 6) AS sim,
@@ -78,11 +92,6 @@ ORACLE: dict[str, str] = {
         f"SELECT {_DEC} FROM decided JOIN sp_kept k USING (job_id) WHERE k.id = decision_id", **_SPACED),
     "schedule_unique": with_parts(f"""SELECT {_DEC} FROM decided QUALIFY
         row_number() OVER (PARTITION BY job_id, ad_id ORDER BY overlay_start_ms, decision_id) = 1"""),
-    "ad_schedule": with_parts(
-        f"""SELECT {_OVL}, round(sim, 6) AS sim, round(avg_density, 6) AS avg_density, x, y, w, h, corner, quiet
-        FROM warm JOIN ps_kept k USING (job_id) WHERE k.id = start_ms
-        QUALIFY row_number() OVER (PARTITION BY job_id, ad_id ORDER BY overlay_start_ms) = 1""",
-        **_PLAN_OVERLAPS,
-        clear="SELECT b.* FROM best20 b JOIN po_kept k ON k.job_id = b.job_id AND k.id = b.start_ms",
-        warm=_cold("clear"), **_PLAN_SPACED),
+    "ad_schedule": with_parts(_SCHEDULE_ROWS, **_SCHEDULE_PARTS),
+    "detected_schedule": with_parts(_SCHEDULE_ROWS, **_DETECTED, **_SCHEDULE_PARTS),
 }

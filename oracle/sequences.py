@@ -11,13 +11,13 @@ _CLASSES = ", ".join(map(str, DETECTED_CLASS_IDS))
 _CUT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1] * 255.0::DOUBLE - z[2] * 255.0::DOUBLE))) / 64"
 
 _FRAMES = {"every_frame": "SELECT DISTINCT job_id, frame_index FROM detections"}
-_DENSITY = {**_FRAMES, "densities": f"""SELECT job_id, frame_index, coalesce(least(10000, (area * 20000 + 921600) // 1843200), 0)::BIGINT AS density_e4, coalesce(objects, '') AS objects
+DENSITY = {**_FRAMES, "densities": f"""SELECT job_id, frame_index, coalesce(least(10000, (area * 20000 + 921600) // 1843200), 0)::BIGINT AS density_e4, coalesce(objects, '') AS objects
     FROM every_frame LEFT JOIN (
         SELECT job_id, frame_index, sum(greatest(0, least(1280, x2) - greatest(0, x1))::BIGINT * greatest(0, least(720, y2) - greatest(0, y1))) AS area,
             string_agg(DISTINCT class_name, ', ' ORDER BY class_name) AS objects FROM detections
         WHERE confidence_pct >= 35 AND class_id IN ({_CLASSES}) GROUP BY ALL) USING (job_id, frame_index)"""}
 # The edges of a largest free rectangle touch obstacles or borders: try all such edges in grid cells.
-_AREA = {**_FRAMES,
+AREA = {**_FRAMES,
     "obstacles": f"""SELECT job_id, frame_index, ceil(x1 / {_STRIDE})::INT AS c1, ceil(x2 / {_STRIDE})::INT AS c2, ceil(y1 / {_STRIDE})::INT AS r1, ceil(y2 / {_STRIDE})::INT AS r2 FROM (
             SELECT job_id, frame_index, greatest(0, x1) AS x1, greatest(0, y1) AS y1, least(1280, x2) AS x2, least(720, y2) AS y2 FROM detections WHERE confidence_pct >= 35
             UNION ALL SELECT job_id, frame_index, greatest(0, x1 - pad), greatest(0, y1 - pad), least(1280, x2 + pad), least(720, y1 + (y2 - y1) // 2 + pad)
@@ -65,12 +65,12 @@ ORACLE: dict[str, str] = {
         g AS (SELECT *, tick - row_number() OVER (PARTITION BY job_id ORDER BY tick) AS island FROM q WHERE quiet)
         SELECT job_id, min(tick) * 250 AS start_ms, CASE WHEN max(tick) = any_value(last_tick) THEN any_value(track_ms) ELSE (max(tick) + 1) * 250 END AS end_ms
         FROM g GROUP BY job_id, island HAVING end_ms - start_ms >= 1000""",
-    "frame_density": with_parts("SELECT job_id, frame_index, density_e4, objects FROM densities", **_DENSITY),
-    "safe_area": with_parts("SELECT job_id, frame_index, safe_x, safe_y, safe_w, safe_h FROM areas", **_AREA),
+    "frame_density": with_parts("SELECT job_id, frame_index, density_e4, objects FROM densities", **DENSITY),
+    "safe_area": with_parts("SELECT job_id, frame_index, safe_x, safe_y, safe_w, safe_h FROM areas", **AREA),
     "frame_features": with_parts("""SELECT d.job_id, d.frame_index, d.frame_index * 1000 AS ts_ms, density_e4, objects, safe_x, safe_y, safe_w, safe_h, is_cut,
             n % (CASE WHEN ceil(total / 60) <= 60 THEN 60 ELSE ceil(total / 60) END)::BIGINT = 0 AS in_up,
             n % greatest(1, total // 60) = 0 AS in_down, n % 5 = 0 AS in_fixed
-        FROM densities d JOIN areas USING (job_id, frame_index) JOIN turns USING (job_id, frame_index)""", **{**_DENSITY, **_AREA},
+        FROM densities d JOIN areas USING (job_id, frame_index) JOIN turns USING (job_id, frame_index)""", **{**DENSITY, **AREA},
         turns="""SELECT job_id, frame_index, n, total, coalesce(list_sum(list_transform(list_zip(signal, before), lambda z: abs(z[1] * 255.0::DOUBLE - z[2] * 255.0::DOUBLE))) / 64 > 30.0, false) AS is_cut
             FROM (SELECT job_id, frame_index, embedding AS signal, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY job_id) AS total, lag(embedding) OVER w AS before
                 FROM every_frame JOIN embeddings ON vec_id = (frame_index * 13 + job_id) % (SELECT count(*) FROM embeddings) WINDOW w AS (PARTITION BY job_id ORDER BY frame_index))"""),

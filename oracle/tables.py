@@ -60,10 +60,10 @@ ORACLE: dict[str, str] = {
     "insert_if_absent": with_parts(
         """SELECT DISTINCT job_id, start_ms, end_ms, CASE WHEN start_ms % 2 = 0 THEN 'stored' ELSE 'new' END AS batch FROM silence"""),
     "upsert_latest": with_parts(
-        """SELECT scene_id, ad_id, CASE WHEN ad_id % 3 <> 0 THEN 'stored' ELSE 'new' END AS context,
-            CASE WHEN ad_id % 2 = 0 THEN (score_pct + (ad_id % 3 + 1) * 7) % 101 ELSE score_pct END AS score_pct,
-            CASE WHEN ad_id % 2 = 0 THEN ad_id % 3 + 1 ELSE 0 END AS revision
-        FROM ce_labels WHERE ad_id % 3 <> 0 OR ad_id % 2 = 0"""),
+        """SELECT scene_id, ad_id, CASE WHEN ad_no % 3 <> 0 THEN 'stored' ELSE 'new' END AS context,
+            CASE WHEN ad_no % 2 = 0 OR ad_no % 3 = 0 THEN (score_pct + (ad_no % 3 + 1) * 7) % 101 ELSE score_pct END AS score_pct,
+            CASE WHEN ad_no % 2 = 0 OR ad_no % 3 = 0 THEN ad_no % 3 + 1 ELSE 0 END AS revision
+        FROM ce_labels"""),
     "scene_context_update": with_parts(
         """SELECT decision_id, job_id, CASE WHEN f.label IS NULL THEN ad_id WHEN f.label = 0 THEN NULL
             ELSE concat('ad_', f.label) END AS ad_id, score FROM decisions LEFT JOIN feedback f USING (decision_id)"""),
@@ -71,8 +71,9 @@ ORACLE: dict[str, str] = {
     "pending_jobs": with_parts(
         """SELECT job_id FROM (SELECT s_suppkey AS job_id FROM supplier UNION SELECT job_id FROM jobs)
         WHERE job_id NOT IN (SELECT job_id FROM frames WHERE objects = 'tv' AND density_e4 >= 7200)"""),
-    "pending_scenes": """SELECT o_orderkey AS scene_id, o_custkey AS job_id FROM orders
-        WHERE o_orderkey NOT IN (SELECT doc_id FROM labels) ORDER BY 1""",
+    "pending_scenes": """SELECT o_orderkey AS scene_id, o_custkey AS job_id, 'missing' AS run FROM orders
+        WHERE o_orderkey NOT IN (SELECT doc_id FROM labels)
+        UNION ALL SELECT o_orderkey, o_custkey, 'forced' FROM orders WHERE o_orderkey >= 500""",
     "pending_ads": with_parts(
         """SELECT ad_id, ad_name, 'missing' AS run FROM ads WHERE tgt_vec % 3 IN (0, 1)
         UNION ALL SELECT ad_id, ad_name, 'forced' FROM ads WHERE ad_id >= 'ad_150'"""),
@@ -89,7 +90,7 @@ ORACLE: dict[str, str] = {
         WHERE rn <= 12 GROUP BY doc_id) USING (doc_id)""",
     "parsed_scores": with_parts(
         """SELECT scene_id, ad_id, round(score, 6) AS score FROM (SELECT scene_id, ad_id, TRY_CAST(trim(raw, ' ' || chr(10)) AS DOUBLE) AS score FROM (
-        SELECT scene_id, ad_id, CASE ad_id % 7 WHEN 0 THEN concat(' ', CAST(score_pct / 100.0::DOUBLE AS VARCHAR), chr(10))
+        SELECT scene_id, ad_id, CASE ad_no % 7 WHEN 0 THEN concat(' ', CAST(score_pct / 100.0::DOUBLE AS VARCHAR), chr(10))
             WHEN 1 THEN 'n/a' WHEN 2 THEN '' WHEN 3 THEN concat('-0.', score_pct + 1) WHEN 4 THEN concat(score_pct, '.5')
             WHEN 5 THEN concat(score_pct, 'e-2') ELSE concat('0.', score_pct) END AS raw FROM ce_labels))
         WHERE score BETWEEN 0 AND 1"""),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,51 @@ from spotweave.settings import (MATCHING, RESTRICTED_CONTEXT_WORDS, UNSAFE_KEYWO
 SCENE = ["job_id", "start_ms"]
 
 
+FEW_WORDS = 64  # up to here each word is a search of its own; longer lists cost one pass over the text
+
+
+@lru_cache(maxsize=4)
+def _automaton(words: tuple[str, ...]):
+    """Aho-Corasick automaton of the words that are not empty, each with its first place in the list."""
+    import ahocorasick
+    found = ahocorasick.Automaton()
+    for place, word in enumerate(words):
+        if word and word not in found:
+            found.add_word(word, place)
+    found.make_automaton()
+    return found
+
+
+def _first_listed(words: tuple[str, ...]) -> Callable[[Column], Column]:
+    """The first listed word a text contains, in one pass over the text."""
+    blank = words.index("") if "" in words else len(words)
+
+    @F.pandas_udf("string")
+    def first(texts: pd.Series) -> pd.Series:
+        automaton = _automaton(words)
+
+        def of(text: str | None) -> str | None:
+            if text is None:
+                return None
+            place = min((p for _, p in automaton.iter(text)), default=blank) if len(automaton) else blank
+            return words[min(place, blank)] if min(place, blank) < len(words) else None
+        return pd.Series([of(t) for t in texts], dtype=object)
+
+    return first
+
+
 def first_keyword(text: Column, words: Sequence[str]) -> Column:
     """First listed word the text contains, NULL when there is none."""
-    listed = F.array(*[F.lit(w) for w in words])
-    return F.get(F.filter(listed, lambda w: F.contains(text, w)), F.lit(0))
+    if len(words) <= FEW_WORDS:
+        return F.get(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)), F.lit(0))
+    return _first_listed(tuple(words))(text)
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    """Whether the text contains one of the words; NULL for NULL."""
+    if len(words) <= FEW_WORDS:
+        return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    return F.when(text.isNotNull(), _first_listed(tuple(words))(text).isNotNull())
 
 
 def brand_safety(texts: DataFrame, text: str, words: Sequence[str] = UNSAFE_KEYWORDS) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Range joins inside a group, hashed on (group, time bucket) so long groups split."""
+"""Range joins inside a group on levels of bucket widths.
+
+A span lives on the level whose buckets are about as wide as it is long, so it is copied a few times however long it is, and
+joins hash on (group, level, bucket). A point or a shorter span looks at its bucket on each coarser level that occurs on the other
+side. Adaptive execution splits a crowded bucket like any hot key of a plain join.
+"""
 
 from __future__ import annotations
 
@@ -7,43 +12,65 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_MS = 30_000
+BUCKET_MS = 30_000  # buckets of the lowest level
+GROWTH = 4  # buckets of a level are so many times as wide as those below
+LONGEST = 4  # a span is at most so many buckets of its level long
+
+
+def _level(start: str, end: str, bucket_ms: int) -> Column:
+    ratio = (F.col(end) - F.col(start)) / F.lit(float(LONGEST * bucket_ms))
+    return F.greatest(F.lit(0), F.ceil(F.log(float(GROWTH), F.greatest(ratio, F.lit(1.0))))).cast("int")
+
 
+def _bucket(at: str, level: Column, bucket_ms: int) -> Column:
+    return F.floor(F.col(at) / (F.lit(bucket_ms) * F.pow(F.lit(GROWTH), level))).cast("long")
 
-def _bucket(col: Column, width: int) -> Column:
-    return F.floor(col / F.lit(width)).cast("long")
+
+def _levelled(spans: DataFrame, start: str, end: str, bucket_ms: int) -> DataFrame:
+    return spans.filter(F.col(end) >= F.col(start)).withColumn("_own", _level(start, end, bucket_ms))
+
+
+def _levels(levelled: DataFrame) -> Column:
+    """The levels that occur: a handful, as each covers spans four times as long as the one below."""
+    return levelled.agg(F.collect_set("_own").alias("l")).select("l").scalar()
 
 
 def points_in(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str, start: str, end: str,
               end_open: bool = False, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Pairs with ``start <= at <= end`` (or ``< end``). Columns of both sides, names disjoint."""
-    left = points.withColumn("_bucket", _bucket(F.col(at), bucket_ms))
-    right = (spans.filter(F.col(end) >= F.col(start))
-             .withColumn("_bucket", F.explode(F.sequence(
-                 _bucket(F.col(start), bucket_ms), _bucket(F.col(end), bucket_ms)))))
+    placed = _levelled(spans, start, end, bucket_ms)
+    left = (points.withColumn("_levels", _levels(placed)).withColumn("_own", F.explode("_levels")).drop("_levels")
+            .withColumn("_bucket", _bucket(at, F.col("_own"), bucket_ms)))
+    right = placed.withColumn("_bucket", F.explode(F.sequence(
+        _bucket(start, F.col("_own"), bucket_ms), _bucket(end, F.col("_own"), bucket_ms))))
     inside = F.col(at) < F.col(end) if end_open else F.col(at) <= F.col(end)
-    return (left.join(right, [*on, "_bucket"])
-            .filter((F.col(at) >= F.col(start)) & inside).drop("_bucket"))
+    return (left.join(right, [*on, "_own", "_bucket"])
+            .filter((F.col(at) >= F.col(start)) & inside).drop("_own", "_bucket"))
 
 
 def overlapping(a: DataFrame, b: DataFrame, on: Sequence[str], a_span: tuple[str, str],
                 b_span: tuple[str, str], bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Pairs of open-ended overlap: ``a.end > b.start and a.start < b.end``.
 
-    Both spans are copied to every bucket they touch; a pair is reported only in the first
-    bucket they share.
+    A pair meets on the level of its longer span, and is reported in the first bucket the two share there. ``_longer`` says
+    which side that is (b where both are on one level), so that short spans never meet each other on a coarse level.
     """
     (a_start, a_end), (b_start, b_end) = a_span, b_span
+    left, right = _levelled(a, a_start, a_end, bucket_ms), _levelled(b, b_start, b_end, bucket_ms)
+    a_levels, b_levels = _levels(left), _levels(right)
+
+    def spread(df: DataFrame, start: str, end: str, others: Column, side: str, equal: bool, first: str) -> DataFrame:
+        """Copies on its own level as the longer one, and on the coarser levels of the other side as the shorter one."""
+        coarser = F.filter("_others", lambda n: (n >= F.col("_own")) if equal else (n > F.col("_own")))
+        asks = F.concat(F.array(F.struct(F.lit(side).alias("longer"), F.col("_own").alias("level"))),
+                        F.transform(coarser, lambda n: F.struct(F.lit("b" if side == "a" else "a").alias("longer"), n.alias("level"))))
+        copies = (df.withColumn("_others", others).withColumn("_ask", F.explode(asks))
+                  .withColumns({"_longer": F.col("_ask.longer"), "_level": F.col("_ask.level")}).drop("_others", "_ask", "_own"))
+        return (copies.withColumn(first, _bucket(start, F.col("_level"), bucket_ms))
+                .withColumn("_bucket", F.explode(F.sequence(F.col(first), _bucket(end, F.col("_level"), bucket_ms)))))
 
-    def spread(df: DataFrame, start: str, end: str, first: str) -> DataFrame:
-        return (df.filter(F.col(end) >= F.col(start))
-                .withColumn(first, _bucket(F.col(start), bucket_ms))
-                .withColumn("_bucket", F.explode(F.sequence(
-                    F.col(first), _bucket(F.col(end), bucket_ms)))))
-
-    left = spread(a, a_start, a_end, "_a_first")
-    right = spread(b, b_start, b_end, "_b_first")
-    return (left.join(right, [*on, "_bucket"])
-            .filter((F.col(a_end) > F.col(b_start)) & (F.col(a_start) < F.col(b_end))
-                    & (F.col("_bucket") == F.greatest("_a_first", "_b_first")))
-            .drop("_bucket", "_a_first", "_b_first"))
+    met = spread(left, a_start, a_end, b_levels, "a", True, "_a_first").join(
+        spread(right, b_start, b_end, a_levels, "b", False, "_b_first"), [*on, "_longer", "_level", "_bucket"])
+    return (met.filter((F.col(a_end) > F.col(b_start)) & (F.col(a_start) < F.col(b_end))
+                       & (F.col("_bucket") == F.greatest("_a_first", "_b_first")))
+            .drop("_longer", "_level", "_bucket", "_a_first", "_b_first"))

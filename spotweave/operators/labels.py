@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spotweave.operators.ordered import running_total
 from spotweave.operators.skew import shuffle_hash, take_smallest
+from spotweave.session import stage
 
 
 def training_features(feedback: DataFrame, decisions: DataFrame, ads: DataFrame) -> DataFrame:
@@ -41,14 +42,14 @@ def sampled_pairs(scenes: DataFrame, ads: DataFrame, labels: DataFrame, per_scen
     Among the next (per_scene + labels of the scene) places at least ``per_scene`` are
     unlabelled, so only those are produced.
     """
-    hashed = ads.select("ad_id", shuffle_hash(F.col("ad_id"), seed).alias("_h")).withColumn("_all", F.lit(0))
+    hashed = ads.select("ad_id", shuffle_hash(seed, F.col("ad_id")).alias("_h")).withColumn("_all", F.lit(0))
     ring = running_total(hashed, ["_all"], F.floor(F.col("_h") / 1000).cast("long"), ["_h", "ad_id"], F.lit(1), "_nth")
     ring = ring.select("ad_id", (F.col("_nth") - 1).alias("_place"))
     size = ads.agg(F.count("*").alias("n")).select("n").scalar()
     done = _eligible_labels(labels, ads)
     counts = done.groupBy("scene_id").agg(F.count("*").alias("_done"))
     starts = scenes.select("scene_id").join(counts, "scene_id", "left").withColumn("_size", size).select(
-        "scene_id", "_size", F.pmod(shuffle_hash(F.col("scene_id"), seed), F.col("_size")).alias("_from"),
+        "scene_id", "_size", F.pmod(shuffle_hash(seed, F.col("scene_id")), F.col("_size")).alias("_from"),
         F.least(F.col("_size"), F.lit(per_scene) + F.coalesce("_done", F.lit(0))).alias("_span"))
     places = (starts.filter("_span > 0")
               .withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_span") - 1)))
@@ -66,7 +67,7 @@ def holdout_size(groups: DataFrame, ratio: float) -> Column:
 
 def holdout(scenes: DataFrame, ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """The held-out scene ids among distinct ``scenes`` (scene_id)."""
-    hashed = scenes.select("scene_id", shuffle_hash(F.col("scene_id"), seed).alias("_h"))
+    hashed = scenes.select("scene_id", shuffle_hash(seed, F.col("scene_id")).alias("_h"))
     return take_smallest(hashed, holdout_size(scenes, ratio), "_h", "scene_id").select("scene_id")
 
 
@@ -88,7 +89,7 @@ def training_set(labels: DataFrame, neg_ratio: int = 3, hard: bool = True, seed:
     train = labels.filter("split = 'train'")
     positive = train.filter("label = 'positive'")
     wanted = "label IN ('negative', 'ambiguous') AND score <= 0.5D" if hard else "label = 'negative'"
-    negative = train.filter(wanted).withColumn("_h", shuffle_hash(F.col("scene_id") * 8191 + F.col("ad_id"), seed))
+    negative = train.filter(wanted).withColumn("_h", shuffle_hash(seed, F.col("scene_id"), F.col("ad_id")))
     quota = positive.agg((F.count("*") * neg_ratio).alias("n")).select("n").scalar()
     return positive.unionByName(take_smallest(negative, quota, "_h", "scene_id", "ad_id").drop("_h"))
 
@@ -150,6 +151,20 @@ def metric_deltas(metrics: DataFrame, base: str = "base", tuned: str = "tuned")
     return wide.withColumn("improvement", F.round(F.col("tuned") - F.col("base"), 4))
 
 
+def evaluate_split(labels: DataFrame, scores: DataFrame, k: int = 10) -> DataFrame:
+    """Metrics of the test split per model and their improvement, with the number of scenes that count.
+
+    ``labels``: scene_id, ad_id, label, score (the relevance), split; ``scores``: model, scene_id, ad_id, score, one row per model
+    and pair. Scenes of the test split with both positives and negatives count; a pair that a model has not scored is not ranked by it.
+    """
+    test = labels.filter("split = 'test' AND label IN ('positive', 'negative')").select(
+        "scene_id", "ad_id", (F.col("label") == "positive").alias("positive"), F.col("score").alias("relevance"))
+    members = test.join(valid_scenes(test), "scene_id", "left_semi")
+    metrics = stage(rank_metrics(stage(members.join(scores, ["scene_id", "ad_id"]), "split-scores"), k), "split-metrics")
+    counted = metrics.agg(F.max("n_scenes").alias("n")).select("n").scalar()
+    return metric_deltas(metrics).withColumn("n_scenes", counted)
+
+
 def score_histogram(labels: DataFrame) -> DataFrame:
     """Ambiguous labels per 0.1 of the score (``score_pct``, half up)."""
     bucket = F.floor((F.col("score_pct") + 5) / 10).cast("long") / 10
@@ -203,21 +218,15 @@ def threshold_quality(pairs: DataFrame, thresholds: Sequence[float]) -> DataFram
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def threshold_sweep(pairs: DataFrame, thresholds: Sequence[float], base: float) -> DataFrame:
+def threshold_sweep(counts: DataFrame, base: float) -> DataFrame:
     """Candidates kept, mean similarity and drop rate against a base threshold.
 
-    ``pairs``: sim and weight (how many scenes share the pair).
+    ``counts``: threshold, kept and sim_sum, the base threshold among them (see similarity.threshold_counts).
     """
-    aggs = []
-    for i, t in enumerate(thresholds):
-        kept = F.col("sim") >= t
-        aggs += [F.coalesce(F.sum(F.when(kept, F.col("weight"))), F.lit(0)).alias(f"kept_{i}"),
-                 F.sum(F.when(kept, F.col("weight") * F.col("sim"))).alias(f"sum_{i}")]
-    one = pairs.agg(*aggs, F.sum(F.when(F.col("sim") >= base, F.col("weight"))).alias("base_kept"))
-    rows = _per_threshold(thresholds, kept=lambda i, t: F.col(f"kept_{i}"),
-                          avg_sim=lambda i, t: F.col(f"sum_{i}") / F.col(f"kept_{i}"),
-                          drop_rate=lambda i, t: F.lit(1.0) - F.col(f"kept_{i}") / F.col("base_kept"))
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    base_kept = counts.filter(F.col("threshold") == base).select("kept").scalar()
+    share = F.when(base_kept > 0, F.col("kept") / base_kept)
+    return counts.select("threshold", "kept", F.when(F.col("kept") > 0, F.col("sim_sum") / F.col("kept")).alias("avg_sim"),
+                         (F.lit(1.0) - share).alias("drop_rate"))
 
 
 def similarity_stats(decisions: DataFrame) -> DataFrame:

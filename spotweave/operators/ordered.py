@@ -7,7 +7,7 @@ takes part in the group-wide step.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,16 +36,22 @@ def with_previous(df: DataFrame, group: Sequence[str], chunk: Column, order: Seq
 def running_total(df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence[str],
                   value: Column, name: str) -> DataFrame:
     """Add the running sum of an integer expression over the group's order."""
-    rows = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    return running_totals(df, group, chunk, order, {name: value})
+
+
+def running_totals(df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence[str],
+                   values: Mapping[str, Column]) -> DataFrame:
+    """Add several running sums at once, by the name of their column."""
+    rows = df.withColumn("_chunk", chunk).withColumns({f"_v_{n}": v for n, v in values.items()})
     inside = (Window.partitionBy(*group, "_chunk").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     earlier = (Window.partitionBy(*group).orderBy("_chunk")
                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = _chunks(rows, group, [F.sum("_value").alias("_sum")]).select(
-        *group, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    joined = (rows.withColumn("_inside", F.sum("_value").over(inside))
+    offsets = _chunks(rows, group, [F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values]).select(
+        *group, "_chunk", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in values])
+    joined = (rows.withColumns({f"_i_{n}": F.sum(f"_v_{n}").over(inside) for n in values})
               .join(offsets, [*group, "_chunk"], "left"))
-    return joined.select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(name))
+    return joined.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in values])
 
 
 def running_max_before(df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence[str],

@@ -1,52 +1,166 @@
-"""Context-to-ad similarity as a blocked matrix product.
+"""Context-to-ad similarity as a blocked matrix product with bounds.
 
-Contexts and ads are hashed into blocks; every (context block, ad block) pair is one co-group whose product
-is a dense numpy call. Scenes that differ in nothing that admits ads are one class, and only a class's
-first few ads of a block leave the task, so the scene x ad product never exists, neither as rows nor as lists.
+Ads are blocked by direction: each goes to the most similar of a few pivots, and a block is known by its pivot, the angle
+that holds all its members and its longest vector. From these follows the most a context can reach in a block, so contexts are
+sent only to blocks that can admit something. Scenes that differ in nothing that admits ads are one class; classes travel with their
+context, and only a class's first few ads of a block leave the task, so the scene x ad product never exists.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotweave.session import stage
 from spotweave.settings import MATCHING, MatchSettings
 
-CONTEXT_BLOCK = 8192
-TARGET_BLOCK = 1024
+CONTEXT_BLOCK = 16_384  # contexts in one co-group
+CONTEXT_GRAIN = 64  # fewer contexts than this are not worth a task of their own
+TARGET_BLOCK = 16_384  # ads in one block
+MAX_PIVOTS = 1024  # vectors the driver holds to deal the ads by direction
+MAX_BLOCKS = 16_384  # blocks the driver knows; larger inventories have larger blocks
+SLICE_CELLS = 1 << 21  # similarities a task holds at once
+FIRST_BLOCKS = 4  # blocks a context visits before its classes have a floor
+SLACK = 1e-9  # for rounding in bounds
 
-_CLASS_SCHEMA = ("class_id BIGINT, ids ARRAY<STRING>, sims ARRAY<DOUBLE>, n_kept BIGINT, sim_sum DOUBLE, best_sim DOUBLE")
+_CONTEXT = ["ctx_vec", "desire_vec"]
+_CLASSES = "classes ARRAY<STRUCT<class_id: BIGINT, threshold: DOUBLE, gate_open: BOOLEAN, fit_ms: BIGINT>>"
+_CLASS_SCHEMA = "class_id BIGINT, ids ARRAY<STRING>, sims ARRAY<DOUBLE>, n_kept BIGINT, sim_sum DOUBLE, best_sim DOUBLE"
 _PAIR_SCHEMA = "ctx_vec BIGINT, desire_vec BIGINT, ad_id STRING, sim DOUBLE"
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+class Blocks(NamedTuple):
+    """Ads with their ``tgt_block``; for the driver the blocks' numbers, pivots, angles and longest vectors."""
 
+    targets: DataFrame
+    ids: np.ndarray
+    pivots: np.ndarray | None
+    angles: np.ndarray
+    norms: np.ndarray
 
-def _blend(left: pd.DataFrame, targets: np.ndarray, cfg: MatchSettings) -> np.ndarray:
-    """Similarities of contexts to the columns of ``targets``, blended where a desire is known."""
-    sims = np.clip(_stack(left["ctx_emb"]) @ targets, 0.0, 1.0)
-    wanted = left["desire_emb"].notna().to_numpy()
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of a list column without its nulls, one per row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = len(column) - column.null_count
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    norms = np.sqrt((vectors * vectors).sum(axis=1))
+    return vectors / np.where(norms > 0, norms, 1.0)[:, None], norms
+
+
+def blocked(targets: DataFrame, n_targets: int, size: int | None = None) -> Blocks:
+    """Deal ads (ad_id, tgt_emb, ...) into blocks of about ``size`` by direction.
+
+    The pivots are a hash sample of at most ``MAX_PIVOTS`` ads; any pivots give the same matches. A crowded cell is
+    split by the hash of the id, so a block stays bounded however many ads share a direction.
+    """
+    size = max(size or TARGET_BLOCK, math.ceil(n_targets / MAX_BLOCKS))
+    cells = min(MAX_PIVOTS, math.ceil(n_targets / size))
+    if cells <= 1:
+        return Blocks(targets.withColumn("tgt_block", F.lit(0).cast("long")), np.zeros(1, np.int64), None, np.zeros(1), np.ones(1))
+    chosen = targets.select("tgt_emb").orderBy(F.xxhash64("ad_id"), "ad_id").limit(cells).toArrow()
+    pivots = _unit(_matrix(chosen.column("tgt_emb")))[0]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit, norms = _unit(_matrix(batch.column("tgt_emb")))
+            near = unit @ pivots.T if len(unit) else np.zeros((0, cells))
+            cell = near.argmax(axis=1)
+            cosine = near[np.arange(len(cell)), cell]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int64)), pa.array(cosine), pa.array(norms)],
+                                             names=[*batch.schema.names, "_cell", "_cos", "_norm"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in targets.schema.fields)
+    dealt = stage(targets.mapInArrow(deal, f"{fields}, _cell long, _cos double, _norm double"), "ad-cells")
+    sizes = dealt.groupBy("_cell").agg(F.ceil(F.count("*") / size).cast("long").alias("_parts"))
+    placed = dealt.join(F.broadcast(sizes), "_cell").withColumn(
+        "tgt_block", F.col("_cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("ad_id"), "_parts"))  # one row per pivot is broadcast
+    known = placed.groupBy("tgt_block").agg(F.min("_cos").alias("cos"), F.max("_norm").alias("norm")).orderBy("tgt_block").toArrow()
+    ids = known.column("tgt_block").to_numpy()
+    return Blocks(placed.select(*targets.columns, "tgt_block"), ids, pivots[ids >> 32],
+                  np.arccos(np.clip(known.column("cos").to_numpy(), -1.0, 1.0)), known.column("norm").to_numpy())
+
+
+def _reach(vectors: np.ndarray, blocks: Blocks) -> np.ndarray:
+    """The most that each vector's similarity can be in each block."""
+    if blocks.pivots is None:
+        return np.ones((len(vectors), 1))
+    unit, norms = _unit(vectors)
+    angle = np.arccos(np.clip(unit @ blocks.pivots.T, -1.0, 1.0)) - blocks.angles
+    return np.clip(np.cos(np.maximum(angle, 0.0)) * norms[:, None] * blocks.norms + SLACK, 0.0, 1.0)
+
+
+def visits(contexts: DataFrame, blocks: Blocks, cfg: MatchSettings = MATCHING) -> DataFrame:
+    """(ctx_vec, desire_vec, tgt_block, bound, visit): blocks where a context can reach its ``floor``, best bound first (visit 0).
+
+    ``contexts``: ctx_vec, desire_vec, ctx_emb, desire_emb, floor, the smallest similarity that counts.
+    """
+    blocks = blocks._replace(targets=None)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bound, wanted = _reach(_matrix(batch.column("ctx_emb")), blocks), batch.column("desire_emb").is_valid().to_numpy(zero_copy_only=False)
+            if wanted.any():
+                bound[wanted] = cfg.context_weight * bound[wanted] + cfg.desire_weight * _reach(_matrix(batch.column("desire_emb")), blocks)
+            order = np.argsort(-bound, axis=1, kind="stable")
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.arange(bound.shape[1])[None, :], axis=1)
+            i, j = np.nonzero(bound + SLACK >= batch.column("floor").to_numpy()[:, None])
+            yield pa.RecordBatch.from_arrays([batch.column("ctx_vec").take(pa.array(i)), batch.column("desire_vec").take(pa.array(i)),
+                                              pa.array(blocks.ids[j]), pa.array(bound[i, j] + SLACK), pa.array(rank[i, j])],
+                                             names=[*_CONTEXT, "tgt_block", "bound", "visit"])
+
+    return contexts.select(*_CONTEXT, "ctx_emb", "desire_emb", F.col("floor").cast("double").alias("floor")).mapInArrow(
+        work, "ctx_vec long, desire_vec long, tgt_block long, bound double, visit long")
+
+
+def _meet(contexts: DataFrame, n_contexts: int, blocks: Blocks, product, schema: str) -> DataFrame:
+    """Contexts with a ``tgt_block`` and the ads of that block in co-groups of bounded size."""
+    session = contexts.sparkSession
+    wide = 2 * session.sparkContext.defaultParallelism // len(blocks.ids)
+    parts = max(1, math.ceil(n_contexts / CONTEXT_BLOCK), min(math.ceil(n_contexts / CONTEXT_GRAIN), wide))
+    left = contexts.withColumn("ctx_block", F.pmod(F.xxhash64(*_CONTEXT), F.lit(parts)).cast("int"))
+    asked = left.select(F.col("ctx_block").alias("_asked"), F.col("tgt_block").alias("_of")).distinct()
+    right = blocks.targets.join(asked, F.col("tgt_block") == F.col("_of")).withColumn("ctx_block", F.col("_asked")).drop("_asked", "_of")
+    return left.groupBy("ctx_block", "tgt_block").cogroup(right.groupBy("ctx_block", "tgt_block")).applyInArrow(product, schema)
+
+
+def _slices(left: pa.Table, right: pa.Table, cfg: MatchSettings) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, similarities) of a few contexts at a time with all ads of the block, blended where a desire is known."""
+    if not left.num_rows or not right.num_rows:
+        return
+    targets, contexts = _matrix(right.column("tgt_emb")).T, _matrix(left.column("ctx_emb"))
+    wanted = left.column("desire_emb").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+    desires = np.zeros_like(contexts)
     if wanted.any():
-        desire = np.clip(_stack(left.loc[wanted, "desire_emb"]) @ targets, 0.0, 1.0)
-        sims[wanted] = cfg.context_weight * sims[wanted] + cfg.desire_weight * desire
-    return sims
+        desires[wanted] = _matrix(left.column("desire_emb"))
+    step = max(1, SLICE_CELLS // targets.shape[1])
+    for at in range(0, len(contexts), step):
+        sims, blend = np.clip(contexts[at:at + step] @ targets, 0.0, 1.0), wanted[at:at + step]
+        if blend.any():
+            sims[blend] = cfg.context_weight * sims[blend] + cfg.desire_weight * np.clip(desires[at:at + step][blend] @ targets, 0.0, 1.0)
+        yield at, sims
+
 
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"BIGINT": pa.int64(), "DOUBLE": pa.float64(), "STRING": pa.string(), "ARRAY<STRING>": pa.list_(pa.string()), "ARRAY<DOUBLE>": pa.list_(pa.float64())}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, ddl.split(", "))])
 
-def _in_blocks(left: DataFrame, right: DataFrame, key: Sequence[str], n_left: int, n_right: int) -> tuple:
-    """Both sides hashed into blocks of bounded size, each block sent to every block of the other side."""
-    a = max(1, math.ceil(n_left / CONTEXT_BLOCK))
-    b = max(1, math.ceil(n_right / TARGET_BLOCK))
-    left = (left.withColumn("ctx_block", F.pmod(F.xxhash64(*key), F.lit(a)).cast("int"))
-            .withColumn("tgt_block", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))))
-    right = (right.withColumn("tgt_block", F.pmod(F.xxhash64("ad_id"), F.lit(b)).cast("int"))
-             .withColumn("ctx_block", F.explode(F.sequence(F.lit(0), F.lit(a - 1)))))
-    return left.groupBy("ctx_block", "tgt_block"), right.groupBy("ctx_block", "tgt_block")
+
+def _floored(contexts: DataFrame, floor: float) -> DataFrame:
+    return contexts.withColumn("floor", F.lit(float(floor)))
 
 
 def matched_pairs(contexts: DataFrame, targets: DataFrame, min_sim: float, cfg: MatchSettings = MATCHING,
@@ -57,52 +171,116 @@ def matched_pairs(contexts: DataFrame, targets: DataFrame, min_sim: float, cfg:
     ``targets``: ad_id, tgt_emb. The result grows with the pairs above the floor, which the caller chooses; the
     row numbers size the blocks and are counted if not given.
     """
-    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["ctx_vec", "desire_vec", "ad_id", "sim"])
-        sims = _blend(left, _stack(right["tgt_emb"]).T, cfg)
-        i, j = np.nonzero(sims >= min_sim)
-        return pd.DataFrame({"ctx_vec": left["ctx_vec"].to_numpy()[i], "desire_vec": left["desire_vec"].to_numpy()[i],
-                             "ad_id": right["ad_id"].to_numpy()[j], "sim": sims[i, j]})
-
-    left, right = _in_blocks(contexts, targets.select("ad_id", "tgt_emb"), ["ctx_vec", "desire_vec"],
-                             contexts.count() if n_contexts is None else n_contexts,
-                             targets.count() if n_targets is None else n_targets)
-    return left.cogroup(right).applyInPandas(product, _PAIR_SCHEMA)
-
-
-def class_matches(classes: DataFrame, targets: DataFrame, k: int, cfg: MatchSettings = MATCHING,
-                  n_classes: int | None = None, n_targets: int | None = None) -> DataFrame:
-    """The first ``k`` ads of every scene class within each ad block, and counts over all it admits.
-
-    ``classes``: class_id, threshold, gate_open, fit_ms and the context columns; ``targets``: ad_id, tgt_emb, needs_ms
-    (scene length a clip needs, else 0), gated. One row per class and ad block leaves a task: at most k
-    ads by similarity, then id, with the number, sum and maximum of all admitted similarities.
-    """
-    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["class_id", "ids", "sims", "n_kept", "sim_sum", "best_sim"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=names)
-        right = right.sort_values("ad_id", kind="stable")
-        ids, needs, gated = right["ad_id"].to_numpy(), right["needs_ms"].to_numpy(), right["gated"].to_numpy(bool)
-        # Classes of one context share its similarities.
-        left = left.sort_values(["ctx_vec", "desire_vec"], kind="stable").reset_index(drop=True)
-        first = ~left.duplicated(["ctx_vec", "desire_vec"])
-        sims = _blend(left[first].reset_index(drop=True), _stack(right["tgt_emb"]).T, cfg)
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        for class_id, at, threshold, gate, fit in zip(left["class_id"], np.cumsum(first) - 1, left["threshold"], left["gate_open"], left["fit_ms"]):
-            row = sims[at]
-            hit = np.flatnonzero((row >= threshold) & (needs <= fit) & (~gated | bool(gate)))
-            if len(hit):
-                found = row[hit]
-                head = hit[np.argsort(-found, kind="stable")[:k]]
-                rows.append((class_id, ids[head], row[head], len(hit), found.sum(), found.max()))
-        return pd.DataFrame(rows, columns=names)
-
-    left, right = _in_blocks(classes, targets, ["ctx_vec", "desire_vec"],
-                             classes.count() if n_classes is None else n_classes,
-                             targets.count() if n_targets is None else n_targets)
-    return left.cogroup(right).applyInPandas(product, _CLASS_SCHEMA)
+        for at, sims in _slices(left, right, cfg):
+            i, j = np.nonzero(sims >= min_sim)
+            rows.append((i + at, j, sims[i, j]))
+        i, j, found = (np.concatenate(x) for x in zip(*rows)) if rows else (np.array([], int),) * 2 + (np.array([], float),)
+        return pa.Table.from_arrays([left.column("ctx_vec").take(pa.array(i)), left.column("desire_vec").take(pa.array(i)),
+                                     right.column("ad_id").take(pa.array(j)), pa.array(found)], schema=_schema(_PAIR_SCHEMA))
+
+    n_contexts = contexts.count() if n_contexts is None else n_contexts
+    blocks = blocked(targets.select("ad_id", "tgt_emb"), targets.count() if n_targets is None else n_targets)
+    asked = contexts.join(visits(_floored(contexts, min_sim), blocks, cfg).select(*_CONTEXT, "tgt_block"), _CONTEXT)
+    return _meet(asked, n_contexts, blocks, product, _PAIR_SCHEMA)
+
+
+def threshold_counts(contexts: DataFrame, targets: DataFrame, thresholds: Sequence[float], cfg: MatchSettings = MATCHING) -> DataFrame:
+    """(threshold, kept, sim_sum) over all pairs of contexts and ads, a context counting ``weight`` times; pairs stay in their task.
+
+    ``contexts`` as for :func:`matched_pairs` with a long ``weight``. Thresholds above 0; one that no pair reaches has kept 0.
+    """
+    wanted = sorted(set(map(float, thresholds)))
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        kept, total = [0] * len(wanted), [0.0] * len(wanted)
+        weights = left.column("weight").to_numpy() if left.num_rows else np.zeros(0, np.int64)
+        for at, sims in _slices(left, right, cfg):
+            weight = weights[at:at + len(sims)]
+            for n, threshold in enumerate(wanted):
+                hit = sims >= threshold
+                kept[n] += int(hit.sum(axis=1) @ weight)
+                total[n] += float(np.where(hit, sims, 0.0).sum(axis=1) @ weight)
+        return pa.table({"threshold": wanted, "kept": pa.array(kept, pa.int64()), "sim_sum": total})
+
+    n_contexts, blocks = contexts.count(), blocked(targets.select("ad_id", "tgt_emb"), targets.count())
+    asked = contexts.join(visits(_floored(contexts, wanted[0]), blocks, cfg).select(*_CONTEXT, "tgt_block"), _CONTEXT)
+    found = _meet(asked, n_contexts, blocks, product, "threshold DOUBLE, kept BIGINT, sim_sum DOUBLE")
+    every = contexts.sparkSession.createDataFrame([(t, 0, 0.0) for t in wanted], "threshold double, kept long, sim_sum double")
+    return found.unionByName(every).groupBy("threshold").agg(F.sum("kept").alias("kept"), F.sum("sim_sum").alias("sim_sum"))
+
+
+def class_matches(contexts: DataFrame, classes: DataFrame, targets: DataFrame, k: int, cfg: MatchSettings = MATCHING,
+                  totals: bool = True) -> DataFrame:
+    """The first ``k`` ads of every scene class within each ad block, and counts over what it admits there.
+
+    ``contexts``: ctx_vec, desire_vec and the vectors; ``classes``: class_id, ctx_vec, desire_vec, threshold, gate_open, fit_ms;
+    ``targets``: ad_id, tgt_emb, needs_ms (scene length a clip needs, else 0), gated. One row per class and ad block leaves a task: at
+    most k ads by similarity, then id, with the number, sum and maximum of all admitted similarities.
+
+    Blocks that cannot reach a context's lowest threshold are skipped. Without ``totals`` only the k best ads over all blocks are
+    complete: a context visits its ``FIRST_BLOCKS`` most promising blocks, and afterwards only those that can reach the k-th best of
+    one of its classes.
+    """
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("ad_id")
+        ids, sizes, picked, sims_picked, n_kept, sums, best = [], [], [], [], [], [], []
+        if left.num_rows and right.num_rows:
+            needs, gated = right.column("needs_ms").to_numpy(), right.column("gated").to_numpy().astype(bool)
+            lists = left.column("classes").combine_chunks()
+            cuts, flat = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))), lists.flatten()
+            class_ids, floors, opens, fits = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("class_id", "threshold", "gate_open", "fit_ms"))
+        for at, sims in _slices(left, right, cfg):
+            for row, values in enumerate(sims, start=at):
+                own = slice(cuts[row], cuts[row + 1])
+                hit = np.flatnonzero(values >= floors[own].min())
+                hit = hit[np.argsort(-values[hit], kind="stable")]
+                found = values[hit]
+                # All classes of the context at once: admitted is a class by ad matrix, the ads by falling similarity.
+                reach = np.searchsorted(-found, -floors[own], side="right")
+                admitted = (needs[hit] <= fits[own][:, None]) & (opens[own].astype(bool)[:, None] | ~gated[hit]) & (np.arange(len(hit)) < reach[:, None])
+                count = admitted.sum(axis=1)
+                of, place = np.nonzero(admitted)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                head, some = nth < k, count > 0
+                ids.append(class_ids[own][some])
+                sizes.append(np.minimum(count[some], k))
+                picked.append(hit[place[head]])
+                sims_picked.append(found[place[head]])
+                n_kept.append(count[some])
+                sums.append((admitted @ found)[some])
+                best.append(found[place[nth == 0]])
+        if not ids:
+            return _schema(_CLASS_SCHEMA).empty_table()
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(sizes)))), pa.int32())
+        names = right.column("ad_id").combine_chunks().take(pa.array(np.concatenate(picked)))
+        return pa.Table.from_arrays([
+            pa.array(np.concatenate(ids)), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sims_picked))),
+            pa.array(np.concatenate(n_kept).astype(np.int64)), pa.array(np.concatenate(sums)), pa.array(np.concatenate(best))], schema=_schema(_CLASS_SCHEMA))
+
+    def meet(asks: DataFrame, floored: DataFrame) -> DataFrame:
+        nested = floored.groupBy(*_CONTEXT).agg(F.collect_list(F.struct("class_id", "threshold", "gate_open", "fit_ms")).cast(
+            _CLASSES.split(" ", 1)[1]).alias("classes"))
+        rows = asks.select(*_CONTEXT, "tgt_block").join(contexts.join(nested, _CONTEXT), _CONTEXT)
+        return _meet(rows, n_contexts, blocks, product, _CLASS_SCHEMA)
+
+    n_contexts, blocks = contexts.count(), blocked(targets, targets.count())
+    lowest = classes.groupBy(*_CONTEXT).agg(F.min("threshold").alias("floor"))
+    asks = visits(contexts.join(lowest, _CONTEXT), blocks, cfg)
+    if totals or len(blocks.ids) <= FIRST_BLOCKS:
+        return meet(asks, classes)
+    asks = stage(asks, "visits")
+    first = stage(meet(asks.filter(F.col("visit") < FIRST_BLOCKS), classes), "first-visits")
+    # A class with k ads so far needs no less than the k-th of them.
+    sims = first.select("class_id", F.explode("sims").alias("sim"))
+    order = Window.partitionBy("class_id").orderBy(F.desc("sim"))
+    kth = (sims.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).filter(F.col("_n") == k)
+           .select("class_id", F.col("sim").alias("_kth")))
+    floored = stage(classes.join(kth, "class_id", "left").withColumn("threshold", F.greatest("threshold", "_kth")).drop("_kth"), "floors")
+    needed = floored.groupBy(*_CONTEXT).agg(F.min("threshold").alias("floor"))
+    later = asks.filter(F.col("visit") >= FIRST_BLOCKS).join(needed, _CONTEXT).filter(F.col("bound") >= F.col("floor"))
+    return first.unionByName(meet(later, floored))
 
 
 def pair_similarity(contexts: DataFrame, targets: DataFrame, min_sim: float,

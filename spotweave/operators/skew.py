@@ -41,6 +41,7 @@ def take_smallest(df: DataFrame, size: Column, major: str, *minor: str) -> DataF
     return below.unionByName(at_cut)
 
 
-def shuffle_hash(ids: Column, seed: int) -> Column:
-    """Arithmetic stand-in for a random draw: reproducible and bounded below 1,000,003."""
-    return F.pmod(ids * F.lit(7919) + F.lit(seed), F.lit(1_000_003))
+def shuffle_hash(seed: int, *ids: Column) -> Column:
+    """Stand-in for a random draw from ids of any type: reproducible and bounded below 1,000,003."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *[c.cast("string") for c in ids]))
+    return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.lit(1_000_003))

@@ -80,7 +80,7 @@ def pending_jobs(jobs: DataFrame, outputs: DataFrame, done: str | None = None) -
     return jobs.join(finished.select("job_id").distinct(), "job_id", "left_anti")
 
 
-def pending_rows(rows: DataFrame, key: str, filled: str, force: bool = False, start: str | None = None) -> DataFrame:
+def pending_rows(rows: DataFrame, key: str, filled: str, force: bool = False, start: int | str | None = None) -> DataFrame:
     """Rows to work on, in key order: those whose ``filled`` column is NULL or empty; with ``force`` all rows, from ``start`` on."""
     if not force:
         rows = rows.filter(F.col(filled).isNull() | (F.col(filled) == ""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spotweave.operators.frames import frame_features
 from spotweave.plans.placement_plan import Inputs, PlacementPlan, PlanSettings
 from spotweave.settings import MatchSettings, SegmentationSettings
 from spotweave.sources import fixtures as fx
@@ -22,9 +23,17 @@ class FixturePlan(PlacementPlan):
         return self._once("frames", lambda: self.inputs.frames)
 
 
-def fixture_plan(spark: SparkSession, d: str, settings: PlanSettings = SETTINGS) -> FixturePlan:
+def detected_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Density, objects and safe area of every frame as its detections give them."""
+    boxes = fx.detections(spark, d)
+    return frame_features(boxes, boxes, fx.frame_signals(spark, d), fx.jobs(spark, d), 1280, 720).select(
+        "job_id", "frame_index", "ts_ms", "density_e4", "objects", "safe_x", "safe_y", "safe_w", "safe_h")
+
+
+def fixture_plan(spark: SparkSession, d: str, settings: PlanSettings = SETTINGS, detected: bool = False) -> FixturePlan:
+    """The plan over stored frame features or, with ``detected``, over those worked out from detections."""
     return FixturePlan(Inputs(
-        info=fx.jobs(spark, d), segments=fx.transcript(spark, d), frames=fx.frames(spark, d),
+        info=fx.jobs(spark, d), segments=fx.transcript(spark, d), frames=detected_frames(spark, d) if detected else fx.frames(spark, d),
         silence=fx.silence(spark, d), ads=fx.ads(spark, d), vectors=fx.vectors(spark, d),
         category_vectors=fx.category_vectors(spark, d), narratives=fx.narratives(spark, d),
         desires=fx.desires(spark, d), narrative_ids=fx.narrative_ids(spark, d), pair_scores=fx.pair_scores(spark, d)), settings)

@@ -106,7 +106,10 @@ class PlacementPlan:
         return self.context_ids().count()
 
     def contexts(self) -> DataFrame:
-        """Distinct contexts with their vectors."""
+        """Distinct contexts with their vectors, written as every product reads them twice."""
+        return self._once("context-vectors", self._contexts)
+
+    def _contexts(self) -> DataFrame:
         i, distinct = self.inputs, self.context_ids()
         ctx = i.vectors.select(F.col("vec_id").alias("ctx_vec"), F.col("embedding").alias("ctx_emb"))
         desire = i.vectors.select(F.col("vec_id").alias("desire_vec"), F.col("embedding").alias("desire_emb"))
@@ -128,18 +131,20 @@ class PlacementPlan:
 
     def class_matches(self) -> DataFrame:
         """First ads and totals of every scene class, per ad block."""
-        def build() -> DataFrame:
-            m, classes = self.settings.matching, cand.scene_classes(self.placed_scenes())
-            return class_matches(classes.join(self.contexts(), ["ctx_vec", "desire_vec"]), self.targets(), m.top_similar, m,
-                                 classes.count())
-        return self._once("matches", build)
+        return self._once("matches", lambda: self._matches(totals=True))
+
+    def _matches(self, totals: bool) -> DataFrame:
+        m = self.settings.matching
+        return class_matches(self.contexts(), cand.scene_classes(self.placed_scenes()), self.targets(), m.top_similar, m, totals)
 
     def admitted(self) -> DataFrame:
         """Scenes with the number, sum and best of their admitted similarities."""
         return self.placed_scenes().join(cand.class_totals(self.class_matches()), "class_id")
 
     def class_top(self) -> DataFrame:
-        top = cand.class_top(self.class_matches(), self.settings.matching.top_similar)
+        """First ads of every scene class; ad blocks that cannot hold one of them are not visited."""
+        found = self._once("tops", lambda: self._matches(totals=False))
+        top = cand.class_top(found, self.settings.matching.top_similar)
         return top.join(cand.scene_classes(self.placed_scenes()).select("class_id", "ctx_vec"), "class_id")
 
     def top_similar(self) -> DataFrame:

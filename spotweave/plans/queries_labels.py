@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.text import label_band
 from spotweave.operators import labels as lb
+from spotweave.operators.similarity import threshold_counts
 from spotweave.plans.fixture_plan import fixture_plan
 from spotweave.plans.registry import query
 from spotweave.session import stage
@@ -14,7 +15,7 @@ from spotweave.sources import fixtures as fx
 
 def _scored_labels(spark, d):
     score = F.expr("score_pct / 100D")
-    return fx.ce_labels(spark, d).select("scene_id", "ad_id", "score_pct", "model_score_i", score.alias("score"),
+    return fx.ce_labels(spark, d).select("scene_id", "ad_id", "ad_no", "score_pct", "model_score_i", score.alias("score"),
                                          label_band(score).alias("label"))
 
 
@@ -38,7 +39,7 @@ def _label_scenes(spark, d):
 
 def _label_ads(spark, d):
     rows = fx.table(spark, d, "part").selectExpr(
-        "p_partkey AS ad_id", "CASE p_partkey % 10 WHEN 0 THEN NULL WHEN 5 THEN '' ELSE p_name END AS narrative")
+        "concat('ad_', CAST(p_partkey AS STRING)) AS ad_id", "CASE p_partkey % 10 WHEN 0 THEN NULL WHEN 5 THEN '' ELSE p_name END AS narrative")
     return rows.filter("narrative <> ''").select("ad_id")
 
 
@@ -79,16 +80,20 @@ def q_holdout(spark, d):
     return lb.holdout(lb.valid_scenes(_eval_labels(spark, d)))
 
 
+def _model_scores(rows):
+    """Score of each pair by either model: (model, scene_id, ad_id, score)."""
+    models = F.array(F.struct(F.lit("base").alias("model"), (F.col("model_score_i") / 1009).alias("s")),
+                     F.struct(F.lit("tuned").alias("model"),
+                              ((F.col("score_pct") * 5 + F.col("model_score_i")) / 1514).alias("s")))
+    return rows.select("scene_id", "ad_id", F.explode(models).alias("m")).select("m.model", "scene_id", "ad_id", F.col("m.s").alias("score"))
+
+
 @query("rank_metrics")
 def q_metrics(spark, d):
     """Base and tuned model on the held-out scenes, with the improvement."""
     labels = _eval_labels(spark, d)
     held = labels.join(lb.holdout(lb.valid_scenes(labels)), "scene_id", "left_semi")
-    models = F.array(F.struct(F.lit("base").alias("model"), (F.col("model_score_i") / 1009).alias("s")),
-                     F.struct(F.lit("tuned").alias("model"),
-                              ((F.col("score_pct") * 5 + F.col("model_score_i")) / 1514).alias("s")))
-    scored = held.select("scene_id", "ad_id", "positive", F.col("score").alias("relevance"), F.explode(models).alias("m"))
-    scored = scored.select("scene_id", "ad_id", "positive", "relevance", "m.model", F.col("m.s").alias("score"))
+    scored = held.select("scene_id", "ad_id", "positive", F.col("score").alias("relevance")).join(_model_scores(held), ["scene_id", "ad_id"])
     return lb.metric_deltas(lb.rank_metrics(stage(scored, "model-scores")))
 
 
@@ -99,7 +104,7 @@ def q_histogram(spark, d):
 
 @query("relabel_band")
 def q_relabel(spark, d):
-    rows = _split_labels(spark, d).withColumn("trained", F.expr("CASE WHEN ad_id % 2 = 0 THEN 1 END"))
+    rows = _split_labels(spark, d).withColumn("trained", F.expr("CASE WHEN ad_no % 2 = 0 THEN 1 END"))
     return lb.relabel_band(rows).select("scene_id", "ad_id", "label", "split", "trained")
 
 
@@ -117,6 +122,20 @@ def q_run(spark, d):
     return lb.training_run(rows, lb.training_set(rows))
 
 
+@query("trained_marks")
+def q_marks(spark, d):
+    """Labels after a run, whose number marks the rows of the train split."""
+    rows = _split_labels(spark, d).withColumn("trained", F.expr("CASE WHEN ad_no % 2 = 0 THEN 1L END"))
+    return lb.mark_trained(rows, F.lit(2).cast("long")).select("scene_id", "ad_id", "split", "trained")
+
+
+@query("test_evaluation")
+def q_test_evaluation(spark, d):
+    """Base and tuned model on the test split, from the split to the improvement in one plan; scores come as a table of their own."""
+    scores = _model_scores(fx.ce_labels(spark, d))
+    return lb.evaluate_split(_split_labels(spark, d), scores)
+
+
 @query("threshold_quality")
 def q_quality(spark, d):
     pairs = _scored_labels(spark, d).select((F.col("model_score_i") / 1009).alias("similarity"), "label")
@@ -127,10 +146,11 @@ def q_quality(spark, d):
 
 @query("threshold_sweep")
 def q_sweep(spark, d):
+    """Scene x ad pairs above each threshold, counted inside the block product."""
     plan = fixture_plan(spark, d)
-    scenes = plan.scenes().groupBy("ctx_vec", "desire_vec").agg(F.count("*").alias("weight"))
-    pairs = plan.matched_pairs().join(scenes, ["ctx_vec", "desire_vec"])
-    rows = lb.threshold_sweep(pairs, (0.10, 0.12, 0.15, 0.20), 0.12)
+    weights = plan.scenes().groupBy("ctx_vec", "desire_vec").agg(F.count("*").alias("weight"))
+    counts = threshold_counts(plan.contexts().join(weights, ["ctx_vec", "desire_vec"]), plan.targets(), (0.10, 0.12, 0.15, 0.20))
+    rows = lb.threshold_sweep(stage(counts, "threshold-counts"), 0.12)
     return rows.select("threshold", "kept", F.round("avg_sim", 6).alias("avg_sim"), F.round("drop_rate", 6).alias("drop_rate"))
 
 

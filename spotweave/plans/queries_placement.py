@@ -131,27 +131,45 @@ def _windows(condition: Column) -> Column:
 _PER_REQUEST = ("job_id", "start_ms", "window_ms", "ad_w")
 
 
-@query("window_density")
-def q_density(spark, d):
-    """Density classes of the windows of each request."""
-    f, p = fixture_plan(spark, d).features(), SETTINGS.placement
+def _density(features: DataFrame) -> DataFrame:
+    p = SETTINGS.placement
     danger = F.col("density_sum") >= p.danger_density_e4 * F.col("frames")
     golden = F.col("density_sum") <= p.golden_density_e4 * F.col("frames")
-    return f.groupBy(*_PER_REQUEST).agg(
+    return features.groupBy(*_PER_REQUEST).agg(
         F.sum("n_windows").alias("windows"), _windows(danger).alias("n_danger"), _windows(golden).alias("n_golden"),
         F.sum(F.col("density_sum") * F.col("n_windows")).alias("density_sum"),
         F.sum(F.col("frames") * F.col("n_windows")).alias("n_frames")).withColumnRenamed("windows", "n_windows")
 
 
-@query("best_corner")
-def q_corner(spark, d):
-    f = place.corner_choice(fixture_plan(spark, d).features())
-    return f.groupBy(*_PER_REQUEST).agg(
+def _corners(features: DataFrame) -> DataFrame:
+    return place.corner_choice(features).groupBy(*_PER_REQUEST).agg(
         _windows(F.col("corner") == "BL").alias("n_bl"), _windows(F.col("corner") == "BR").alias("n_br"),
         _windows(F.col("corner").isNull()).alias("n_none"),
         F.sum(F.col("overlap_sum") * F.col("n_windows")).alias("overlap_sum"))
 
 
+@query("window_density")
+def q_density(spark, d):
+    """Density classes of the windows of each request."""
+    return _density(fixture_plan(spark, d).features())
+
+
+@query("best_corner")
+def q_corner(spark, d):
+    return _corners(fixture_plan(spark, d).features())
+
+
+@query("detected_density")
+def q_detected_density(spark, d):
+    """Density classes of the windows where frame features come from detections."""
+    return _density(fixture_plan(spark, d, detected=True).features())
+
+
+@query("detected_corner")
+def q_detected_corner(spark, d):
+    return _corners(fixture_plan(spark, d, detected=True).features())
+
+
 @query("window_silence")
 def q_window_silence(spark, d):
     f = fixture_plan(spark, d).features()
@@ -207,7 +225,16 @@ def q_unique(spark, d):
     return _decision_cols(sched.unique_ads(decided_overlays(spark, d)))
 
 
+def _scheduled(plan) -> DataFrame:
+    return plan.schedule().select(*_OVERLAY, _r6("sim"), _r6("avg_density"), "x", "y", "w", "h", "corner", "quiet")
+
+
 @query("ad_schedule")
 def q_schedule(spark, d):
-    return fixture_plan(spark, d).schedule().select(
-        *_OVERLAY, _r6("sim"), _r6("avg_density"), "x", "y", "w", "h", "corner", "quiet")
+    return _scheduled(fixture_plan(spark, d))
+
+
+@query("detected_schedule")
+def q_detected_schedule(spark, d):
+    """The schedule from detections to placed overlays."""
+    return _scheduled(fixture_plan(spark, d, detected=True))

@@ -41,7 +41,7 @@ def q_lineup(spark, d):
     done = (fx.job_files(spark, d).filter("status = 'complete'")
             .select((F.col("job_id") % 25).cast("int").alias("channel"), "job_id",
                     tx.basename(F.col("video_path")).alias("filename")))
-    return catalog.lineup(docs, done, fx.LINEUP_SCHEMA)
+    return catalog.lineup(docs, done)
 
 
 @query("replace_by_job")
@@ -61,12 +61,12 @@ def q_insert(spark, d):
 
 @query("upsert_latest")
 def q_upsert(spark, d):
-    """Relabelled pairs replace score and label; the stored context stays."""
+    """Relabelled pairs replace score and label, the stored context stays; new pairs come in. Every label is in the target, the batch or both."""
     labels = fx.ce_labels(spark, d)
-    target = labels.filter("ad_id % 3 <> 0").selectExpr(
+    target = labels.filter("ad_no % 3 <> 0").selectExpr(
         "scene_id", "ad_id", "'stored' AS context", "score_pct", "0L AS revision")
-    batch = (labels.filter("ad_id % 2 = 0")
-             .withColumn("revision", F.explode(F.sequence(F.lit(1).cast("long"), F.col("ad_id") % 3 + 1)))
+    batch = (labels.filter("ad_no % 2 = 0 OR ad_no % 3 = 0")
+             .withColumn("revision", F.explode(F.sequence(F.lit(1).cast("long"), F.col("ad_no") % 3 + 1)))
              .selectExpr("scene_id", "ad_id", "'new' AS context", "(score_pct + revision * 7) % 101 AS score_pct", "revision"))
     return tb.upsert(target, batch, ["scene_id", "ad_id"], [F.col("revision")], keep=["context"])
 
@@ -95,10 +95,13 @@ def q_pending_jobs(spark, d):
 
 @query("pending_scenes")
 def q_pending_scenes(spark, d):
-    """Orders (as scenes) whose customer has no narrative yet."""
-    scenes = fx.table(spark, d, "orders").selectExpr("o_orderkey AS scene_id", "o_custkey AS job_id")
-    narrated = fx.table(spark, d, "labels").selectExpr("doc_id AS scene_id")
-    return scenes.join(narrated, "scene_id", "left_anti").orderBy("scene_id")
+    """Orders (as scenes) without narrative, and those a forced rerun resumed at an id takes."""
+    narrated = fx.table(spark, d, "labels").groupBy(F.col("doc_id").alias("scene_id")).agg(F.max(F.lit("told")).alias("narrative"))
+    scenes = fx.table(spark, d, "orders").selectExpr("o_orderkey AS scene_id", "o_custkey AS job_id").join(narrated, "scene_id", "left")
+    missing = tb.pending_rows(scenes, "scene_id", "narrative")
+    forced = tb.pending_rows(scenes, "scene_id", "narrative", force=True, start=500)
+    return missing.select("scene_id", "job_id", F.lit("missing").alias("run")).unionByName(
+        forced.select("scene_id", "job_id", F.lit("forced").alias("run")))
 
 
 @query("pending_ads")
@@ -139,7 +142,7 @@ def q_tags(spark, d):
 
 def _raw_scores(spark, d):
     return fx.ce_labels(spark, d).selectExpr(
-        "scene_id", "ad_id", "CASE ad_id % 7 WHEN 0 THEN concat(' ', CAST(score_pct / 100D AS STRING), '\\n') "
+        "scene_id", "ad_id", "CASE ad_no % 7 WHEN 0 THEN concat(' ', CAST(score_pct / 100D AS STRING), '\\n') "
         "WHEN 1 THEN 'n/a' WHEN 2 THEN '' WHEN 3 THEN concat('-0.', score_pct + 1) WHEN 4 THEN concat(score_pct, '.5') "
         "WHEN 5 THEN concat(score_pct, 'e-2') ELSE concat('0.', score_pct) END AS raw")
 

@@ -39,18 +39,36 @@ def asset_catalog(files: DataFrame, existing: DataFrame, banner_sec: float = 10.
     return first.join(existing.select("ad_id"), "ad_id", "left_anti")
 
 
-def lineup(documents: DataFrame, completed: DataFrame, schema: str) -> DataFrame:
-    """Programme items per channel from JSON ``items[]``.
+LINEUP_FIELDS = ("id", "title", "filename", "poster", "preview", "thumbnail", "job_id")
 
-    A channel whose document has no ``items`` falls back to its completed jobs
-    (channel, job_id, filename).
+
+def lineup_entries(documents: DataFrame) -> DataFrame:
+    """Entries of ``items[]`` of each JSON document (channel, body): position, fields and ``bad``.
+
+    Documents are read as VARIANT, so an odd value costs its field only: a field that is no scalar is NULL. An entry that is
+    no object comes as ``bad`` text with no field; so does, without position, a document that is no JSON or whose ``items`` is no list.
+    ``listed`` says that the document has a list of items.
+    """
+    parsed = documents.select("channel", "body", F.try_parse_json("body").alias("doc"))
+    parsed = parsed.withColumns({"given": F.try_variant_get("doc", "$.items", "variant"), "items": F.try_variant_get("doc", "$.items", "array<variant>")})
+    # An empty or missing list still says whether the channel has one.
+    rows = parsed.select("channel", F.col("items").isNotNull().alias("listed"),
+                         F.when(F.col("doc").isNull() | (F.col("given").isNotNull() & ~F.is_variant_null("given") & F.col("items").isNull()), F.col("body")).alias("broken"),
+                         F.posexplode_outer("items").alias("pos", "item"))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")), F.lit(False))
+    fields = [F.when(is_object, F.try_variant_get("item", f"$.{name}", "string")).alias(name) for name in LINEUP_FIELDS]
+    bad = F.when(F.col("pos").isNotNull() & ~is_object, F.coalesce(F.to_json("item"), F.lit("null"))).otherwise(F.col("broken"))
+    return rows.select("channel", "listed", F.col("pos").cast("long").alias("pos"), *fields, bad.alias("bad"))
+
+
+def lineup(documents: DataFrame, completed: DataFrame) -> DataFrame:
+    """Programme items per channel from JSON ``items[]``; entries that are no objects are left out (see lineup_entries).
+
+    A channel none of whose documents has a list of items falls back to its completed jobs (channel, job_id, filename).
     """
-    parsed = documents.select("channel", F.from_json("body", schema).alias("doc"))
-    listed = (parsed.filter(F.col("doc.items").isNotNull())
-              .select("channel", F.posexplode("doc.items").alias("pos", "item"))
-              .select("channel", F.col("pos").cast("long").alias("pos"), "item.id", "item.title", "item.filename",
-                      "item.poster", "item.preview", "item.thumbnail", "item.job_id"))
-    covered = parsed.filter(F.col("doc.items").isNotNull()).select("channel").distinct()
+    entries = lineup_entries(documents)
+    listed = entries.filter("pos IS NOT NULL AND bad IS NULL").select("channel", "pos", *LINEUP_FIELDS)
+    covered = entries.filter("listed").select("channel").distinct()
     empty = F.lit("")
     fallback = completed.join(covered, "channel", "left_anti").select(
         "channel", F.lit(None).cast("long").alias("pos"), F.col("job_id").cast("string").alias("id"),
@@ -59,34 +77,48 @@ def lineup(documents: DataFrame, completed: DataFrame, schema: str) -> DataFrame
     return listed.unionByName(fallback)
 
 
-def _pieces(title: str, lengths: Column) -> Column:
-    """Distinct substrings of a title that have one of the lengths."""
-    own = F.length(title)
-    fitting = F.filter(lengths, lambda n: n <= own)
-    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(own - n, F.lit(0)) + 1), lambda at: F.substring(title, at, n)))))
+GRAM = 3
+
+
+def _grams(title: str, size: int) -> Column:
+    """Distinct substrings of ``size`` characters; a shorter title is its own."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - size + 1, F.lit(1))),
+                                        lambda at: F.substring(title, at, F.lit(size))))
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (inner, outer) of distinct titles, not empty, the first contained in the second.
+
+    An inner title is filed once, under the rarest of its grams; an outer one looks up all of its own, which are at most
+    ``GRAM`` for each of its characters. What meets is confirmed on the titles.
+    """
+    grams = F.array_distinct(F.flatten(F.array(*[_grams("outer", n + 1) for n in range(GRAM)])))
+    asked = outer.filter("outer <> ''").select("outer", F.explode(grams).alias("gram"))
+    usual = asked.groupBy("gram").agg(F.count("*").alias("n"))
+    own = inner.filter("inner <> ''").select("inner", F.explode(_grams("inner", GRAM)).alias("gram"))
+    # A title one of whose grams nobody has is contained in none.
+    filed = (own.join(usual, "gram", "left").groupBy("inner")
+             .agg(F.min(F.struct("n", "gram")).alias("key"), F.bool_and(F.col("n").isNotNull()).alias("known"))
+             .filter("known").select("inner", F.col("key.gram").alias("gram")))
+    return asked.join(filed, "gram").filter(F.contains("outer", "inner")).select("inner", "outer")
 
 
 def match_titles(files: DataFrame, images: DataFrame) -> DataFrame:
     """First image (by list_pos) whose title contains, or is contained in, each file's title.
 
-    Containment is turned into equality on substrings of these short names, of the lengths that occur on the other
-    side only, so both directions are hash joins on at most one row per distinct title.
+    Both directions go through an index of rare grams, on one row per distinct title. An empty title is contained in every title.
     """
     wanted = files.withColumn("_title", title_key(F.col("filename")))
     titles = wanted.select("_title").distinct()
     known = (images.withColumn("_image", title_key(F.col("image")))
              .groupBy("_image").agg(F.min("list_pos").alias("_pos")))
-
-    def lengths(df: DataFrame, column: str) -> Column:
-        return df.agg(F.collect_set(F.length(column)).alias("n")).select("n").scalar()
-
-    inside = (titles.withColumn("_lengths", lengths(known, "_image")).withColumn("_image", F.explode(_pieces("_title", F.col("_lengths"))))
-              .join(known, "_image").select("_title", "_pos"))
-    around = (known.withColumn("_lengths", lengths(titles, "_title"))
-              .select(F.explode(_pieces("_image", F.col("_lengths"))).alias("_title"), "_pos")
-              .join(titles, "_title", "left_semi").groupBy("_title").agg(F.min("_pos").alias("_pos")))
-    found = (inside.unionByName(around)
-             .groupBy("_title").agg(F.min("_pos").alias("list_pos")))
-    return (wanted.join(found, "_title", "left").drop("_title")
+    file_side, image_side = titles.select(F.col("_title").alias("outer")), known.select(F.col("_image").alias("inner"))
+    inside = _contained(image_side, file_side).select(F.col("outer").alias("_title"), F.col("inner").alias("_image"))
+    around = _contained(file_side.withColumnRenamed("outer", "inner"), image_side.withColumnRenamed("inner", "outer")).select(
+        F.col("inner").alias("_title"), F.col("outer").alias("_image"))
+    found = inside.unionByName(around).join(known, "_image").groupBy("_title").agg(F.min("_pos").alias("_found"))
+    first = known.agg(F.min("_pos").alias("p")).select("p").scalar()
+    blank = known.agg(F.min(F.when(F.col("_image") == "", F.col("_pos"))).alias("p")).select("p").scalar()
+    pos = F.when(F.col("_title").isNotNull(), F.least("_found", blank, F.when(F.col("_title") == "", first)))
+    return (wanted.join(found, "_title", "left").withColumn("list_pos", pos).drop("_title", "_found")
             .join(images.select("list_pos", "image"), "list_pos", "left"))

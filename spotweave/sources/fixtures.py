@@ -30,7 +30,9 @@ _EVENT_MS = ("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', "
 
 
 def jobs(spark: SparkSession, d: str) -> DataFrame:
-    return (table(spark, d, "events").select(F.col("user_id").alias("job_id")).distinct()
+    """Jobs of the users, and those of the customers of one market segment, most of which have no event."""
+    silent = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("job_id"))
+    return (table(spark, d, "events").select(F.col("user_id").alias("job_id")).unionByName(silent).distinct()
             .selectExpr("job_id", f"720000L * {_stretch('job_id')} AS duration_ms",
                         "1280 AS width", "720 AS height", "1 AS fps"))
 
@@ -42,7 +44,7 @@ def transcript(spark: SparkSession, d: str) -> DataFrame:
 
 def transcript_of(events: DataFrame) -> DataFrame:
     """Transcript segments without their vectors, from the events table or a stream of it."""
-    return (events.filter("user_id % 10 <> 9")
+    return (events
             .selectExpr("user_id AS job_id", "event_id AS seg_id",
                         f"({_EVENT_MS}) * {_stretch('user_id')} AS start_ms", "event_type AS text")
             .selectExpr("job_id", "seg_id", "start_ms",
@@ -99,10 +101,10 @@ def category_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ce_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Scored (scene, ad) pairs; ads repeat over scenes and scenes over ads."""
+    """Scored (scene, ad) pairs; ads repeat over scenes and scenes over ads. ``ad_no`` is the number in ``ad_id``."""
     ad = F.col("o_orderkey") % size_of(spark, d, "part")
-    rows = table(spark, d, "orders").withColumn("ad_id", ad).selectExpr(
-        "o_custkey AS scene_id", "ad_id", "(o_orderkey * 7919) % 101 AS score_pct",
+    rows = table(spark, d, "orders").withColumn("ad_no", ad).selectExpr(
+        "o_custkey AS scene_id", "concat('ad_', CAST(ad_no AS STRING)) AS ad_id", "ad_no", "(o_orderkey * 7919) % 101 AS score_pct",
         "(o_orderkey * 104729) % 1009 AS model_score_i", "o_orderkey")
     return pick_by(rows, ["scene_id", "ad_id"], [F.col("o_orderkey")]).drop("o_orderkey")
 
@@ -199,5 +201,3 @@ def job_files(spark: SparkSession, d: str) -> DataFrame:
 FIXTURE_SAFETY_WORDS = ("reing", "attion")
 FIXTURE_GATE_TAG = "ring"
 FIXTURE_GATE_WORDS = ("anon",)
-LINEUP_SCHEMA = ("STRUCT<week_label: STRING, items: ARRAY<STRUCT<id: STRING, title: STRING, "
-                 "filename: STRING, poster: STRING, preview: STRING, thumbnail: STRING, job_id: STRING>>>")

@@ -66,6 +66,49 @@ def test_wide_overlay_in_one_job_leaves_the_others_alone(spark):
     assert ids(sched.drop_overlaps(frame(spark, rows))) == replayed(rows, "overlap")
 
 
+def folded(rows, rule):
+    """Kept (job, item) of a rule applied one item after the other."""
+    kept = set()
+    for job in {r[0] for r in rows}:
+        last, in_hour = None, 0
+        for item in sorted(r[1] for r in rows if r[0] == job):
+            fate, count = (sched.FOLLOW, 1) if last is None else rule.step(last, in_hour, item)
+            if fate == sched.FOLLOW and last is not None:
+                kept.add((job, last.item_id))
+            if fate != sched.SKIP:
+                last, in_hour = item, count
+        kept.add((job, last.item_id))
+    return kept
+
+
+@pytest.mark.parametrize("size,longest", [(7, 20), (7, 400), (40, 60)])
+def test_endless_islands_are_folded_in_blocks(spark, size, longest):
+    rng = random.Random(size + longest)
+    rows = []
+    for job in range(3):
+        at = 0
+        for n in range(300):
+            at += rng.choice([0, 1, 2, 5, 9]) * MINUTE // 4
+            # A few overlays outlast and outbid everything for many blocks.
+            rows.append((job, sched.Item(at, f"{n:04d}", at + rng.randint(1, longest) * MINUTE, 100 - n % 90 if n % 97 == 0 else rng.randint(1, 9), 3 * MINUTE)))
+    items = spark.createDataFrame([(job, *item) for job, item in rows], "job_id long, start_ms long, item_id string, end_ms long, score long, interval_ms long")
+    hour = sched.SCHEDULE.hour_ms
+    for rule, reach in ((sched.PREFER_BETTER, F.col("end_ms")), (sched.PREFER_EARLIER, F.col("end_ms")),
+                        (sched.keep_apart(), F.greatest(F.col("start_ms") + F.col("interval_ms"), (F.floor(F.col("start_ms") / hour) + 1) * hour))):
+        got = [(r.job_id, r.item_id) for r in sched.fold_blocks(items, rule, reach, size=size).collect()]
+        assert len(got) == len(set(got)) and set(got) == folded(rows, rule)
+
+
+def test_one_island_of_many_items_is_many_tasks(spark):
+    rng = random.Random(2)
+    rows = [(1, sched.Item(n * 1000, f"{n:06d}", n * 1000 + rng.randint(1500, 30_000), rng.randint(1, 50), None)) for n in range(60_000)]
+    items = spark.createDataFrame([(job, *item) for job, item in rows], "job_id long, start_ms long, item_id string, end_ms long, score long, interval_ms long")
+    blocks = sched._blocks(items, F.col("end_ms"), sched.SCHEDULE, 4000)
+    assert blocks.select("island").distinct().count() == 1 and blocks.select("block").distinct().count() == 15
+    got = {(r.job_id, r.item_id) for r in sched.fold_blocks(items, sched.PREFER_BETTER, F.col("end_ms"), size=4000).collect()}
+    assert got == folded(rows, sched.PREFER_BETTER)
+
+
 def test_interval_and_cold_tiers(spark):
     info = spark.createDataFrame([(1, 1_200_000), (2, 2_400_000), (3, 2_400_001), (4, 0)], "job_id long, duration_ms long")
     got = {r.job_id: r.i for r in info.select("job_id", sched.min_interval(F.col("duration_ms")).alias("i")).collect()}

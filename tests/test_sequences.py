@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from spotweave.operators import frames as fr
+from spotweave.operators import frames as fr, intervals
 from spotweave.operators import placement as place
 from spotweave.operators.audio import silence_intervals
 from spotweave.operators.intervals import overlapping, points_in
@@ -44,6 +44,27 @@ def test_range_joins_report_each_pair_once(spark):
     assert inside == sorted((x[1], y[1]) for x in a for y in b if y[2] <= x[2] <= y[3])
 
 
+def test_range_joins_of_mixed_lengths(spark):
+    """Spans from an instant to most of the time line: a long one is copied a few times and every pair comes once."""
+    rng = random.Random(7)
+    span = lambda i, s: (1 + i % 2, i, s, s + rng.choice([0, 1, 40, 900, 30_000, 480_001, 36_000_000]))
+    a = [span(i, rng.randint(-50_000, 2_000_000)) for i in range(150)]
+    b = [span(i, rng.randint(-50_000, 2_000_000)) for i in range(150)] + [(1, 900, 5, 4), (1, 901, None, 4)]
+    left = spark.createDataFrame(a, "job_id long, i long, s1 long, e1 long")
+    right = spark.createDataFrame(b, "job_id long, j long, s2 long, e2 long")
+    known = [y for y in b if y[2] is not None and y[2] <= y[3]]
+    for bucket in (10, 1000, 30_000):
+        got = sorted((r.i, r.j) for r in overlapping(left, right, ["job_id"], ("s1", "e1"), ("s2", "e2"), bucket).collect())
+        assert got == sorted((x[1], y[1]) for x in a for y in known if x[0] == y[0] and x[3] > y[2] and x[2] < y[3])
+        inside = sorted((r.i, r.j) for r in points_in(left, right, ["job_id"], "s1", "s2", "e2", bucket_ms=bucket).collect())
+        assert inside == sorted((x[1], y[1]) for x in a for y in known if x[0] == y[0] and y[2] <= x[2] <= y[3])
+    long = intervals._levelled(spark.createDataFrame([(1, 0, 36_000_000), (1, 7, 1007)], "job_id long, s long, e long"), "s", "e", 1000)
+    copies = long.select(F.size(F.sequence(intervals._bucket("s", F.col("_own"), 1000), intervals._bucket("e", F.col("_own"), 1000))).alias("n"))
+    assert max(r.n for r in copies.collect()) <= intervals.LONGEST + 1
+    none = spark.createDataFrame([], "job_id long, j long, s2 long, e2 long")
+    assert overlapping(left, none, ["job_id"], ("s1", "e1"), ("s2", "e2")).count() == 0 and points_in(left, none, ["job_id"], "s1", "s2", "e2").count() == 0
+
+
 def scenes_by_definition(segments, vectors, duration, gap, floor):
     """Scene spans: a segment opens one where it is far from, or unlike, the segment before it."""
     if not segments:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotweave.operators.segments import gap_scenes
+from spotweave.settings import SegmentationSettings
 from spotweave.streaming import jobs as st
 
 SCHEMA = "job_id long, seg_id long, start_ms long, end_ms long, text string, ended boolean"
@@ -43,6 +44,14 @@ def test_ingest_and_gap_scenes(spark, arrivals, per_batch):
     assert sorted(map(tuple, scenes.collect())) == sorted(map(tuple, wanted.collect())) and wanted.count() > 10
 
 
+def test_gap_scenes_over_chunk_borders(spark, arrivals):
+    folder, rows = arrivals
+    scenes = st.stream_gap_scenes(st.table_stream(spark, folder, "*.parquet", SCHEMA, 2), SegmentationSettings(chunk_ms=7000))
+    table = spark.createDataFrame([r[:4] for r in rows if r[0] in (1, 3)], "job_id long, seg_id long, start_ms long, end_ms long")
+    wanted = gap_scenes(table).select("job_id", "start_ms", "end_ms", "n_segments")
+    assert sorted(map(tuple, scenes.collect())) == sorted(map(tuple, wanted.collect()))
+
+
 def test_training_rows_are_drawn_by_scene_and_ad(spark):
     from spotweave.operators.labels import training_set
     rows = [(s, a, 0.2, "negative", "train") for s in range(100) for a in range(20)] + [(s, 50, 0.9, "positive", "train") for s in range(50)]
