@@ -75,14 +75,19 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", part_d
     """Index of all terms of the whole texts of all rows of ``docs`` (ids are read as long).
 
     Null texts and texts without a term are in no stratum; a row with a repeated or null id is a document of its own; other columns are
-    ignored. Rows are dealt by ranges of (m, row), so a normaliser that a third of all documents have goes to many tasks, and a task
-    holds one part at a time.
+    ignored. A stratum is dealt to as many groups as its terms need, so a normaliser that a third of all documents have goes to many
+    tasks, and a task holds one part at a time.
     """
     forward = stage(_counted(docs.select(named(key).cast("long").alias("id"), named(text).alias("text")), "long"), "lexical-forward").filter("n > 0")
     total = forward.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    strata = (forward.withColumn("m", normaliser(F.col("n"), total["docs"], total["terms"]))
-              # Every attempt reads the written files in the same splits, so a row keeps its number.
-              .repartitionByRange("m", F.monotonically_increasing_id()).sortWithinPartitions("m", F.col("id").asc_nulls_last()))
+    # Every attempt reads the written files in the same splits, so a row keeps its number.
+    placed = forward.withColumns({"m": normaliser(F.col("n"), total["docs"], total["terms"]), "row": F.monotonically_increasing_id()})
+    # A stratum is dealt out by its terms, so that neither one normaliser nor the longest documents make a long task.
+    # Written, so that its size is known and the documents need not be shuffled to meet it.
+    shares = stage(placed.groupBy("m").agg(F.ceil(F.sum("n") / part_terms).alias("shares")), "lexical-shares")
+    strata = (placed.join(shares, "m").withColumn("share", F.pmod("row", "shares"))
+              .repartition("m", "share").sortWithinPartitions("m", "share", F.col("id").asc_nulls_last())
+              .select("id", "terms", "tfs", "m", "share"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId() << 32, 0
@@ -90,16 +95,16 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", part_d
         docs_held = terms_held = 0
         last = None
         for batch in batches:
-            begin, ms = 0, batch.column("m").to_pylist()
+            begin, ms = 0, list(zip(batch.column("m").to_pylist(), batch.column("share").to_pylist()))
             sizes = np.diff(batch.column("terms").offsets.to_numpy()).tolist()
             for i, m in enumerate(ms):
                 if docs_held and (m != last or docs_held >= part_docs or terms_held + sizes[i] > part_terms):
-                    yield _invert([*held, batch.slice(begin, i - begin)], last, task + number)
+                    yield _invert([*held, batch.slice(begin, i - begin)], last[0], task + number)
                     held, begin, number, docs_held, terms_held = [], i, number + 1, 0, 0
                 docs_held, terms_held, last = docs_held + 1, terms_held + sizes[i], m
             held.append(batch.slice(begin))
         if docs_held:
-            yield _invert(held, last, task + number)
+            yield _invert(held, last[0], task + number)
 
     table = stage(strata.mapInArrow(work, "m long, part long, term string, tf long, top boolean, places array<int>, ids array<long>"), "lexical-index")
     return Index(table.filter(F.col("term").isNotNull()).drop("ids"), table.filter(F.col("term").isNull()).select("m", "part", "ids"),
