@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -25,14 +26,45 @@ CAPACITY = 1024
 CUTS = 3
 END_ID = 0
 FLUSH = 20_000  # output rows held at once
+LONG_BLANK = 1000  # white space from here on is cut out before the pattern, which would try each of its ends
+# Unicode white space.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANKS = re.compile(f"[{BLANK}]{{{LONG_BLANK},}}")
+
+
+class Encoder:
+    """Ids of whole texts by byte-pair ranks; texts are cut at the added tokens, which have their own ids."""
+
+    def __init__(self, ranks_path: str, pattern: str, added: Mapping[str, int]):
+        import tiktoken
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("pieces", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.added = dict(added)
+        # Longer tokens first, as one may begin with another.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    def ids(self, text: str) -> list[int]:
+        out: list[int] = []
+        for n, part in enumerate(self.cut.split(text) if self.cut else [text]):
+            out += [self.added[part]] if n % 2 else self._ordinary(part)
+        return out
+
+    def _ordinary(self, text: str) -> list[int]:
+        """As ``plain`` has it; a long run of white space is one piece but for its last character, which goes with the word after it."""
+        out: list[int] = []
+        at = 0
+        for run in _BLANKS.finditer(text):
+            stop = run.end() if run.end() == len(text) else run.end() - 1
+            out += self.plain.encode_ordinary(text[at:run.start()]) + self.whole.encode_ordinary(text[run.start():stop])
+            at = stop
+        return out + self.plain.encode_ordinary(text[at:])
 
 
 @lru_cache(maxsize=2)
-def _encoding(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
-    import tiktoken
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
+def _encoder(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> Encoder:
+    return Encoder(ranks_path, pattern, dict(added))
 
 
 def added_tokens(json_path: str) -> dict[str, int]:
@@ -117,7 +149,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key
     """One row per piece: key, start, length, ids (or none), ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its text's ids followed by ``end_id``; null text counts as empty, so it is the end id
-    alone. Every id lies in exactly one piece and every sequence has at most ``capacity`` ids, its
+    alone. White space of any length is encoded as the pattern has it. Every id lies in exactly one piece and every sequence has at most ``capacity`` ids, its
     pieces laid gaplessly from offset 0. ``ranks_path`` names a file of byte-pair ranks (base64 token and rank per
     line) that every executor can read, ``pattern`` its splitting pattern. A text is
     cut at the ``added`` tokens first and these get their own ids; without any they are ordinary text. Repeated rows and null keys are packed like any others. Other columns are ignored.
@@ -130,7 +162,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key
     chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(ranks_path, pattern, given)
+        encoder = _encoder(ranks_path, pattern, given)
         bins = _Bins(capacity, TaskContext.get().partitionId() << 32)
 
         def taken() -> pa.RecordBatch:
@@ -148,7 +180,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key
         for batch in batches:
             key_type = batch.schema.field(0).type
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoding.encode(body.as_py() or "", allowed_special="all", disallowed_special=())
+                ids = encoder.ids(body.as_py() or "")
                 ids.append(end_id)
                 bins.add(doc, np.array(ids, "<u4"))
                 if len(bins.rows) >= FLUSH:
