@@ -1,7 +1,9 @@
 """URL filter, quality, packing, secrets, language ID and license scan against plain checks."""
 
 import random
+import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -169,6 +171,24 @@ def test_packing_gives_added_tokens_their_ids(spark, tmp_path):
     assert [r["doc_tokens"] for r in whole] == [5]
 
 
+def test_packing_takes_white_space_of_any_length(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(RANKS, PATTERN, packing.added_tokens(path))
+    rng = random.Random(8)
+    for n in (1, 2, 999, 1000, 1001, 50_000):
+        for run in (" " * n, "\n" * n, " \n" * n, "".join(rng.choices(" \t\r\n\u3000\xa0\x1c", k=n))):
+            for text in (run, f"a{run}", f"{run}word", f"a b{run}-- {run}1", f"x{run}<|endoftext|>{run}é", f"{run}日本{run}\x85{run}"):
+                assert encoder.ids(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    for text in (" " * 1_000_000 + "end", "\n" * 2_000_000):
+        assert encoder.ids(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "é", "1", " ", "\n", "'s", "<|endoftext|>", "日", " " * 1000], k=rng.randrange(12)))
+        assert encoder.ids(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, " " * 1_500_000 + "x"), (2, "b")], "doc_id long, text string")
+    whole = packing.pack(docs, RANKS, PATTERN, with_ids=False).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in whole} == {1: len(tokenizer.encode(" " * 1_500_000 + "x", add_special_tokens=False).ids) + 1, 2: 2}
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secret_scan.fit(secret_scan.labelled_findings(spark))
@@ -223,12 +243,26 @@ def test_secrets_without_digits(spark, forest):
 
 
 def test_secrets_on_held_out_findings(spark, forest):
-    rows = secret_scan.with_features(secret_scan.with_value(
-        secret_scan.stage(secret_scan.labelled_findings(spark, 220).withColumn("id", F.monotonically_increasing_id()), "t").filter("id >= 3680")))
+    """Other counters than the forest learned from."""
+    rows = secret_scan.with_features(secret_scan.with_value(secret_scan.stage(secret_scan.labelled_findings(spark, 60, first=50_000_000), "t")))
     scored = forest.transform(rows).select("label", "_prediction").collect()
     assert len(scored) > 1000 and np.mean([r["label"] == r["_prediction"] for r in scored]) > 0.97
 
 
+def test_whole_text_tests_stay_out_of_lambdas(spark, forest):
+    """In a lambda they would run once per word, so a text would cost the square of its length."""
+    docs = spark.createDataFrame([(1, "x", "s")], "doc_id long, text string, source string")
+    for frame in (secret_scan.candidates(docs), secret_scan.scan(docs, forest)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        inside = [m.group() for m in re.finditer(r"lambdafunction\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)", plan)]
+        assert inside and "RLIKE" in "".join(inside)
+        assert not [x for x in inside if re.search(r"(?:body|text)#\d+L?,? (?:RLIKE|rlike)|RLIKE\((?:body|text)#|split\(", x)]
+    words = " ".join(f"ordinary longwords{i % 7} assigned password remembered" for i in range(60_000))
+    began = time.time()
+    assert secret_scan.scan(spark.createDataFrame([(1, words, "s")], docs.schema), forest).count() > 0
+    assert time.time() - began < 120
+
+
 def test_licenses(spark, odd):
     full = "\n".join(license_scan.SENTENCES[i] for i in ("mit_grant", "mit_notice", "as_is"))
     texts = {1: "Words here.\nReleased under the MIT License.", 2: full, 3: full + " Licensed under  CC BY-NC 4.0.", 4: "It is not released under the MIT License.",
