@@ -204,17 +204,14 @@ def occurrences(mixed: DataFrame, key: str = "doc_id", seed: int = 11) -> DataFr
                     F.xxhash64(named(key), "_draw.pass", "_draw.shard", F.lit(seed)).alias("place")))
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source",
-                    length: str | None = None, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, one row per occurrence, shards together and shuffled inside.
+def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, one per occurrence, shards together and shuffled inside.
 
-    An occurrence that the target cuts keeps its first words, single-spaced; ``length`` names a column that is to
-    hold the number of characters of the text then. Options are those of :func:`mix`.
+    Texts stay to the letter. The one occurrence of each source that the target cuts is taken whole if at least half
+    of its words are wanted, else left out, so a source is off its target by half a document at most. Options are those of :func:`mix`.
     """
     packed = docs.select(keep_columns(docs).alias("_doc"), named(text).alias("_text"), named(key).alias("_key"), named(source).alias("_source"))
     drawn = occurrences(mix(packed, text="_text", key="_key", source="_source", **options), "_key")
-    first = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
-    placed = (drawn.select("_doc", "shard", "place", F.when(F.col("words") < F.col("size"), first).otherwise(F.col("_text")).alias("_text"))
+    placed = (drawn.filter(2 * F.col("words") >= F.col("size")).select("_doc", "shard", "place")
               .repartition("shard").sortWithinPartitions("shard", "place"))
-    new = {text: F.col("_text")} | ({length: F.length("_text").cast(docs.schema[length].dataType)} if length else {})
-    return placed.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
+    return placed.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -208,6 +208,225 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+WIDTH = 5  # words of the shingles whose sets are compared
+SIMILARITY = 0.8
+REACH = 12  # differing bits up to which a pair is compared
+TABLE_BITS = 16
+ROUNDS = ((0, 4), (4, 16), (16, 64))  # tables searched in each round; what a round joins costs the next ones nothing
+SMALL = 32  # members of a shard that are compared without a tree
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; a shorter text is one shingle, a wordless one has none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    width = min(width, len(words))
+    found = (xxhash.xxh64_intdigest(b" ".join(words[i:i + width]), SEED) for i in range(len(words) - width + 1))
+    return np.unique(np.fromiter(found, np.uint64, len(words) - width + 1)).view(np.int64)
+
+
+def _places(tables: int, bits: int) -> np.ndarray:
+    """Bit positions of each table, drawn once and for all."""
+    rng = np.random.default_rng(SEED)
+    return np.array([rng.permutation(64)[:bits] for _ in range(tables)])
+
+
+def _dealt(nodes: DataFrame, first: int, last: int, shard_rows: int) -> DataFrame:
+    """(shard, tree, asked, in_tree, in_asked, node, fp, root): a node once per table, by the bits the table looks at.
+
+    Members of a crowded shard go to finer ones by further bits of their own table, and chunks of what is still crowded all meet.
+    """
+    places = _places(last, 2 * TABLE_BITS)[first:]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.zeros((64, 2 * len(places)))
+        for t, own in enumerate(places):
+            weights[own[:TABLE_BITS], t] = 1 << np.arange(TABLE_BITS)
+            weights[own[TABLE_BITS:], len(places) + t] = 1 << np.arange(TABLE_BITS)
+        for batch in batches:
+            fp = batch.column("fp").to_numpy()
+            bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            keys = (bits @ weights).astype(np.int64)
+            shard, fine = keys[:, :len(places)] + ((first + np.arange(len(places))) << 32), keys[:, len(places):]
+            copies = pa.array(np.repeat(np.arange(len(fp)), len(places)))
+            yield pa.RecordBatch.from_arrays([pa.array(shard.ravel()), pa.array(fine.ravel()), *[batch.column(c).take(copies) for c in ("node", "fp", "root")]],
+                                             names=["shard", "fine", "node", "fp", "root"])
+
+    rows = nodes.select("node", "fp", "root").mapInArrow(work, "shard long, fine long, node long, fp long, root long")
+    crowded = rows.groupBy("shard").agg(F.count("*").alias("size")).filter(F.col("size") > shard_rows)
+    # Half of the further bits: members that differ in a few bits still meet in one table or another.
+    finer = F.when(F.col("size").isNotNull(), F.col("fine").bitwiseAND((1 << (TABLE_BITS // 2)) - 1) + 1).otherwise(0)
+    marked = rows.join(crowded, "shard", "left").withColumn("fine", finer.cast("long")).drop("size")
+    still = (marked.filter("fine > 0").groupBy("shard", "fine").agg(F.count("*").alias("size"))
+             .select("shard", "fine", F.ceil(F.col("size") / shard_rows).cast("int").alias("chunks")))
+    cut = (marked.join(still, ["shard", "fine"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+           .withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
+    return cut.select("shard", "fine", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("asked"),
+                      (F.col("own") <= F.col("other")).alias("in_tree"), (F.col("own") >= F.col("other")).alias("in_asked"), "node", "fp", "root")
+
+
+def _joining(tree: np.ndarray, asked: np.ndarray, root: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Pairs of places (tree, asked) that join what is apart, found by a BK-tree; ``root`` says what is together and is brought up to date."""
+    for node, near in BKTree(fp[tree]).search(fp[asked], radius):
+        near = asked[near]
+        own = root[tree[node]]
+        apart = near[root[near] != own]
+        if len(apart):
+            others, at = np.unique(root[apart], return_index=True)
+            yield from ((int(tree[node]), int(p)) for p in apart[at])
+            root[np.isin(root, others)] = own
+
+
+def _close_pairs(dealt: DataFrame, radius: int) -> DataFrame:
+    """(u, v), u < v: pairs of nodes within the radius that join different roots, without those that others of the same shard make redundant."""
+    key = ["shard", "fine", "tree", "asked"]
+    placed = dealt.repartition(*key).sortWithinPartitions(*key, "fp", "node")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            keys = [table.column(c).to_numpy() for c in key]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            if len(change):
+                yield links(table.slice(0, change[-1]), change[:-1])
+                held = table.slice(change[-1]).to_batches()
+        if held:
+            yield links(pa.Table.from_batches(held), np.array([], np.int64))
+
+    def links(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        fp, node, root = (table.column(c).to_numpy() for c in ("fp", "node", "root"))
+        fp, root = fp.view(np.uint64), root.copy()
+        in_tree, in_asked = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("in_tree", "in_asked"))
+        bounds = np.concatenate(([0], cuts, [len(fp)]))
+        sizes = np.diff(bounds)
+        shard = np.repeat(np.arange(len(sizes)), sizes)
+        pairs: list[tuple[int, int]] = []
+        # Small shards, which most are, all at once: each member with the k-th after it.
+        small = np.flatnonzero((sizes <= SMALL)[shard])
+        parent: dict[tuple[int, int], int] = {}
+        for k in range(1, min(SMALL, int(sizes[sizes <= SMALL].max(initial=0)))):
+            a = small[:-k] if k < len(small) else small[:0]
+            b = small[k:]
+            a, b = a[(shard[a] == shard[b]) & (root[a] != root[b])], b[(shard[a] == shard[b]) & (root[a] != root[b])]
+            near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+            for x, y in zip(a[near].tolist(), b[near].tolist()):
+                s = int(shard[x])
+                left, right = (s, int(root[x])), (s, int(root[y]))
+                while (up := parent.get(left, left[1])) != left[1]:
+                    left = (s, up)
+                while (up := parent.get(right, right[1])) != right[1]:
+                    right = (s, up)
+                if left != right:
+                    parent[right] = left[1]
+                    pairs.append((x, y))
+        for n in np.flatnonzero(sizes > SMALL):
+            span = np.arange(bounds[n], bounds[n + 1])
+            own = root[span]
+            found = _joining(np.flatnonzero(in_tree[span]), np.flatnonzero(in_asked[span]), own, fp[span], radius)
+            pairs += [(int(span[x]), int(span[y])) for x, y in found]
+        x, y = (np.array(side, np.int64) for side in (zip(*pairs) if pairs else ((), ())))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["u", "v"])
+
+    return placed.select(*key, "in_tree", "in_asked", "node", "fp", "root").mapInArrow(work, "u long, v long").distinct()
+
+
+def _words_key(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, digest_a, digest_b, words_a, words_b, fp): hashes of the row, 128 bits of the word sequence, the fingerprint."""
+    row = F.struct(*map(named, docs.columns))
+    plain = docs.select(named(key).alias("doc_id"), F.xxhash64(row).alias("digest_a"), F.xxhash64(F.lit(1), row).alias("digest_b"), named(text).alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for value in batch.column("text"):
+                body = value.as_py()
+                words = b" ".join((body or "").encode("utf-8", "replace").lower().split())
+                found.append((xxhash.xxh64_intdigest(words, SEED), xxhash.xxh64_intdigest(words, SEED + 1), fingerprint(body)))
+            prints = np.array(found, np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(np.ascontiguousarray(c)) for c in prints.T]],
+                                             names=["doc_id", "digest_a", "digest_b", "words_a", "words_b", "fp"])
+
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    return plain.mapInArrow(work, f"doc_id {kind}, digest_a long, digest_b long, words_a long, words_b long, fp long")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose shingle sets have at least this Jaccard similarity, exactly."""
+    joined = (pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+              .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v"))
+    both = F.size(F.array_intersect("a", "b"))
+    # In whole numbers: a similarity of 0.8 is reached or not whatever a division rounds to.
+    share = round(similarity * 1000)
+    return joined.filter(1000 * both >= share * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH,
+                reach: int = REACH, rounds: tuple[tuple[int, int], ...] = ROUNDS, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(prints, classes): words_a, words_b and ``root`` of every distinct word sequence; prints name the sequence of every row.
+
+    Texts are linked if the sets of their ``width``-word shingles (A-Z in lower case, white space between words) have at least this Jaccard
+    similarity; every link is confirmed on the sets. Candidates are pairs of fingerprints of 3-word shingles, of which near copies
+    share more, within ``reach`` bits that agree on the bits of one of the tables, searched by BK-trees. So links may be missed
+    (measured recall in the README) but never made up. Rounds go on, from the last tables again, until one adds nothing.
+    """
+    prints = stage(_words_key(docs, key, text), "copies-prints")
+    nodes = stage(prints.groupBy("words_a", "words_b").agg(F.min("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
+    spark = docs.sparkSession
+    links = tested = spark.createDataFrame([], "u long, v long")
+    sets = spark.createDataFrame([], "node long, shingles array<long>")
+    rooted = nodes.select("node", "fp", F.col("node").alias("root"))
+    step, found = 0, None
+    while True:
+        first, last = rounds[min(step, len(rounds) - 1)]
+        pairs = stage(_close_pairs(_dealt(rooted, first, last, shard_rows), reach).join(tested, ["u", "v"], "left_anti"), "copies-pairs")
+        sets = stage(sets.unionByName(_sets(docs, prints, nodes, pairs, sets, text, width)), "copies-sets")
+        confirmed = stage(_confirmed(pairs, sets, similarity), "copies-links")
+        if not confirmed.isEmpty():
+            links = stage(links.unionByName(confirmed), "copies-links")
+            found = components(links, "copies-roots")
+            rooted = stage(nodes.join(found, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "copies-rooted")
+        elif step >= len(rounds) - 1:
+            break
+        tested = stage(tested.unionByName(pairs), "copies-tested")
+        step += 1
+    return prints, nodes.join(rooted.select("node", "root"), "node").select("words_a", "words_b", "root")
+
+
+def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame, pairs: DataFrame, known: DataFrame, text: str, width: int) -> DataFrame:
+    """Shingle sets of the nodes that pairs name and ``known`` lacks, from one row of each."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(known.select("node"), "node", "left_anti")
+    one = (nodes.join(wanted, "node").join(prints, ["words_a", "words_b"])
+           .groupBy("node").agg(F.min(F.struct("digest_a", "digest_b")).alias("row")).select("node", "row.*"))
+    row = F.struct(*map(named, docs.columns))
+    bodies = (docs.select(F.xxhash64(row).alias("digest_a"), F.xxhash64(F.lit(1), row).alias("digest_b"), named(text).alias("text"))
+              .join(one, ["digest_a", "digest_b"]).select("node", "text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t.as_py(), width) for t in batch.column("text")], pa.list_(pa.int64()))],
+                                             names=["node", "shingles"])
+
+    # Wholly repeated rows have one digest and are one.
+    return bodies.mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def keep_distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` with one document of each class of near copies, the one with the smallest id (see :func:`near_copies`).
+
+    Null ids come last; among rows of one id the one with the smallest digest of all its columns stays, and of
+    wholly repeated rows one. Null and wordless texts are copies of each other. An empty table stays empty.
+    """
+    prints, classes = near_copies(docs, key, text, similarity, width)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest_a", "digest_b")
+    first = prints.join(classes, ["words_a", "words_b"]).groupBy("root").agg(F.min(order).alias("first")).select("first.digest_a", "first.digest_b")
+    row = F.struct(*map(named, docs.columns))
+    return (docs.select(F.xxhash64(row).alias("digest_a"), F.xxhash64(F.lit(1), row).alias("digest_b"), keep_columns(docs).alias("_row"))
+            .join(first, ["digest_a", "digest_b"], "left_semi").dropDuplicates(["digest_a", "digest_b"]).select("_row.*"))
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate class, the one with the smallest id.
 

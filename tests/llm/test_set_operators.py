@@ -92,9 +92,11 @@ def test_mix(spark, monkeypatch):
     assert sorted(map(key, found)) == sorted(map(key, again))
     places = mixing.occurrences(got)
     assert places.agg(F.sum("words")).first()[0] == sum(r["taken"] for r in found)
-    mixed = mixing.mixed_documents(docs, length="n_chars")
+    mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == sum(r["taken"] for r in found)
+    # A cut document comes whole or not at all; the others come as often as they are drawn.
+    times = lambda r: sum(2 * d["words"] >= r["size"] for d in r["draws"])
+    assert sorted(str(tuple(r)) for r in mixed.collect()) == sorted(str(tuple(r[c] for c in docs.columns)) for r in found for _ in range(times(r)))
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
@@ -179,6 +181,58 @@ def test_bk_tree_finds_every_value_in_reach():
     assert got == {(int(v), int(q)) for v in values for q in queries if (int(v) ^ int(q)).bit_count() <= 3}
 
 
+def shingles(text, width=5):
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def copies(texts, similarity=0.8):
+    """Index pairs of texts whose shingle sets are that similar; empty ones are alike."""
+    sets, holders, links = [shingles(t) for t in texts], {}, []
+    for i, own in enumerate(sets):
+        shared = {}
+        for s in own:
+            for j in holders.setdefault(s, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[s].append(i)
+        links += [(j, i) for j, n in shared.items() if 10 * n >= round(10 * similarity) * (len(own) + len(sets[j]) - n)]
+    blank = [i for i, s in enumerate(sets) if not s]
+    return links + list(zip(blank, blank[1:]))
+
+
+@pytest.mark.parametrize("shard_rows,small", [(4096, 32), (20, 4)])
+def test_near_copies_against_brute_force(spark, monkeypatch, shard_rows, small):
+    """Families of copies with more and more changed words, one of them large, among unrelated texts."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = np.random.default_rng(6)
+    pool = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(pool, 150)) for _ in range(120)]
+    for family, size in [(0, 120)] + [(f, 6) for f in range(1, 40)]:
+        for _ in range(size):
+            own = texts[family].split()
+            for at in rng.integers(0, len(own), rng.integers(0, 8)):
+                own[at] = str(rng.choice(pool))
+            texts.append(" ".join(own).upper() if rng.random() < 0.2 else "\n".join(own))
+    texts += [None, "", " \t", "one two", "One  two", "three"]
+    docs = spark.createDataFrame([(int(i) if i % 50 else None, t, "en", None, 1) for i, t in zip(rng.permutation(len(texts)), texts)], DOCS)
+    rows = docs.collect()
+    links = copies([r["text"] for r in rows])
+    low = classes(len(rows), links)
+    prints, found = simhash.near_copies(docs, shard_rows=shard_rows)
+    key = {(r["words_a"], r["words_b"]): r["root"] for r in found.collect()}
+    whole = {r["digest_a"]: key[r["words_a"], r["words_b"]] for r in prints.collect()}
+    digests = [r[0] for r in docs.select(F.xxhash64(F.struct(*docs.columns))).collect()]
+    root = [whole[d] for d in digests]
+    by_root = {}
+    for i, r in enumerate(root):
+        by_root.setdefault(r, set()).add(low[i])
+    assert all(len(members) == 1 for members in by_root.values())  # nothing is linked that is not alike
+    assert sum(root[i] == root[j] for i, j in links) >= 0.95 * len(links)
+    kept = simhash.keep_distinct(docs)
+    assert kept.columns == docs.columns and kept.count() == len(by_root)
+    assert simhash.keep_distinct(docs.limit(0)).count() == 0
+
+
 def test_near_duplicates_and_keep_first(spark):
     text = words(60)
     rows = [(9, text), (4, text), (4, text), (6, text.replace("w59", "w58")), (1, None), (2, ""), (3, " \t"), (None, text), (None, words(30)), (8, words(5000)), (5, "other words here")]
@@ -253,12 +307,15 @@ def test_pipeline_stages(spark, sf_dir):
     assert len(names) == 5
     (a, b), (c, d), (e, f), (g, h), (i, j) = kept
     assert {r["doc_id"] for r in a.collect()} - {r["doc_id"] for r in b.collect()} == {-1, -2} and b.filter("lang is null").count() == 0
-    found = simhash.near_duplicates(c)
-    assert {r["doc_id"] for r in d.collect()} == {r["component_id"] for r in found.collect()} and d.count() == found.select("component_id").distinct().count()
+    every = c.orderBy("doc_id").collect()
+    low = classes(len(every), copies([r["text"] for r in every]))
+    kept_ids = {r["doc_id"] for r in d.collect()}
+    assert d.count() == len(kept_ids) and all(any(every[j]["doc_id"] in kept_ids for j in range(len(every)) if low[j] == low[i]) for i in range(len(every)))
+    assert len(kept_ids) <= len(set(low)) + 0.1 * (len(every) - len(set(low)))
     assert e.count() == f.count() and f.filter("text like '%AKIAQCN5%'").count() == 0 and f.filter("doc_id = -3").first()["text"] == "the words and that [secret] of in"
     assert f.join(e, ["doc_id", "text"]).count() >= 0.9 * e.count()
-    wanted = mixing.mix(g).agg(F.sum("taken")).first()[0]
-    assert sum(len(r["text"].split()) for r in h.collect()) == wanted and h.columns == list(corpus_pipeline.COLUMNS)
+    wanted, longest = mixing.mix(g).agg(F.sum("taken"), F.max("size")).first()
+    assert abs(sum(len(r["text"].split()) for r in h.collect()) - wanted) <= longest * g.select("source").distinct().count() and h.columns == list(corpus_pipeline.COLUMNS)
     assert h.filter("n_chars <> length(text)").count() == 0
     assert j.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
     assert j.filter("start = 0").count() == i.count()
