@@ -210,10 +210,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 WIDTH = 5  # words of the shingles whose sets are compared
 SIMILARITY = 0.8
-REACH = 12  # differing bits up to which a pair is compared
-TABLE_BITS = 16
-ROUNDS = ((0, 4), (4, 16), (16, 64))  # tables searched in each round; what a round joins costs the next ones nothing
-SMALL = 32  # members of a shard that are compared without a tree
+REACH = 14  # differing bits up to which a pair is compared
+TABLE_BITS = 14  # bits of a table's shards in a corpus of up to 2 ** 18 distinct texts, one more for each doubling
+ROUNDS = ((0, 8), (8, 64))  # tables searched in each round then; what a round joins costs the next ones nothing
+GROWTH = 1.18  # as many times the tables for each further bit: near copies agree on a bit 0.85 times or more
+SPARE = 4  # pairs of a node that are compared in a shard after the first round, redundant or not
+SMALL = 64  # members of a shard that are compared without a tree
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -232,38 +234,37 @@ def _places(tables: int, bits: int) -> np.ndarray:
     return np.array([rng.permutation(64)[:bits] for _ in range(tables)])
 
 
-def _dealt(nodes: DataFrame, first: int, last: int, shard_rows: int) -> DataFrame:
-    """(shard, tree, asked, in_tree, in_asked, node, fp, root): a node once per table, by the bits the table looks at.
+def _dealt(nodes: DataFrame, first: int, last: int, shard_rows: int, width: int = TABLE_BITS) -> DataFrame:
+    """(shard, fine, tree, asked, in_tree, in_asked, node, fp, tie, root): a node once per table, by the ``width`` bits the table looks at.
 
     Members of a crowded shard go to finer ones by further bits of their own table, and chunks of what is still crowded all meet.
     """
-    places = _places(last, 2 * TABLE_BITS)[first:]
+    places = _places(last, 2 * width)[first:]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros((64, 2 * len(places)))
         for t, own in enumerate(places):
-            weights[own[:TABLE_BITS], t] = 1 << np.arange(TABLE_BITS)
-            weights[own[TABLE_BITS:], len(places) + t] = 1 << np.arange(TABLE_BITS)
+            weights[own[:width], t] = weights[own[width:], len(places) + t] = 1 << np.arange(width)
         for batch in batches:
             fp = batch.column("fp").to_numpy()
             bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             keys = (bits @ weights).astype(np.int64)
             shard, fine = keys[:, :len(places)] + ((first + np.arange(len(places))) << 32), keys[:, len(places):]
             copies = pa.array(np.repeat(np.arange(len(fp)), len(places)))
-            yield pa.RecordBatch.from_arrays([pa.array(shard.ravel()), pa.array(fine.ravel()), *[batch.column(c).take(copies) for c in ("node", "fp", "root")]],
-                                             names=["shard", "fine", "node", "fp", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.ravel()), pa.array(fine.ravel()), *[batch.column(c).take(copies) for c in ("node", "fp", "tie", "root")]],
+                                             names=["shard", "fine", "node", "fp", "tie", "root"])
 
-    rows = nodes.select("node", "fp", "root").mapInArrow(work, "shard long, fine long, node long, fp long, root long")
+    rows = nodes.select("node", "fp", "tie", "root").mapInArrow(work, "shard long, fine long, node long, fp long, tie long, root long")
     crowded = rows.groupBy("shard").agg(F.count("*").alias("size")).filter(F.col("size") > shard_rows)
     # Half of the further bits: members that differ in a few bits still meet in one table or another.
-    finer = F.when(F.col("size").isNotNull(), F.col("fine").bitwiseAND((1 << (TABLE_BITS // 2)) - 1) + 1).otherwise(0)
+    finer = F.when(F.col("size").isNotNull(), F.col("fine").bitwiseAND((1 << (width // 2)) - 1) + 1).otherwise(0)
     marked = rows.join(crowded, "shard", "left").withColumn("fine", finer.cast("long")).drop("size")
     still = (marked.filter("fine > 0").groupBy("shard", "fine").agg(F.count("*").alias("size"))
              .select("shard", "fine", F.ceil(F.col("size") / shard_rows).cast("int").alias("chunks")))
     cut = (marked.join(still, ["shard", "fine"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
            .withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
     return cut.select("shard", "fine", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("asked"),
-                      (F.col("own") <= F.col("other")).alias("in_tree"), (F.col("own") >= F.col("other")).alias("in_asked"), "node", "fp", "root")
+                      (F.col("own") <= F.col("other")).alias("in_tree"), (F.col("own") >= F.col("other")).alias("in_asked"), "node", "fp", "tie", "root")
 
 
 def _joining(tree: np.ndarray, asked: np.ndarray, root: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -278,10 +279,14 @@ def _joining(tree: np.ndarray, asked: np.ndarray, root: np.ndarray, fp: np.ndarr
             root[np.isin(root, others)] = own
 
 
-def _close_pairs(dealt: DataFrame, radius: int) -> DataFrame:
-    """(u, v), u < v: pairs of nodes within the radius that join different roots, without those that others of the same shard make redundant."""
+def _close_pairs(dealt: DataFrame, radius: int, turn: int, spare: int) -> DataFrame:
+    """(u, v), u < v: pairs of nodes within the radius that join different roots, without those that others of the same shard make redundant.
+
+    In small shards a node comes in ``spare`` pairs nevertheless, as some may turn out not to be alike.
+    """
     key = ["shard", "fine", "tree", "asked"]
-    placed = dealt.repartition(*key).sortWithinPartitions(*key, "fp", "node")
+    # Another order each turn: a pair that turned out not to be alike hides others that it made look redundant.
+    placed = dealt.repartition(*key).sortWithinPartitions(*key, F.xxhash64("tie", F.lit(turn)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -305,14 +310,16 @@ def _close_pairs(dealt: DataFrame, radius: int) -> DataFrame:
         shard = np.repeat(np.arange(len(sizes)), sizes)
         pairs: list[tuple[int, int]] = []
         # Small shards, which most are, all at once: each member with the k-th after it.
-        small = np.flatnonzero((sizes <= SMALL)[shard])
+        after = bounds[1:][shard] - np.arange(len(fp)) - 1
+        left_over = np.flatnonzero((sizes <= SMALL)[shard])
         parent: dict[tuple[int, int], int] = {}
-        for k in range(1, min(SMALL, int(sizes[sizes <= SMALL].max(initial=0)))):
-            a = small[:-k] if k < len(small) else small[:0]
-            b = small[k:]
-            a, b = a[(shard[a] == shard[b]) & (root[a] != root[b])], b[(shard[a] == shard[b]) & (root[a] != root[b])]
-            near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-            for x, y in zip(a[near].tolist(), b[near].tolist()):
+        times: dict[int, int] = {}
+        for k in range(1, SMALL):
+            left_over = left_over[after[left_over] >= k]
+            if not len(left_over):
+                break
+            near = left_over[(np.bitwise_count(fp[left_over] ^ fp[left_over + k]) <= radius) & (root[left_over] != root[left_over + k])]
+            for x, y in zip(near.tolist(), (near + k).tolist()):
                 s = int(shard[x])
                 left, right = (s, int(root[x])), (s, int(root[y]))
                 while (up := parent.get(left, left[1])) != left[1]:
@@ -321,7 +328,10 @@ def _close_pairs(dealt: DataFrame, radius: int) -> DataFrame:
                     right = (s, up)
                 if left != right:
                     parent[right] = left[1]
-                    pairs.append((x, y))
+                elif min(times.get(x, 0), times.get(y, 0)) >= spare:
+                    continue
+                times[x], times[y] = times.get(x, 0) + 1, times.get(y, 0) + 1
+                pairs.append((x, y))
         for n in np.flatnonzero(sizes > SMALL):
             span = np.arange(bounds[n], bounds[n + 1])
             own = root[span]
@@ -370,26 +380,37 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     Texts are linked if the sets of their ``width``-word shingles (A-Z in lower case, white space between words) have at least this Jaccard
     similarity; every link is confirmed on the sets. Candidates are pairs of fingerprints of 3-word shingles, of which near copies
     share more, within ``reach`` bits that agree on the bits of one of the tables, searched by BK-trees. So links may be missed
-    (measured recall in the README) but never made up. Rounds go on, from the last tables again, until one adds nothing.
+    (measured recall in the README) but never made up. Rounds go on, over the last tables and the texts that the round before has
+    compared, until one adds nothing: a link that was left out as redundant may turn out not to be.
     """
     prints = stage(_words_key(docs, key, text), "copies-prints")
-    nodes = stage(prints.groupBy("words_a", "words_b").agg(F.min("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
+    # Numbered in the order of their digests, so that reruns choose the same pairs.
+    nodes = stage(prints.groupBy("words_a", "words_b").agg(F.min("fp").alias("fp")).repartitionByRange("words_a", "words_b")
+                  .sortWithinPartitions("words_a", "words_b").withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
     spark = docs.sparkSession
     links = tested = spark.createDataFrame([], "u long, v long")
     sets = spark.createDataFrame([], "node long, shingles array<long>")
-    rooted = nodes.select("node", "fp", F.col("node").alias("root"))
-    step, found = 0, None
+    rooted = nodes.select("node", "fp", F.col("words_a").alias("tie"), F.col("node").alias("root"))
+    # Shards stay as full as they are: more texts, more bits, and as many more tables as the bits need.
+    bits = min(28, max(TABLE_BITS, (nodes.count() - 1).bit_length() - 4))
+    rounds = tuple(tuple(round(at * GROWTH ** (bits - TABLE_BITS)) for at in pair) for pair in rounds)
+    step, active = 0, rooted
     while True:
         first, last = rounds[min(step, len(rounds) - 1)]
-        pairs = stage(_close_pairs(_dealt(rooted, first, last, shard_rows), reach).join(tested, ["u", "v"], "left_anti"), "copies-pairs")
+        pairs = stage(_close_pairs(_dealt(active, first, last, shard_rows, bits), reach, step, SPARE if step else 0).join(tested, ["u", "v"], "left_anti"), "copies-pairs")
         sets = stage(sets.unionByName(_sets(docs, prints, nodes, pairs, sets, text, width)), "copies-sets")
         confirmed = stage(_confirmed(pairs, sets, similarity), "copies-links")
         if not confirmed.isEmpty():
             links = stage(links.unionByName(confirmed), "copies-links")
             found = components(links, "copies-roots")
-            rooted = stage(nodes.join(found, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "copies-rooted")
+            rooted = stage(nodes.join(found, "node", "left").select("node", "fp", F.col("words_a").alias("tie"), F.coalesce("root", "node").alias("root")), "copies-rooted")
         elif step >= len(rounds) - 1:
             break
+        if step >= len(rounds) - 1:
+            seen = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+            active = stage(rooted.join(seen, "node", "left_semi"), "copies-active")
+        else:
+            active = rooted
         tested = stage(tested.unionByName(pairs), "copies-tested")
         step += 1
     return prints, nodes.join(rooted.select("node", "root"), "node").select("words_a", "words_b", "root")
