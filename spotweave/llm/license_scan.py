@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 
 from spotweave.llm.common import named
 
+# Short identifiers of the SPDX list.
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+        "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0",
+        "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+
 # Identifier -> sentence as published, compared after normalisation.
 SENTENCES = {
     "mit_ref": "Released under the MIT License.",
@@ -38,29 +43,68 @@ SENTENCES = {
     "cc_by_sa": "Licensed under CC BY-SA 4.0.",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd_names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd_as_is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc_as_is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "mpl2_subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2_copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl2_copy_2": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "lgpl21_or_later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3_or_later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl_hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl_see": "See the GNU Lesser General Public License for more details.",
+    "agpl3_or_later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl_see": "See the GNU Affero General Public License for more details.",
+    "unlicense_domain": "This is free and unencumbered software released into the public domain.",
+    "unlicense_free": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib_as_is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib_liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl_grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "bsl_ref": "Distributed under the Boost Software License, Version 1.0.",
+    "epl2_ref": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
     "reserved": "All rights reserved.",
-    "spdx_mit": "SPDX-License-Identifier: MIT",
-    "spdx_apache": "SPDX-License-Identifier: Apache-2.0",
+    **{f"spdx_{name}": f"SPDX-License-Identifier: {name}" for name in SPDX},
 }
 
+RESERVED = "proprietary"  # a verdict only where a document holds no other: many licenses begin with these words
+
 # Fixed values: (rule, license, identifiers in order); longer rules stand before the shorter ones they begin with.
 RULES = (
     ("mit_full", "MIT", ("mit_grant", "mit_notice", "as_is")),
     ("mit_short", "MIT", ("mit_grant", "mit_notice")),
     ("mit_reference", "MIT", ("mit_ref",)), ("mit_reference_2", "MIT", ("mit_ref_2",)), ("mit_reference_3", "MIT", ("mit_ref_3",)),
-    ("mit_spdx", "MIT", ("spdx_mit",)), ("mit_grant", "MIT", ("mit_grant",)),
+    ("mit_grant", "MIT", ("mit_grant",)),
     ("apache_header", "Apache-2.0", ("apache_head", "apache_copy", "apache_url", "apache_basis", "apache_see")),
     ("apache_notice", "Apache-2.0", ("apache_head",)), ("apache_reference", "Apache-2.0", ("apache_ref",)),
-    ("apache_spdx", "Apache-2.0", ("spdx_apache",)), ("apache_url", "Apache-2.0", ("apache_url",)),
+    ("apache_url", "Apache-2.0", ("apache_url",)),
     ("gpl3_header", "GPL-3.0-or-later", ("gpl3_or_later", "gpl_hope", "gpl_see")), ("gpl3_grant", "GPL-3.0-or-later", ("gpl3_or_later",)),
     ("gpl2_header", "GPL-2.0-or-later", ("gpl2_or_later", "gpl_hope", "gpl_see")), ("gpl2_grant", "GPL-2.0-or-later", ("gpl2_or_later",)),
     ("gpl3_reference", "GPL-3.0-only", ("gpl3_ref",)),
     ("cc_by_nc", "CC-BY-NC-4.0", ("cc_by_nc",)), ("cc_by_sa", "CC-BY-SA-4.0", ("cc_by_sa",)), ("cc_by", "CC-BY-4.0", ("cc_by",)),
-    ("cc0", "CC0-1.0", ("cc0",)), ("bsd_grant", "BSD", ("bsd_grant",)), ("reserved", "proprietary", ("reserved",)),
+    ("cc0", "CC0-1.0", ("cc0",)),
+    ("bsd3_full", "BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names", "bsd_as_is")),
+    ("bsd3", "BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names")),
+    ("bsd2_full", "BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is")), ("bsd2", "BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
+    ("bsd_grant", "BSD", ("bsd_grant",)),
+    ("isc_full", "ISC", ("isc_grant", "isc_as_is")), ("isc_grant", "ISC", ("isc_grant",)),
+    ("mpl2_notice", "MPL-2.0", ("mpl2_subject", "mpl2_copy")), ("mpl2_notice_2", "MPL-2.0", ("mpl2_subject", "mpl2_copy_2")), ("mpl2_subject", "MPL-2.0", ("mpl2_subject",)),
+    ("lgpl21_header", "LGPL-2.1-or-later", ("lgpl21_or_later", "lgpl_hope", "lgpl_see")), ("lgpl21_grant", "LGPL-2.1-or-later", ("lgpl21_or_later",)),
+    ("lgpl3_header", "LGPL-3.0-or-later", ("lgpl3_or_later", "gpl_hope", "lgpl_see")), ("lgpl3_grant", "LGPL-3.0-or-later", ("lgpl3_or_later",)),
+    ("agpl3_header", "AGPL-3.0-or-later", ("agpl3_or_later", "gpl_hope", "agpl_see")), ("agpl3_grant", "AGPL-3.0-or-later", ("agpl3_or_later",)),
+    ("unlicense_full", "Unlicense", ("unlicense_domain", "unlicense_free")), ("unlicense", "Unlicense", ("unlicense_domain",)),
+    ("zlib_full", "Zlib", ("zlib_as_is", "zlib_liable", "zlib_grant")), ("zlib_grant", "Zlib", ("zlib_grant",)),
+    ("bsl_grant", "BSL-1.0", ("bsl_grant",)), ("bsl_reference", "BSL-1.0", ("bsl_ref",)), ("epl2_reference", "EPL-2.0", ("epl2_ref",)),
+    *((f"spdx_{name}", name, (f"spdx_{name}",)) for name in SPDX),
+    ("reserved", RESERVED, ("reserved",)),
 )
 
 BOUNDARY = r"([.!?:])[\x20\x09-\x0D]+"  # a mark and white space end a piece, as does a line break
 NOT_WORD = r"[^\p{L}\p{N}]+"
+LIST_MARK = "^([0-9]{1,2}|[a-z]|[ivx]{1,4})$"  # a piece that only numbers an item of a list
 
 
 def normalise(sentence: Column) -> Column:
@@ -69,9 +113,9 @@ def normalise(sentence: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Normalised non-empty pieces of the whole text in order: its sentences, cut at every line break too."""
+    """Normalised non-empty pieces of the whole text in order: its sentences, cut at every line break too, without marks of lists."""
     parts = F.split(F.regexp_replace(text, BOUNDARY, "$1\n"), "\n")
-    return F.filter(F.transform(parts, normalise), lambda s: s != "")
+    return F.filter(F.transform(parts, normalise), lambda s: (s != "") & ~s.rlike(LIST_MARK))
 
 
 def _plain(text: str) -> str:
@@ -85,7 +129,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", known: Mappin
     A known sentence is one piece of the text or a run of pieces, so it may be wrapped over any number of lines, with comment leaders
     or without, and hold marks itself; where several begin at a piece the longest counts, and none begins inside another.
     ``first_sentence`` counts the document's non-empty pieces from 0, ``n_sentences`` the rule's known sentences. Rules are tried in their order
-    at every known sentence; a sentence that a rule has used starts no other. Null, empty and license-free texts give no row; repeated
+    at every known sentence; a sentence that a rule has used starts no other. "All rights reserved" says something only in a document
+    without any other rule. Null, empty and license-free texts give no row; repeated
     rows give theirs each; other columns are ignored. No shuffle: every document is scanned in its own row.
     """
     by_text = dict(sorted(((_plain(sentence), name) for name, sentence in known.items()), key=lambda pair: -len(pair[0])))
@@ -129,7 +174,9 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", known: Mappin
     empty = "cast(named_struct('upto', 0, 'hits', array()) as struct<upto:int,hits:array<struct<at:int,place:int,hit:struct<rule:string,license:string,n:int>>>>)"
     chosen = F.aggregate(located, F.expr(empty), lambda acc, x: F.when(x["place"] < acc["upto"], acc).otherwise(
         F.struct((x["place"] + x["hit"]["n"]).alias("upto"), F.concat(acc["hits"], F.array(x)).alias("hits"))))
-    return (found.select("doc_id", F.explode(chosen["hits"]).alias("x"))
+    licensed = F.exists("hits", lambda x: x["hit"]["license"] != RESERVED)
+    verdicts = F.when(licensed, F.filter("hits", lambda x: x["hit"]["license"] != RESERVED)).otherwise(F.col("hits"))
+    return (found.select("doc_id", chosen["hits"].alias("hits")).select("doc_id", F.explode(verdicts).alias("x"))
             .select("doc_id", "x.hit.rule", "x.hit.license", F.col("x.at").alias("first_sentence"), F.col("x.hit.n").alias("n_sentences")))
 
 
@@ -142,7 +189,7 @@ def oracle() -> str:
 WITH RECURSIVE known(s, id) AS (VALUES {known}), rules(place, rule, license, ids, n) AS (VALUES {listed}),
 cut AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?:])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), chr(10)),
-         lambda s: trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), lambda s: s <> '') AS s FROM documents),
+         lambda s: trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), lambda s: s <> '' AND NOT regexp_matches(s, '{LIST_MARK}')) AS s FROM documents),
 flat AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS pos FROM cut),
 ids AS (SELECT doc_id, pos, id FROM flat JOIN known USING (s)),
 runs AS (
@@ -155,4 +202,5 @@ walk AS (
   UNION ALL
   SELECT h.doc_id, h.pos, h.rule, h.license, h.n FROM walk w JOIN hits h ON h.doc_id = w.doc_id AND h.pos >= w.pos + w.n
     AND NOT EXISTS (SELECT 1 FROM hits p WHERE p.doc_id = h.doc_id AND p.pos >= w.pos + w.n AND p.pos < h.pos))
-SELECT doc_id, rule, license, pos::INTEGER AS first_sentence, n::INTEGER AS n_sentences FROM walk"""
+SELECT doc_id, rule, license, pos::INTEGER AS first_sentence, n::INTEGER AS n_sentences FROM walk
+WHERE license <> '{RESERVED}' OR doc_id NOT IN (SELECT doc_id FROM walk WHERE license <> '{RESERVED}')"""
