@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.llm.common import named
+from spotweave.operators.ordered import with_previous
 from spotweave.session import stage
 
 ROWS = 3
@@ -26,6 +27,7 @@ STEPS = 12  # the three rows of cells are peeled one after the other, four times
 ATTEMPTS = 3
 PIECE = 160
 CHUNK_ROWS = 2_000
+SHARES = 1 << 20  # parts that a crowded id can have
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -144,17 +146,22 @@ def likeness(size_a: Column, size_b: Column, apart: Column) -> Column:
     return F.when(together == 0, F.lit(1.0)).otherwise((together - apart) / (together + apart))
 
 
-def _chunks(docs: DataFrame, rows: int) -> tuple[Column, int]:
-    """A chunk number that grows with doc_id and leaves about ``rows`` rows in a chunk; the number of chunks."""
+def _chunks(docs: DataFrame, rows: int) -> tuple[Column, DataFrame | None, int]:
+    """A chunk number that grows with doc_id and leaves about ``rows`` rows in a chunk; the chunks that stay crowded; the number of chunks.
+
+    Crowded ones hold a single id, or the rows without one; their ``shares`` says how many parts they need.
+    """
     found = docs.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    if not found["n"]:
-        return F.lit(-1).cast("long"), 1
-    low, width = found["low"], max(1, (found["high"] - found["low"] + 1) * rows // found["n"])
+    low = found["low"] or 0
+    width = max(1, (found["high"] - low + 1) * rows // found["n"]) if found["n"] else 1
     while True:
         chunk = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - low) / width)).cast("long")
-        sizes = docs.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("chunks")).first()
-        if sizes["most"] <= 4 * rows or width == 1:
-            return chunk, sizes["chunks"]
+        sizes = docs.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n"))
+        top = sizes.agg(F.max(F.when(F.col("chunk") >= 0, F.col("n"))).alias("most"), F.count("*").alias("chunks"), F.max("n").alias("any"),
+                        F.sum(F.when(F.col("n") > 4 * rows, F.floor(F.col("n") / rows))).alias("shares")).first()
+        if (top["most"] or 0) <= 4 * rows or width == 1:
+            crowded = sizes.filter(F.col("n") > 4 * rows).select("chunk", F.least(F.ceil(F.col("n") / rows), F.lit(SHARES)).alias("shares"))
+            return chunk, crowded if (top["any"] or 0) > 4 * rows else None, (top["chunks"] or 0) + (top["shares"] or 0)
         # Ids lie close together somewhere: narrower chunks, of which only those in use count.
         width = max(1, width // 16)
 
@@ -163,18 +170,24 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: in
     """chunk, rid, doc_id, text, next_text: every document with the text of the one that follows by descending id.
 
     After the last comes the first; null ids follow the others, ties are ordered by a digest of the text. Texts are shuffled
-    once, by chunks of neighbouring ids; the first document of every chunk is put at the end of the chunk before it.
+    once, by chunks of neighbouring ids; the first document of every chunk is put at the end of the chunk before it. Rows that share an id,
+    or have none, are divided by ranges of their digests; only rows that share the text as well stay together.
     """
     base = docs.select(named(key).cast("long").alias("doc_id"), F.coalesce(named(text), F.lit("")).alias("text"))
-    chunk, n_chunks = _chunks(base.select("doc_id"), rows)
-    base = base.select(chunk.alias("chunk"), "doc_id", "text", F.xxhash64("text").alias("digest"))
+    chunk, crowded, n_chunks = _chunks(base.select("doc_id"), rows)
+    base = base.select((chunk * SHARES).alias("chunk"), "doc_id", "text", F.xxhash64("text").alias("digest"))
+    if crowded is not None:
+        # Rows of one id are in order of their digests, which are even, so ranges of digests are its parts.
+        parts = stage(crowded.select((F.col("chunk") * SHARES).alias("chunk"), "shares"), "crowded")
+        part = F.floor((F.col("digest") / 2.0 ** 64 + 0.5) * F.col("shares")).cast("long")
+        base = base.join(parts, "chunk", "left").withColumn("chunk", F.col("chunk") + F.coalesce(F.least(part, F.col("shares") - 1), F.lit(0))).drop("shares")
     # Heads are found without their texts, then looked up; one row per chunk.
     first = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("digest").alias("tie"))
     heads = base.groupBy("chunk").agg(F.max(first).alias("first"))
-    order = Window.orderBy(F.desc("chunk"))
-    circle = Window.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = stage(heads.select("chunk", "first.id", "first.tie",
-                               F.coalesce(F.lag("chunk").over(order), F.last("chunk").over(circle)).alias("before")), "heads")
+    heads = stage(heads.select("chunk", "first.id", "first.tie", (-F.col("chunk")).alias("place"), F.lit(0).alias("all")), "head-rows")
+    last = heads.agg(F.min("chunk").alias("c")).select("c").scalar()
+    before = with_previous(heads, ["all"], F.floor(F.col("place") / (10_000 * SHARES)), ["place"], ["chunk"])
+    heads = stage(before.select("chunk", "id", "tie", F.coalesce("prev_chunk", last).alias("before")), "heads")
     looked_up = (base.join(heads.withColumnRenamed("chunk", "_chunk"), (F.col("chunk") == F.col("_chunk")) & (F.coalesce("doc_id", F.lit(0)) == F.col("id"))
                            & (F.col("digest") == F.col("tie"))).select(F.col("before").alias("chunk"), "doc_id", "text", "digest")
                  .dropDuplicates(["chunk"]))
