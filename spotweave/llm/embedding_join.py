@@ -18,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from spotweave.llm.common import hash_sample
 from spotweave.llm.components import components
 from spotweave.session import stage
 
 COSINE = 0.98
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
 GRID_DIMENSIONS = 6
 BOX_DIMENSIONS = 16
 FIT_ROWS = 4096
@@ -85,23 +86,23 @@ def interval_links(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray
 
 
 def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], found: list) -> np.ndarray:
-    """Spanning forest edges of the pairs; ``found`` gets every pair array."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    """Spanning forest edges of the pairs; ``found`` gets every pair array.
 
+    Every point carries the number of its tree; only pairs across trees are looked at one by one, and each of them joins two.
+    """
+    tree = np.arange(n)
     edges = []
     for i, j in pairs:
         found.append((i, j))
-        for x, y in zip(i.tolist(), j.tolist()):
-            a, b = root(x), root(y)
-            if a != b:
-                parent[a] = b
-                edges.append((x, y))
+        while len(apart := np.flatnonzero(tree[i] != tree[j])):
+            # One pair of each tree on the first side: these trees hang on to the others' all at once if they form no circle.
+            _, at = np.unique(tree[i[apart]], return_index=True)
+            for k in apart[at].tolist():
+                a, b = int(tree[i[k]]), int(tree[j[k]])
+                if a != b:
+                    tree[tree == a] = b
+                    edges.append((int(i[k]), int(j[k])))
+            i, j = i[apart], j[apart]
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
@@ -144,8 +145,9 @@ def _blocks(points: DataFrame, cosine: float, block_rows: int) -> DataFrame:
                 "low": batch.column(batch.schema.get_field_index("low")), "copies": pa.array(columns["copies"], pa.int64()),
                 "grp": pa.array([f"{n}:{name}" for n, name in zip(lengths, columns["label"])], pa.string()),
                 "cell": pa.array(cells.tolist(), pa.list_(pa.int64())), "place": pa.array(where.tolist(), pa.list_(pa.float64())),
-                "body": pa.array([np.array(v, "<f8").tobytes() for v in columns["vector"]], pa.binary())})
+                "body": pa.array([np.array(v, kind).tobytes() for v in columns["vector"]], pa.binary())})
 
+    kind = "<f4" if points.schema["vector"].dataType.elementType == FloatType() else "<f8"
     located = points.select("low", "copies", F.col("label").cast("string").alias("label"), "vector").mapInArrow(
         locate, "low long, copies long, grp string, cell array<long>, place array<double>, body binary")
     total = points.count()
@@ -239,9 +241,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     blocks = stage(cut.join(before, "part").withColumn("block", F.col("base") + F.col("number") - 1), "grid-sequence")
 
+    kind = "<f4" if points.schema["vector"].dataType.elementType == FloatType() else "<f8"
     body = blocks.select("block", "ids", "copies", "place", "vectors")
     right = body.select(*[F.col(c).alias(f"{c}_b") for c in body.columns])
-    pairs = (_block_pairs(blocks, cosine).join(body, F.col("a") == F.col("block")).join(right, F.col("b") == F.col("block_b"))
+    # Written, as their number decides how they are dealt out.
+    near_blocks = stage(_block_pairs(blocks, cosine), "grid-near")
+    pairs = (near_blocks.join(body, F.col("a") == F.col("block")).join(right, F.col("b") == F.col("block_b"))
              .select("a", "b", "ids", "copies", "place", "vectors", "ids_b", "copies_b", "place_b", "vectors_b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +256,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
                 same = value["a"] == value["b"]
                 ids, ids_b = (np.frombuffer(value[c], "<i8") for c in ("ids", "ids_b"))
                 many, many_b = (np.frombuffer(value[c], "<i8") for c in ("copies", "copies_b"))
-                x, y = (np.frombuffer(value[c], "<f8").reshape(len(n), -1) for c, n in (("vectors", ids), ("vectors_b", ids_b)))
+                x, y = (np.frombuffer(value[c], kind).astype(np.float64).reshape(len(n), -1) for c, n in (("vectors", ids), ("vectors_b", ids_b)))
                 px, py = (np.frombuffer(value[c], "<f8").reshape(len(n), -1) for c, n in (("place", ids), ("place_b", ids_b)))
                 shift = 0 if same else len(ids)
                 found: list = []
@@ -260,10 +265,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
                     continue
                 everyone = ids if same else np.concatenate([ids, ids_b])
                 weight = many if same else np.concatenate([many, many_b])
-                links = np.zeros(len(everyone), np.int64)
-                for i, j in found:
-                    np.add.at(links, i, weight[j])
-                    np.add.at(links, j, weight[i])
+                i, j = (np.concatenate(side) for side in zip(*found))
+                # Sums of whole numbers, which doubles hold exactly here.
+                links = (np.bincount(i, weight[j], len(everyone)) + np.bincount(j, weight[i], len(everyone))).astype(np.int64)
                 at = np.flatnonzero(links)
                 yield pa.RecordBatch.from_pydict({
                     "u": pa.array(np.concatenate([everyone[at], everyone[edges[:, 0]]]), pa.int64()),
@@ -271,7 +275,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
                     "links": pa.array(links[at].tolist() + [None] * len(edges), pa.int64())})
 
     # Block pairs are few and heavy: spread them evenly.
-    spread = max(1, min(pairs.count(), 4 * vectors.sparkSession.sparkContext.defaultParallelism))
+    spread = max(1, min(near_blocks.count(), 4 * vectors.sparkSession.sparkContext.defaultParallelism))
     found = stage(pairs.repartition(spread).mapInArrow(compare, "u long, v long, links long"), "grid-links")
     tallies = found.filter(F.col("v").isNull()).groupBy("u").agg(F.sum("links").alias("links"))
     roots = components(found.filter(F.col("v").isNotNull()).select("u", "v"), "grid-components")
