@@ -102,8 +102,9 @@ def q_strip(spark, d):
 
 @query("job_diagnostics")
 def q_diagnostics(spark, d):
-    jobs = fx.table(spark, d, "events").groupBy(F.col("user_id").alias("job_id")).agg(
+    seen = fx.table(spark, d, "events").groupBy(F.col("user_id").alias("job_id")).agg(
         F.min(F.col("ts").cast("timestamp_ntz")).alias("created_at"))
+    jobs = fx.jobs(spark, d).select("job_id").join(seen, "job_id", "left")
     return sv.job_diagnostics(jobs, fx.jobs(spark, d), fx.transcript(spark, d))
 
 
