@@ -214,6 +214,7 @@ REACH = 14  # differing bits up to which a pair is compared
 TABLE_BITS = 14  # bits of a table's shards in a corpus of up to 2 ** 18 distinct texts, one more for each doubling
 ROUNDS = ((0, 8), (8, 64))  # tables searched in each round then; what a round joins costs the next ones nothing
 GROWTH = 1.18  # as many times the tables for each further bit: near copies agree on a bit 0.85 times or more
+BROADCAST_ROWS = 500_000  # rows of 24 bytes: texts to compare that are looked up by broadcast, more by a shuffle
 SPARE = 4  # pairs of a node that are compared in a shard after the first round, redundant or not
 SMALL = 64  # members of a shard that are compared without a tree
 
@@ -235,7 +236,7 @@ def _places(tables: int, bits: int) -> np.ndarray:
 
 
 def _dealt(nodes: DataFrame, first: int, last: int, shard_rows: int, width: int = TABLE_BITS) -> DataFrame:
-    """(shard, fine, tree, asked, in_tree, in_asked, node, fp, tie, root): a node once per table, by the ``width`` bits the table looks at.
+    """(shard, fine, tree, asked, in_tree, in_asked, node, fp, root): a node once per table, by the ``width`` bits the table looks at.
 
     Members of a crowded shard go to finer ones by further bits of their own table, and chunks of what is still crowded all meet.
     """
@@ -251,11 +252,14 @@ def _dealt(nodes: DataFrame, first: int, last: int, shard_rows: int, width: int
             keys = (bits @ weights).astype(np.int64)
             shard, fine = keys[:, :len(places)] + ((first + np.arange(len(places))) << 32), keys[:, len(places):]
             copies = pa.array(np.repeat(np.arange(len(fp)), len(places)))
-            yield pa.RecordBatch.from_arrays([pa.array(shard.ravel()), pa.array(fine.ravel()), *[batch.column(c).take(copies) for c in ("node", "fp", "tie", "root")]],
-                                             names=["shard", "fine", "node", "fp", "tie", "root"])
-
-    rows = nodes.select("node", "fp", "tie", "root").mapInArrow(work, "shard long, fine long, node long, fp long, tie long, root long")
-    crowded = rows.groupBy("shard").agg(F.count("*").alias("size")).filter(F.col("size") > shard_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.ravel()), pa.array(fine.ravel()), *[batch.column(c).take(copies) for c in ("node", "fp", "root")]],
+                                             names=["shard", "fine", "node", "fp", "root"])
+
+    rows = nodes.select("node", "fp", "root").mapInArrow(work, "shard long, fine long, node long, fp long, root long")
+    crowded = stage(rows.groupBy("shard").agg(F.count("*").alias("size")).filter(F.col("size") > shard_rows), "copies-crowded")
+    if crowded.isEmpty():
+        whole = [F.lit(0).cast("long").alias("fine"), F.lit(0).alias("tree"), F.lit(0).alias("asked"), F.lit(True).alias("in_tree"), F.lit(True).alias("in_asked")]
+        return rows.select("shard", *whole, "node", "fp", "root")
     # Half of the further bits: members that differ in a few bits still meet in one table or another.
     finer = F.when(F.col("size").isNotNull(), F.col("fine").bitwiseAND((1 << (width // 2)) - 1) + 1).otherwise(0)
     marked = rows.join(crowded, "shard", "left").withColumn("fine", finer.cast("long")).drop("size")
@@ -264,7 +268,7 @@ def _dealt(nodes: DataFrame, first: int, last: int, shard_rows: int, width: int
     cut = (marked.join(still, ["shard", "fine"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
            .withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
     return cut.select("shard", "fine", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("asked"),
-                      (F.col("own") <= F.col("other")).alias("in_tree"), (F.col("own") >= F.col("other")).alias("in_asked"), "node", "fp", "tie", "root")
+                      (F.col("own") <= F.col("other")).alias("in_tree"), (F.col("own") >= F.col("other")).alias("in_asked"), "node", "fp", "root")
 
 
 def _joining(tree: np.ndarray, asked: np.ndarray, root: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -286,7 +290,7 @@ def _close_pairs(dealt: DataFrame, radius: int, turn: int, spare: int) -> DataFr
     """
     key = ["shard", "fine", "tree", "asked"]
     # Another order each turn: a pair that turned out not to be alike hides others that it made look redundant.
-    placed = dealt.repartition(*key).sortWithinPartitions(*key, F.xxhash64("tie", F.lit(turn)))
+    placed = dealt.repartition(*key).sortWithinPartitions(*key, F.xxhash64("fp", F.lit(turn)), "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -390,7 +394,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     spark = docs.sparkSession
     links = tested = spark.createDataFrame([], "u long, v long")
     sets = spark.createDataFrame([], "node long, shingles array<long>")
-    rooted = nodes.select("node", "fp", F.col("words_a").alias("tie"), F.col("node").alias("root"))
+    rooted = nodes.select("node", "fp", F.col("node").alias("root"))
     # Shards stay as full as they are: more texts, more bits, and as many more tables as the bits need.
     bits = min(28, max(TABLE_BITS, (nodes.count() - 1).bit_length() - 4))
     rounds = tuple(tuple(round(at * GROWTH ** (bits - TABLE_BITS)) for at in pair) for pair in rounds)
@@ -403,7 +407,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
         if not confirmed.isEmpty():
             links = stage(links.unionByName(confirmed), "copies-links")
             found = components(links, "copies-roots")
-            rooted = stage(nodes.join(found, "node", "left").select("node", "fp", F.col("words_a").alias("tie"), F.coalesce("root", "node").alias("root")), "copies-rooted")
+            rooted = stage(nodes.join(found, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "copies-rooted")
         elif step >= len(rounds) - 1:
             break
         if step >= len(rounds) - 1:
@@ -421,6 +425,10 @@ def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame, pairs: DataFrame
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(known.select("node"), "node", "left_anti")
     one = (nodes.join(wanted, "node").join(prints, ["words_a", "words_b"])
            .groupBy("node").agg(F.min(F.struct("digest_a", "digest_b")).alias("row")).select("node", "row.*"))
+    one = stage(one, "copies-wanted")
+    if one.count() <= BROADCAST_ROWS:
+        # Then the other texts need not be shuffled to be left out.
+        one = F.broadcast(one)
     row = F.struct(*map(named, docs.columns))
     bodies = (docs.select(F.xxhash64(row).alias("digest_a"), F.xxhash64(F.lit(1), row).alias("digest_b"), named(text).alias("text"))
               .join(one, ["digest_a", "digest_b"]).select("node", "text"))
