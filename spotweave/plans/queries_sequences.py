@@ -95,4 +95,5 @@ def q_cuts(spark, d):
 def q_frame_features(spark, d):
     """Everything known of every frame, from its detections and its signal."""
     boxes = fx.detections(spark, d)
-    return fr.frame_features(boxes, boxes, fx.frame_signals(spark, d), fx.jobs(spark, d), 1280, 720)
+    return fr.frame_features(boxes, boxes, fx.frame_signals(spark, d), fx.jobs(spark, d), 1280, 720,
+                             shared=fx.shared_signals(spark, d))

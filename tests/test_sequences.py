@@ -199,3 +199,28 @@ def test_skew_helpers(spark):
         got = {r.id for r in take_smallest(df, F.lit(n), "h", "id").collect()}
         assert got == {i for _, i in sorted((i % 7, i) for i in range(2000))[:n]}
     assert pick_by(df, ["h"], [F.col("id")], last=True).count() == 7
+
+
+def test_boxes_travel_as_rows_of_their_own(spark):
+    """No box is multiplied by its grid rows before the shuffle; frames that span many batches and frames without boxes are right."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        boxes = spark.range(300).selectExpr("id % 3 AS job_id", "id % 2 AS frame_index", "2 AS class_id", "CAST(id % 40 * 8 AS INT) AS x1",
+                                            "CAST(id % 40 * 8 + 4 AS INT) AS x2", "0 AS y1", "CAST(100 + id % 5 AS INT) AS y2")
+        frames = boxes.select("job_id", "frame_index").union(spark.createDataFrame([(9, 9), (9, 9), (8, 1)], "job_id long, frame_index long"))
+        found = fr.safe_area(frames, boxes, 320, 200, 4, bands=False)
+        got = {(r.job_id, r.frame_index): (r.safe_x, r.safe_y, r.safe_w, r.safe_h) for r in found.collect()}
+        assert len(got) == 8 and found.count() == 8
+        assert got[9, 9] == got[8, 1] == (0, 0, 320, 200)
+        held = {k: max(r.y2 for r in boxes.filter(f"job_id = {k[0]} AND frame_index = {k[1]}").collect()) for k in got if k[0] < 3}
+        assert all(got[k] == (0, -(-y // 4) * 4, 320, 200 - -(-y // 4) * 4) for k, y in held.items())
+        assert "explode(sequence" not in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_cuts_of_shared_signals_move_numbers_only(spark):
+    shared = spark.createDataFrame([(n, [float(n * n), 0.0]) for n in range(12)], "signal_id long, signal array<double>")
+    numbers = spark.range(200).selectExpr("id % 4 AS job_id", "id * 60000 AS frame_index", "id * 7 % 13 AS signal_id")
+    whole = fr.cut_flags(numbers.join(shared, "signal_id").drop("signal_id"))
+    assert sorted(map(tuple, fr.cut_flags(numbers, shared=shared).collect())) == sorted(map(tuple, whole.collect()))
