@@ -48,7 +48,6 @@ VALUE = r"(?:[\\\"'`]+[^\\\"'`]{8,}|[^\\\"'`&,;<>(){}\[\]]{8,})"
 PAIR = ASSIGNED + r"[A-Za-z0-9_.-]{0,20}[\\\"'`]*[=:]+" + VALUE
 PAIR_PARTS = r"(?s)^([A-Za-z0-9_.-]+)[\\\"'`]*[=:]+[\\\"'`]*(.*)$"
 ASSIGNS = ASSIGNED + r"[A-Za-z0-9_.-]{0,20}[\\\"'`]*\x20?[=:]+$"  # the words before end in an assignment
-CHARS = 4096  # of a longer value, so many characters give distinct and entropy; all else is of the whole value
 
 
 def _share(text: Column, pattern: str) -> Column:
@@ -129,17 +128,17 @@ def with_value(found: DataFrame) -> DataFrame:
 def with_features(found: DataFrame) -> DataFrame:
     """Feature columns of candidates, all doubles."""
     v = F.col("value")
-    chars = F.split(F.substring(v, 1, CHARS), "")
-    counts = F.transform(F.array_distinct("_chars"), lambda c: F.size(F.filter("_chars", lambda x: x == c)) / F.size("_chars"))
+    # Each distinct character is counted by one native pass over the value.
+    counts = F.transform("_chars", lambda c: (F.length(v) - F.length(F.replace(v, c, F.lit("")))) / F.length(v))
     vendor = F.lit(False)
     for shape in SHAPES.values():
         vendor = vendor | v.rlike(f"^(?:{shape})$")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     covered = F.lower(v)
-    return (found.withColumn("_chars", chars).select(
+    return (found.withColumn("_chars", F.array_distinct(F.split(v, ""))).select(
         *found.columns,
         F.length(v).cast("double").alias("length"), _share(v, "[0-9]").alias("digits"), _share(v, "[A-Z]").alias("upper"), _share(v, "[a-z]").alias("lower"),
-        _share(v, "[^A-Za-z0-9]").alias("symbols"), (F.size(F.array_distinct("_chars")) / F.size("_chars")).alias("distinct"),
+        _share(v, "[^A-Za-z0-9]").alias("symbols"), (F.size("_chars") / F.length(v)).alias("distinct"),
         F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p)).alias("entropy"),
         _share(v, "[a-z](?=[0-9A-Z])|[0-9](?=[A-Za-z])|[A-Z](?=[0-9a-z])").alias("transitions"),
         _share(v, "(?i)[aeiou](?=[bcdfghjklmnpqrstvwxyz])").alias("word_pairs"),

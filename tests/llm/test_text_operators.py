@@ -349,3 +349,15 @@ def test_samples_and_held_out(spark):
     assert hash_sample(ids, 30_000, "doc_id").count() == 20_000
     for row in ids.limit(50).select("doc_id", held_out().alias("h")).collect():
         assert row["h"] == (zlib.crc32(str(row["doc_id"]).encode()) % 5 == 0)
+
+
+def test_features_look_at_the_whole_value(spark):
+    """Two values that differ only after their first 4,096 characters differ in their features, which are of all characters."""
+    import math
+    values = ["ab1" * 2000, "ab1" * 2000 + "xyzé漢" * 1000, "aB3=" * 3]
+    rows = [(v, v, "", "", "", "notes", n) for n, v in enumerate(values)]
+    found = spark.createDataFrame(rows, "word string, value string, named string, before string, after string, path string, n int")
+    for r in secret_scan.with_features(found).collect():
+        shares = [r.value.count(c) / len(r.value) for c in set(r.value)]
+        assert r.distinct == len(shares) / len(r.value)
+        assert abs(r.entropy + sum(p * math.log2(p) for p in shares)) < 1e-9
