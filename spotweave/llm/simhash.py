@@ -216,7 +216,7 @@ ROUNDS = ((0, 8), (8, 64))  # tables searched in each round then; what a round j
 GROWTH = 1.18  # as many times the tables for each further bit: near copies agree on a bit 0.85 times or more
 BROADCAST_ROWS = 500_000  # rows of 24 bytes: texts to compare that are looked up by broadcast, more by a shuffle
 SPARE = 4  # pairs of a node that are compared in a shard after the first round, redundant or not
-SMALL = 64  # members of a shard that are compared without a tree
+SMALL = 64  # members of a shard up to which all shards of a batch are worked on at once, by the same rule
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -271,22 +271,34 @@ def _dealt(nodes: DataFrame, first: int, last: int, shard_rows: int, width: int
                       (F.col("own") <= F.col("other")).alias("in_tree"), (F.col("own") >= F.col("other")).alias("in_asked"), "node", "fp", "root")
 
 
-def _joining(tree: np.ndarray, asked: np.ndarray, root: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Pairs of places (tree, asked) that join what is apart, found by a BK-tree; ``root`` says what is together and is brought up to date."""
-    for node, near in BKTree(fp[tree]).search(fp[asked], radius):
-        near = asked[near]
-        own = root[tree[node]]
-        apart = near[root[near] != own]
-        if len(apart):
-            others, at = np.unique(root[apart], return_index=True)
-            yield from ((int(tree[node]), int(p)) for p in apart[at])
-            root[np.isin(root, others)] = own
+def _near_places(fp: np.ndarray, root: np.ndarray, in_tree: np.ndarray, in_asked: np.ndarray, radius: int, spare: int) -> Iterator[tuple[int, int]]:
+    """Pairs of places of a shard within the radius whose roots differ, but for those that earlier ones make redundant.
+
+    Each member is looked at with the k-th after it, for k = 1, 2, ... A pair is redundant if earlier ones join its roots and both
+    its members are in ``spare`` pairs already. What is redundant when a k begins stays so, hence is left out at once.
+    """
+    names, joined = np.unique(root, return_inverse=True)
+    own, times = joined, np.zeros(len(fp), np.int64)
+    joined = joined.copy()
+    for k in range(1, len(fp)):
+        first = np.flatnonzero((np.bitwise_count(fp[:-k] ^ fp[k:]) <= radius) & (own[:-k] != own[k:])
+                               & ((in_tree[:-k] & in_asked[k:]) | (in_asked[:-k] & in_tree[k:]))
+                               & ((joined[:-k] != joined[k:]) | (np.minimum(times[:-k], times[k:]) < spare)))
+        for x in first.tolist():
+            y = x + k
+            if joined[x] != joined[y]:
+                joined[joined == joined[y]] = joined[x]
+            elif min(times[x], times[y]) >= spare:
+                continue
+            times[x] += 1
+            times[y] += 1
+            yield x, y
 
 
 def _close_pairs(dealt: DataFrame, radius: int, turn: int, spare: int) -> DataFrame:
     """(u, v), u < v: pairs of nodes within the radius that join different roots, without those that others of the same shard make redundant.
 
-    In small shards a node comes in ``spare`` pairs nevertheless, as some may turn out not to be alike.
+    A node comes in ``spare`` pairs nevertheless, as some may turn out not to be alike. One rule holds for shards of every size.
     """
     key = ["shard", "fine", "tree", "asked"]
     # Another order each turn: a pair that turned out not to be alike hides others that it made look redundant.
@@ -313,9 +325,11 @@ def _close_pairs(dealt: DataFrame, radius: int, turn: int, spare: int) -> DataFr
         sizes = np.diff(bounds)
         shard = np.repeat(np.arange(len(sizes)), sizes)
         pairs: list[tuple[int, int]] = []
-        # Small shards, which most are, all at once: each member with the k-th after it.
+        # Small shards, which most are, all at once by the rule of _near_places; there is no tree or chunk to tell apart in them.
         after = bounds[1:][shard] - np.arange(len(fp)) - 1
-        left_over = np.flatnonzero((sizes <= SMALL)[shard])
+        chunked = np.add.reduceat(~(in_tree & in_asked), bounds[:-1]) > 0 if len(fp) else np.zeros(0, bool)
+        together = (sizes <= SMALL) & ~chunked
+        left_over = np.flatnonzero(together[shard])
         parent: dict[tuple[int, int], int] = {}
         times: dict[int, int] = {}
         for k in range(1, SMALL):
@@ -336,11 +350,9 @@ def _close_pairs(dealt: DataFrame, radius: int, turn: int, spare: int) -> DataFr
                     continue
                 times[x], times[y] = times.get(x, 0) + 1, times.get(y, 0) + 1
                 pairs.append((x, y))
-        for n in np.flatnonzero(sizes > SMALL):
-            span = np.arange(bounds[n], bounds[n + 1])
-            own = root[span]
-            found = _joining(np.flatnonzero(in_tree[span]), np.flatnonzero(in_asked[span]), own, fp[span], radius)
-            pairs += [(int(span[x]), int(span[y])) for x, y in found]
+        for n in np.flatnonzero(~together):
+            at, to = int(bounds[n]), int(bounds[n + 1])
+            pairs += [(at + x, at + y) for x, y in _near_places(fp[at:to], root[at:to], in_tree[at:to], in_asked[at:to], radius, spare)]
         x, y = (np.array(side, np.int64) for side in (zip(*pairs) if pairs else ((), ())))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["u", "v"])
 
@@ -383,7 +395,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 
     Texts are linked if the sets of their ``width``-word shingles (A-Z in lower case, white space between words) have at least this Jaccard
     similarity; every link is confirmed on the sets. Candidates are pairs of fingerprints of 3-word shingles, of which near copies
-    share more, within ``reach`` bits that agree on the bits of one of the tables, searched by BK-trees. So links may be missed
+    share more, within ``reach`` bits that agree on the bits of one of the tables. So links may be missed
     (measured recall in the README) but never made up. Rounds go on, over the last tables and the texts that the round before has
     compared, until one adds nothing: a link that was left out as redundant may turn out not to be.
     """

@@ -330,3 +330,19 @@ def test_pipeline_stages(spark, sf_dir):
     assert j.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
     assert j.filter("start = 0").count() == i.count()
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pairs_of_a_shard_do_not_depend_on_its_size(spark, monkeypatch):
+    """A shard worked on with others and one worked on alone give the same pairs, spare ones included."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2 ** 63, 3)
+    rows = [(0, 0, 0, 0, True, True, n, int(base[n % 3] ^ (1 << int(rng.integers(60))) ^ (1 << int(rng.integers(60)))), n - n % 2) for n in range(40)]
+    dealt = spark.createDataFrame(rows, "shard long, fine long, tree int, asked int, in_tree boolean, in_asked boolean, node long, fp long, root long")
+    found = {}
+    for spare in (0, 4):
+        for small in (64, 1):
+            monkeypatch.setattr(simhash, "SMALL", small)
+            found[spare, small] = sorted(map(tuple, simhash._close_pairs(dealt, 6, 1, spare).collect()))
+        assert found[spare, 64] == found[spare, 1]
+    assert len(found[4, 1]) > len(found[0, 1])
