@@ -224,3 +224,17 @@ def test_cuts_of_shared_signals_move_numbers_only(spark):
     numbers = spark.range(200).selectExpr("id % 4 AS job_id", "id * 60000 AS frame_index", "id * 7 % 13 AS signal_id")
     whole = fr.cut_flags(numbers.join(shared, "signal_id").drop("signal_id"))
     assert sorted(map(tuple, fr.cut_flags(numbers, shared=shared).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def _joins_of(df, column):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Join" in line and column in line]
+
+
+def test_copies_of_a_range_join_are_not_broadcast(spark):
+    spans = spark.createDataFrame([(1, 0, 100), (1, 50, 900_000)], "job_id long, s2 long, e2 long")
+    points = spark.createDataFrame([(1, 60, 70), (2, 60, 70)], "job_id long, s1 long, e1 long")
+    for met in (points_in(points, spans, ["job_id"], "s1", "s2", "e2"), overlapping(points, spans, ["job_id"], ("s1", "e1"), ("s2", "e2"))):
+        joins = _joins_of(met, "_bucket")
+        assert joins and all("SortMergeJoin" in j for j in joins)
+        assert met.count() == 2
