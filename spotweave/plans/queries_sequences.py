@@ -20,8 +20,7 @@ def _spans(spark, d):
 
 @query("frames_in_scene")
 def q_frames_in_scene(spark, d):
-    frames = fx.frames(spark, d).select("job_id", "frame_index", "ts_ms")
-    return points_in(frames, _spans(spark, d), ["job_id"], "ts_ms", "scene_start", "scene_end")
+    return points_in(fx.frame_times(spark, d), _spans(spark, d), ["job_id"], "ts_ms", "scene_start", "scene_end")
 
 
 @query("scene_transcript")
@@ -52,7 +51,7 @@ def q_sampled(spark, d):
 
 @query("stride_samples")
 def q_stride(spark, d):
-    return fr.stride_samples(fx.frames(spark, d))
+    return fr.stride_samples(fx.frame_times(spark, d))
 
 
 @query("rms_levels")

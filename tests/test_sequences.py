@@ -238,3 +238,23 @@ def test_copies_of_a_range_join_are_not_broadcast(spark):
         joins = _joins_of(met, "_bucket")
         assert joins and all("SortMergeJoin" in j for j in joins)
         assert met.count() == 2
+
+
+def test_scene_numbers_order_ids_without_vectors(spark, monkeypatch):
+    from spotweave.operators import segments as seg
+    plans, write = [], seg.stage
+    monkeypatch.setattr(seg, "stage", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    rows = spark.createDataFrame([(1, 1, 0, 1000, 1, "a"), (1, 2, 1500, 2000, 2, "b"), (1, 3, 2500, 3000, 3, "c"), (1, 4, 3500, 4000, None, "d"),
+                                  (1, 5, 90_000, 91_000, 3, "e")], "job_id long, seg_id long, start_ms long, end_ms long, vec_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    found = scene_numbers(rows, vectors).orderBy("seg_id").collect()
+    assert [r.scene_no for r in found] == [1, 1, 2, 3, 4]
+    assert "embedding" not in plans[0]
+
+
+def test_frames_move_only_the_columns_asked_for(spark, sf_dir):
+    from spotweave.sources import fixtures as fx
+    some, whole = fx.frames(spark, sf_dir, "objects"), fx.frames(spark, sf_dir)
+    assert some.columns == ["job_id", "frame_index", "ts_ms", "objects"]
+    assert "l_quantity" not in some._jdf.queryExecution().executedPlan().toString()
+    assert some.exceptAll(whole.select(some.columns)).count() == 0 and some.count() == whole.count() == fx.frame_times(spark, sf_dir).count()
