@@ -215,6 +215,8 @@ TABLE_BITS = 14  # bits of a table's shards in a corpus of up to 2 ** 18 distinc
 ROUNDS = ((0, 8), (8, 64))  # tables searched in each round then; what a round joins costs the next ones nothing
 GROWTH = 1.18  # as many times the tables for each further bit: near copies agree on a bit 0.85 times or more
 BROADCAST_ROWS = 500_000  # rows of 24 bytes: texts to compare that are looked up by broadcast, more by a shuffle
+SETS = "node long, size long, parts array<int>, shingles array<long>"
+PARTS = 128  # parts of a shingle set, by its hashes, whose sizes bound what two sets share; a power of two
 SPARE = 4  # pairs of a node that are compared in a shard after the first round, redundant or not
 SMALL = 64  # members of a shard up to which all shards of a batch are worked on at once, by the same rule
 
@@ -379,14 +381,36 @@ def _words_key(docs: DataFrame, key: str, text: str) -> DataFrame:
     return plain.mapInArrow(work, f"doc_id {kind}, digest_a long, digest_b long, words_a long, words_b long, fp long")
 
 
+def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``sets`` that pairs name, so that no others are shuffled."""
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    return sets.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "node", "left_semi")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose sets may have at least this Jaccard similarity, by their sizes and the sizes of their parts.
+
+    Two sets share no more elements of a part than the smaller part has, so no pair that is alike is left out.
+    """
+    share = round(similarity * 1000)
+    joined, held = pairs, _of_pairs(sets.select("node", "size", "parts"), pairs)
+    for side in ("u", "v"):
+        joined = joined.join(held.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("parts").alias(f"parts_{side}")), side)
+    most = F.aggregate(F.zip_with("parts_u", "parts_v", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
+    return (joined.filter(1000 * F.least("size_u", "size_v") >= share * F.greatest("size_u", "size_v"))
+            .filter(1000 * most >= share * (F.col("size_u") + F.col("size_v") - most)).select("u", "v"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets have at least this Jaccard similarity, exactly."""
-    joined = (pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-              .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v"))
-    both = F.size(F.array_intersect("a", "b"))
+    """Pairs whose shingle sets have at least this Jaccard similarity, exactly; only the sets of likely pairs are moved."""
+    likely = stage(_likely(pairs, sets, similarity), "copies-likely")
+    joined, held = likely, _of_pairs(sets.select("node", "size", "shingles"), likely)
+    for side in ("u", "v"):
+        joined = joined.join(held.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("shingles").alias(f"set_{side}")), side)
+    both = F.size(F.array_intersect("set_u", "set_v")).cast("long")
     # In whole numbers: a similarity of 0.8 is reached or not whatever a division rounds to.
     share = round(similarity * 1000)
-    return joined.filter(1000 * both >= share * (F.size("a") + F.size("b") - both)).select("u", "v")
+    return joined.filter(1000 * both >= share * (F.col("size_u") + F.col("size_v") - both)).select("u", "v")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH,
@@ -405,7 +429,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
                   .sortWithinPartitions("words_a", "words_b").withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
     spark = docs.sparkSession
     links = tested = spark.createDataFrame([], "u long, v long")
-    sets = spark.createDataFrame([], "node long, shingles array<long>")
+    sets = spark.createDataFrame([], SETS)
     rooted = nodes.select("node", "fp", F.col("node").alias("root"))
     # Shards stay as full as they are: more texts, more bits, and as many more tables as the bits need.
     bits = min(28, max(TABLE_BITS, (nodes.count() - 1).bit_length() - 4))
@@ -414,7 +438,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     while True:
         first, last = rounds[min(step, len(rounds) - 1)]
         pairs = stage(_close_pairs(_dealt(active, first, last, shard_rows, bits), reach, step, SPARE if step else 0).join(tested, ["u", "v"], "left_anti"), "copies-pairs")
-        sets = stage(sets.unionByName(_sets(docs, prints, nodes, pairs, sets, text, width)), "copies-sets")
+        wanted = stage(_wanted(prints, nodes, pairs, sets), "copies-wanted")
+        if not wanted.isEmpty():
+            # Each round's sets are a table of their own: those of earlier rounds are not written again.
+            sets = sets.unionByName(stage(_sets(docs, wanted, text, width), "copies-sets"))
         confirmed = stage(_confirmed(pairs, sets, similarity), "copies-links")
         if not confirmed.isEmpty():
             links = stage(links.unionByName(confirmed), "copies-links")
@@ -432,26 +459,36 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     return prints, nodes.join(rooted.select("node", "root"), "node").select("words_a", "words_b", "root")
 
 
-def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame, pairs: DataFrame, known: DataFrame, text: str, width: int) -> DataFrame:
-    """Shingle sets of the nodes that pairs name and ``known`` lacks, from one row of each."""
+def _wanted(prints: DataFrame, nodes: DataFrame, pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, digest_a, digest_b, copies): one row of each node that pairs name and ``known`` lacks, and how often it is repeated."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(known.select("node"), "node", "left_anti")
-    one = (nodes.join(wanted, "node").join(prints, ["words_a", "words_b"])
-           .groupBy("node").agg(F.min(F.struct("digest_a", "digest_b")).alias("row")).select("node", "row.*"))
-    one = stage(one, "copies-wanted")
-    if one.count() <= BROADCAST_ROWS:
-        # Then the other texts need not be shuffled to be left out.
-        one = F.broadcast(one)
+    return (nodes.join(wanted, "node").join(prints, ["words_a", "words_b"])
+            .groupBy("node", "digest_a", "digest_b").agg(F.count("*").alias("copies"))
+            .groupBy("node").agg(F.min(F.struct("digest_a", "digest_b", "copies")).alias("row")).select("node", "row.*"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
+    """The shingle sets of the wanted nodes: ``size``, sizes of their ``PARTS`` parts, ``shingles``. No set is shuffled."""
     row = F.struct(*map(named, docs.columns))
-    bodies = (docs.select(F.xxhash64(row).alias("digest_a"), F.xxhash64(F.lit(1), row).alias("digest_b"), named(text).alias("text"))
-              .join(one, ["digest_a", "digest_b"]).select("node", "text"))
+    hashed = docs.select(F.xxhash64(row).alias("digest_a"), F.xxhash64(F.lit(1), row).alias("digest_b"), named(text).alias("text"))
+
+    def bodies(one: DataFrame) -> DataFrame:
+        # By a broadcast the other texts need not be shuffled to be left out.
+        return hashed.join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else one, ["digest_a", "digest_b"]).select("node", "text")
+
+    found, repeated = bodies(wanted.filter("copies = 1")), wanted.filter("copies > 1")
+    if not repeated.isEmpty():
+        # Wholly repeated rows have one digest and are one.
+        found = found.unionByName(bodies(repeated).dropDuplicates(["node"]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t.as_py(), width) for t in batch.column("text")], pa.list_(pa.int64()))],
-                                             names=["node", "shingles"])
+            sets = [shingle_set(t.as_py(), width) for t in batch.column("text")]
+            parts = [np.bincount(s & (PARTS - 1), minlength=PARTS) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(parts, pa.list_(pa.int32())),
+                                              pa.array(sets, pa.list_(pa.int64()))], names=["node", "size", "parts", "shingles"])
 
-    # Wholly repeated rows have one digest and are one.
-    return bodies.mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"])
+    return found.mapInArrow(work, SETS)
 
 
 def keep_distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:

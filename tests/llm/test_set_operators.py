@@ -236,6 +236,27 @@ def test_near_copies_against_brute_force(spark, monkeypatch, shard_rows, small):
     assert simhash.keep_distinct(docs.limit(0)).count() == 0
 
 
+def test_shingle_sets_are_written_once_and_moved_for_likely_pairs_only(spark, monkeypatch):
+    rng, written = np.random.default_rng(9), {}
+
+    def kept(df, name, own=simhash.stage):
+        written.setdefault(name, []).append(own(df, name))
+        return written[name][-1]
+
+    monkeypatch.setattr(simhash, "stage", kept)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(900)], n)) for n in rng.integers(20, 200, 60)]
+    texts += [f"{t} {end}" for t in texts for end in ("x", "y z", "x y")] + [t[:len(t) * 3 // 4] for t in texts]
+    rows = [(i, t, "en", None, 1) for i, t in enumerate(texts)] + [(0, texts[0], "en", None, 1)] * 3
+    simhash.near_copies(spark.createDataFrame(rows, DOCS))
+    nodes = [r["node"] for table in written["copies-sets"] for r in table.collect()]
+    assert len(written["copies-links"]) > 2 and len(nodes) == len(set(nodes)) > 200
+    # By definition: of the pairs compared all that are alike are looked at as likely, others are not.
+    pairs, likely = (sum(table.count() for table in written[name]) for name in ("copies-pairs", "copies-likely"))
+    sets = {r["node"]: set(r["shingles"]) for table in written["copies-sets"] for r in table.collect()}
+    alike = {(u, v) for table in written["copies-pairs"] for u, v in table.collect() if 5 * len(sets[u] & sets[v]) >= 4 * len(sets[u] | sets[v])}
+    assert alike <= {tuple(r) for table in written["copies-likely"] for r in table.collect()} and len(alike) <= likely < pairs
+
+
 def test_near_duplicates_and_keep_first(spark):
     text = words(60)
     rows = [(9, text), (4, text), (4, text), (6, text.replace("w59", "w58")), (1, None), (2, ""), (3, " \t"), (None, text), (None, words(30)), (8, words(5000)), (5, "other words here")]
