@@ -10,13 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from spotweave.operators.ordered import running_total, with_previous
+from spotweave.operators.segments import gap_scenes
 from spotweave.operators.serving import active_overlays, watch_progress
 from spotweave.operators.skew import pick_by
 from spotweave.session import fresh_path
@@ -115,48 +112,6 @@ def stream_watch_progress(stream: DataFrame, durations: DataFrame) -> DataFrame:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class ChunkPieces(StatefulProcessor):
-    """Keeps the segments of one (job, time chunk) and returns its pieces, runs without a gap, whenever some arrive.
-
-    Segments come in any order and with repeats: one of a known (start, number) changes nothing. ``piece`` numbers the pieces of a
-    chunk; ``last_end`` is the end of a piece's last segment, which decides whether the next one follows on.
-    """
-
-    def __init__(self, gap_ms: int):
-        self.gap_ms = gap_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("segments", "starts array<long>, numbers array<long>, ends array<long>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        job, ended, chunk = key
-        if ended:
-            for _ in rows:
-                pass
-            yield pd.DataFrame([(job, True, None, 0, None, None, None, 0)], columns=PIECE).astype(object)
-            return
-        new = pd.concat(list(rows))[["start_ms", "seg_id", "end_ms"]].to_numpy(np.int64)
-        if self.held.exists():
-            old = np.array(self.held.get(), np.int64).reshape(3, -1).T
-            new = np.concatenate((old, new))
-        # Of a repeated segment the one that came first stays.
-        order = np.lexsort((np.arange(len(new)), new[:, 1], new[:, 0]))
-        new = new[order]
-        new = new[np.concatenate(([True], (np.diff(new[:, :2], axis=0) != 0).any(axis=1)))]
-        start, number, end = new.T
-        self.held.update((start.tolist(), number.tolist(), end.tolist()))
-        first = np.flatnonzero(np.concatenate(([True], start[1:] - end[:-1] > self.gap_ms)))
-        last = np.append(first[1:], len(start)) - 1
-        yield pd.DataFrame({"job_id": job, "ended": False, "chunk": chunk, "piece": np.arange(len(first)), "start_ms": start[first], "last_end": end[last],
-                            "end_ms": np.maximum.reduceat(end, first), "n_segments": last - first + 1})
-
-    def close(self) -> None:
-        pass
-
-
-PIECE = ["job_id", "ended", "chunk", "piece", "start_ms", "last_end", "end_ms", "n_segments"]
-
-
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
@@ -174,38 +129,15 @@ def stream_gap_scenes(stream: DataFrame, cfg: SegmentationSettings = SEGMENTATIO
     """Scenes split on speech gaps, for the jobs whose end has been seen: those of the batch rule.
 
     ``stream``: job_id, seg_id, start_ms, end_ms, ended. A row with ``ended`` says that its job is over and holds no segment; rows
-    without a start or an end are left out. The state, in RocksDB, is keyed by job and time chunk, so a micro-batch touches the chunks
-    that it has segments of, whatever their order, and an endless job is spread over many keys. A chunk's latest pieces are joined
-    across its borders when the scenes are read.
+    without a start or an end are left out. The state, in RocksDB, is keyed by segment: one of a known (job, start, number) changes nothing, in
+    whatever order they come. A micro-batch touches the keys of its own rows, appends what is new and reads nothing back; the segments
+    of ended jobs are put in order once, when the scenes are read.
     """
-    spark = stream.sparkSession
-    path = fresh_path(spark, "gap-scenes")
     ended = F.coalesce("ended", F.lit(False))
-    keyed = (stream.select("job_id", "seg_id", "start_ms", "end_ms", ended.alias("ended"))
-             .filter("ended OR (start_ms IS NOT NULL AND end_ms IS NOT NULL)")
-             .withColumn("chunk", F.when(F.col("ended"), F.lit(0)).otherwise(F.floor(F.col("start_ms") / cfg.chunk_ms)).cast("long")))
-    pieces = keyed.groupBy("job_id", "ended", "chunk").transformWithStateInPandas(
-        ChunkPieces(cfg.gap_ms), "job_id long, ended boolean, chunk long, piece long, start_ms long, last_end long, end_ms long, n_segments long",
-        "Update", "None")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/pieces/batch={batch_id}")
-
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
-        (pieces.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
-         .trigger(availableNow=True).start().awaitTermination())
-    return joined_pieces(spark.read.option("basePath", f"{path}/pieces").parquet(f"{path}/pieces"), cfg)
-
-
-def joined_pieces(log: DataFrame, cfg: SegmentationSettings = SEGMENTATION) -> DataFrame:
-    """Scenes of the ended jobs from the latest pieces of each chunk (``batch`` grows)."""
-    over = log.filter("ended").select("job_id").distinct()
-    held = log.filter("NOT ended").join(over, "job_id", "left_semi")
-    newest = held.groupBy("job_id", "chunk").agg(F.max("batch").alias("batch"))
-    rows = held.join(newest, ["job_id", "chunk", "batch"], "left_semi").select("job_id", "chunk", "piece", "start_ms", "last_end", "end_ms", "n_segments")
-    some, order = F.floor(F.col("chunk") / 1000), ["chunk", "piece"]
-    before = with_previous(rows, ["job_id"], some, order, ["last_end"])
-    opens = F.coalesce(F.col("start_ms") - F.col("prev_last_end") > cfg.gap_ms, F.lit(True))
-    numbered = running_total(before, ["job_id"], some, order, opens.cast("long"), "scene_no")
-    return numbered.groupBy("job_id", "scene_no").agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n_segments").alias("n_segments")).drop("scene_no")
+    rows = (stream.filter(ended | (F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()))
+            .select("job_id", *[F.when(~ended, F.col(c)).alias(c) for c in ("seg_id", "start_ms", "end_ms")], ended.alias("ended")))
+    with _setting(stream.sparkSession, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+        held = drain(ingest(rows, ["job_id", "ended", "start_ms", "seg_id"]), "gap-scenes")
+    over = held.filter("ended").select("job_id")
+    segments = held.filter("NOT ended").drop("ended").join(over, "job_id", "left_semi")
+    return gap_scenes(segments, cfg).drop("scene_no")

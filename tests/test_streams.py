@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotweave.operators.segments import gap_scenes
+from spotweave.session import shared_dir
 from spotweave.settings import SegmentationSettings
 from spotweave.streaming import jobs as st
 
@@ -52,6 +53,19 @@ def test_gap_scenes_over_chunk_borders(spark, arrivals):
     assert sorted(map(tuple, scenes.collect())) == sorted(map(tuple, wanted.collect()))
 
 
+def test_gap_scenes_write_a_segment_once(spark, tmp_path):
+    """Twenty micro-batches, each with one segment of one chunk and the one before once more with another end, which changes nothing."""
+    table = [(1, n, n * 9000, n * 9000 + 1000, f"w{n}", False) for n in range(20)]
+    for n, row in enumerate(table):
+        again = [(*table[n - 1][:3], 10 ** 6, "again", False)] if n else [(1, None, None, None, None, True)]
+        spark.createDataFrame([row, *again], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    before = set(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(shared_dir(spark)).select("path").collect())
+    scenes = st.stream_gap_scenes(st.table_stream(spark, str(tmp_path / "in"), "*.parquet", SCHEMA, 1))
+    assert sorted(map(tuple, scenes.collect())) == [(1, r[2], r[3], 1) for r in table]
+    after = set(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(shared_dir(spark)).select("path").collect())
+    assert spark.read.parquet(*[r["path"] for r in after - before]).count() == len(table) + 1
+
+
 def test_training_rows_are_drawn_by_scene_and_ad(spark):
     from spotweave.operators.labels import training_set
     rows = [(s, a, 0.2, "negative", "train") for s in range(100) for a in range(20)] + [(s, 50, 0.9, "positive", "train") for s in range(50)]
