@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import hash_sample, named
+from spotweave.llm.common import hash_sample, named, sliced
 
 BUCKETS = 1 << 14
 SAMPLE_ROWS = 20_000
@@ -83,7 +83,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             for body, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if name not in seen:
                     seen[name] = np.zeros(BUCKETS, np.int64)
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             found = [known.predict(body) for body in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],

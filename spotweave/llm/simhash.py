@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import keep_columns, named
+from spotweave.llm.common import SLICE_BYTES, keep_columns, named, sliced
 from spotweave.llm.components import components
 from spotweave.session import stage
 
@@ -248,7 +248,8 @@ def _dealt(nodes: DataFrame, first: int, last: int, shard_rows: int, width: int
         weights = np.zeros((64, 2 * len(places)))
         for t, own in enumerate(places):
             weights[own[:width], t] = weights[own[width:], len(places) + t] = 1 << np.arange(width)
-        for batch in batches:
+        # A row of 24 bytes becomes one of 40 for each table.
+        for batch in sliced(batches, SLICE_BYTES // (2 * len(places))):
             fp = batch.column("fp").to_numpy()
             bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             keys = (bits @ weights).astype(np.int64)
@@ -482,7 +483,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFram
         found = found.unionByName(bodies(repeated).dropDuplicates(["node"]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(t.as_py(), width) for t in batch.column("text")]
             parts = [np.bincount(s & (PARTS - 1), minlength=PARTS) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(parts, pa.list_(pa.int32())),

@@ -5,12 +5,14 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spotweave.llm import embedding_join, mixing, simhash, version_sketch
+from spotweave.llm import embedding_join, language_id, mixing, simhash, version_sketch
+from spotweave.llm.common import sliced
 from spotweave.llm.components import components
 from spotweave.session import stage
 
@@ -367,3 +369,31 @@ def test_pairs_of_a_shard_do_not_depend_on_its_size(spark, monkeypatch):
             found[spare, small] = sorted(map(tuple, simhash._close_pairs(dealt, 6, 1, spare).collect()))
         assert found[spare, 64] == found[spare, 1]
     assert len(found[4, 1]) > len(found[0, 1])
+
+
+def test_large_results_leave_a_task_in_slices(spark, monkeypatch):
+    """A batch of Spark's, of 10,000 rows at most, is answered by batches of about a MB, of the same rows."""
+    docs = spark.createDataFrame([(i, words(300 + i), "en", None, 1) for i in range(4)], DOCS)
+    tasks, own = [], type(docs).mapInArrow
+
+    def kept(self, func, *args, **kwargs):
+        tasks.append(func)
+        return own(self, func, *args, **kwargs)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", kept)
+    nodes = spark.createDataFrame([(1, 2, 1)], "node long, fp long, root long")
+    simhash._dealt(nodes, 8, 64, 4096)
+    simhash._sets(docs, spark.createDataFrame([(1, 2, 3, 1)], "node long, digest_a long, digest_b long, copies long"), "text", 5)
+    language_id.identify(docs, language_id.fit(docs))
+    deal, sets, *_, predict = tasks
+    n = 10_000
+    number, body = np.arange(n), pa.array([words(200)] * n)
+    texts = {"doc_id": number, "text": body, "lang": ["en"] * n, "source": ["a"] * n, "n_chars": number}
+    for task, given, rows in ((deal, {"node": number, "fp": number * 7, "root": number}, 56 * n), (sets, {"node": number, "text": body}, n),
+                              (predict, {k: texts[k] for k in docs.columns}, n)):
+        found = list(task(iter([pa.RecordBatch.from_pydict(given), pa.RecordBatch.from_pydict(given).slice(0, 0)])))
+        assert max(b.nbytes for b in found) < 4 << 20 and sum(b.num_rows for b in found) == rows
+        order = np.concatenate([b.column("doc_id" if task is predict else "node").to_numpy() for b in found])
+        assert (order == np.repeat(number, rows // n)).all()
+    wide = pa.RecordBatch.from_pydict({"text": ["x" * (5 << 20)] * 3})
+    assert [b.num_rows for b in sliced([wide, wide.slice(1)])] == [1] * 5 and list(sliced([wide.slice(3)])) == []
