@@ -241,6 +241,7 @@ def _dealt(nodes: DataFrame, first: int, last: int, shard_rows: int, width: int
     """(shard, fine, tree, asked, in_tree, in_asked, node, fp, root): a node once per table, by the ``width`` bits the table looks at.
 
     Members of a crowded shard go to finer ones by further bits of their own table, and chunks of what is still crowded all meet.
+    Where no shard is crowded, the columns that say so are left out: they would double the rows that are shuffled and sorted.
     """
     places = _places(last, 2 * width)[first:]
 
@@ -261,8 +262,7 @@ def _dealt(nodes: DataFrame, first: int, last: int, shard_rows: int, width: int
     rows = nodes.select("node", "fp", "root").mapInArrow(work, "shard long, fine long, node long, fp long, root long")
     crowded = stage(rows.groupBy("shard").agg(F.count("*").alias("size")).filter(F.col("size") > shard_rows), "copies-crowded")
     if crowded.isEmpty():
-        whole = [F.lit(0).cast("long").alias("fine"), F.lit(0).alias("tree"), F.lit(0).alias("asked"), F.lit(True).alias("in_tree"), F.lit(True).alias("in_asked")]
-        return rows.select("shard", *whole, "node", "fp", "root")
+        return rows.select("shard", "node", "fp", "root")
     # Half of the further bits: members that differ in a few bits still meet in one table or another.
     finer = F.when(F.col("size").isNotNull(), F.col("fine").bitwiseAND((1 << (width // 2)) - 1) + 1).otherwise(0)
     marked = rows.join(crowded, "shard", "left").withColumn("fine", finer.cast("long")).drop("size")
@@ -303,7 +303,7 @@ def _close_pairs(dealt: DataFrame, radius: int, turn: int, spare: int) -> DataFr
 
     A node comes in ``spare`` pairs nevertheless, as some may turn out not to be alike. One rule holds for shards of every size.
     """
-    key = ["shard", "fine", "tree", "asked"]
+    key, sides = ([c for c in names if c in dealt.columns] for names in (("shard", "fine", "tree", "asked"), ("in_tree", "in_asked")))
     # Another order each turn: a pair that turned out not to be alike hides others that it made look redundant.
     placed = dealt.repartition(*key).sortWithinPartitions(*key, F.xxhash64("fp", F.lit(turn)), "node")
 
@@ -323,7 +323,7 @@ def _close_pairs(dealt: DataFrame, radius: int, turn: int, spare: int) -> DataFr
     def links(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
         fp, node, root = (table.column(c).to_numpy() for c in ("fp", "node", "root"))
         fp, root = fp.view(np.uint64), root.copy()
-        in_tree, in_asked = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("in_tree", "in_asked"))
+        in_tree, in_asked = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in sides) if sides else np.ones((2, len(fp)), bool)
         bounds = np.concatenate(([0], cuts, [len(fp)]))
         sizes = np.diff(bounds)
         shard = np.repeat(np.arange(len(sizes)), sizes)
@@ -359,7 +359,7 @@ def _close_pairs(dealt: DataFrame, radius: int, turn: int, spare: int) -> DataFr
         x, y = (np.array(side, np.int64) for side in (zip(*pairs) if pairs else ((), ())))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["u", "v"])
 
-    return placed.select(*key, "in_tree", "in_asked", "node", "fp", "root").mapInArrow(work, "u long, v long").distinct()
+    return placed.select(*key, *sides, "node", "fp", "root").mapInArrow(work, "u long, v long").distinct()
 
 
 def _words_key(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -439,8 +439,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     while True:
         first, last = rounds[min(step, len(rounds) - 1)]
         pairs = stage(_close_pairs(_dealt(active, first, last, shard_rows, bits), reach, step, SPARE if step else 0).join(tested, ["u", "v"], "left_anti"), "copies-pairs")
-        wanted = stage(_wanted(prints, nodes, pairs, sets), "copies-wanted")
-        if not wanted.isEmpty():
+        # Later rounds are over nodes of the round before, whose sets are there.
+        if step < len(rounds) and not (wanted := stage(_wanted(prints, nodes, pairs, sets), "copies-wanted")).isEmpty():
             # Each round's sets are a table of their own: those of earlier rounds are not written again.
             sets = sets.unionByName(stage(_sets(docs, wanted, text, width), "copies-sets"))
         confirmed = stage(_confirmed(pairs, sets, similarity), "copies-links")
@@ -455,7 +455,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
             active = stage(rooted.join(seen, "node", "left_semi"), "copies-active")
         else:
             active = rooted
-        tested = stage(tested.unionByName(pairs), "copies-tested")
+        tested = tested.unionByName(pairs)
         step += 1
     return prints, nodes.join(rooted.select("node", "root"), "node").select("words_a", "words_b", "root")
 

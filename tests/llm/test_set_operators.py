@@ -382,7 +382,8 @@ def test_large_results_leave_a_task_in_slices(spark, monkeypatch):
 
     monkeypatch.setattr(type(docs), "mapInArrow", kept)
     nodes = spark.createDataFrame([(1, 2, 1)], "node long, fp long, root long")
-    simhash._dealt(nodes, 8, 64, 4096)
+    # No shard is crowded: nothing but the node goes along.
+    assert simhash._dealt(nodes, 8, 64, 4096).columns == ["shard", "node", "fp", "root"]
     simhash._sets(docs, spark.createDataFrame([(1, 2, 3, 1)], "node long, digest_a long, digest_b long, copies long"), "text", 5)
     language_id.identify(docs, language_id.fit(docs))
     deal, sets, *_, predict = tasks
