@@ -10,7 +10,7 @@ its shard, so no task ever holds more than two chunks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import SLICE_BYTES, keep_columns, named, sliced
+from spotweave.llm.common import SLICE_BYTES, hash_sample, keep_columns, named, sliced
 from spotweave.llm.components import components
 from spotweave.session import stage
 
@@ -212,13 +212,18 @@ WIDTH = 5  # words of the shingles whose sets are compared
 SIMILARITY = 0.8
 REACH = 14  # differing bits up to which a pair is compared
 TABLE_BITS = 14  # bits of a table's shards in a corpus of up to 2 ** 18 distinct texts, one more for each doubling
-ROUNDS = ((0, 8), (8, 64))  # tables searched in each round then; what a round joins costs the next ones nothing
+TABLES = 8  # tables searched then; what they join costs the search by prefixes nothing
 GROWTH = 1.18  # as many times the tables for each further bit: near copies agree on a bit 0.85 times or more
 BROADCAST_ROWS = 500_000  # rows of 24 bytes: texts to compare that are looked up by broadcast, more by a shuffle
 SETS = "node long, size long, parts array<int>, shingles array<long>"
 PARTS = 128  # parts of a shingle set, by its hashes, whose sizes bound what two sets share; a power of two
-SPARE = 4  # pairs of a node that are compared in a shard after the first round, redundant or not
 SMALL = 64  # members of a shard up to which all shards of a batch are worked on at once, by the same rule
+COMMON_SAMPLE = 20_000  # texts in which common shingles are looked for; whichever are found, no pair is missed
+COMMON = 1 << 17  # common shingles known at most, 16 bytes each
+AT_ONCE = 100  # pairs of holders of shingles, a text, up to which all are compared at once
+NEXT = 2  # holders of a shingle after each that are compared before all the others
+CROWD = 256  # holders of a shingle up to which all shingles of a batch are worked on at once
+CELLS = 1 << 20  # pairs of holders of one shingle looked at at once
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -362,6 +367,144 @@ def _close_pairs(dealt: DataFrame, radius: int, turn: int, spare: int) -> DataFr
     return placed.select(*key, *sides, "node", "fp", "root").mapInArrow(work, "u long, v long").distinct()
 
 
+def _least(size: np.ndarray | int, similarity: float) -> np.ndarray | int:
+    """Elements that a set shares with any set it is alike, in whole numbers."""
+    return -(-round(similarity * 1000) * size // 1000)
+
+
+def _common(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles of a sample of the texts, in order, and how many of them hold each."""
+    sample = hash_sample(docs.select(named(text).alias("text")), COMMON_SAMPLE, "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = [shingle_set(t.as_py(), width) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["shingle"])
+
+    found = (sample.mapInArrow(work, "shingle long").groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+             .orderBy(F.desc("holders"), "shingle").limit(COMMON).toArrow().sort_by("shingle"))
+    return found.column("shingle").to_numpy(), found.column("holders").to_numpy()
+
+
+def _prefixes(docs: DataFrame, text: str, similarity: float, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(words_a, words_b, size, prefix): of every distinct word sequence the size of its shingle set and the shingles it is looked up by.
+
+    A set of n shingles shares at least m = ceil(similarity * n) with any set it is alike. So the first n - m + 1 shingles of both, in an
+    order that is one for all texts, have one in common, and it stands where enough may still follow. Common shingles come last in that order, by
+    how common they are, the others by their hashes: what few texts hold is what most are looked up by.
+    """
+    known, holders = common
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            keys, sizes, firsts = [], [], []
+            for value in batch.column("text"):
+                body = value.as_py()
+                words = _words(body)
+                own = shingle_set(body, width)
+                first = len(own) - _least(len(own), similarity) + 1 if len(own) else 0
+                if len(known) and len(own):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.argsort(np.where(known[at] == own, holders[at], 0), kind="stable")]
+                keys.append((xxhash.xxh64_intdigest(words, SEED), xxhash.xxh64_intdigest(words, SEED + 1)))
+                sizes.append(len(own))
+                firsts.append(own[:first])
+            keys = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
+            lengths = np.array([len(f) for f in firsts], np.int64)
+            flat = np.concatenate([*firsts, np.zeros(0, np.int64)])
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            places = np.arange(len(flat)) - np.repeat(ends[:-1], lengths)
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(flat), pa.array(places, pa.int32())], names=["shingle", "place"]))
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in keys.T], pa.array(sizes, pa.int32()), prefix],
+                                             names=["words_a", "words_b", "size", "prefix"])
+
+    found = docs.select(named(text).alias("text")).mapInArrow(work, "words_a long, words_b long, size int, prefix array<struct<shingle: long, place: int>>")
+    return found.dropDuplicates(["words_a", "words_b"])
+
+
+def _by_shingle(holders: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``work`` makes of the holders of shingles (shingle, node, size, place, root), all of a shingle together in order of size; it gets a table and where shingles begin."""
+    dealt = holders.select("shingle", "node", "size", "place", "root").repartition("shingle").sortWithinPartitions("shingle", "size", "node")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last shingle may go on in the next batch.
+            held.append(batch)
+            if held[0].column("shingle")[0] == batch.column("shingle")[-1]:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            shingle = table.column("shingle").to_numpy()
+            begins = np.concatenate(([0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1))
+            if begins[-1]:
+                yield from work(table.slice(0, begins[-1]), begins[:-1])
+            held = table.slice(begins[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from work(table, np.zeros(1, np.int64))  # one shingle alone
+
+    return dealt.mapInArrow(task, schema)
+
+
+def _shared(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Holders of the shingles whose holders are not all joined."""
+    root = table.column("root").to_numpy()
+    sizes = np.diff(np.concatenate((begins, [len(root)])))
+    several = np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)
+    yield from table.select(["shingle", "node", "size", "place"]).filter(pa.array(np.repeat(several, sizes))).combine_chunks().to_batches()
+
+
+def _sharing(similarity: float, most: int | None) -> Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]:
+    """Pairs (u, v), u < v, of holders of a shingle that are not joined and may be alike: all, or each with the ``most`` after it only."""
+    share = round(similarity * 1000)
+
+    def work(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, size, place, root = (table.column(c).to_numpy() for c in ("node", "size", "place", "root"))
+        size, place = size.astype(np.int64), place.astype(np.int64)
+        after = size - place  # of a set from this shingle on
+        bounds = np.concatenate((begins, [len(node)]))
+        end = np.repeat(bounds[1:], np.diff(bounds))
+        # Holders are in order of size: those beyond are too large to be alike.
+        last = np.minimum(end, np.arange(len(node)) + 1 + most) if most else end
+
+        def pairs(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            # The first shingle that two sets share has all that they share after it.
+            held = np.minimum(after[x], after[y])
+            near = (root[x] != root[y]) & (1000 * size[x] >= share * size[y]) & (1000 * held >= share * (size[x] + size[y] - held))
+            if near.any():
+                u, v = node[x[near]], node[y[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+        few = np.diff(bounds) <= CROWD
+        left_over = np.flatnonzero(np.repeat(few, np.diff(bounds)) if not most else np.ones(len(node), bool))
+        k = 1
+        while len(left_over := left_over[left_over + k < last[left_over]]):
+            left_over = left_over[1000 * size[left_over] >= share * size[left_over + k]]
+            yield from pairs(left_over, left_over + k)
+            k += 1
+        for n in np.flatnonzero(~few) if not most else ():
+            at, to = int(bounds[n]), int(bounds[n + 1])
+            names, own = np.unique(root[at:to], return_inverse=True)
+            # The most joined ones, not to be held against each other, are many; every other meets all.
+            crowd = own == np.bincount(own, minlength=len(names)).argmax()
+            others = at + np.flatnonzero(~crowd)
+            step = max(1, CELLS // (to - at))
+            for some in range(0, len(others), step):
+                x = np.repeat(others[some:some + step], to - at)
+                y = np.tile(np.arange(at, to), len(x) // (to - at))
+                once = crowd[y - at] | (x < y)
+                yield from pairs(np.minimum(x, y)[once], np.maximum(x, y)[once])
+
+    return work
+
+
+def _words(text: str | None) -> bytes:
+    return b" ".join((text or "").encode("utf-8", "replace").lower().split())
+
+
 def _words_key(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, digest_a, digest_b, words_a, words_b, fp): hashes of the row, 128 bits of the word sequence, the fingerprint."""
     row = F.struct(*map(named, docs.columns))
@@ -372,7 +515,7 @@ def _words_key(docs: DataFrame, key: str, text: str) -> DataFrame:
             found = []
             for value in batch.column("text"):
                 body = value.as_py()
-                words = b" ".join((body or "").encode("utf-8", "replace").lower().split())
+                words = _words(body)
                 found.append((xxhash.xxh64_intdigest(words, SEED), xxhash.xxh64_intdigest(words, SEED + 1), fingerprint(body)))
             prints = np.array(found, np.uint64).reshape(-1, 3).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(np.ascontiguousarray(c)) for c in prints.T]],
@@ -415,14 +558,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH,
-                reach: int = REACH, rounds: tuple[tuple[int, int], ...] = ROUNDS, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+                reach: int = REACH, tables: int = TABLES, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
     """(prints, classes): words_a, words_b and ``root`` of every distinct word sequence; prints name the sequence of every row.
 
     Texts are linked if the sets of their ``width``-word shingles (A-Z in lower case, white space between words) have at least this Jaccard
-    similarity; every link is confirmed on the sets. Candidates are pairs of fingerprints of 3-word shingles, of which near copies
-    share more, within ``reach`` bits that agree on the bits of one of the tables. So links may be missed
-    (measured recall in the README) but never made up. Rounds go on, over the last tables and the texts that the round before has
-    compared, until one adds nothing: a link that was left out as redundant may turn out not to be.
+    similarity; every link is confirmed on the sets. The first candidates are pairs of fingerprints of 3-word shingles, of which near copies
+    share more, within ``reach`` bits that agree on the bits of one of the tables; they join most of a crowd cheaply. Then come all pairs
+    that share a shingle of their prefixes (see :func:`_prefixes`) and are not joined yet, as every pair that is alike does: no link is missed
+    and none is made up.
     """
     prints = stage(_words_key(docs, key, text), "copies-prints")
     # Numbered in the order of their digests, so that reruns choose the same pairs.
@@ -432,31 +575,31 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     links = tested = spark.createDataFrame([], "u long, v long")
     sets = spark.createDataFrame([], SETS)
     rooted = nodes.select("node", "fp", F.col("node").alias("root"))
-    # Shards stay as full as they are: more texts, more bits, and as many more tables as the bits need.
-    bits = min(28, max(TABLE_BITS, (nodes.count() - 1).bit_length() - 4))
-    rounds = tuple(tuple(round(at * GROWTH ** (bits - TABLE_BITS)) for at in pair) for pair in rounds)
-    step, active = 0, rooted
-    while True:
-        first, last = rounds[min(step, len(rounds) - 1)]
-        pairs = stage(_close_pairs(_dealt(active, first, last, shard_rows, bits), reach, step, SPARE if step else 0).join(tested, ["u", "v"], "left_anti"), "copies-pairs")
-        # Later rounds are over nodes of the round before, whose sets are there.
-        if step < len(rounds) and not (wanted := stage(_wanted(prints, nodes, pairs, sets), "copies-wanted")).isEmpty():
-            # Each round's sets are a table of their own: those of earlier rounds are not written again.
+
+    def compare(found: DataFrame) -> None:
+        nonlocal links, tested, sets, rooted
+        pairs = stage(found.join(tested, ["u", "v"], "left_anti"), "copies-pairs")
+        if not (wanted := stage(_wanted(prints, nodes, pairs, sets), "copies-wanted")).isEmpty():
+            # Each search's sets are a table of their own: those of earlier ones are not written again.
             sets = sets.unionByName(stage(_sets(docs, wanted, text, width), "copies-sets"))
         confirmed = stage(_confirmed(pairs, sets, similarity), "copies-links")
+        tested = tested.unionByName(pairs)
         if not confirmed.isEmpty():
             links = stage(links.unionByName(confirmed), "copies-links")
-            found = components(links, "copies-roots")
-            rooted = stage(nodes.join(found, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "copies-rooted")
-        elif step >= len(rounds) - 1:
-            break
-        if step >= len(rounds) - 1:
-            seen = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-            active = stage(rooted.join(seen, "node", "left_semi"), "copies-active")
-        else:
-            active = rooted
-        tested = tested.unionByName(pairs)
-        step += 1
+            joined = components(links, "copies-roots")
+            rooted = stage(nodes.join(joined, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "copies-rooted")
+
+    # Shards stay as full as they are: more texts, more bits, and as many more tables as the bits need.
+    bits = min(28, max(TABLE_BITS, (nodes.count() - 1).bit_length() - 4))
+    compare(_close_pairs(_dealt(rooted, 0, round(tables * GROWTH ** (bits - TABLE_BITS)), shard_rows, bits), reach, 0, 0))
+    held = _prefixes(docs, text, similarity, width, _common(docs, text, width)).join(nodes, ["words_a", "words_b"])
+    held = held.join(rooted.select("node", "root"), "node").select(F.explode("prefix").alias("p"), "node", "size", "root")
+    # Where all holders of a shingle are joined already there is nothing to look for; most shingles have one holder.
+    shared = stage(_by_shingle(held.select("p.shingle", "node", "size", "p.place", "root"), _shared, "shingle long, node long, size int, place int"), "copies-shared")
+    # All at once, unless there may be so many that those after each should be joined first.
+    crowds = shared.groupBy("shingle").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()["pairs"] or 0
+    for most in (NEXT, None) if crowds > AT_ONCE * nodes.count() else (None,):
+        compare(_by_shingle(shared.join(rooted.select("node", "root"), "node"), _sharing(similarity, most), "u long, v long").distinct())
     return prints, nodes.join(rooted.select("node", "root"), "node").select("words_a", "words_b", "root")
 
 

@@ -238,6 +238,28 @@ def test_near_copies_against_brute_force(spark, monkeypatch, shard_rows, small):
     assert simhash.keep_distinct(docs.limit(0)).count() == 0
 
 
+def test_no_near_copy_is_missed(spark, monkeypatch):
+    """Pairs at the threshold, whose fingerprints are far apart, among texts that share a common passage and a crowd of copies."""
+    rng = np.random.default_rng(12)
+    pool = [f"w{i}" for i in range(4000)]
+    passage = " ".join(rng.choice(pool, 60))
+    texts = []
+    for n in rng.integers(9, 120, 90):
+        own = rng.choice(pool, n + 4).tolist()
+        for changed in (n // 9, n // 9 + 1):  # (n - changed) / (n + changed) is 0.8 or just above, and just below
+            texts += [" ".join(own), " ".join(own[:n + 4 - changed] + rng.choice(pool, changed).tolist())]
+    texts += [" ".join(rng.choice(pool, n)) + " " + passage for n in rng.integers(5, 90, 40)]
+    crowd = rng.choice(pool, 80).tolist()
+    texts += [" ".join(crowd[:i] + ["x"] + crowd[i + 1:]) for i in range(0, 80, 2)]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in enumerate(texts)], DOCS)
+    links = copies(texts)
+    for crowded in (256, 4):
+        monkeypatch.setattr(simhash, "CROWD", crowded, raising=False)
+        monkeypatch.setattr(simhash, "AT_ONCE", 100 if crowded == 256 else 0, raising=False)
+        monkeypatch.setattr(simhash, "COMMON_SAMPLE", 20_000 if crowded == 256 else 20, raising=False)
+        assert simhash.keep_distinct(docs).count() == len(set(classes(len(texts), links)))
+
+
 def test_shingle_sets_are_written_once_and_moved_for_likely_pairs_only(spark, monkeypatch):
     rng, written = np.random.default_rng(9), {}
 
