@@ -410,16 +410,10 @@ def _prefixes(docs: DataFrame, text: str, similarity: float, width: int, common:
                 sizes.append(len(own))
                 firsts.append(own[:first])
             keys = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-            lengths = np.array([len(f) for f in firsts], np.int64)
-            flat = np.concatenate([*firsts, np.zeros(0, np.int64)])
-            ends = np.concatenate(([0], np.cumsum(lengths)))
-            places = np.arange(len(flat)) - np.repeat(ends[:-1], lengths)
-            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
-                [pa.array(flat), pa.array(places, pa.int32())], names=["shingle", "place"]))
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in keys.T], pa.array(sizes, pa.int32()), prefix],
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in keys.T], pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
                                              names=["words_a", "words_b", "size", "prefix"])
 
-    found = docs.select(named(text).alias("text")).mapInArrow(work, "words_a long, words_b long, size int, prefix array<struct<shingle: long, place: int>>")
+    found = docs.select(named(text).alias("text")).mapInArrow(work, "words_a long, words_b long, size int, prefix array<long>")
     return found.dropDuplicates(["words_a", "words_b"])
 
 
@@ -592,10 +586,12 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     # Shards stay as full as they are: more texts, more bits, and as many more tables as the bits need.
     bits = min(28, max(TABLE_BITS, (nodes.count() - 1).bit_length() - 4))
     compare(_close_pairs(_dealt(rooted, 0, round(tables * GROWTH ** (bits - TABLE_BITS)), shard_rows, bits), reach, 0, 0))
-    held = _prefixes(docs, text, similarity, width, _common(docs, text, width)).join(nodes, ["words_a", "words_b"])
-    held = held.join(rooted.select("node", "root"), "node").select(F.explode("prefix").alias("p"), "node", "size", "root")
+    # Prefixes are moved once: what joins them is brought together first.
+    named_roots = nodes.select("words_a", "words_b", "node").join(rooted.select("node", "root"), "node")
+    held = _prefixes(docs, text, similarity, width, _common(docs, text, width)).join(named_roots, ["words_a", "words_b"])
+    held = held.select("node", "size", "root", F.posexplode("prefix").alias("place", "shingle"))
     # Where all holders of a shingle are joined already there is nothing to look for; most shingles have one holder.
-    shared = stage(_by_shingle(held.select("p.shingle", "node", "size", "p.place", "root"), _shared, "shingle long, node long, size int, place int"), "copies-shared")
+    shared = stage(_by_shingle(held, _shared, "shingle long, node long, size int, place int"), "copies-shared")
     # All at once, unless there may be so many that those after each should be joined first.
     crowds = shared.groupBy("shingle").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()["pairs"] or 0
     for most in (NEXT, None) if crowds > AT_ONCE * nodes.count() else (None,):
